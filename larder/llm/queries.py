@@ -6,9 +6,11 @@ from larder.llm.decontaminate import op4_decontaminate
 from larder.llm.packing import op10_pack
 from larder.llm.sharding import op9_jump_shards
 from larder.llm.sstable import op6_token_sstable
+from larder.llm.substring_dedup import op5_substring_dedup
 
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_token_sstable": op6_token_sstable,
     "op9_jump_shards": op9_jump_shards,
     "op10_pack": op10_pack,
