@@ -5,12 +5,14 @@ from __future__ import annotations
 from larder.llm.decontaminate import op4_decontaminate
 from larder.llm.near_dup import op1_near_dup
 from larder.llm.packing import op10_pack
+from larder.llm.quality_crf import op3_quality_crf
 from larder.llm.sharding import op9_jump_shards
 from larder.llm.sstable import op6_token_sstable
 from larder.llm.substring_dedup import op5_substring_dedup
 
 QUERIES = {
     "op1_near_dup": op1_near_dup,
+    "op3_quality_crf": op3_quality_crf,
     "op4_decontaminate": op4_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_sstable": op6_token_sstable,
