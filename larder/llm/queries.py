@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from larder.llm.chat_format import OP2_SQL, op2_chat_format
 from larder.llm.decontaminate import op4_decontaminate
 from larder.llm.near_dup import op1_near_dup
 from larder.llm.packing import op10_pack
@@ -12,6 +13,7 @@ from larder.llm.substring_dedup import op5_substring_dedup
 
 QUERIES = {
     "op1_near_dup": op1_near_dup,
+    "op2_chat_format": op2_chat_format,
     "op3_quality_crf": op3_quality_crf,
     "op4_decontaminate": op4_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
@@ -20,4 +22,6 @@ QUERIES = {
     "op10_pack": op10_pack,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": OP2_SQL,
+}
