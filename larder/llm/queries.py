@@ -10,6 +10,7 @@ from larder.llm.quality_crf import op3_quality_crf
 from larder.llm.sharding import op9_jump_shards
 from larder.llm.sstable import op6_token_sstable
 from larder.llm.substring_dedup import op5_substring_dedup
+from larder.llm.warc import op7_warc_derivatives
 
 QUERIES = {
     "op1_near_dup": op1_near_dup,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_sstable": op6_token_sstable,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op9_jump_shards": op9_jump_shards,
     "op10_pack": op10_pack,
 }
