@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from larder.llm.chat_format import OP2_SQL, op2_chat_format
 from larder.llm.decontaminate import op4_decontaminate
+from larder.llm.embedding_dedup import op8_embedding_dedup
 from larder.llm.near_dup import op1_near_dup
 from larder.llm.packing import op10_pack
 from larder.llm.quality_crf import op3_quality_crf
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_sstable": op6_token_sstable,
     "op7_warc_derivatives": op7_warc_derivatives,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_jump_shards": op9_jump_shards,
     "op10_pack": op10_pack,
 }
