@@ -124,14 +124,14 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of retained values (padded): shared ones among the k smallest of each union, and how many those are."""
+def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of retained values (padded): shared ones among the k smallest of each union, how many those are, and all shared ones."""
     z = np.sort(np.concatenate([a, b], axis=1), axis=1)
     real = z != PAD
     twin = np.zeros_like(real)
     twin[:, 1:] = (z[:, 1:] == z[:, :-1]) & real[:, 1:]
     rank = np.cumsum(real & ~twin, axis=1)
-    return (twin & (rank <= k)).sum(axis=1), np.minimum(rank[:, -1], k)
+    return (twin & (rank <= k)).sum(axis=1), np.minimum(rank[:, -1], k), twin.sum(axis=1)
 
 
 def _overlaps(sets: list[np.ndarray], least_n: int = 2, width: int = 8192) -> np.ndarray:
@@ -173,9 +173,9 @@ def _sieve(k: int, heads: int, threshold: float):
                 i, j = i[close & (reps[i] != reps[j])], j[close & (reps[i] != reps[j])]
                 for at in range(0, len(i), 20_000):
                     a, b = i[at : at + 20_000], j[at : at + 20_000]
-                    shared, union = union_estimate(s[a], s[b], k)
-                    least = np.where(full[a] & full[b], threshold - 1e-9, threshold - slack)
-                    both = shared >= np.where(full[a] & full[b], least * (sizes[a] + sizes[b]) / (1 + least), least * union)
+                    shared, union, in_common = union_estimate(s[a], s[b], k)
+                    exact = full[a] & full[b]  # both sketches are the whole sets
+                    both = np.where(exact, in_common >= (threshold - 1e-9) * (sizes[a] + sizes[b] - in_common), shared >= (threshold - slack) * union)
                     a, b = a[both], b[both]
                     if not len(a):
                         continue
