@@ -38,7 +38,6 @@ _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|table|tr|article|section|header|footer|nav|main|aside|blockquote|pre|form|dl|dt|dd|figure|body|html)|br|hr)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?A-Za-z][^>]*>")
-_BLANKS, _LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r" ?\n[ \n]*")
 
 
 def digest(raw: bytes) -> str:
@@ -73,9 +72,10 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 def to_text(page: str) -> str:
     """Visible text: a line per block element, entities decoded, spaces collapsed."""
-    page = _BLANKS.sub(" ", _DROP.sub(" ", page).replace("\n", " "))
+    page = _DROP.sub(" ", page).replace("\n", " ")
     page = entities.unescape(_TAG.sub("", _BREAK.sub("\n", page)))
-    return _LINES.sub("\n", _BLANKS.sub(" ", page)).strip()
+    lines = (" ".join(line.split()) for line in page.split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 def response(key: object, url: str | None, page: str | None, date: str) -> bytes:
