@@ -50,13 +50,10 @@ def branch_paths(nodes: DataFrame, stage: Stage) -> DataFrame:
     now, k = stage.table(start, "paths-0"), 0
     most = now.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     while k <= most.bit_length() and now.where("up IS NOT NULL").limit(1).count():
-        a, b = now.alias("a"), now.alias("b")
-        both = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")), "left")
-        both = both.select(
-            "a.tree", "a.node", "b.up",
-            F.when(F.col("b.node").isNull(), F.col("a.path")).otherwise(F.concat("b.path", "a.path")).alias("path"),
-            (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"),
-        )
+        a, b = now.where("up IS NOT NULL").alias("a"), now.alias("b")  # finished paths are not joined again
+        grown = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
+        grown = grown.select("a.tree", "a.node", "b.up", F.concat("b.path", "a.path").alias("path"), (F.col("a.score") + F.col("b.score")).alias("score"))
+        both = now.where("up IS NULL").unionByName(grown)
         k += 1
         now = stage.table(both, f"paths-{k}")
         stage.drop(f"paths-{k - 1}")
