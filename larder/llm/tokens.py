@@ -19,6 +19,7 @@ import numpy as np
 _WS = "\t-\r \x85\xa0  -     　"
 _RUN_THEN_SPACE = re.compile(f"[{_WS}] ")
 _PIECES = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+_WS_SET = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Latin letters, then ASCII punctuation: after a space, the pre-tokenizer makes exactly these two pieces.
 _WORD = re.compile("([A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\u024f]+)([!-/:-@\\[-`{-~]*)")
 
@@ -39,85 +40,86 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Pieces(dict):
+    """Ids of pieces that follow `lead` (one space, or nothing at a line's start); a miss encodes the piece."""
+
+    def __init__(self, owner: Encoder, lead: str):
+        super().__init__()
+        self.owner, self.lead, self.older = owner, lead, {}
+        self.start = "".join(_LETTERS[b] for b in lead.encode())
+
+    def turn(self, size: int) -> None:
+        """Keeps the last `size` pieces or so, and those before as a second look."""
+        if len(self) > size:
+            self.older = dict(self)
+            self.clear()
+
+    def __missing__(self, p: str) -> bytes:
+        ids = self.older.get(p)
+        if ids is None:
+            ids = self._encode(p)
+        if len(p) <= 48:
+            self[p] = ids
+        return ids
+
+    def _encode(self, p: str) -> bytes:
+        if p.isascii() and p.isalpha():
+            return self._word(p)
+        if m := _WORD.fullmatch(p):
+            word, tail = m.groups()
+            return self._word(word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)) + self.owner.tail(tail)
+        head, line, rest = p.partition("\n")  # a single line end between words is a piece of its own
+        if line and head and rest and head[-1] not in _WS_SET and rest[0] not in _WS_SET:
+            return self[head] + self.owner.tail("\n") + self.owner.plain[rest]
+        return self.owner.raw([self.lead + p])[0]
+
+    def _word(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.owner.model.tokenize(self.start + letters)]).tobytes()
+
+
 class Encoder:
     """Encodes texts to bytes of little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, cache_size: int = 250_000, longest: int = 48):
+    def __init__(self, path: str, cache_size: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.spaced: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.spaced, self.plain = _Pieces(self, " "), _Pieces(self, "")
         self.tails: dict[str, bytes] = {"": b""}
-        self.cache_size, self.longest = cache_size, longest
-
-    def _new(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece after one space."""
-        out: list[bytes] = []
-        rest: list[int] = []
-        fits, model, tails, older = _WORD.fullmatch, self.model, self.tails, self.older
-        for i, p in enumerate(pieces):
-            if (ids := older.get(p)) is not None:
-                out.append(ids)
-            elif m := fits(p):
-                word, tail = m.groups()
-                if not word.isascii():
-                    word = word.encode().decode("latin-1").translate(_LETTERS)
-                if tail not in tails:
-                    if len(tails) > 10_000:
-                        tails.clear()
-                    tails[tail] = self._raw([tail])[0] if tail else b""
-                out.append(array("I", [t.id for t in model.tokenize("\u0120" + word)]).tobytes() + tails[tail])
-            else:
-                out.append(b"")
-                rest.append(i)
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            for i, ids in zip(some, self._raw([" " + pieces[i] for i in some]), strict=True):
-                out[i] = ids
-        return out
+        self.cache_size = cache_size
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
+    def raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def tail(self, marks: str) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            ids = self.tails[marks] = self.raw([marks])[0] if marks else b""
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole: list[int] = []
-        split: list[tuple[int, list[str]]] = []
-        pieces: set[str] = set()
-        for i, text in enumerate(texts):
+        self.spaced.turn(self.cache_size)
+        self.plain.turn(self.cache_size // 4)
+        spaced, out = self.spaced.__getitem__, []
+        for text in texts:
             if _RUN_THEN_SPACE.search(text):
-                whole.append(i)
+                out.append(b"".join(self._by_run(text)))
             else:
-                parts = text.split(" ")
-                split.append((i, parts))
-                pieces.update(parts[1:])
-        if len(self.spaced) > self.cache_size:
-            self.older, self.spaced = self.spaced, {}
-        cache = self.spaced
-        new = list(pieces.difference(cache))
-        extra: dict[str, bytes] = {}
-        if new:
-            for p, ids in zip(new, self._new(new), strict=True):
-                (cache if len(p) <= self.longest else extra)[p] = ids
-        get = cache.__getitem__ if not extra else (lambda p: cache.get(p) or extra[p])
-        out: list[bytes] = [b""] * len(texts)
-        firsts = self._raw([parts[0] for _, parts in split])
-        for (i, parts), first in zip(split, firsts, strict=True):
-            out[i] = first + b"".join(map(get, parts[1:]))
-        for i in whole:
-            out[i] = self._by_run(texts[i])
+                first, *rest = text.split(" ")
+                out.append((self.plain[first] if first else b"") + b"".join(map(spaced, rest)))
         return out
 
-    def _by_run(self, text: str) -> bytes:
+    def _by_run(self, text: str) -> list[bytes]:
         """A text in which white space stands before a space: pieces from white-space runs."""
         found = _PIECES.findall(text)
-        cache = self.spaced
-        plain = [p for p in set(found) if not (p[0] == " " and p[1:] in cache)]
-        ids = dict(zip(plain, self._raw(plain), strict=True))
-        return b"".join([ids[p] if p in ids else cache[p[1:]] for p in found])
+        other = [p for p in set(found) if p[0] != " " or len(p) == 1 or p[1] in _WS_SET]
+        ids = dict(zip(other, self.raw(other), strict=True))
+        return [ids[p] if p in ids else self.spaced[p[1:]] for p in found]
 
 
 _made: dict[str, Encoder] = {}
