@@ -70,10 +70,10 @@ def ab_delta(t):
 
 
 def _episodes(t):
-    return t.orders.select(F.col("o_orderpriority").alias("subset"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("task_success"), F.round(F.col("o_totalprice") / 1000, 2).alias("episode_elapsed_seconds"), (F.col("o_orderkey") % 31).cast("double").alias("num_steps"), (F.col("o_custkey") % 6).cast("double").alias("planner_output_error"), (F.col("o_custkey") % 2).cast("double").alias("empty_plan"))
+    return t.orders.select(F.col("o_orderpriority").alias("subset"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("task_success"), (F.col("o_totalprice") / 1000).alias("episode_elapsed_seconds"), (F.col("o_orderkey") % 31).cast("double").alias("num_steps"), (F.col("o_custkey") % 6).cast("double").alias("planner_output_error"), (F.col("o_custkey") % 2).cast("double").alias("empty_plan"))
 
 
-_EPISODES = "(SELECT o_orderpriority AS subset, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS task_success, round(o_totalprice / 1000, 2) AS episode_elapsed_seconds, (o_orderkey % 31)::DOUBLE AS num_steps, (o_custkey % 6)::DOUBLE AS planner_output_error, (o_custkey % 2)::DOUBLE AS empty_plan FROM orders)"
+_EPISODES = "(SELECT o_orderpriority AS subset, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS task_success, o_totalprice / 1000 AS episode_elapsed_seconds, (o_orderkey % 31)::DOUBLE AS num_steps, (o_custkey % 6)::DOUBLE AS planner_output_error, (o_custkey % 2)::DOUBLE AS empty_plan FROM orders)"
 _LONG = f"(SELECT subset, 'task_success' AS metric, task_success::DOUBLE AS v FROM {_EPISODES} UNION ALL SELECT subset, 'episode_elapsed_seconds', episode_elapsed_seconds FROM {_EPISODES})"
 
 

@@ -10,12 +10,12 @@ from larder.operators import recommend as rec
 from larder.plans.registry import Tables, query
 
 # Recipes: an order with its parts' names and amounts.
-_RECIPES = """SELECT o_orderkey AS recipe_id, o_orderpriority AS tag, round(o_totalprice / 1000, 2) AS calories, q AS protein, n * 10.0 AS carbohydrates, mx AS saturated_fat, mn AS monounsaturated_fat,
+_RECIPES = """SELECT o_orderkey AS recipe_id, o_orderpriority AS tag, o_totalprice AS calories, q AS protein, n * 10.0 AS carbohydrates, mx AS saturated_fat, mn AS monounsaturated_fat,
   CASE WHEN o_orderstatus = 'P' THEN NULL ELSE 1.0 END AS polyunsaturated_fat, names FROM orders JOIN (
   SELECT l_orderkey, sum(l_quantity) AS q, CAST(count(*) AS DOUBLE) AS n, max(l_quantity) AS mx, min(l_quantity) AS mn, {names} AS names FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) ON l_orderkey = o_orderkey"""
 _SQL_RECIPES = _RECIPES.format(names="list_sort(list(DISTINCT p_name))")
 # Questions: a tag, wanted and unwanted parts, and a range of one nutrient.
-_QUESTIONS = [("1-URGENT", ["red ring"], ["blue bolt", "hot gear"], "protein", 20.0, 200.0), ("2-HIGH", [], ["old anvil"], "fat", 10.0, 80.0), ("3-MEDIUM", [], [], "calories", 100.0, 300.0), ("4-NOT SPECIFIED", [], ["new rod"], "sodium", 1.0, 2.0), ("5-LOW", ["cold plate"], [], "carbohydrates", 20.0, 60.0)]
+_QUESTIONS = [("1-URGENT", ["red ring"], ["blue bolt", "hot gear"], "protein", 20.0, 200.0), ("2-HIGH", [], ["old anvil"], "fat", 10.0, 80.0), ("3-MEDIUM", [], [], "calories", 100000.0, 300000.0), ("4-NOT SPECIFIED", [], ["new rod"], "sodium", 1.0, 2.0), ("5-LOW", ["cold plate"], [], "carbohydrates", 20.0, 60.0)]
 _SQL_QUESTIONS = "(VALUES " + ", ".join(f"('{t}', {p!r}::VARCHAR[], {n!r}::VARCHAR[], '{k}', {lo}, {hi})" for t, p, n, k, lo, hi in _QUESTIONS) + ") AS q(qid, positive, negative, nutrition, lo, hi)"
 _TESTS = """NOT list_has_any(names, negative) AS negative_ok, list_has_all(names, positive) AS positive_ok,
   CASE nutrition WHEN 'protein' THEN coalesce(protein, 0) BETWEEN lo AND hi WHEN 'fat' THEN coalesce(saturated_fat, 0) + coalesce(monounsaturated_fat, 0) + coalesce(polyunsaturated_fat, 0) BETWEEN lo AND hi
@@ -25,7 +25,7 @@ _TESTS = """NOT list_has_any(names, negative) AS negative_ok, list_has_all(names
 def recipes(t: Tables) -> DataFrame:
     uses = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("recipe_id"), F.col("p_name").alias("ingredient_name"))
     sums = t.lineitem.groupBy(F.col("l_orderkey").alias("recipe_id")).agg(F.sum("l_quantity").alias("protein"), (F.count("*").cast("double") * 10).alias("carbohydrates"), F.max("l_quantity").alias("saturated_fat"), F.min("l_quantity").alias("monounsaturated_fat"))
-    o = t.orders.select(F.col("o_orderkey").alias("recipe_id"), F.col("o_orderpriority").alias("tag"), F.round(F.col("o_totalprice") / 1000, 2).alias("calories"), F.when(F.col("o_orderstatus") != "P", 1.0).alias("polyunsaturated_fat"))
+    o = t.orders.select(F.col("o_orderkey").alias("recipe_id"), F.col("o_orderpriority").alias("tag"), F.col("o_totalprice").alias("calories"), F.when(F.col("o_orderstatus") != "P", 1.0).alias("polyunsaturated_fat"))
     return rec.recipe_context(o.join(sums, "recipe_id"), uses)
 
 
@@ -62,7 +62,7 @@ def constraint_penalty_soft(t):
 
 
 # Requests: targets and wanted parts per tag.
-_REQUESTS = [("1-URGENT", 100.0, 40.0, 200.0, ["red ring", "blue rod"], ["anvil"]), ("2-HIGH", 2000.0, 40.0, 200.0, ["red ring", "old gear"], []), ("3-MEDIUM", 5000.0, 1.0, 1.0, ["no such part"], ["bolt"]), ("5-LOW", 0.0, 0.0, 0.0, ["hot plate"], ["ring, any", "ox"])]
+_REQUESTS = [("1-URGENT", 100.0, 40.0, 200000.0, ["red ring", "blue rod"], ["anvil"]), ("2-HIGH", 2000.0, 40.0, 200000.0, ["red ring", "old gear"], []), ("3-MEDIUM", 5000.0, 1.0, 1.0, ["no such part"], ["bolt"]), ("5-LOW", 0.0, 0.0, 0.0, ["hot plate"], ["ring, any", "ox"])]
 _SQL_REQUESTS = "(VALUES " + ", ".join(f"('{q}', {p}, {c}, {k}, {w!r}::VARCHAR[], {x!r}::VARCHAR[])" for q, p, c, k, w, x in _REQUESTS) + ") AS s(qid, protein_g, carb_g, energy_kcal, wanted, terms)"
 _NEAR = "({t} <= 0 OR {v} IS NULL OR {v} BETWEEN {t} * 0.5 AND {t} * 1.5)"
 _TIERS = f"""SELECT qid, recipe_id, protein, carbohydrates, saturated_fat, overlap, wanted_n - overlap AS missing, wanted_n,
@@ -109,10 +109,10 @@ def macro_match_score(t):
 
 
 @query(f"""SELECT macro, bin, count(*) AS n FROM (SELECT CASE WHEN greatest(protein, saturated_fat, carbohydrates) <= 1e-6 THEN 'Other' WHEN protein >= saturated_fat AND protein >= carbohydrates THEN 'Protein'
-  WHEN saturated_fat >= carbohydrates THEN 'Fat' ELSE 'Carb' END AS macro, CASE WHEN calories > 0 AND calories <= 100 THEN 'low' WHEN calories > 100 AND calories <= 250 THEN 'mid' WHEN calories > 250 THEN 'high' END AS bin FROM ({_SQL_RECIPES})) GROUP BY 1, 2""")
+  WHEN saturated_fat >= carbohydrates THEN 'Fat' ELSE 'Carb' END AS macro, CASE WHEN calories > 0 AND calories <= 100000 THEN 'low' WHEN calories > 100000 AND calories <= 250000 THEN 'mid' WHEN calories > 250000 THEN 'high' END AS bin FROM ({_SQL_RECIPES})) GROUP BY 1, 2""")
 def macro_dominant_bins(t):
     macro = scores.dominant(["Protein", "Fat", "Carb"], [F.col("protein"), F.col("saturated_fat"), F.col("carbohydrates")], "Other")
-    rows = recipes(t).select(macro.alias("macro"), scores.bin_right_closed(F.col("calories"), [0.0, 100.0, 250.0, float("inf")], ["low", "mid", "high"]).alias("bin"))
+    rows = recipes(t).select(macro.alias("macro"), scores.bin_right_closed(F.col("calories"), [0.0, 100000.0, 250000.0, float("inf")], ["low", "mid", "high"]).alias("bin"))
     return rows.groupBy("macro", "bin").agg(F.count("*").alias("n"))
 
 
