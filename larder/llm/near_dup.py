@@ -20,8 +20,9 @@ fingerprint) go through the rest as one.
 
 Nothing is capped: a long list costs more tiles, not fewer comparisons.
 
-Defined results: a null, empty or word-less text has an empty set and links
-with nothing; rows that repeat an id are one node (their links unite); a null
+Defined results: a null, empty or word-less text has an empty set, links with
+nothing and is its own component; rows that repeat an id are one node (their
+links unite); a null
 id is kept, has no component and is not linked; an empty table gives an empty
 table.
 """
@@ -290,7 +291,11 @@ def near_duplicates(docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text:
     sets = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(full_sets, "rep long, set binary")
     joined = active.join(sets, "rep").select("tile", "rep", "set")
     edges = joined.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_verify(percent), "u long, v long")
-    found = components(edges, stage)
+    # rows of one id with different sets are one node: it links the representatives of its sets
+    several = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(*(f(c).alias(f"{k}_{c}") for c in ("n", "f1", "f2") for k, f in (("a", F.min), ("b", F.max))))
+    several = stage.table(several.where("a_n <> b_n OR a_f1 <> b_f1 OR a_f2 <> b_f2").select("doc_id"), "several")
+    same = signed.select("doc_id", "n", "f1", "f2").join(several, "doc_id").join(groups.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"])
+    found = components(edges.unionByName(same.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), stage)
     named = groups.select("n", "f1", "f2", "rep").join(found, F.col("rep") == F.col("node"), "left")
     named = stage.table(named.select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "named")
     out = signed.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
