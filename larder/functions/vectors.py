@@ -17,7 +17,8 @@ def norm(a: Column) -> Column:
 def unit(a: Column) -> Column:
     """Divided by its norm; a zero vector stays."""
     n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    length = F.when(n == 0, F.lit(1.0)).otherwise(n)
+    return F.zip_with(a, F.array_repeat(length, F.size(a)), lambda x, y: x.cast("double") / y)  # the norm is computed once, not per element
 
 
 def cosine(a: Column, b: Column, eps: float = 0.0) -> Column:

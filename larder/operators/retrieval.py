@@ -106,18 +106,18 @@ def _blocked(c: DataFrame, q: DataFrame, alpha: float, k: int) -> DataFrame:
     """The best k (qid, id) of each kind of item: with both vectors, with text only, with graph only."""
     times = lambda v, w: F.transform(v, lambda x: x * w)
     one = F.array(F.lit(1.0))
-    both = c.where("text_vec IS NOT NULL AND graph_vec IS NOT NULL")
-    dims = both.select(F.size("graph_vec"), F.size("text_vec")).first()
+    t, g = F.col("text_vec").isNotNull(), F.col("graph_vec").isNotNull()
+    some = lambda x: F.max(F.when(x, 1))
+    kinds = c.agg(F.max(F.when(t & g, F.size("graph_vec"))).alias("gd"), F.max(F.when(t & g, F.size("text_vec"))).alias("td"), some(t & ~g).alias("text_vec"), some(g & ~t).alias("graph_vec")).first()
     out = []
-    if dims:
+    if kinds["gd"]:
         a = F.when(F.col("q_graph").isNull(), 0.0).when(F.col("q_text").isNull(), 1.0).otherwise(F.lit(float(alpha)))
-        zeros = [F.array_repeat(F.lit(0.0), n) for n in dims]
+        zeros = [F.array_repeat(F.lit(0.0), kinds[d]) for d in ("gd", "td")]
         joined = q.where("q_text IS NOT NULL OR q_graph IS NOT NULL").select("qid", F.concat(times(F.coalesce("q_graph", zeros[0]), a), times(F.coalesce("q_text", zeros[1]), 1 - a), one).alias("v"))
-        out.append((both.select("id", F.concat("graph_vec", "text_vec", F.array("s")).alias("vec")), joined))
-    for own, other, asked in (("text_vec", "graph_vec", "q_text"), ("graph_vec", "text_vec", "q_graph")):
-        some = c.where(F.col(own).isNotNull() & F.col(other).isNull())
-        if some.limit(1).count():
-            out.append((some.select("id", F.concat(own, F.array("s")).alias("vec")), q.where(F.col(asked).isNotNull()).select("qid", F.concat(asked, one).alias("v"))))
+        out.append((c.where(t & g).select("id", F.concat("graph_vec", "text_vec", F.array("s")).alias("vec")), joined))
+    for own, only, asked in (("text_vec", t & ~g, "q_text"), ("graph_vec", g & ~t, "q_graph")):
+        if kinds[own]:
+            out.append((c.where(only).select("id", F.concat(own, F.array("s")).alias("vec")), q.where(F.col(asked).isNotNull()).select("qid", F.concat(asked, one).alias("v"))))
     found = [vector_topk(x, y, k, query_vec="v", normalise=False).select("qid", "id") for x, y in out]
     if not found:
         return c.sparkSession.createDataFrame([], "qid long, id long")
@@ -205,12 +205,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
     stats = sized.where("len > 0").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     asked = queries.select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(tokens(F.col(query_text), stem))).alias("term"))
     terms = asked.select("term").distinct()
-    postings = sized.select("id", "len", F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    # dealt by document, so counting terms and summing scores need no further exchange
+    postings = sized.select("id", "len", F.explode("words").alias("term")).join(terms, "term", "left_semi").repartition("id").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = asked.join(df, "term").join(postings, "term").join(F.broadcast(stats))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    out = scored.groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    weighted = postings.join(df, "term").join(F.broadcast(stats)).select("term", "id", part.alias("part"))  # once per posting, not per query
+    out = asked.join(weighted, "term").groupBy("qid", "id").agg(F.sum("part").alias("score"))
     return out if least is None else out.where(F.col("score") >= least)
 
 
