@@ -6,6 +6,7 @@ from larder.llm.chat_format import OP2_SQL, op2_chat_format
 from larder.llm.decontaminate import op4_decontaminate
 from larder.llm.embedding_dedup import op8_embedding_dedup
 from larder.llm.near_dup import op1_near_dup
+from larder.llm.oracle import DECONTAMINATE, EMBEDDING_DEDUP, NEAR_DUP, SUBSTRING_DEDUP
 from larder.llm.packing import op10_pack
 from larder.llm.quality_crf import op3_quality_crf
 from larder.llm.sharding import op9_jump_shards
@@ -27,5 +28,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dup": NEAR_DUP,
     "op2_chat_format": OP2_SQL,
+    "op4_decontaminate": DECONTAMINATE,
+    "op5_substring_dedup": SUBSTRING_DEDUP,
+    "op8_embedding_dedup": EMBEDDING_DEDUP,
 }

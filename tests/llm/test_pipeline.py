@@ -49,3 +49,20 @@ def test_guard():
     import __spark_entry__ as entry
 
     assert "pipeline" in entry.queries() and "op1_near_dup" in entry.queries()
+
+
+@pytest.mark.parametrize("name", ["op1_near_dup", "op2_chat_format", "op4_decontaminate", "op5_substring_dedup", "op8_embedding_dedup"])
+def test_sql(spark, name):
+    import duckdb
+
+    from larder.llm.queries import ORACLE_SQL, QUERIES
+
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
+    result = duck.execute(ORACLE_SQL[name])
+    names = [d[0] for d in result.description]
+    want = sorted(str(sorted(zip(names, r, strict=True))) for r in result.fetchall())
+    df = QUERIES[name](spark, DATA)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(str(sorted(r.asDict().items())) for r in df.collect()) == want
