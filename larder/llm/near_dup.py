@@ -296,6 +296,8 @@ def near_duplicates(docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text:
     several = stage.table(several.where("a_n <> b_n OR a_f1 <> b_f1 OR a_f2 <> b_f2").select("doc_id"), "several")
     same = signed.select("doc_id", "n", "f1", "f2").join(several, "doc_id").join(groups.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"])
     found = components(edges.unionByName(same.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), stage)
+    for name in ("lists", "tiles", "active", "wanted", "several"):  # the edges are written
+        stage.drop(name)
     named = groups.select("n", "f1", "f2", "rep").join(found, F.col("rep") == F.col("node"), "left")
     named = stage.table(named.select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "named")
     out = signed.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
