@@ -13,8 +13,9 @@ def _object_text(x: Column) -> Column:
     return F.when(F.try_parse_json(x).isNotNull(), x)
 
 
-def repair_json(reply: Column) -> Column:
+def repair_json(reply: Column | str) -> Column:
     """The reply's JSON as text: whole, else fenced, else from the first to the last brace, else with braces closed; else null."""
+    reply = F.col(reply) if isinstance(reply, str) else reply
     fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)
     braces = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
     fragment = F.substring(reply, F.instr(reply, "{"), F.length(reply))

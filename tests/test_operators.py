@@ -237,3 +237,49 @@ def test_stream_registry_and_windows(spark, tmp_path):
     stream = windows.event_time(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "e")), late="10 minutes")
     out = windows.run_to_end(windows.tumbling(stream, "10 minutes", ["user"], "value"), "tumble_t", str(tmp_path / "c3"), "complete")
     assert [r[0] for r in rows(out.select("total"), "start")] == [3.0, 4.0]
+
+
+def test_references_and_prompts(spark):
+    from larder.plans import assistant
+
+    embed = models.embed_with(lambda: models.hashing_embedder(64))
+    foods = frame(spark, "id long, description string", (1, "maize flour"), (2, "corn flour"), (3, "milk")).withColumn("vec", embed(F.col("description")))
+    samples = frame(spark, "doc_id long, meal string", (7, "10 g of maize flour, 5 g of corn flour, 3 g of zzz."), (8, "nothing"))
+    refs = assistant.references(samples, foods, embed, k=2)
+    got = [(r["pos"], r["term"], r["matched"]) for r in refs.orderBy("pos").collect()]
+    assert got == [(0, "maize flour", True), (2, "zzz", False)]  # both names mean the second food; the later term goes
+    profiles = spark.createDataFrame([(2, {"Protein": 3.25, "Carbohydrate, by difference": 70.0})], "fdc_id long, nutrients map<string,double>")
+    block = lambda style: [r["block"] for r in assistant.prompt_blocks(refs, profiles, style).collect()]
+    assert block("items") == ['- maize flour: USDA match → "corn flour" — Carb: 70.0g\n- zzz: no reliable USDA match — use your own knowledge']
+    assert block("legacy") == ["- corn flour (per 100 g): Carb: 70.0g, Protein: 3.2g"] or block("legacy") == ["- corn flour (per 100 g): Carb: 70.0g, Protein: 3.3g"]
+    assert block("candidates")[0].startswith('- maize flour #1 "corn flour" (similarity 1.00) Carb: 70.0g\n- maize flour #2 "maize flour"')
+    with pytest.raises(ValueError):
+        assistant.prompt_blocks(refs, profiles, "other")
+    per, total = assistant.similarity_summary(refs, 0.6)
+    assert per.first()["n"] == 2 and total.first()["percent"] == 100.0
+
+
+def test_substitution_eval(spark):
+    from larder.plans import assistant
+
+    items = frame(spark, "id long, category string, text_vec array<double>, graph_vec array<double>", (1, "a", [1.0, 0.0], [1.0, 0.0]), (2, "a", [1.0, 0.1], [0.0, 1.0]), (3, "a", [0.0, 1.0], [0.1, 1.0]), (4, "b", [1.0, 0.0], [1.0, 0.0]))
+    ranks, metrics = assistant.substitution_eval(items, frame(spark, "qid long, id long", (1, 2), (1, 3)), wide=2, near=1)
+    assert rows(ranks, "id") == [(1, 2, 2), (1, 3, 3)]
+    assert metrics.first()["mrr"] == pytest.approx(0.5)
+
+
+def test_assistant(spark):
+    from larder.plans import assistant
+
+    embed = models.embed_with(lambda: models.hashing_embedder(64))
+    foods = frame(spark, "id long, description string", (1, "egg"), (2, "rice"), (3, "tofu")).withColumn("text_vec", embed(F.col("description")))
+    edges = frame(spark, "fdc_id long, nutrient_id long, amount double", (1, 10, 12.0), (2, 11, 70.0), (3, 11, 20.0))
+    nutrients = frame(spark, "nutrient_id long, nutrient_name string", (10, "Protein"), (11, "Carbohydrate, by difference"))
+    vecs = frame(spark, "id long, vec array<double>", (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.1, 1.0]))
+    log = frame(spark, "user_id string, food_fdc_id long, food_desc string, offered boolean, chosen boolean", ("u", 3, "tofu", True, True))
+    requests = frame(spark, "qid string, user_id string, meal string", ("q", "u", "two egg and 100 g of rice"))
+    out = assistant.assistant(requests, foods, edges, nutrients, vecs, log, embed, models.default_chat)
+    assert sorted(r["fdc_id"] for r in out["eaten"].collect()) == [1, 2]
+    assert out["targets"].first()["carb_g"] == 50.0
+    assert [(r["fdc_id"], r["preference"]) for r in out["options"].where("place = 1").collect()] == [(3, 1.0)]
+    assert "tofu (favourite)" in out["prompts"].first()["prompt"] and out["replies"].first()["answer"] and out["offers"].count() >= 1
