@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from larder.operators import spatial
 from larder.plans.registry import Tables, query
-from larder.streaming import windows
+from larder.session import shared_folder
+from larder.streaming import stateful, windows
 
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
 
@@ -28,6 +29,16 @@ def tumbling_windows(t):
     return windows.tumbling(_events(t), "6 hours", ["event_type"], "value").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query(_WINDOW.format(start="time_bucket(INTERVAL '6 hours', ts)", src="events"))
+def stream_tumbling(t):
+    """The same windows from a real stream, with a watermark, run to its end."""
+    at = shared_folder(t.spark, "stream")
+    t.events.write.parquet(f"{at}/in")
+    events = windows.event_time(t.spark.readStream.schema(t.events.schema).parquet(f"{at}/in"), late="1 day")
+    out = windows.run_to_end(windows.tumbling(events, "6 hours", ["event_type"], "value"), "tumbling_" + at.rsplit("-", 1)[1], f"{at}/state", "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query(_WINDOW.format(start="s", src="(SELECT *, unnest([time_bucket(INTERVAL '6 hours', ts), time_bucket(INTERVAL '6 hours', ts) - INTERVAL '6 hours']) AS s FROM events)"))
 def sliding_windows(t):
     return windows.sliding(_events(t), "12 hours", "6 hours", ["event_type"], "value").withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -50,16 +61,31 @@ def stream_dedup(t):
     return windows.deduplicated(t.events.select("user_id", "event_type"), ["user_id", "event_type"])
 
 
-@query("""WITH p AS (SELECT user_id, event_type, CAST(date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)) AS BIGINT) AS d, count(*) AS k, sum(value) AS v FROM events GROUP BY 1, 2, 3),
+_STREAKS = """WITH p AS (SELECT user_id, event_type, CAST(date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)) AS BIGINT) AS d, count(*) AS k, sum(value) AS v FROM events GROUP BY 1, 2, 3),
 f AS (SELECT user_id, d, row_number() OVER (PARTITION BY user_id ORDER BY d) AS pos FROM (SELECT DISTINCT user_id, d FROM p)),
 i AS (SELECT p.*, pos, pos - row_number() OVER (PARTITION BY p.user_id, event_type ORDER BY pos) AS island FROM p JOIN f ON p.user_id = f.user_id AND p.d = f.d),
 s AS (SELECT *, sum(k) OVER w AS streak, sum(v) OVER w AS sv FROM i WINDOW w AS (PARTITION BY user_id, event_type, island ORDER BY pos))
-SELECT CAST(user_id AS VARCHAR) AS stream_id, event_type AS label, d AS frame_seq, CAST(streak AS BIGINT) AS streak, round(sv / streak, 6) AS cam_x FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, island ORDER BY pos) AS n FROM s WHERE streak >= 8) WHERE n = 1""")
+SELECT CAST(user_id AS VARCHAR) AS stream_id, event_type AS label, d AS frame_seq, CAST(streak AS BIGINT) AS streak, round(sv / streak, 6) AS cam_x FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, island ORDER BY pos) AS n FROM s WHERE streak >= 8) WHERE n = 1"""
+
+
+@query(_STREAKS)
 def stability_streaks(t):
     rows = t.events.select(F.col("user_id").cast("string").alias("stream_id"), F.datediff("ts", F.lit("2024-01-01")).cast("long").alias("frame_seq"), F.col("event_type").alias("label"), F.col("value").alias("cam_x"), F.lit(0.0).alias("cam_y"), F.lit(0.0).alias("cam_z"))
     return spatial.stable_labels(rows, rows.select("stream_id", "frame_seq")).select("stream_id", "label", "frame_seq", "streak", F.round("cam_x", 6).alias("cam_x"))
 
 
+@query(_STREAKS)
+def stream_stability(t):
+    """The same gate as a stateful stream of frames, run to its end."""
+    seen = F.struct(F.col("event_type").alias("label"), F.lit(1.0).alias("confidence"), F.col("value").alias("cam_x"), F.lit(0.0).alias("cam_y"), F.lit(0.0).alias("cam_z"))
+    frames = t.events.groupBy(F.col("user_id").cast("string").alias("stream_id"), F.datediff("ts", F.lit("2024-01-01")).cast("long").alias("frame_seq")).agg(F.collect_list(seen).alias("detections"))
+    at = shared_folder(t.spark, "frames")
+    frames.write.parquet(f"{at}/in")
+    stream = t.spark.readStream.schema(frames.schema).parquet(f"{at}/in")
+    out = windows.run_to_end(stateful.stable(stream), "stable_" + at.rsplit("-", 1)[1], f"{at}/state")
+    return out.select("stream_id", "label", "frame_seq", "streak", F.round("cam_x", 6).alias("cam_x"))
+
+
 @query(f"""SELECT event_id FROM events a WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id
   AND sqrt((a.value / 20 - b.value / 20) ** 2 + ({_K.replace("props", "a.props")} / 10.0 - {_K.replace("props", "b.props")} / 10.0) ** 2) < 0.5)""")
 def spatial_dedup_anti(t):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,14 @@ def session(app: str = "larder", **settings: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one the cluster shares; below a temporary one only where none is set."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_larder_folder", None)
+    if not where:
+        where = spark._larder_folder = "file://" + tempfile.mkdtemp(prefix="larder-shared-")
+    return f"{where.rstrip('/')}/larder/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, written to the shared folder in spark.checkpoint.dir; a temporary one only where that is unset."""
     spark = df.sparkSession
