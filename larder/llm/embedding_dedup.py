@@ -149,8 +149,13 @@ FOUND = "id long, other long, links long, audited long, recall double"
 
 def similar_vectors(spark, index: list[dict], least: float, ef: int, recall: float, slice_rows: int, audit: int) -> DataFrame:
     """Rows (id, null, links): links of a vector into one shard; rows (id, other, null): forest edges; rows of audits."""
-    tasks = [(q["path"], at, t["path"]) for q in index for at in range(0, q["count"], slice_rows) for t in index if t["dim"] == q["dim"]]
-    table = spark.createDataFrame(tasks, "queries string, at long, target string")
+    shards = spark.createDataFrame([(m["dim"], m["path"], m["count"]) for m in index], "dim int, path string, count long")
+    asking = shards.select("dim", F.col("path").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(slice_rows).cast("long"))).alias("at"))
+    tasks = asking.join(shards.select("dim", F.col("path").alias("target")), "dim").select("queries", "at", "target")  # names of files only
+    of_dim: dict[int, int] = {}
+    for m in index:
+        of_dim[m["dim"]] = of_dim.get(m["dim"], 0) + 1
+    n_tasks = sum(-(-m["count"] // slice_rows) * of_dim[m["dim"]] for m in index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +179,7 @@ def similar_vectors(spark, index: list[dict], least: float, ef: int, recall: flo
                     names=["id", "other", "links", "audited", "recall"],
                 )
 
-    return table.repartition(max(1, len(tasks))).mapInArrow(run, FOUND)
+    return tasks.repartition(max(1, min(n_tasks, 65_536))).mapInArrow(run, FOUND)
 
 
 def near_vectors(vectors: DataFrame, stage: Stage, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, shards: int = 8, shard_rows: int = 65_536, width: int = 16, ef_build: int = 48, ef: int = 64, recall: float = 0.99, slice_rows: int = 2048, audit: int = 64) -> DataFrame:
