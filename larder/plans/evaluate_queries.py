@@ -234,21 +234,20 @@ def _foods(t):
     return rows.withColumn("vec", embed(F.col("description"))).withColumn("text_vec", F.col("vec")), embed
 
 
-@query("""SELECT p_partkey AS doc_id, '- ' || p_name || ': USDA match → "' || p_name || '" — ' || coalesce('Carb: ' || CAST(m AS DECIMAL(10, 1))::VARCHAR || 'g', 'unknown') || chr(10) || '- white bun: no reliable USDA match — use your own knowledge' AS block
-FROM part JOIN (SELECT p_name AS d, min(p_partkey) AS id FROM part GROUP BY 1) ON d = p_name LEFT JOIN (SELECT l_partkey, min(l_quantity) AS m FROM lineitem WHERE l_suppkey = 1 GROUP BY 1) ON l_partkey = id""")
+@query("""WITH f AS (SELECT p_name AS d, min(p_partkey) AS id FROM part GROUP BY 1), q AS (SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^(large|small) ') THEN split_part(p_name, ' ', 2) ELSE p_name END AS term FROM part),
+m AS (SELECT term, min(id) AS id FROM (SELECT DISTINCT term FROM q) JOIN f ON d = term OR (NOT contains(term, ' ') AND split_part(d, ' ', 2) = term) GROUP BY 1), a AS (SELECT l_partkey, min(l_quantity) AS m FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_name = 'Supplier#000000001' GROUP BY 1)
+SELECT p_partkey AS doc_id, '- ' || q.term || ': USDA match → "' || d || '" — ' || coalesce('Carb: ' || CAST(a.m AS DECIMAL(10, 1))::VARCHAR || 'g', 'unknown') || chr(10) || '- bun: no reliable USDA match — use your own knowledge' AS block
+FROM q JOIN m ON q.term = m.term JOIN f ON f.id = m.id LEFT JOIN a ON l_partkey = m.id""")
 def bench_prompts(t):
     from larder.operators import kb
     from larder.plans import assistant
 
     foods, embed = _foods(t)
-    meal = F.concat(F.col("p_size").cast("string"), F.lit(" grams of "), F.col("p_name"), F.lit(", a white bun (5g)"))
-    samples = t.part.select(F.col("p_partkey").alias("doc_id"), meal.alias("meal"))
-    refs = assistant.references(samples.where(~F.col("meal").rlike("large|small")), foods, embed)
-    plain = t.part.select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("pos"), F.col("p_name").alias("term")).where(F.col("p_name").rlike("large|small"))
-    more = plain.join(foods.select(F.col("description").alias("term"), "id"), "term").select("doc_id", "pos", "term", F.lit(True).alias("matched"), F.array(F.struct(F.lit(1).alias("rank"), "id", F.col("term").alias("description"), F.lit(1.0).alias("score"))).alias("candidates"))
-    none = plain.select("doc_id", F.lit(1).alias("pos"), F.lit("white bun").alias("term"), F.lit(False).alias("matched"), F.lit(None).cast(dict(more.dtypes)["candidates"]).alias("candidates"))
-    profiles = kb.nutrient_profiles(t.lineitem.select(F.col("l_partkey").alias("fdc_id"), F.col("l_suppkey").alias("nutrient_id"), F.col("l_quantity").alias("amount")), t.supplier.where("s_suppkey = 1").select(F.col("s_suppkey").alias("nutrient_id"), F.lit("Carbohydrate, by difference").alias("nutrient_name")))
-    return assistant.prompt_blocks(refs.unionByName(more).unionByName(none), profiles, "items")
+    meal = F.concat(F.col("p_size").cast("string"), F.lit(" grams of "), "p_name", F.lit(", a plain bun (5g)"))
+    refs = assistant.references(t.part.select(F.col("p_partkey").alias("doc_id"), meal.alias("meal")), foods, embed)
+    edges = t.lineitem.select(F.col("l_partkey").alias("fdc_id"), F.col("l_suppkey").alias("nutrient_id"), F.col("l_quantity").alias("amount"))
+    carb = t.supplier.where("s_name = 'Supplier#000000001'").select(F.col("s_suppkey").alias("nutrient_id"), F.lit("Carbohydrate, by difference").alias("nutrient_name"))
+    return assistant.prompt_blocks(refs, kb.nutrient_profiles(edges, carb), "items")
 
 
 @query()
@@ -256,8 +255,9 @@ def assistant_offers(t):
     from larder.plans import assistant, recommend_queries
 
     foods, embed = _foods(t)
-    names = ["Protein", "Total lipid (fat)", "Carbohydrate, by difference"]
-    nutrients = t.supplier.where("s_suppkey < 3").select(F.col("s_suppkey").alias("nutrient_id"), F.element_at(F.array(*map(F.lit, names)), (F.col("s_suppkey") + 1).cast("int")).alias("nutrient_name"))
+    names = {"Supplier#000000000": "Protein", "Supplier#000000001": "Total lipid (fat)", "Supplier#000000002": "Carbohydrate, by difference"}
+    called = F.coalesce(*(F.when(F.col("s_name") == k, F.lit(v)) for k, v in names.items()))
+    nutrients = t.supplier.select(F.col("s_suppkey").alias("nutrient_id"), called.alias("nutrient_name")).where("nutrient_name IS NOT NULL")
     edges = t.lineitem.join(foods.select(F.col("id").alias("l_partkey")), "l_partkey", "left_semi").select(F.col("l_partkey").alias("fdc_id"), F.col("l_suppkey").alias("nutrient_id"), F.col("l_quantity").alias("amount"))
     requests = t.customer.select(F.col("c_custkey").alias("qid"), F.col("c_custkey").alias("user_id"), F.concat(F.lit("a cup of red ring and 20 g of "), F.element_at(F.array(F.lit("blue bolt"), F.lit("hot gear")), (F.col("c_nationkey") % 2 + 1).cast("int"))).alias("meal"))
     out = assistant.assistant(requests, foods, edges, nutrients, foods.select("id", "vec"), recommend_queries.log(t), embed, models.default_chat)
