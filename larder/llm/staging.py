@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import math
+import shutil
 import tempfile
+import urllib.parse
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,9 @@ def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        return
+    if path.startswith("file:"):  # the session has ended
+        shutil.rmtree(urllib.parse.urlparse(path).path, ignore_errors=True)
 
 
 class Stage:
