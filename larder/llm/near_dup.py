@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from larder.llm import bloom
 from larder.llm.components import components
-from larder.llm.kernels import SPACE_WORD, U64, Words, chunks, grams, mix, string_views
+from larder.llm.kernels import SPACE_WORD, U64, Words, chunks, grams, mix, string_views, trim
 from larder.llm.staging import Stage
 
 PAD = np.uint32(0xFFFFFFFF)
@@ -131,11 +131,11 @@ def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np
     real = z != PAD
     twin = np.zeros_like(real)
     twin[:, 1:] = (z[:, 1:] == z[:, :-1]) & real[:, 1:]
-    rank = np.cumsum(real & ~twin, axis=1)
+    rank = np.cumsum(real & ~twin, axis=1, dtype=np.int32)
     return (twin & (rank <= k)).sum(axis=1), np.minimum(rank[:, -1], k), twin.sum(axis=1)
 
 
-def _overlaps(sets: list[np.ndarray], least_n: int = 2, width: int = 8192) -> np.ndarray:
+def _overlaps(sets: list[np.ndarray], least_n: int = 2, width: int = 2048) -> np.ndarray:
     """Sizes of all intersections, from products of 0/1 matrices over the values that two sets have at least."""
     m = len(sets)
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -172,8 +172,8 @@ def _sieve(k: int, heads: int, threshold: float):
                 """Marks both of each pair that may link and has this list as its first in common."""
                 close = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
                 i, j = i[close & (reps[i] != reps[j])], j[close & (reps[i] != reps[j])]
-                for at in range(0, len(i), 20_000):
-                    a, b = i[at : at + 20_000], j[at : at + 20_000]
+                for at in range(0, len(i), 8192):
+                    a, b = i[at : at + 8192], j[at : at + 8192]
                     shared, union, in_common = union_estimate(s[a], s[b], k)
                     exact = full[a] & full[b]  # both sketches are the whole sets
                     both = np.where(exact, in_common >= (threshold - 1e-9) * (sizes[a] + sizes[b] - in_common), shared >= (threshold - slack) * union)
@@ -197,14 +197,19 @@ def _sieve(k: int, heads: int, threshold: float):
                 overlap = _overlaps([s[r][s[r] != PAD] for r in range(a, b)])
                 n = np.minimum(sizes[a:b], k).astype(np.float32)
                 exact = full[a:b]
-                # shared values among the union's k smallest are at most the shared values
-                need = np.where(exact[:, None] & exact[None, :], (threshold - 1e-6) * (n[:, None] + n[None, :]) / (1 + threshold), (threshold - slack) * np.maximum(n[:, None], n[None, :]))
-                i, j = np.nonzero(np.triu(overlap >= need - 1e-3, 1))
-                test(i + a, j + a)
+                for at in range(0, m, 256):  # rows of the table of pairs, so that few are held at once
+                    some = slice(at, min(at + 256, m))
+                    # shared values among the union's k smallest are at most the shared values
+                    both, most = n[some, None] + n[None, :], np.maximum(n[some, None], n[None, :])
+                    need = np.where(exact[some, None] & exact[None, :], np.float32((threshold - 1e-6) / (1 + threshold)) * both, np.float32(threshold - slack) * most)
+                    i, j = np.nonzero(overlap[some] >= need - np.float32(1e-3))
+                    i += at
+                    test(i[i < j] + a, j[i < j] + a)
             if small_i:
                 test(np.concatenate(small_i), np.concatenate(small_j))
             if stays.any():
                 yield pa.RecordBatch.from_arrays([pa.array(tiles[stays]), pa.array(reps[stays])], names=["tile", "rep"])
+        trim()
 
     return run
 
@@ -230,8 +235,11 @@ def _verify(percent: int):
                                 if 100 * shared >= percent * (lo + hi - shared):
                                     group[group == group[j]] = group[i]
                 else:
-                    shared = np.rint(_overlaps(own)).astype(np.int64)
-                    linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+                    overlap = _overlaps(own)
+                    linked = np.zeros((m, m), dtype=bool)
+                    for at in range(0, m, 256):
+                        shared = np.rint(overlap[at : at + 256]).astype(np.int64)
+                        linked[at : at + 256] = 100 * shared >= percent * (size[at : at + 256, None] + size[None, :] - shared)
                     group[:] = -1
                     for i in range(m):
                         if group[i] < 0:
@@ -249,6 +257,7 @@ def _verify(percent: int):
             u, v = np.concatenate(us), np.concatenate(vs)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        trim()
 
     return run
 

@@ -175,6 +175,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
             size += len(piece[2])
             if size > 4 << 20:
                 yield flush()
+        enc.rest()
         if held:
             yield flush()
 

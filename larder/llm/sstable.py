@@ -204,6 +204,7 @@ def write_shards(docs: DataFrame, root: str, doc_id: str = "doc_id", text: str =
                 texts = [x or "" for x in column.slice(lo, hi - lo).to_pylist()]
                 for key, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), enc.encode(texts), strict=True):
                     out.add(key_of(key), np.frombuffer(ids + end, "<u4"))
+        enc.rest()
         if out is not None:
             out.finish()
             out.sink.close()

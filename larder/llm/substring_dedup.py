@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm import bloom
-from larder.llm.kernels import SPACE_WORD, U64, Words, chunks, grams, mix, sliding_min, string_views
+from larder.llm.kernels import SPACE_WORD, U64, Words, chunks, grams, mix, sliding_min, string_views, trim
 from larder.llm.staging import Stage, deal_keys, partitions_for
 
 GRAM = 10
@@ -147,6 +147,8 @@ def _parse(blocks: DataFrame, keys: list[int]) -> DataFrame:
         rows = [(int(deal[to[order[a]]]), np.stack([x[order[a:b]] for x in (uid[at], place[at], length, source[at], source_at[at])]).astype("<i8").tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         for i in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 256]], pa.int32()), pa.array([r[1] for r in rows[i : i + 256]], pa.binary())], names=["key", "found"])
+        del uid, place, source, source_at, window, doc, order, rows
+        trim()
 
     return blocks.repartition(n, "key").mapInArrow(run, "key int, found binary")
 

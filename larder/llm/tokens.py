@@ -15,6 +15,8 @@ from array import array
 
 import numpy as np
 
+from larder.llm.kernels import trim
+
 #: The characters that Unicode calls White_Space: what the pre-tokenizer's \s matches.
 _WS = "\t-\r \x85\xa0  -     　"
 _RUN_THEN_SPACE = re.compile(f"[{_WS}] ")
@@ -54,6 +56,13 @@ class _Pieces(dict):
             self.older = dict(self)
             self.clear()
 
+    def rest(self, longest: int = 6) -> None:
+        """Keeps short pieces only, which are the common ones."""
+        few = {p: ids for p, ids in self.items() if len(p) <= longest}
+        self.older = {}
+        self.clear()
+        self.update(few)
+
     def __missing__(self, p: str) -> bytes:
         ids = self.older.get(p)
         if ids is None:
@@ -80,7 +89,7 @@ class _Pieces(dict):
 class Encoder:
     """Encodes texts to bytes of little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, cache_size: int = 500_000):
+    def __init__(self, path: str, cache_size: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -102,6 +111,13 @@ class Encoder:
             ids = self.tails[marks] = self.raw([marks])[0] if marks else b""
         return ids
 
+    def rest(self) -> None:
+        """To be called at a task's end: Python workers live on, and their memory counts in other stages."""
+        self.spaced.rest()
+        self.plain.rest()
+        self.tails = {"": b""}
+        trim()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         self.spaced.turn(self.cache_size)
         self.plain.turn(self.cache_size // 4)
