@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -94,32 +95,97 @@ def padded_range(df: DataFrame, column: str, low: float = 0.01, high: float = 0.
 
 
 _VOWELS = "aeiouy"
+_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+_WHOLE = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+_AFTER_1A = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
 
 
-def _stem(w: str) -> str:
-    """Removes common English endings in three steps: plurals, verb endings, then y."""
-    if len(w) <= 3:
+def _longest_first(*groups: tuple[str, str]) -> list[tuple[str, str]]:
+    """(endings separated by spaces, replacement) to (ending, replacement)."""
+    return sorted(((e, to) for endings, to in groups for e in endings.split()), key=lambda x: -len(x[0]))
+
+
+_STEP_2 = _longest_first(
+    ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"), ("entli", "ent"), ("izer ization", "ize"), ("ational ation ator", "ate"), ("alism aliti alli", "al"),
+    ("fulness fulli", "ful"), ("ousli ousness", "ous"), ("iveness iviti", "ive"), ("biliti bli", "ble"), ("ogi", "og"), ("lessli", "less"), ("li", ""),
+)
+_STEP_3 = _longest_first(("tional", "tion"), ("ational", "ate"), ("alize", "al"), ("icate iciti ical", "ic"), ("ful ness ative", ""))
+_STEP_4 = _longest_first(("al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion", ""))
+
+
+def _after_syllable(w: str, at: int) -> int:
+    """The place after the first consonant that follows a vowel, from `at` on."""
+    while at < len(w) and w[at] not in _VOWELS:
+        at += 1
+    while at < len(w) and w[at] in _VOWELS:
+        at += 1
+    return min(at + 1, len(w))
+
+
+def _ends_short(w: str) -> bool:
+    """Whether the word ends in a short syllable."""
+    if len(w) == 2:
+        return w[0] in _VOWELS and w[1] not in _VOWELS
+    return len(w) > 2 and w[-3] not in _VOWELS and w[-2] in _VOWELS and w[-1] not in _VOWELS + "wxY"
+
+
+def _step_1(w: str, r1: int) -> str:
+    """Step 1b: verb endings."""
+    end = next((e for e in ("eedly", "ingly", "edly", "eed", "ing", "ed") if w.endswith(e)), None)
+    if end is None:
         return w
+    stem = w[: -len(end)]
+    if end in ("eed", "eedly"):
+        return stem + "ee" if len(stem) >= r1 else w
+    if not any(c in _VOWELS for c in stem):
+        return w
+    if stem.endswith(("at", "bl", "iz")):
+        return stem + "e"
+    if stem.endswith(_DOUBLES):
+        return stem[:-1]
+    return stem + "e" if len(stem) == r1 and _ends_short(stem) else stem
+
+
+@lru_cache(maxsize=1 << 16)
+def _stem(w: str) -> str:
+    """The Snowball stemmer for English (Porter's second, as of Snowball 2.0): regions, steps 0 to 5 and exceptions."""
+    if w in _WHOLE or len(w) <= 2:
+        return _WHOLE.get(w, w)
+    w = w.removeprefix("'")
+    # a y at the start or after a vowel is a consonant, written Y
+    for i, c in enumerate(w):
+        if c == "y" and (i == 0 or w[i - 1] in _VOWELS):
+            w = w[:i] + "Y" + w[i + 1 :]
+    r1 = next((len(x) for x in ("gener", "commun", "arsen") if w.startswith(x)), None) or _after_syllable(w, 0)
+    r2 = _after_syllable(w, r1)
+    # 0 and 1a: possessives and plurals
+    w = w.removesuffix(next((e for e in ("'s'", "'s", "'") if w.endswith(e)), ""))
     if w.endswith("sses"):
         w = w[:-2]
-    elif w.endswith("ies"):
+    elif w.endswith(("ied", "ies")):
         w = w[:-2] if len(w) > 4 else w[:-1]
-    elif w.endswith("s") and not w.endswith(("ss", "us")) and any(c in _VOWELS for c in w[:-2]):
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and any(c in _VOWELS for c in w[:-2]):
         w = w[:-1]
-    if w.endswith("eed"):
-        w = w[:-1] if len(w) > 4 else w
-    else:
-        for end in ("ingly", "edly", "ing", "ed"):
-            if w.endswith(end) and any(c in _VOWELS for c in w[: -len(end)]):
-                w = w[: -len(end)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 2 and w[-1] == w[-2] and w[-1] in "bdfgmnprt":
-                    w = w[:-1]
-                break
-    if w.endswith("y") and len(w) > 2 and w[-2] not in _VOWELS:
+    if w in _AFTER_1A:
+        return w
+    w = _step_1(w, r1)
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in _VOWELS:  # 1c
         w = w[:-1] + "i"
-    return w
+    for region, endings in ((r1, _STEP_2), (r1, _STEP_3), (r2, _STEP_4)):
+        end, to = next((x for x in endings if w.endswith(x[0])), ("", ""))
+        stem = w[: len(w) - len(end)]
+        if not end or len(stem) < region:
+            continue
+        allowed = {"ogi": stem.endswith("l"), "li": stem.endswith(tuple("cdeghkmnrt")), "ative": len(stem) >= r2, "ion": stem.endswith(("s", "t"))}
+        if allowed.get(end, True):
+            w = stem + to
+    stem = w[:-1]
+    if w.endswith("e") and (len(stem) >= r2 or (len(stem) >= r1 and not _ends_short(stem))) or w.endswith("ll") and len(stem) >= r2:
+        w = stem
+    return w.replace("Y", "y")
 
 
 def stem_words(words: Column) -> Column:

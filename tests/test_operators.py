@@ -195,6 +195,28 @@ def test_models(spark):
     assert [models._stem(w) for w in ("foods", "running", "berries", "glass", "cooked", "sized")] == ["food", "run", "berri", "glass", "cook", "size"]
 
 
+def test_stems_of_the_published_vocabulary():
+    """Pairs of the sample vocabulary that is published with the Snowball English stemmer, and its exceptions."""
+    pairs = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist
+    consisting consist consists consist consolation consol consolations consol consolatory consolatori console consol consoled consol consoles consol consolidate consolid consolidated consolid
+    consolidating consolid consoling consol consolingly consol consols consol consonant conson consort consort consorted consort consorting consort conspicuous conspicu conspicuously conspicu
+    conspiracy conspiraci conspirator conspir conspirators conspir conspire conspir conspired conspir conspiring conspir constable constabl constables constabl constance constanc constancy constanc
+    constant constant knack knack knackeries knackeri knacks knack knag knag knave knave knaves knave knavish knavish kneaded knead kneading knead knee knee kneel kneel kneeled kneel kneeling kneel
+    kneels kneel knees knee knell knell knelt knelt knew knew knick knick knif knif knife knife knight knight knightly knight knights knight knit knit knits knit knitted knit knitting knit knives knive
+    knob knob knobs knob knock knock knocked knock knocker knocker knockers knocker knocking knock knocks knock knopp knopp knot knot knots knot
+    nutrition nutrit nutritional nutrit quickly quick generate generat generously generous communication communic arsenal arsenal hopping hop hoping hope hoped hope ties tie cries cri gas gas this this
+    gaps gap kiwis kiwi skies sky dying die news news only onli herring herring proceed proceed succeeding succeed sayings say youth youth boyish boyish happy happi by by say say relational relat
+    conditional condit usefulness use apology apolog feed feed agreed agre luxuriated luxuri roll roll controll control dog's dog""".split()
+    wrong = {w: (models._stem(w), s) for w, s in zip(pairs[::2], pairs[1::2], strict=True) if models._stem(w) != s}
+    assert not wrong
+
+
+def test_stemmed_search_finds_derived_forms(spark):
+    docs = frame(spark, "id long, text string", (1, "nutritional value of quick oats"), (2, "plain rice"), (3, "boiled beans"))
+    found = retrieval.bm25(docs, frame(spark, "qid long, text string", (7, "nutrition"), (8, "quickly")), stem=models.stem_words)
+    assert rows(found.select("qid", "id")) == [(7, 1), (8, 1)]
+
+
 def test_registry_and_names(spark):
     stored = frame(spark, "name string, label string, px double, py double", ("detected_coffee_cup_4", "coffee cup", 0.0, 0.0))
     found = frame(spark, "i long, label string, px double, py double", (1, "coffee_cup", 0.3, 0.3), (2, "coffee cup", 0.5, 0.0), (3, "coffee cup", 0.6, 0.1))
