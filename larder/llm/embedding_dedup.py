@@ -3,10 +3,13 @@
 Vectors are dealt to shards by a hash of their id; every shard has a graph, and
 every vector queries every shard (packed: one task per pair of shards and slice
 of queries, so a task holds two shards at most).  A query whose beam is full of
-links is asked again with twice the beam until the beam reaches beyond them or
-holds the whole shard.  Each task audits a sample of its queries against brute
-force and doubles all beams until the links found reach `recall`.  Cosines are
-verified in double precision.  A task returns link counts and the edges of a
+links, or not filled, is asked again with twice the beam until the beam reaches
+beyond them or holds the whole shard.  Each task audits a sample of its queries
+against brute force and doubles all beams until the mean recall of the audited
+queries that have links (to other ids) reaches `recall`.  Where the samples of
+all tasks hold few such queries, they are made larger; and where their pooled
+recall at the first beams is too low, all tasks start with wider ones.  Cosines
+are verified in double precision.  A task returns link counts and the edges of a
 spanning forest, never all its pairs; components unite the forests.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
@@ -88,24 +91,33 @@ class _Shard:
         self.unit = _unit(self.x)
         self.index = Hnsw.from_arrays(self.unit, a)
 
-    def links(self, q: np.ndarray, unit: np.ndarray, ids: np.ndarray, least: float, ef: int, recall: float, audit: int) -> tuple[np.ndarray, np.ndarray, float]:
-        """Pairs (query, node) with cosine >= least, and the recall that the audit measured."""
-        n, near = len(self.ids), least - 1e-5
+    def links(self, q: np.ndarray, unit: np.ndarray, ids: np.ndarray, least: float, ef: int, recall: float, audit: int) -> tuple[np.ndarray, np.ndarray, int, float, float]:
+        """Pairs (query, node) with cosine >= least; how many audited queries have links here, and their mean recall at `ef` and at the end."""
+        n, near, first = len(self.ids), least - 1e-5, None
         sample = np.argsort(mix(ids.view(U64) ^ U64(0x5EED)))[:audit]
-        truth = self._exact(q, unit, sample, least)
+        truth = self._exact(q, unit, ids, sample, least)
+        linked = sample[truth[sample] > 0]
         while True:
             found = self._search(unit, near, ef)
             sure = _cosines(q[found[0]], self.x[found[1]]) >= least if len(found[0]) else np.zeros(0, bool)
             a, b = found[0][sure], found[1][sure]
-            got = int(np.isin(a, sample).sum())
-            measured = got / len(truth) if len(truth) else 1.0
+            got = np.bincount(a[ids[a] != self.ids[b]], minlength=len(ids))
+            measured = float(np.mean(got[linked] / truth[linked])) if len(linked) else 1.0
+            first = measured if first is None else first
             if measured >= recall or ef >= n:
-                return a, b, measured
+                return a, b, len(linked), first, measured
             ef *= 2
 
-    def _exact(self, q: np.ndarray, unit: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
-        a, b = np.nonzero(unit[rows] @ self.unit.T >= least - 1e-5)
-        return a[_cosines(q[rows[a]], self.x[b]) >= least]
+    def _exact(self, q: np.ndarray, unit: np.ndarray, ids: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
+        """True links of each of `rows` with other ids, as counts over all queries."""
+        out = np.zeros(len(ids), dtype=np.int64)
+        for at in range(0, len(rows), 64):
+            part = rows[at : at + 64]
+            a, b = np.nonzero(unit[part] @ self.unit.T >= least - 1e-5)
+            a = part[a]
+            true = (_cosines(q[a], self.x[b]) >= least) & (ids[a] != self.ids[b])
+            out += np.bincount(a[true], minlength=len(ids))
+        return out
 
     def _search(self, unit: np.ndarray, near: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
         n, todo, qs, ns = len(self.ids), np.arange(len(unit)), [], []
@@ -118,11 +130,11 @@ class _Shard:
                     ns.append(b)
                 break
             ids, sims = self.index.search(unit[todo], ef)
-            full = sims[:, -1] >= near
-            a, b = np.nonzero((sims >= near) & ~full[:, None])
+            wider = (sims[:, -1] >= near) | (sims[:, -1] == -np.inf)  # full of links, or not filled: parts of the graph are out of reach
+            a, b = np.nonzero((sims >= near) & ~wider[:, None])
             qs.append(todo[a])
             ns.append(ids[a, b])
-            todo, ef = todo[full], 2 * ef
+            todo, ef = todo[wider], 2 * ef
         return (np.concatenate(qs), np.concatenate(ns)) if qs else (np.zeros(0, np.int64),) * 2
 
 
@@ -144,7 +156,7 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[apart], nodes[label[apart]]
 
 
-FOUND = "id long, other long, links long, audited long, recall double"
+FOUND = "id long, other long, links long, asked long, audited long, first double, recall double"
 
 
 def similar_vectors(spark, index: list[dict], least: float, ef: int, recall: float, slice_rows: int, audit: int) -> DataFrame:
@@ -163,7 +175,7 @@ def similar_vectors(spark, index: list[dict], least: float, ef: int, recall: flo
                 own, to = _Shard(queries), _Shard(target)
                 rows = slice(at, at + slice_rows)
                 ids = own.ids[rows]
-                a, b, measured = to.links(own.x[rows], own.unit[rows], ids, least, ef, recall, audit)
+                a, b, audited, first, measured = to.links(own.x[rows], own.unit[rows], ids, least, ef, recall, audit)
                 u, v = ids[a], to.ids[b]
                 u, v = u[u != v], v[u != v]
                 who, links = np.unique(u, return_counts=True)
@@ -173,15 +185,33 @@ def similar_vectors(spark, index: list[dict], least: float, ef: int, recall: flo
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.concat_arrays([pa.array(who, pa.int64()), pa.array(x, pa.int64()), empty(1)]), pa.concat_arrays([empty(k), pa.array(y, pa.int64()), empty(1)]),
-                        pa.concat_arrays([pa.array(links, pa.int64()), empty(e), empty(1)]), pa.concat_arrays([empty(k + e), pa.array([min(audit, len(ids))], pa.int64())]),
-                        pa.concat_arrays([empty(k + e, pa.float64()), pa.array([measured], pa.float64())]),
+                        pa.concat_arrays([pa.array(links, pa.int64()), empty(e), empty(1)]),
+                        *(pa.concat_arrays([empty(k + e), pa.array([c], pa.int64())]) for c in (min(audit, len(ids)), audited)),
+                        *(pa.concat_arrays([empty(k + e, pa.float64()), pa.array([c], pa.float64())]) for c in (first, measured)),
                     ],
-                    names=["id", "other", "links", "audited", "recall"],
+                    names=["id", "other", "links", "asked", "audited", "first", "recall"],
                 )
 
     return tasks.repartition(max(1, min(n_tasks, 65_536))).mapInArrow(run, FOUND)
 
 
+def _audited(spark, index: list[dict], stage: Stage, least: float, ef: int, recall: float, slice_rows: int, audit: int, enough: int = 64, most: int = 1_000_000) -> DataFrame:
+    """The links, once the audits of all tasks together say that beams of `ef` reach `recall`.
+
+    A task whose sample has no link learns nothing from it, so it relies on the recall of the others' first beams.
+    """
+    largest = max(m["count"] for m in index)
+    while True:
+        name = f"found-{ef}-{audit}"
+        found = stage.table(similar_vectors(spark, index, least, ef, recall, slice_rows, audit), name)
+        r = found.where("recall IS NOT NULL").agg(F.sum("asked").alias("asked"), F.sum("audited").alias("audited"), F.sum(F.col("audited") * F.col("first")).alias("first")).first()
+        few = r["audited"] < enough and r["asked"] < most and audit < min(slice_rows, largest)
+        if ef >= largest or not few and r["first"] >= recall * r["audited"]:
+            return found
+        stage.drop(name)
+        ef, audit = (ef, 4 * audit) if few else (2 * ef, audit)
+
+
 def near_vectors(vectors: DataFrame, stage: Stage, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, shards: int = 8, shard_rows: int = 65_536, width: int = 16, ef_build: int = 48, ef: int = 64, recall: float = 0.99, slice_rows: int = 2048, audit: int = 64) -> DataFrame:
     """A row per vector: vec_id, n_links, component_id, kept.  At least `shards` shards (fewer of tiny tables), each of about `shard_rows`."""
     spark = vectors.sparkSession
@@ -199,7 +229,7 @@ def near_vectors(vectors: DataFrame, stage: Stage, vec_id: str = "vec_id", embed
         several = F.element_at(F.create_map(*(F.lit(v) for d, n in parts.items() for v in (d, n))), F.col("dim"))
         dealt = good.withColumn("shard", F.pmod(F.xxhash64("id"), several).cast("int"))
         index = build_shards(dealt, stage.path("index"), parts, width, ef_build)
-        found = stage.table(similar_vectors(spark, index, least, ef, recall, slice_rows, audit), "found")
+        found = _audited(spark, index, stage, least, ef, recall, slice_rows, audit)
         links = found.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
         joined = components(found.where("other IS NOT NULL").select(F.col("id").alias("u"), F.col("other").alias("v")), stage)
         ids = ids.join(links, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")

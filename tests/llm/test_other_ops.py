@@ -8,8 +8,8 @@ import pytest
 from brute import jump, union_find
 from pyspark.sql import functions as F
 
-from larder.llm import chat_format, hnsw, packing, quality_crf, sharding, sstable, tokens, warc
-from larder.llm.embedding_dedup import near_vectors
+from larder.llm import chat_format, embedding_dedup, hnsw, packing, quality_crf, sharding, sstable, tokens, warc
+from larder.llm.embedding_dedup import _Shard, near_vectors
 from larder.llm.kernels import mix
 from larder.llm.staging import Stage
 
@@ -294,6 +294,55 @@ def test_near_vectors(spark, slice_rows):
     assert near_vectors(df.limit(0), Stage(spark, "t")).count() == 0
 
 
+class Lossy:
+    """An index that finds a large group at once, but other links only in beams of 512; or one whose beams are not filled."""
+
+    def __init__(self, unit, large, unfilled=False):
+        self.unit, self.large, self.unfilled = unit, large, unfilled
+
+    def search(self, q, ef):
+        sims = q @ self.unit.T
+        lost = sims > 0.5
+        lost[:, : self.large] = False
+        sims[lost & (ef < 512)] = -np.inf if self.unfilled else -1
+        ids = np.argsort(-sims, axis=1, kind="stable")[:, :ef]
+        sims = np.take_along_axis(sims, ids, 1)
+        if self.unfilled and ef < 512:
+            sims[:, -1] = -np.inf
+        return ids, sims
+
+
+@pytest.mark.parametrize("unfilled", [False, True])
+def test_audit_counts_queries_not_links(unfilled):
+    """A large group with nearly all links does not hide that those of pairs are lost, and beams that are not filled are not done."""
+    rng = np.random.default_rng(8)
+    large, pairs = (0, 1024) if unfilled else (900, 600)
+    x = rng.normal(size=(large + pairs, 64))
+    x[:large] = x[:1] + 1e-3 * rng.normal(size=(large, 64)) if large else x[:0]
+    x[large + 1 :: 2] = x[large::2] + 1e-3 * rng.normal(size=(pairs // 2, 64))
+    s = _Shard.__new__(_Shard)
+    s.ids, s.x, s.unit = np.arange(len(x)), x, x / np.linalg.norm(x, axis=1, keepdims=True)
+    s.index = Lossy(s.unit, large, unfilled)
+    audit = 0 if unfilled else 64
+    a, b, audited, first, measured = s.links(x, s.unit, s.ids, 0.9, 64, 0.99, audit)
+    assert len(a) == large * large + 2 * pairs and measured == 1
+    assert unfilled or (audited == 64 and first < 0.7)
+
+
+def test_sparse_links_are_audited(spark, monkeypatch):
+    """Tasks whose samples hold no link do not pass unmeasured: the samples grow, and lost links widen all beams."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 64))
+    x[1:40:2] = x[0:40:2] + 1e-3 * rng.normal(size=(20, 64))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = []
+    run = embedding_dedup.similar_vectors
+    monkeypatch.setattr(embedding_dedup, "similar_vectors", lambda *a: asked.append(a[3:]) or run(*a))
+    got = near_vectors(df, Stage(spark, "t"), shards=2, audit=4)
+    assert sum(r["n_links"] for r in got.collect()) == 40
+    assert [a[-1] for a in asked] == sorted({a[-1] for a in asked}) and asked[-1][-1] > 100
+
+
 def test_chat_without_trained_turns(spark):
     df = spark.createDataFrame([("t", 0, None, "user", "x", 0.0, 0)], MESSAGES)
     r = chat_format.format_reply_trees(df, Stage(spark, "t")).first()
