@@ -120,9 +120,9 @@ class _Shard:
         return out
 
     def _search(self, unit: np.ndarray, near: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        n, todo, qs, ns = len(self.ids), np.arange(len(unit)), [], []
+        n, todo, qs, ns, grown = len(self.ids), np.arange(len(unit)), [], [], False
         while len(todo):
-            if 2 * ef >= n:  # the beam would hold most of the shard
+            if ef >= n or (grown and 2 * ef >= n):  # the beam has grown to (most of) the shard
                 for at in range(0, len(todo), 1024):
                     part = todo[at : at + 1024]
                     a, b = np.nonzero(unit[part] @ self.unit.T >= near)
@@ -134,7 +134,7 @@ class _Shard:
             a, b = np.nonzero((sims >= near) & ~wider[:, None])
             qs.append(todo[a])
             ns.append(ids[a, b])
-            todo, ef = todo[wider], 2 * ef
+            todo, ef, grown = todo[wider], 2 * ef, True
         return (np.concatenate(qs), np.concatenate(ns)) if qs else (np.zeros(0, np.int64),) * 2
 
 

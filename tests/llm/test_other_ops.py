@@ -294,6 +294,38 @@ def test_near_vectors(spark, slice_rows):
     assert near_vectors(df.limit(0), Stage(spark, "t")).count() == 0
 
 
+def test_near_vectors_through_graphs(spark):
+    """Shards of about 1,000 vectors with a large group of near copies, exact copies, small groups and pairs."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    x[1:1000] = x[0] + 1e-2 * rng.normal(size=(999, 32))
+    x[1001:1300] = x[1000]
+    for k, (lo, hi) in {5: (1300, 1800), 2: (1800, 2400)}.items():
+        x[lo:hi] = np.repeat(x[lo:hi:k], k, axis=0) + 0.05 * rng.normal(size=(hi - lo, 32))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in near_vectors(df, Stage(spark, "t"), shards=3).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    comp = union_find(set(range(len(x))), list(zip(*(v.tolist() for v in np.nonzero(np.triu(near, 1))), strict=True)))
+    links = np.array([got[i]["n_links"] for i in range(len(x))])
+    true = near.sum(axis=1) - 1
+    assert (links <= true).all() and np.mean(links[true > 0] / true[true > 0]) >= 0.99
+    assert np.mean([got[i]["component_id"] == comp[i] for i in range(len(x))]) >= 0.999
+
+
+@pytest.mark.parametrize("n", [100, 128, 1000])
+def test_every_query_starts_on_the_graph(n):
+    rng = np.random.default_rng(n)
+    s = _Shard.__new__(_Shard)
+    s.ids, s.x = np.arange(n), rng.normal(size=(n, 32))
+    s.unit = s.x / np.linalg.norm(s.x, axis=1, keepdims=True)
+    s.index = hnsw.Hnsw.build(s.unit, mix(s.ids.astype(np.uint64)))
+    asked, search = [], s.index.search
+    s.index.search = lambda q, ef: asked.append(len(q)) or search(q, ef)
+    a, b, *_ = s.links(s.x, s.unit, s.ids, 0.9, 64, 0.99, 64)
+    assert asked[0] == n and a.tolist() == b.tolist() and sorted(a) == list(range(n))
+
+
 class Lossy:
     """An index that finds a large group at once, but other links only in beams of 512; or one whose beams are not filled."""
 
