@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larder.llm import bloom, kernels
 from larder.llm.components import components
 from larder.llm.decontaminate import decontaminate
+from larder.llm.near_dup import _sieve, heads_for, least_shared
 from larder.llm.near_dup import near_duplicates as near
 from larder.llm.staging import Stage, deal_keys
 from larder.llm.substring_dedup import dedup_substrings
@@ -79,6 +80,20 @@ def test_near_duplicates(spark, seed, tile):
     assert near(spark.createDataFrame([], DOCS), Stage(spark, "t")).count() == 0
 
 
+def test_sieve_passes_pairs_by_binomial_tail():
+    """A pair at the threshold may share fewer values than five standard errors below, with a chance above 1e-6."""
+    for threshold, shared, heads in ((0.85, 39, 8), (0.8, 34, 9)):
+        assert heads_for(threshold) == heads and least_shared(64, threshold)[64] == shared
+        assert (np.diff(least_shared(64, threshold)) >= 0).all()
+        for m in (2, 30):  # few documents of a tile are compared in pairs, many by a matrix product
+            for both, passes in ((shared, True), (shared - 1, False)):
+                own = [np.r_[0:both, 2000 : 2064 - both], np.r_[0:both, 1000 : 1064 - both]]  # the second's own values fill the union's sketch
+                own += [np.r_[0, 10_000 * i : 10_000 * i + 63] for i in range(1, m - 1)]
+                batch = pa.RecordBatch.from_arrays([pa.array([1] * m), pa.array([0] * m), pa.array(range(m)), pa.array([200] * m), pa.array([np.sort(x).astype("<u4").tobytes() for x in own])], names=["tile", "v", "rep", "n", "sketch"])
+                got = [r for out in _sieve(64, heads, threshold)(iter([batch])) for r in out.column(1).to_pylist()]
+                assert got == ([0, 1] if passes else [])
+
+
 def test_near_duplicates_of_a_chain(spark):
     """Neighbours of a chain link, its ends do not; all is one component."""
     rng = random.Random(5)
