@@ -12,8 +12,9 @@ is a broadcast of bounded size and one narrow pass over the documents, so any
 benchmark size works.  Documents are not shuffled.
 
 Defined results: null and word-less texts have no words and no hits; null or
-word-less items match nothing; a null item id is dropped (it has no name to
-report); repeated items and rows are harmless; an empty benchmark leaves all
+word-less items match nothing; an item with a null id is dropped, or with
+`unnamed` counts like any other and is a null among the items (as in SQL: one
+of `n_items`, nothing in the joined names); repeated items and rows are harmless; an empty benchmark leaves all
 documents clean.  Extra document columns pass through; the operator's own
 column names replace columns of the same name.
 """
@@ -21,7 +22,7 @@ column names replace columns of the same name.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ def _blocks(prev: np.ndarray, last: np.ndarray) -> np.ndarray:
 class Patterns:
     """Tables of all patterns of one length."""
 
-    def __init__(self, hashes: np.ndarray, texts: list[bytes], items: list[list[str]]):
+    def __init__(self, hashes: np.ndarray, texts: list[bytes], items: list[list[str | None]]):
         self.n, self.length = hashes.shape
         self.hashes, self.texts, self.items = hashes, texts, items
         self.block = min(2, self.length)
@@ -95,16 +96,20 @@ class Patterns:
         return ends[sure], pattern[sure]
 
 
-def pattern_blocks(items: Iterator[tuple[object, str | None]], window: int, block_windows: int) -> Iterator[dict[int, tuple[np.ndarray, list[bytes], list[list[str]]]]]:
+def _in_order(items: Iterable[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is not None, x or ""))
+
+
+def pattern_blocks(items: Iterator[tuple[object, str | None]], window: int, block_windows: int, unnamed: bool = False) -> Iterator[dict[int, tuple[np.ndarray, list[bytes], list[list[str | None]]]]]:
     """Windows of the items by length, in blocks of about `block_windows` windows."""
-    held: dict[int, dict[bytes, tuple[np.ndarray, set[str]]]] = defaultdict(dict)
+    held: dict[int, dict[bytes, tuple[np.ndarray, set[str | None]]]] = defaultdict(dict)
     count = 0
 
     def done() -> dict:
-        return {m: (np.stack([h for h, _ in x.values()]), list(x), [sorted(i) for _, i in x.values()]) for m, x in held.items()}
+        return {m: (np.stack([h for h, _ in x.values()]), list(x), [_in_order(i) for _, i in x.values()]) for m, x in held.items()}
 
     for item, text in items:
-        if item is None or not text:
+        if (item is None and not unnamed) or not text:
             continue
         raw = text.encode()
         w = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64), 0, 1, ALNUM_WORD, True)
@@ -114,7 +119,7 @@ def pattern_blocks(items: Iterator[tuple[object, str | None]], window: int, bloc
         m = min(n, window)
         words = [w.text(i) for i in range(n)]
         for i in range(n - m + 1):
-            held[m].setdefault(b" ".join(words[i : i + m]), (w.hash[i : i + m], set()))[1].add(str(item))
+            held[m].setdefault(b" ".join(words[i : i + m]), (w.hash[i : i + m], set()))[1].add(None if item is None else str(item))
             count += 1
         if count >= block_windows:
             yield done()
@@ -124,7 +129,7 @@ def pattern_blocks(items: Iterator[tuple[object, str | None]], window: int, bloc
         yield done()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_windows: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_windows: int = 500_000, unnamed: bool = False) -> DataFrame:
     """The documents with n_words, hit_spans (array of first and last hit word), n_hit and items (sorted as strings)."""
     spark = docs.sparkSession
     own = ["n_words", "n_hit", "hit_spans", "items"]
@@ -147,7 +152,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_t
                     data, offsets, nulls = string_views(batch.column(at))
                     w = Words(data, offsets, 0, len(nulls), ALNUM_WORD, True)
                     edge = np.zeros(len(w.hash) + 1, dtype=np.int64)
-                    items: dict[int, set[str]] = defaultdict(set)
+                    items: dict[int, set[str | None]] = defaultdict(set)
                     if not first:
                         for i, (s, x) in enumerate(zip(batch.column(len(names) + 2).to_pylist(), batch.column(len(names) + 3).to_pylist(), strict=True)):
                             items[i].update(x)
@@ -168,7 +173,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_t
                         d = np.diff(np.concatenate([[0], own_hits, [0]]))
                         places[i] = [{"first": a, "last": b - 1} for a, b in zip(np.flatnonzero(d == 1).tolist(), np.flatnonzero(d == -1).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [*batch.columns[: len(names)], pa.array(w.n, pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]], pa.int64()), pa.array(places, spans), pa.array([sorted(items.get(i, ())) for i in range(len(nulls))], pa.list_(pa.string()))],
+                        [*batch.columns[: len(names)], pa.array(w.n, pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]], pa.int64()), pa.array(places, spans), pa.array([_in_order(items.get(i, ())) for i in range(len(nulls))], pa.list_(pa.string()))],
                         names=[*names, *own],
                     )
 
@@ -176,14 +181,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_t
 
     rows = benchmark.select(F.col(item_id), F.col(item_text).cast("string")).distinct().toLocalIterator()  # a partition at a time
     out, any_block = docs, False
-    for block in pattern_blocks(((r[0], r[1]) for r in rows), window, block_windows):
+    for block in pattern_blocks(((r[0], r[1]) for r in rows), window, block_windows, unnamed):
         out, any_block = one_pass(out, block), True
     return out if any_block else one_pass(docs, None)
 
 
 def op4_decontaminate(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

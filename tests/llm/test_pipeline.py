@@ -66,3 +66,25 @@ def test_sql(spark, name):
     df = QUERIES[name](spark, DATA)
     assert sorted(df.columns) == sorted(names)
     assert sorted(str(sorted(r.asDict().items())) for r in df.collect()) == want
+
+
+def test_items_without_an_id_contaminate(spark, tmp_path):
+    """As the SQL has it, by the operator's query; and the pipeline drops such documents."""
+    import duckdb
+
+    from larder.llm.queries import ORACLE_SQL, QUERIES
+
+    item = " ".join(f"q{i}" for i in range(14))
+    docs = [(1, f"a b {item} c"), (2, "x y z"), (3, f"{item} named words here"), (4, "named words here"), (5, None)]
+    items = [(None, item), (None, "y z"), (7, "named words here"), (8, item), (None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    df = QUERIES["op4_decontaminate"](spark, str(tmp_path))
+    result = duck.execute(ORACLE_SQL["op4_decontaminate"])
+    assert [d[0] for d in result.description] == df.columns
+    got = sorted(tuple(r) for r in df.collect())
+    assert got == sorted(result.fetchall()) and [r[2] for r in got] == [14, 2, 17, 3, 0]
+    assert [r["doc_id"] for r in pipeline.decontamination(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()] == [5]
