@@ -28,10 +28,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; documents without an id stay."""
-    found = near_duplicates(docs, Stage(spark, "pipeline-near"), percent=SIMILARITY)
-    stays = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """A row of each group of near-duplicates: that with the smallest id (null ids come last).  Every row counts by itself, whatever its id."""
+    stage = Stage(spark, "pipeline-near")
+    rows = stage.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so the numbers hold
+    found = near_duplicates(rows, stage, doc_id="_row", percent=SIMILARITY).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    stays = rows.select("_row", order.alias("o")).join(found, "_row").groupBy("component_id").agg(F.min("o")["_row"].alias("_row"))
+    return rows.join(stays.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

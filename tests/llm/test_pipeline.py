@@ -88,3 +88,12 @@ def test_items_without_an_id_contaminate(spark, tmp_path):
     got = sorted(tuple(r) for r in df.collect())
     assert got == sorted(result.fetchall()) and [r[2] for r in got] == [14, 2, 17, 3, 0]
     assert [r["doc_id"] for r in pipeline.decontamination(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()] == [5]
+
+
+def test_near_dup_keeps_a_row_of_each_group(spark):
+    """Repeated ids, null ids and two texts under one id: a copy of every text stays, and one only."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    docs = [(1, "a"), (2, "b"), (2, "b"), (3, "a"), (3, "c"), (9, "c"), (None, "d"), (None, "d"), (None, "b"), (None, "e")]
+    df = spark.createDataFrame([(i, text[k]) for i, k in docs], "doc_id long, text string").repartition(3)
+    got = sorted((r["text"][0], r["doc_id"]) for r in pipeline.near_dup(spark, df, "").collect())
+    assert got == [("a", 1), ("b", 2), ("c", 3), ("d", None), ("e", None)]
