@@ -12,9 +12,10 @@ whose lengths are powers of two, which need none.
 Tasks pack apart and hold at most `pool` items.  No shuffle, nothing gathered.
 
 Defined results: a null or empty text is its end id alone; a null document id
-is kept as null; repeated rows and ids are packed once per row; an empty table
-gives an empty table.  Input columns other than the two named are not read, so
-clashing names do not matter.
+is kept as null; repeated rows and ids are packed once per row; a very long text
+is encoded part by part and fills whole sequences; an empty table gives an empty
+table.  Input columns other than the two named are not read, so clashing names
+do not matter.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.kernels import chunks, string_views
+from larder.llm.kernels import trim
+from larder.llm.staging import spread
 from larder.llm.tokens import default_path, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_length long"
@@ -160,12 +162,10 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
             return out
 
         for batch in batches:
-            column = batch.column(1)
-            _, offsets, _ = string_views(column)
-            for lo, hi in chunks(offsets):
-                texts = [x or "" for x in column.slice(lo, hi - lo).to_pylist()]
-                for key, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), enc.encode(texts), strict=True):
-                    for piece in packer.add(key, ids + end):
+            for lo, hi, found, cuts in enc.column(batch.column(1)):
+                whole, at = found.astype("<u4", copy=False).tobytes(), (4 * cuts).tolist()
+                for key, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), at[:-1], at[1:], strict=True):
+                    for piece in packer.add(key, whole[a:b] + end):
                         held.append(piece)
                         size += len(piece[2])
                 if size > 4 << 20:
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
             size += len(piece[2])
             if size > 4 << 20:
                 yield flush()
-        enc.rest()
+        trim()
         if held:
             yield flush()
 
@@ -183,5 +183,5 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
 
 
 def op10_pack(spark, sf_dir):
-    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    pieces = pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")

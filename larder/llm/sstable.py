@@ -11,7 +11,8 @@ where they all fit and 32 bits otherwise.
 
 Defined results: a null or empty text is its end id alone; null ids come first;
 rows that repeat an id are all kept, in text order; an empty table makes no
-file and no row.  Other input columns are not read.
+file and no row; a very long text is one entry, in a block of its own.  Other
+input columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.kernels import U64, chunks, mix, string_views
+from larder.llm.kernels import U64, mix, trim
 from larder.llm.staging import Stage, partitions_for
 from larder.llm.tokens import default_path, encoder
 
@@ -186,25 +187,22 @@ MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 def write_shards(docs: DataFrame, root: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 0, shards: int | None = None) -> list[dict]:
     """Encodes and writes all documents in key order; returns the manifest, one entry per shard."""
     path = tokenizer or default_path()
-    end = int(end_id).to_bytes(4, "little")
+    end = np.array([end_id], dtype="<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, shard, out, name = encoder(path), TaskContext.get().partitionId(), None, ""
         for batch in batches:
-            column = batch.column(1)
-            _, offsets, _ = string_views(column)
-            for lo, hi in chunks(offsets):
+            for lo, hi, found, cuts in enc.column(batch.column(1)):
                 if out is None:  # each attempt writes a file of its own; the manifest names the one that counts
                     system, folder = filesystem(root)
                     system.create_dir(folder, recursive=True)
                     name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
                     out = Writer(system.open_output_stream(name, compression=None))
-                texts = [x or "" for x in column.slice(lo, hi - lo).to_pylist()]
-                for key, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), enc.encode(texts), strict=True):
-                    out.add(key_of(key), np.frombuffer(ids + end, "<u4"))
-        enc.rest()
+                for key, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    out.add(key_of(key), np.concatenate([found[a:b], end]))
+        trim()
         if out is not None:
             out.finish()
             out.sink.close()

@@ -17,13 +17,14 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir; in local mode (tests) a temporary one where that is unset."""
     where = spark.conf.get(SETTING, None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that all machines share")
         where = getattr(spark, "_larder_dir", None)
         if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="larder-")
-            spark._larder_dir = where
+            where = spark._larder_dir = "file://" + tempfile.mkdtemp(prefix="larder-")
     return where.rstrip("/")
 
 
@@ -65,6 +66,12 @@ def deal_keys(spark: SparkSession, n: int) -> list[int]:
     return [keys[p] for p in range(n)]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows, dealt anew where the input has fewer splits than the cluster has cores (small or single-block files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of the size of an input, from file sizes."""
     try:

@@ -22,20 +22,53 @@ def encode():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
-def test_encoder_equals_the_library(encode):
+BITS = [
+    "'s", "don't", "é", "ab", "A1", "1", " ", "  ", "\n", "\t", "\u2009", "\x1c", "\x85", "\u3000", "\u2028", "\xa0", "!", "_", "...", "×", "漢", "😀", "\r\n", "abc.", "x,", "<|endoftext|>", "<|endoftext", "\u01c5", "ʼn", "“q”",
+    "\0", "a\0", "'ll", "longwordofmanyletters" * 2, "-", "''", "'S",
+]
+
+
+@pytest.mark.parametrize("entries", [3, 200, 100_000])
+def test_encoder_equals_the_library(encode, entries):
     rng = random.Random(1)
-    bits = ["'s", "don't", "é", "ab", "A1", "1", " ", "  ", "\n", "\t", " ", "\x1c", "\x85", "\u3000", "!", "_", "...", "×", "漢", "😀", "\r\n", "abc.", "x,", "<|endoftext|>", "\u01c5", "ʼn"]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(4000)] + [t or "" for t in TEXTS]
-    e = tokens.Encoder(tokens.default_path(), cache_size=200)
+    texts = ["".join(rng.choice(BITS) for _ in range(rng.randrange(12))) for _ in range(4000)] + [t or "" for t in TEXTS]
+    e = tokens.Encoder(tokens.default_path(), entries=entries)
     for at in range(0, len(texts), 97):
         part = texts[at : at + 97]
         assert [tokens.ids_of(x).tolist() for x in e.encode(part)] == [encode(t) for t in part]
 
 
+def test_encoder_of_long_texts(encode):
+    rng = random.Random(3)
+    long = "".join(rng.choice(BITS) + " word" for _ in range(300_000))
+    for text in (long, "漢字" * 600_000, " " * 3_000_000, "x" * 50_000 + long):
+        e = tokens.Encoder(tokens.default_path())
+        assert tokens.ids_of(e.encode([text])[0]).tolist() == encode(text)
+
+
+def test_encoder_with_specials_as_text():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    t.encode_special_tokens = True
+    e = tokens.Encoder(tokens.default_path(), specials=False)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y"):
+        assert tokens.ids_of(e.encode([text])[0]).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_of_another_kind():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), tokens.Encoder(path)
+    texts = ["Hello  World", "", "a\nb <|endoftext|> é"]
+    assert not e.by_piece and [tokens.ids_of(x).tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_packing(spark, encode):
     docs = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (2, "hello world")]
     rng = random.Random(2)
