@@ -1,9 +1,12 @@
 """Chat formatting of reply trees, in DataFrame functions only.
 
-Root-to-leaf paths come from self-joins that double: every node keeps the path
-back to an ancestor and each round joins it with that ancestor's own, so a tree
-of depth d takes log2(d) rounds.  Branches are ranked by the sum of their
-scores (ties: smaller leaf), and each chosen path becomes one conversation.
+Root-to-leaf paths come from self-joins that double: every node points to an
+ancestor, with the number of nodes and the sum of scores up to it, and each
+round joins it with that ancestor's own pointer, so a tree of depth d takes
+log2(d) rounds of one row per node.  Branches are ranked by the sum of their
+scores (ties: smaller leaf).  The nodes of the chosen ones are found through the
+pointers of all rounds, from the longest: each doubles what is known of a path.
+Each chosen path becomes one conversation.
 
 Template: `<|turn|>` role `<|says|>` text `<|end|>` and a line end per turn.
 Inside roles and texts every backslash, `<` and `[` is written as `\\0`, `\\1`
@@ -15,8 +18,9 @@ assistant's texts.
 Defined results: null texts and roles are empty; a parent that is missing makes
 its child a root; nodes on a cycle of parents have no path from a root and form
 no branch; equal scores go by leaf; nodes that repeat an id within a tree are
-one (the row that sorts first); null trees form one tree; an empty table gives
-an empty table.  Other input columns are not read.
+one (the row that sorts first); null trees form one tree; a very long
+text or chain of turns is one conversation all the same; an empty table gives an
+empty table.  Other input columns are not read.
 """
 
 from __future__ import annotations
@@ -42,25 +46,43 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def branch_paths(nodes: DataFrame, stage: Stage) -> DataFrame:
-    """nodes: tree, node, parent, score.  A row per root-to-leaf path: tree, leaf, path (array of nodes), score, rank."""
+def _same(a: str, b: str, c: str, d: str) -> Column:
+    """Equal trees (null is one of them) and equal nodes."""
+    return F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
+
+
+def branches(nodes: DataFrame, stage: Stage) -> tuple[DataFrame, list[DataFrame]]:
+    """nodes: tree, node, parent, score.  The root-to-leaf paths as tree, leaf, nodes (their number), score and rank; and pointers.
+
+    The k-th table of pointers has tree, node and the ancestor 2^k steps up, for the nodes that have one.
+    """
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n")).distinct()
-    start = nodes.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
-    start = start.select("tree", "node", F.col("n").alias("up"), F.array("node").alias("path"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    now, k = stage.table(start, "paths-0"), 0
+    start = nodes.join(known, _same("tree", "t", "parent", "n"), "left")
+    start = start.select("tree", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("nodes"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    now, pointers = stage.table(start, "up-0"), []
     most = now.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while k <= most.bit_length() and now.where("up IS NOT NULL").limit(1).count():
+    while len(pointers) <= most.bit_length() and now.where("up IS NOT NULL").limit(1).count():
+        pointers.append(now.where("up IS NOT NULL").select("tree", "node", "up"))
         a, b = now.where("up IS NOT NULL").alias("a"), now.alias("b")  # finished paths are not joined again
-        grown = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
-        grown = grown.select("a.tree", "a.node", "b.up", F.concat("b.path", "a.path").alias("path"), (F.col("a.score") + F.col("b.score")).alias("score"))
-        both = now.where("up IS NULL").unionByName(grown)
-        k += 1
-        now = stage.table(both, f"paths-{k}")
-        stage.drop(f"paths-{k - 1}")
+        grown = a.join(b, _same("a.tree", "b.tree", "a.up", "b.node"))
+        grown = grown.select("a.tree", "a.node", "b.up", (F.col("a.nodes") + F.col("b.nodes")).alias("nodes"), (F.col("a.score") + F.col("b.score")).alias("score"))
+        now = stage.table(now.where("up IS NULL").unionByName(grown), f"up-{len(pointers)}")
     parents = nodes.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
-    leaves = now.where("up IS NULL").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
+    leaves = now.where("up IS NULL").join(parents, _same("tree", "t", "node", "p"), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
-    return leaves.select("tree", F.col("node").alias("leaf"), "path", "score", rank.alias("rank"))
+    return leaves.select("tree", F.col("node").alias("leaf"), "nodes", "score", rank.alias("rank")), pointers
+
+
+def path_nodes(chosen: DataFrame, pointers: list[DataFrame], stage: Stage) -> DataFrame:
+    """chosen: tree, leaf, nodes, more columns.  A row per node of each path, with its place from 0: every ancestor comes once."""
+    more = [c for c in chosen.columns if c not in ("tree", "leaf", "nodes")]
+    steps = stage.table(chosen.select("tree", "leaf", F.col("leaf").alias("node"), (F.col("nodes") - 1).alias("pos"), *more), "path-all")
+    for k in range(len(pointers) - 1, -1, -1):
+        up = pointers[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        above = steps.join(up, _same("tree", "t", "node", "n")).select("tree", "leaf", F.col("up").alias("node"), (F.col("pos") - (1 << k)).alias("pos"), *more)
+        steps = stage.table(steps.unionByName(above), f"path-{k}")
+        stage.drop(f"path-{k + 1}" if k + 1 < len(pointers) else "path-all")
+    return steps
 
 
 def format_reply_trees(messages: DataFrame, stage: Stage, best: int | None = 1, trained_role: str = "assistant") -> DataFrame:
@@ -71,15 +93,15 @@ def format_reply_trees(messages: DataFrame, stage: Stage, best: int | None = 1,
     first = Window.partitionBy("tree", "node").orderBy("parent", "role", "text")
     messages = messages.withColumn("copy", F.row_number().over(first)).where("copy = 1 AND node IS NOT NULL").drop("copy")
     messages = stage.table(messages.select("tree", "node", "parent", "role", "text", F.col("score").cast("double").alias("score")), "messages")
-    paths = branch_paths(messages.select("tree", "node", "parent", "score"), stage)
+    paths, pointers = branches(messages.select("tree", "node", "parent", "score"), stage)
     if best is not None:
         paths = paths.where(F.col("rank") <= best)
-    steps = paths.select("tree", "leaf", "rank", F.col("score").alias("branch_score"), F.posexplode("path").alias("pos", "node"))
+    steps = path_nodes(paths.withColumnRenamed("score", "branch_score"), pointers, stage)
     text = escape(F.coalesce("text", F.lit("")))
     role = escape(F.coalesce("role", F.lit("")))
     head = F.concat(F.lit(TURN), role, F.lit(SAYS))
     m = messages.select(F.col("tree").alias("mtree"), F.col("node").alias("mnode"), head.alias("head"), text.alias("body"), (F.col("role") == trained_role).alias("trained"))
-    rows = steps.join(m, F.col("tree").eqNullSafe(F.col("mtree")) & (F.col("node") == F.col("mnode")))
+    rows = steps.join(m, _same("tree", "mtree", "node", "mnode"))
     size = F.length("head") + F.length("body") + len(END)
     before = F.sum(size).over(Window.partitionBy("tree", "leaf").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("start", F.coalesce(before, F.lit(0)) + F.length("head"))
@@ -106,6 +128,7 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 
 
 def op2_chat_format(spark, sf_dir):
+    """All conversations and conversation -1; rows of the table that have the id -1 themselves belong to it as well."""
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -1L AS conv_id, stack(2, 0L, 'user', '</s>[INST] ok [/INST]', 1L, 'assistant', '</s>[INST] ok [/INST]') AS (turn, role, text)")
     node = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
