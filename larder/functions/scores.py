@@ -27,14 +27,15 @@ def closeness(values: Mapping[str, tuple[Column, Column]]) -> Column:
 
 
 def within(value: Column, target: Column, tolerance: float) -> Column:
-    """Within target x (1 -+ tolerance); targets not above 0 and unknown values pass."""
+    """Within target x (1 -+ tolerance).  Targets not above 0 pass; an unknown value counts as 0, one that is no number passes."""
     t = F.coalesce(target.cast("double"), F.lit(0.0))
-    inside = (value >= t * (1 - tolerance)) & (value <= t * (1 + tolerance))
-    return (t <= 0) | value.isNull() | F.isnan(value.cast("double")) | inside
+    v = F.coalesce(value.cast("double"), F.lit(0.0))
+    return (t <= 0) | F.isnan(v) | ((v >= t * (1 - tolerance)) & (v <= t * (1 + tolerance)))
 
 
-def range_penalty(violated: list[Column], each: float = 0.5) -> Column:
-    return sum((F.coalesce(v, F.lit(True)).cast("int") for v in violated), F.lit(0)) * F.lit(each)
+def penalty(violations: list[Column], each: float = 0.5) -> Column:
+    """`each` for every violation; the columns are numbers of violations."""
+    return sum((F.coalesce(v, F.lit(0)) for v in violations), F.lit(0)) * F.lit(each)
 
 
 def macros_from_energy(kcal: Column) -> Column:

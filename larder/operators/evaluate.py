@@ -19,8 +19,11 @@ def set_metrics(truth: Column, predicted: Column) -> Column:
     return F.struct(F.when(none, right).otherwise(precision).alias("precision"), F.when(none, 1.0).otherwise(recall).alias("recall"), F.when(none, right).otherwise(f1).alias("f1"))
 
 
-def ranking_metrics(ranked: DataFrame, truth: DataFrame) -> DataFrame:
-    """Average precision and recall per query: ranked (qid, item, rank), truth (qid, item).  Repeated predictions count again."""
+def ranking_metrics(ranked: DataFrame, truth: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Average precision and recall per query: ranked (qid, item, rank), truth (qid, item).  Repeated predictions count again.
+
+    `queries` (qid) lists all of them: one with neither truth nor predictions scores 1, which no other table can show.
+    """
     relevant = truth.select("qid", "item").distinct()
     size = relevant.groupBy("qid").agg(F.count("*").alias("n_truth"))
     rows = ranked.join(relevant.withColumn("rel", F.lit(1)), ["qid", "item"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
@@ -28,9 +31,12 @@ def ranking_metrics(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     rows = rows.withColumn("hits", F.sum("rel").over(so_far)).withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
     sums = rows.groupBy("qid").agg(F.sum(F.col("rel") * F.col("hits") / F.col("k")).alias("p"), F.sum(F.col("rel") * F.col("hits")).cast("double").alias("r"), F.count("*").alias("n_pred"))
     both = size.join(sums, "qid", "full_outer")
+    if queries is not None:
+        both = queries.select("qid").distinct().join(both, "qid", "left")
     n = F.col("n_truth")
-    ap = F.when(n.isNull(), 0.0).otherwise(F.coalesce(F.col("p") / n, F.lit(0.0)))
-    ar = F.when(n.isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("r") / n, F.least(n, F.col("n_pred"))), F.lit(0.0)))
+    right = F.when(F.col("n_pred").isNull(), 1.0).otherwise(0.0)  # with nothing to find, only an empty prediction is right
+    ap = F.when(n.isNull(), right).otherwise(F.coalesce(F.col("p") / n, F.lit(0.0)))
+    ar = F.when(n.isNull(), right).otherwise(F.coalesce(F.try_divide(F.col("r") / n, F.least(n, F.col("n_pred"))), F.lit(0.0)))
     return both.select("qid", ap.alias("ap"), ar.alias("ar"), F.coalesce(n, F.lit(0)).alias("n_truth"), F.coalesce("n_pred", F.lit(0)).alias("n_pred"))
 
 
@@ -70,6 +76,24 @@ def compare_errors(a: DataFrame, b: DataFrame, band: float = 0.5) -> DataFrame:
     return both.withColumn("delta", delta).withColumn("outcome", F.when(delta < -band, "better").when(delta > band, "worse").otherwise("same"))
 
 
+def matched_rollup(samples: DataFrame, band: float = 0.5) -> DataFrame:
+    """By the number of matched references: samples, mean difference of error, helped, hurt and mean number of references.
+
+    samples: matched, unmatched, mae_a, mae_b.  Samples without a reference are left out.
+    """
+    delta = F.col("mae_b") - F.col("mae_a")
+    rows = samples.withColumns({"delta": delta, "items": F.col("matched") + F.col("unmatched")}).where("items > 0")
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return rows.groupBy("matched").agg(
+        F.count("*").alias("n"), F.avg("delta").alias("delta"), count(F.col("delta") < -band).alias("helped"), count(F.col("delta") > band).alias("hurt"), F.avg("items").alias("items"),
+    )
+
+
+def extremes(rows: DataFrame, by: str, key: str, n: int, largest: bool = True) -> DataFrame:
+    """The n rows with the largest (or smallest) value; ties by key."""
+    return rows.orderBy(F.desc_nulls_last(by) if largest else F.asc_nulls_last(by), key).limit(n)
+
+
 def failure_tags(refs: Column, rag: Column, base: Column) -> Column:
     """Reasons of a failure from reference structs (food_term, matched, description) and two predictions; later rules only where none applied."""
     none = F.array().cast("array<string>")

@@ -88,15 +88,23 @@ def diverse_pick(rows: DataFrame, combo: list[str], key: str, n: int) -> DataFra
     return rows.withColumn("turn", turn).orderBy("turn", h, key).limit(n)
 
 
-def attention_layer(nodes: DataFrame, edges: DataFrame, w_src: list[list[float]], w_dst: list[list[float]], a: list[float], slope: float = 0.2) -> DataFrame:
-    """One head of graph attention by joins: sum over neighbours of softmax(a . leaky(Ws x_src + Wd x_dst)) Ws x_src.
+def _product(matrix: list[list[float]], vec: Column) -> Column:
+    """A matrix of literals times a vector."""
+    row = lambda r: F.aggregate(F.zip_with(F.array(*map(F.lit, r)), vec, lambda x, y: x * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.array(*map(row, matrix))
 
-    nodes: id, vec.  edges: src, dst.  The weights are small literals; each node is transformed once, before the joins.
+
+def attention_layer(nodes: DataFrame, edges: DataFrame, w_src: list[list[float]], w_dst: list[list[float]], a: list[float], slope: float = 0.2, w_edge: list[float] | None = None) -> DataFrame:
+    """One head of graph attention by joins: sum over neighbours of softmax(a . leaky(Ws x_src + Wd x_dst + We attr)) Ws x_src.
+
+    nodes: id, vec.  edges: src, dst (and attr).  The weights are small literals; each node is transformed once, before the joins.
     """
-    product = lambda m, v: F.array(*(F.aggregate(F.zip_with(F.array(*map(F.lit, row)), v, lambda x, y: x * y.cast("double")), F.lit(0.0), lambda s, x: s + x) for row in m))
-    h = nodes.select("id", product(w_src, F.col("vec")).alias("hs"), product(w_dst, F.col("vec")).alias("hd"))
+    h = nodes.select("id", _product(w_src, F.col("vec")).alias("hs"), _product(w_dst, F.col("vec")).alias("hd"))
     rows = edges.join(h.select(F.col("id").alias("src"), "hs"), "src").join(h.select(F.col("id").alias("dst"), "hd"), "dst")
-    leaky = F.zip_with("hs", "hd", lambda x, y: F.when(x + y > 0, x + y).otherwise(slope * (x + y)))
+    both = F.zip_with("hs", "hd", lambda x, y: x + y)
+    if w_edge is not None:
+        both = F.zip_with(both, F.array(*map(F.lit, w_edge)), lambda x, w: x + w * F.col("attr"))
+    leaky = F.transform(both, lambda x: F.when(x > 0, x).otherwise(slope * x))
     score = F.aggregate(F.zip_with(leaky, F.array(*map(F.lit, a)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     rows = rows.withColumn("e", score)
     top = rows.groupBy("dst").agg(F.max("e").alias("top"))
@@ -105,6 +113,43 @@ def attention_layer(nodes: DataFrame, edges: DataFrame, w_src: list[list[float]]
     return sums.groupBy("dst").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v")).select(F.col("dst").alias("id"), F.col("v.x").alias("vec"))
 
 
+def layer_norm(vec: Column, scale: list[float], shift: list[float], eps: float = 1e-5) -> Column:
+    """To mean 0 and variance 1, then scaled and shifted by position."""
+    n = float(len(scale))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    mean = total(vec) / n
+    var = total(F.transform(vec, lambda x: x * x)) / n - mean * mean
+    unit = F.transform(vec, lambda x: (x - mean) / F.sqrt(F.greatest(var, F.lit(0.0)) + eps))
+    scaled = F.zip_with(unit, F.array(*map(F.lit, scale)), lambda x, g: x * g)
+    return F.zip_with(scaled, F.array(*map(F.lit, shift)), lambda x, b: x + b)
+
+
+def attention_block(nodes: DataFrame, edges: DataFrame, block: dict) -> DataFrame:
+    """Heads side by side, a bias, ELU, a residual projection and layer normalisation; nodes without edges keep the residual.
+
+    block: heads (list of keyword arguments of attention_layer), bias, residual (matrix), scale and shift.
+    """
+    out = nodes.select("id", "vec")
+    for i, head in enumerate(block["heads"]):
+        own = attention_layer(nodes, edges, **head).withColumnRenamed("vec", f"head{i}")
+        empty = F.array_repeat(F.lit(0.0), len(head["w_src"]))
+        out = out.join(own, "id", "left").withColumn(f"head{i}", F.coalesce(f"head{i}", empty))
+    both = F.concat(*(F.col(f"head{i}") for i in range(len(block["heads"]))))
+    biased = F.zip_with(both, F.array(*map(F.lit, block["bias"])), lambda x, b: x + b)
+    elu = F.transform(biased, lambda x: F.when(x > 0, x).otherwise(F.exp(x) - 1))
+    summed = F.zip_with(elu, _product(block["residual"], F.col("vec")), lambda x, y: x + y)
+    return out.select("id", layer_norm(summed, block["scale"], block["shift"]).alias("vec"))
+
+
+def attention_encoder(nodes: DataFrame, edges: DataFrame, blocks: list[dict]) -> DataFrame:
+    """Blocks of graph attention one after the other, as inference with given weights; each block's result is written before the next."""
+    for i, block in enumerate(blocks):
+        nodes = attention_block(nodes, edges, block)
+        if i + 1 < len(blocks):
+            nodes = checkpointed(nodes)
+    return nodes
+
+
 def link_scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Sigmoid of the dot product of both ends."""
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -113,7 +158,12 @@ def link_scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def area_under_curve(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """ROC area from pair counts of distinct scores: a row per distinct score is all that is ordered."""
+    """ROC area from counts by distinct score.  Scores are ordered in range partitions and their negatives added up, so no task sorts them all."""
     by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("below", below).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)), F.sum("pos") * F.sum("neg")).alias("auc"))
+    by = checkpointed(by.repartitionByRange("s").withColumn("p", F.spark_partition_id()))  # partition numbers hold from here on
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = by.groupBy("p").agg(F.sum("neg").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row per partition
+    inner = F.sum("neg").over(Window.partitionBy("p").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    below = by.withColumn("inner", F.coalesce(inner, F.lit(0))).join(F.broadcast(bases), "p").withColumn("below", F.col("base") + F.col("inner"))
+    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
+    return below.agg(F.try_divide(won, F.sum("pos") * F.sum("neg")).alias("auc"))

@@ -89,8 +89,14 @@ def standardise(df: DataFrame, column: str, train: Column) -> DataFrame:
     return df.join(F.broadcast(s)).withColumn(f"{column}_z", (F.col(column) - F.col("m")) / F.col("s")).drop("m", "s")
 
 
-def padded_range(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, pad: float = 0.05) -> DataFrame:
-    q = df.agg(F.percentile(column, low).alias("lo"), F.percentile(column, high).alias("hi"))
+def destandardise(df: DataFrame, column: str, mean: Column, deviation: Column) -> DataFrame:
+    """Back from z-scores."""
+    return df.withColumn(column, F.col(column) * deviation + mean)
+
+
+def padded_range(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, pad: float = 0.05, accuracy: int = 1_000_000) -> DataFrame:
+    """Low and high quantile, moved apart by a share of their distance.  Quantiles are values of the column, right to 1 / accuracy in rank, in bounded memory."""
+    q = df.agg(F.percentile_approx(column, low, accuracy).alias("lo"), F.percentile_approx(column, high, accuracy).alias("hi"))
     return q.select((F.col("lo") - pad * (F.col("hi") - F.col("lo"))).alias("lo"), (F.col("hi") + pad * (F.col("hi") - F.col("lo"))).alias("hi"))
 
 

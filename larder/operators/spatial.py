@@ -88,13 +88,32 @@ def stable_labels(detections: DataFrame, frames: DataFrame, n: int = 8) -> DataF
     return reached.select("stream_id", "label", "r.frame_seq", F.col("r.streak").cast("long").alias("streak"), *((F.col(f"r.s_{c}") / F.col("r.streak")).alias(c) for c in ("cam_x", "cam_y", "cam_z")))
 
 
-def latest_pair(events: DataFrame, by: str, ts: str, kind: str, left: str, right: str, value: str) -> DataFrame:
-    """At each event of kind `left` the last value of kind `right` so far."""
-    w = Window.partitionBy(by).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+def latest_pair(events: DataFrame, by: str, ts: str, kind: str, left: str, right: str, value: str, tie: str) -> DataFrame:
+    """At each event of kind `left` the last value of kind `right` so far; events of one time go by `tie`."""
+    w = Window.partitionBy(by).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col(kind) == right, F.col(value)), ignorenulls=True).over(w)
     return events.withColumn("paired", last).where(F.col(kind) == left)
 
 
+def scan_means(found: DataFrame, by: str = "navigation_id") -> DataFrame:
+    """What was seen while moving: per navigation and label the number of detections and their mean position.
+
+    Works on a stream too (update or complete mode): counts and sums are all the state there is.
+    """
+    return found.groupBy(by, label_key(F.col("label")).alias("label")).agg(F.count("*").alias("hits"), F.avg("px").alias("px"), F.avg("py").alias("py"))
+
+
+def objects_named(stored: DataFrame, label: str) -> DataFrame:
+    """All stored objects of a label."""
+    return stored.where(label_key(F.col("label")) == label_key(F.lit(label)))
+
+
+def object_named(stored: DataFrame, name: str) -> DataFrame:
+    """One stored object by name, else the first of that label by name; no row if there is neither."""
+    exact = (F.col("name") != name).cast("int")
+    return stored.where((F.col("name") == name) | (label_key(F.col("label")) == label_key(F.lit(name)))).orderBy(exact, "name").limit(1)
+
+
 def resolve_names(asked: DataFrame, landmarks: DataFrame, stored: DataFrame) -> DataFrame:
     """Places by name, whatever its case: landmarks first, then stored objects."""
     a = landmarks.select(F.lower("name").alias("k"), F.struct("x", "y").alias("landmark"))

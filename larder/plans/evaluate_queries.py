@@ -18,13 +18,29 @@ def _ranked(t):
     return t.orders.select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("item"), rank.alias("rank"))
 
 
-@query("""WITH r AS (SELECT o_custkey AS qid, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS rel, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders),
+# Queries: customers, those without an order included.  Ranked: their orders by price; relevant: finished orders.  A query
+# with nothing to find is right (1) only if it found nothing.
+_AP = """WITH r AS (SELECT o_custkey AS qid, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS rel, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders WHERE o_custkey % 3 <> 0),
 h AS (SELECT *, sum(rel) OVER (PARTITION BY qid ORDER BY k) AS hits FROM r),
-a AS (SELECT qid, sum(rel) AS n, count(*) AS p, sum(rel * hits / k::DOUBLE) AS sp, sum(rel * hits)::DOUBLE AS sr FROM h GROUP BY 1)
-SELECT qid, round(CASE WHEN n = 0 THEN 0 ELSE sp / n END, 6) AS ap, round(CASE WHEN n = 0 THEN 0 ELSE sr / n / least(n, p) END, 6) AS ar, CAST(n AS BIGINT) AS n_truth, p AS n_pred FROM a""")
+a AS (SELECT qid, sum(rel) AS n, count(*) AS p, sum(rel * hits / k::DOUBLE) AS sp, sum(rel * hits)::DOUBLE AS sr FROM h GROUP BY 1),
+m AS (SELECT c_custkey AS qid, CASE WHEN p IS NULL THEN 1.0::DOUBLE WHEN n = 0 THEN 0 ELSE sp / n END AS ap, CASE WHEN p IS NULL THEN 1.0::DOUBLE WHEN n = 0 THEN 0 ELSE sr / n / least(n, p) END AS ar, CAST(coalesce(n, 0) AS BIGINT) AS n_truth, coalesce(p, 0) AS n_pred
+  FROM customer LEFT JOIN a ON qid = c_custkey)"""
+
+
+def _ranking(t):
+    own = t.orders.where("o_custkey % 3 <> 0")
+    truth = own.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("item"))
+    return ev.ranking_metrics(_ranked(t).where("qid % 3 <> 0"), truth, t.customer.select(F.col("c_custkey").alias("qid")))
+
+
+@query(_AP + " SELECT qid, round(ap, 6) AS ap, round(ar, 6) AS ar, n_truth, n_pred FROM m")
 def ap_ar_per_query(t):
-    truth = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("item"))
-    return ev.ranking_metrics(_ranked(t), truth).withColumns({"ap": F.round("ap", 6), "ar": F.round("ar", 6)})
+    return _ranking(t).withColumns({"ap": F.round("ap", 6), "ar": F.round("ar", 6)})
+
+
+@query(_AP + " SELECT round(100 * avg(ap), 6) AS ap, round(100 * avg(ar), 6) AS ar, count(*) AS n FROM m")
+def mean_ap_ar(t):
+    return ev.macro_average(_ranking(t), ["ap", "ar"])
 
 
 @query("""SELECT qid, round(CASE WHEN len(p) = 0 THEN 0 ELSE h / len(p)::DOUBLE END, 6) AS precision, round(CASE WHEN len(x) = 0 THEN 1 ELSE h / len(x)::DOUBLE END, 6) AS recall FROM (
@@ -69,6 +85,50 @@ def ab_delta(t):
     return ev.compare_errors(a, b).groupBy("outcome").agg(F.count("*").alias("n"), F.round(F.avg("delta"), 6).alias("delta"))
 
 
+_SAMPLES = """SELECT l_orderkey AS id, count(*) FILTER (WHERE l_returnflag = 'R') AS matched, count(*) FILTER (WHERE l_returnflag = 'A') AS unmatched, round(sum(l_tax) * 100, 3) AS mae_a, round(sum(l_discount) * 100, 3) AS mae_b FROM lineitem GROUP BY 1"""
+
+
+def _samples(t):
+    count = lambda f: F.count(F.when(F.col("l_returnflag") == f, 1))
+    error = lambda c: F.round(F.sum(c) * 100, 3)
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(count("R").alias("matched"), count("A").alias("unmatched"), error("l_tax").alias("mae_a"), error("l_discount").alias("mae_b"))
+
+
+@query(f"""SELECT matched, count(*) AS n, round(avg(mae_b - mae_a), 6) AS delta, count(*) FILTER (WHERE mae_b - mae_a < -0.5) AS helped, count(*) FILTER (WHERE mae_b - mae_a > 0.5) AS hurt, round(avg(matched + unmatched), 6) AS items
+FROM ({_SAMPLES}) WHERE matched + unmatched > 0 GROUP BY 1""")
+def matched_rollup(t):
+    return ev.matched_rollup(_samples(t)).withColumns({"delta": F.round("delta", 6), "items": F.round("items", 6)})
+
+
+@query(f"SELECT id, mae_b FROM ({_SAMPLES}) ORDER BY mae_b DESC, id LIMIT 15")
+def worst_samples(t):
+    """The report of the largest errors: a list of 15."""
+    return ev.extremes(_samples(t), "mae_b", "id", 15).select("id", "mae_b")
+
+
+@query("""SELECT seed, score, max(score) OVER (ORDER BY seed) AS best_so_far, CAST(row_number() OVER (ORDER BY score DESC, seed) AS INTEGER) AS place FROM (SELECT l_suppkey AS seed, round(avg(l_quantity), 6) AS score FROM lineitem GROUP BY 1)""")
+def seed_leaderboard(t):
+    runs = t.lineitem.groupBy(F.col("l_suppkey").alias("seed")).agg(F.round(F.avg("l_quantity"), 6).alias("score"))
+    return ev.leaderboard(runs, "score", "seed").select("seed", "score", "best_so_far", "place")
+
+
+@query("SELECT round(avg(l_discount / nullif(l_tax, 0)), 6) AS ratio FROM lineitem")
+def mean_ratio(t):
+    return ev.mean_of_ratios(t.lineitem, "l_discount", "l_tax").select(F.round("ratio", 6).alias("ratio"))
+
+
+@query("""SELECT split_part(tag, ':', 1) AS tag, count(*) AS count, list_sort(list(p_partkey))[1:3]::VARCHAR AS examples FROM (SELECT p_partkey, unnest([p_type || ':' || p_name, p_brand]) AS tag FROM part) GROUP BY 1""")
+def tag_examples(t):
+    rows = t.part.select("p_partkey", F.array(F.concat("p_type", F.lit(":"), "p_name"), "p_brand").alias("tags"))
+    out = ev.tag_counts(rows, "tags", "p_partkey")
+    return out.withColumn("examples", F.concat(F.lit("["), F.array_join(F.col("examples").cast("array<string>"), ", "), F.lit("]")))
+
+
+@query("""SELECT round(lo - 0.05 * (hi - lo), 6) AS lo, round(hi + 0.05 * (hi - lo), 6) AS hi FROM (SELECT quantile_disc(l_extendedprice, 0.01) AS lo, quantile_disc(l_extendedprice, 0.99) AS hi FROM lineitem)""")
+def padded_quantiles(t):
+    return models.padded_range(t.lineitem, "l_extendedprice").select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
 def _episodes(t):
     return t.orders.select(F.col("o_orderpriority").alias("subset"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("task_success"), (F.col("o_totalprice") / 1000).alias("episode_elapsed_seconds"), (F.col("o_orderkey") % 31).cast("double").alias("num_steps"), (F.col("o_custkey") % 6).cast("double").alias("planner_output_error"), (F.col("o_custkey") % 2).cast("double").alias("empty_plan"))
 
@@ -146,7 +206,11 @@ def adjacency_sets(t):
     return graph.adjacency(t.lineitem.select(F.col("l_partkey").alias("food"), F.col("l_suppkey").cast("string").alias("n")), "food", "n").withColumn("neighbours", F.array_join("neighbours", ","))
 
 
-@query()
+_DRAW = "CAST('0x' || substr(md5('{side}-82-' || k), 1, 8) AS BIGINT) % (SELECT count(*) FROM {table})"
+
+
+@query(f"""WITH k AS (SELECT unnest(range(766)) AS k), d AS (SELECT DISTINCT {_DRAW.format(side="a", table="part")} AS a, {_DRAW.format(side="b", table="supplier")} AS b FROM k)
+SELECT a, b FROM d WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = a AND l_suppkey = b) ORDER BY md5(concat_ws('-', a, b)), a, b LIMIT 500""")
 def negative_edges(t):
     pairs = t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
     left = t.part.select(F.col("p_partkey").alias("i"), F.col("p_partkey").alias("id"))
@@ -167,7 +231,25 @@ def thoughts_and_tools(t):
     return t.conversations.select("conv_id", "turn", F.regexp_replace(strip_thoughts(reply), r"(?s)<tool_call>.*$", "").alias("text"), F.size(tool_calls(reply)).alias("calls"), repair_json(F.lit('x {"a": {"b": 1}')).isNotNull().alias("ok"))
 
 
-@query("SELECT l_orderkey AS id, l_linenumber AS line, CASE l_linenumber % 4 WHEN 0 THEN l_quantity WHEN 1 THEN (l_quantity + l_quantity + 2) / 2 WHEN 2 THEN l_quantity ELSE -1 END AS pred FROM lineitem")
+_ANSWER = "SELECT l_orderkey AS id, l_linenumber AS line, {name} CASE l_linenumber % 4 WHEN 0 THEN l_quantity WHEN 1 THEN (l_quantity + l_quantity + 2) / 2 WHEN 2 THEN l_quantity ELSE -1 END AS pred FROM lineitem"
+# The keys under which replies name each nutrient.
+_KEYS = {"fat": "total_fat", "protein": "total_protein", "energy": "total_energy"}
+
+
+@query(" UNION ALL ".join(_ANSWER.format(name=f"'{n}' AS nutrient,") for n in _KEYS))
+def answers_by_nutrient(t):
+    q = F.col("l_quantity").cast("string")
+    several = F.concat(q, F.lit("-"), (F.col("l_quantity") + 2).cast("string"))
+    kind, out = F.col("l_linenumber") % 4, None
+    for nutrient, key in _KEYS.items():
+        keyed = lambda v, key=key: F.concat(F.lit(f'Reasoning. Output: {{"{key}": '), v, F.lit("}"))
+        reply = F.when(kind == 0, keyed(q)).when(kind == 1, keyed(several)).when(kind == 2, q).otherwise(F.lit("no idea"))
+        rows = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.lit(nutrient).alias("nutrient"), answer(reply, nutrient).alias("pred"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(_ANSWER.format(name=""))
 def answer_extract(t):
     q = F.col("l_quantity").cast("string")
     keyed = lambda v: F.concat(F.lit('Reasoning. Output: {"total_carbohydrates": '), v, F.lit("}"))
@@ -264,7 +346,16 @@ def assistant_offers(t):
     return out["offers"].select("qid", "food_fdc_id", "food_desc")
 
 
-@query()
+_COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
+
+@query(f"""WITH p AS (SELECT q.vec_id AS qid, min(i.vec_id) AS id, any_value(q.label) AS category FROM embeddings q JOIN embeddings i ON q.label = i.label AND q.vec_id <> i.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1),
+s AS (SELECT qid, i.vec_id AS id, round({_COS.format(a="q.embedding[1:32]", b="i.embedding[1:32]")}, 12) AS score FROM p JOIN embeddings q ON q.vec_id = qid JOIN embeddings i ON i.label = p.category),
+t AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS n FROM s) WHERE n <= 20),
+g AS (SELECT DISTINCT qid, id FROM (SELECT t.qid, i.vec_id AS id, row_number() OVER (PARTITION BY t.qid, t.id ORDER BY round({_COS.format(a="a.embedding[33:64]", b="i.embedding[33:64]")}, 12) DESC, i.vec_id) AS n
+  FROM t JOIN embeddings a ON a.vec_id = t.id, embeddings i WHERE i.vec_id <> t.id) WHERE n <= 5),
+o AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s SEMI JOIN (SELECT * FROM t UNION SELECT * FROM g) x USING (qid, id))
+SELECT p.qid, p.id, CAST(coalesce(rank, n + 1) AS BIGINT) AS rank FROM p JOIN (SELECT qid, count(*) AS n FROM s GROUP BY 1) c ON c.qid = p.qid LEFT JOIN o ON o.qid = p.qid AND o.id = p.id""")
 def substitution_pool_ranks(t):
     from larder.plans import assistant
 

@@ -47,11 +47,9 @@ def vector_knn_self_excluded(t):
 
 @query("SELECT qid, id, score FROM (" + _topk(_FULL, 1, cond="q.label <> i.label") + ") WHERE score >= 0.2")
 def similarity_join_argmax(t):
-    out = None
-    for label in sorted(r[0] for r in t.embeddings.select("label").distinct().collect()):  # a pass per label, ten in all
-        found = retrieval.best_match(items(t).where(F.col("label") != label), asked(t).where(F.col("q_label") == label), 0.2 - 5e-7, query_vec="q_vec")
-        out = found if out is None else out.unionByName(found)
-    return out.select("qid", "id", F.round("score", 6).alias("score"))
+    """The best item of another label: the kernel leaves out pairs of one label."""
+    found = retrieval.best_match(items(t), asked(t), 0.2 - 5e-7, query_vec="q_vec", unlike=("label", "q_label"))
+    return found.select("qid", "id", F.round("score", 6).alias("score"))
 
 
 _HYBRID = f"0.5 * {_GRAPH} + 0.5 * {_TEXT}"
@@ -77,6 +75,41 @@ def hybrid_pool_centroid(t):
     return _rounded(out.withColumnRenamed("total", "score"))
 
 
+def _other_label(t: Tables) -> DataFrame:
+    """Pools: the items of the next label."""
+    return asked(t).select("qid", ((F.col("q_label") + 1) % 10).alias("label")).join(items(t).select("id", "label"), "label").select("qid", "id")
+
+
+_NEXT = "i.label = (q.label + 1) % 10"
+
+
+@query(_topk(f"0.7 * {_GRAPH} + 0.3 * {_TEXT}", 5, cond=_NEXT))
+def pool_external(t):
+    out = retrieval.search_pool(items(t), asked(t).select("qid", "q_text", "q_graph"), _other_label(t), "external", 0.7, 5)
+    return _rounded(out.withColumnRenamed("total", "score"))
+
+
+@query(_topk(_TEXT, 5, cond=_NEXT))
+def pool_text_only(t):
+    out = retrieval.search_pool(items(t), asked(t).select("qid", "q_text", "q_graph"), _other_label(t), "external", 0.0, 5)
+    return _rounded(out.withColumnRenamed("total", "score"))
+
+
+@query(f"""WITH b AS (SELECT q.vec_id AS bq, arg_max(i.vec_id, (round({_TEXT}, 12), -i.vec_id)) AS anchor FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0 AND {_NEXT} GROUP BY 1)
+{_topk(f"0.7 * {_COS.format(a='a.embedding[33:64]', b='i.embedding[33:64]')} + 0.3 * {_TEXT}", 5, "JOIN b ON true JOIN embeddings a ON a.vec_id = b.anchor", f"q.vec_id = b.bq AND {_NEXT}")}""")
+def pool_hybrid(t):
+    """The graph side starts from the best text match inside the pool."""
+    out = retrieval.search_pool(items(t), asked(t).select("qid", "q_text"), _other_label(t), "hybrid", 0.7, 5)
+    return _rounded(out.withColumnRenamed("total", "score"))
+
+
+@query(_topk(_HYBRID, 5, cond="q.vec_id <> i.vec_id AND i.vec_id % 3 <> 1"))
+def hybrid_neighbours(t):
+    """Neighbours by the seed's own vectors among what is available."""
+    available = items(t).where("id % 3 <> 1").select("id")
+    return _rounded(retrieval.hybrid_neighbours(items(t), asked(t).select("qid"), 5, 0.5, available).withColumnRenamed("total", "score"))
+
+
 _TOP = _topk(_TEXT, 15)
 
 
@@ -92,6 +125,34 @@ def graph_expand(t):
     return retrieval.expand(items(t), q, found).select("qid", "id", F.round("score", 6).alias("score"))
 
 
+_COUNTS = "(SELECT vec_id AS cid, vec_id % 5 AS macro_count FROM embeddings WHERE vec_id % 7 <> 0)"
+_FIRST = """SELECT qid, id, round(score, 6) AS score, macro_count, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY macro_count DESC, score DESC, id) AS INTEGER) AS rank
+FROM (SELECT f.qid, f.id, f.score, coalesce(macro_count, 0) AS macro_count FROM {found} f LEFT JOIN {counts} ON cid = f.id)) WHERE rank <= 3"""
+
+
+def _search_foods(t: Tables, graph: bool) -> DataFrame:
+    counts = items(t).where("id % 7 <> 0").select("id", (F.col("id") % 5).alias("macro_count"))
+    out = retrieval.search_foods(items(t), asked(t).select("qid", "q_text"), counts, 3, graph)
+    return out.select("qid", "id", F.round("score", 6).alias("score"), "macro_count", "rank")
+
+
+@query(_FIRST.format(found=f"({_TOP})", counts=_COUNTS))
+def search_food_text(t):
+    return _search_foods(t, False)
+
+
+@query(f"""WITH found AS ({_TOP}), seeds AS (SELECT qid, parent FROM (SELECT qid, id AS parent, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM (
+    SELECT f.*, row_number() OVER (PARTITION BY qid, label ORDER BY rank) AS u FROM found f JOIN embeddings e ON f.id = e.vec_id) WHERE u = 1) WHERE n <= 5),
+near AS (SELECT qid, id FROM (SELECT s.qid, i.vec_id AS id, row_number() OVER (PARTITION BY s.qid, s.parent ORDER BY round({_COS.format(a="p.embedding[33:64]", b="i.embedding[33:64]")}, 12) DESC, i.vec_id) AS n
+    FROM seeds s JOIN embeddings p ON p.vec_id = s.parent, embeddings i WHERE i.vec_id <> s.parent) WHERE n <= 5),
+every AS (SELECT qid, id, score FROM found UNION ALL SELECT n.qid, n.id, round({_TEXT}, 6) FROM near n JOIN embeddings q ON q.vec_id = n.qid JOIN embeddings i ON i.vec_id = n.id
+  WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.qid = n.qid AND f.id = n.id))
+{_FIRST.format(found="every", counts=_COUNTS)}""")
+def search_food_graph(t):
+    """Text matches and the graph neighbours of the best ones, those with more macros first."""
+    return _search_foods(t, True)
+
+
 @query("""WITH w AS (SELECT o_orderpriority AS qid, sum(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END) AS a, sum(CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0 END) AS b FROM orders GROUP BY 1),
 v AS (SELECT label, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IN (1, 2)),
 m AS (SELECT label, pos, avg(x) AS x FROM v GROUP BY 1, 2), u AS (SELECT label, pos, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM m),
@@ -131,8 +192,21 @@ def bm25_stemmed(t):
     return retrieval.rank_by_macros(found, t.labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("macro_count")), 3).select("qid", "id", "macro_count", "rank")
 
 
-@query()
+_LETTERS = "aeiorl"
+_COUNTED = "[" + ", ".join(f"(length({{x}}) - length(replace({{x}}, '{c}', '')))::DOUBLE" for c in _LETTERS) + "]"
+
+
+def _letters(text):
+    """A stand-in for a text model that SQL can say as well: how often each of a few letters occurs."""
+    return F.array(*((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in _LETTERS))
+
+
+@query(f"""WITH l AS (SELECT DISTINCT lower(p_type) || ' ' || p_name AS label FROM part WHERE lower(trim(lower(p_type) || ' ' || p_name)) NOT IN ('promo red ring', 'economy hot rod')),
+f AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1),
+s AS (SELECT label, id, round(list_cosine_similarity({_COUNTED.format(x="label")}, {_COUNTED.format(x="p_name")}), 12) AS s FROM l, f)
+SELECT label, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, id) AS n FROM s) WHERE n = 1 AND s >= 0.58""")
 def label_resolver(t):
-    embed = models.embed_with(lambda: models.hashing_embedder(64))
-    foods = t.part.select(F.col("p_name").alias("name")).distinct().withColumn("id", F.abs(F.xxhash64("name"))).withColumn("vec", embed(F.col("name")))
-    return retrieval.resolve_labels(t.part.select(F.concat("p_type", F.lit(" "), "p_name").alias("label")), foods, embed, ["promo red ring"])
+    foods = t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).withColumn("vec", _letters(F.col("name")))
+    labels = t.part.select(F.concat(F.lower("p_type"), F.lit(" "), "p_name").alias("label"))
+    out = retrieval.resolve_labels(labels, foods, _letters, ["promo red ring"], override=" Economy hot rod ,")
+    return out.select("label", "id", F.round("score", 6).alias("score"))

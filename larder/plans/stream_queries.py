@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators import spatial
+from larder.operators import recommend, spatial
+from larder.plans import recommend_queries
 from larder.plans.registry import Tables, query
 from larder.session import shared_folder
 from larder.streaming import stateful, windows
@@ -17,11 +18,21 @@ def _events(t: Tables) -> DataFrame:
     return windows.event_time(t.events)
 
 
+def _event_stream(t: Tables) -> DataFrame:
+    """The event table as a stream of its files (a pattern, so that a single file will do)."""
+    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.root}/events[.]parquet")
+
+
+def _to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    at = shared_folder(stream.sparkSession, "stream")
+    return windows.run_to_end(stream, f"{name}_{at.rsplit('-', 1)[1]}", f"{at}/state", mode)
+
+
 def _found(t: Tables) -> DataFrame:
     return t.events.select("event_id", "ts", F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("label"), "event_type", (F.col("value") / 20).alias("px"), (F.get_json_object("props", "$.k").cast("double") / 10).alias("py"))
 
 
-_WINDOW = "SELECT {start} AS start, event_type, count(*) AS n, round(sum(value), 6) AS total, max(value) AS peak FROM {src} GROUP BY 1, 2"
+_WINDOW = "SELECT {start} AS start, event_type, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, max(value) AS peak FROM {src} GROUP BY 1, 2"
 
 
 @query(_WINDOW.format(start="time_bucket(INTERVAL '6 hours', ts)", src="events"))
@@ -32,20 +43,50 @@ def tumbling_windows(t):
 @query(_WINDOW.format(start="time_bucket(INTERVAL '6 hours', ts)", src="events"))
 def stream_tumbling(t):
     """The same windows from a real stream, with a watermark, run to its end."""
-    at = shared_folder(t.spark, "stream")
-    t.events.write.parquet(f"{at}/in")
-    events = windows.event_time(t.spark.readStream.schema(t.events.schema).parquet(f"{at}/in"), late="1 day")
-    out = windows.run_to_end(windows.tumbling(events, "6 hours", ["event_type"], "value"), "tumbling_" + at.rsplit("-", 1)[1], f"{at}/state", "complete")
+    events = windows.event_time(_event_stream(t), late="1 day")
+    out = _to_end(windows.tumbling(events, "6 hours", ["event_type"], "value"), "tumbling", "complete")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def stream_latest(t):
+    """What was seen last of every user, kept up to date by a stream."""
+    return _to_end(windows.latest(_event_stream(t), ["user_id"], "ts", ["event_id"]), "latest", "complete")
+
+
+@query(f"SELECT user_id, food_fdc_id, CAST(sum(CAST(offered AS INT)) AS BIGINT) AS offered, CAST(sum(CAST(chosen AS INT)) AS BIGINT) AS chosen, round(coalesce(sum(CAST(chosen AS INT))::DOUBLE / nullif(sum(CAST(offered AS INT)), 0), 0.5), 6) AS score FROM ({recommend_queries._LOG}) GROUP BY 1, 2")
+def stream_preferences(t):
+    """Preference scores kept up to date by a stream of offers."""
+    out = _to_end(recommend.preference_scores(recommend_queries.log_of(_event_stream(t))), "preferences", "complete")
+    return out.withColumn("score", F.round("score", 6))
+
+
+_SEEN = f"SELECT user_id AS navigation_id, replace(event_type, ' ', '_') AS label, count(*) AS hits, round(avg(value / 20), 6) AS px, round(avg({_K} / 10.0), 6) AS py FROM events GROUP BY 1, 2"
+
+
+def _means(found: DataFrame) -> DataFrame:
+    rows = found.select(F.col("user_id").alias("navigation_id"), F.col("event_type").alias("label"), (F.col("value") / 20).alias("px"), (F.get_json_object("props", "$.k").cast("double") / 10).alias("py"))
+    return spatial.scan_means(rows)
+
+
+@query(_SEEN)
+def scan_while_moving(t):
+    return _means(t.events).withColumns({"px": F.round("px", 6), "py": F.round("py", 6)})
+
+
+@query(_SEEN)
+def stream_scan_while_moving(t):
+    """The same accumulation as a stream of detections."""
+    return _to_end(_means(_event_stream(t)), "scan", "complete").withColumns({"px": F.round("px", 6), "py": F.round("py", 6)})
+
+
 @query(_WINDOW.format(start="s", src="(SELECT *, unnest([time_bucket(INTERVAL '6 hours', ts), time_bucket(INTERVAL '6 hours', ts) - INTERVAL '6 hours']) AS s FROM events)"))
 def sliding_windows(t):
     return windows.sliding(_events(t), "12 hours", "6 hours", ["event_type"], "value").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("""WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)
-SELECT min(ts) AS start, max(ts) + INTERVAL '2 hours' AS "end", user_id, count(*) AS n, round(sum(value), 6) AS total, max(value) AS peak FROM b GROUP BY user_id, s""")
+SELECT min(ts) AS start, max(ts) + INTERVAL '2 hours' AS "end", user_id, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, max(value) AS peak FROM b GROUP BY user_id, s""")
 def session_windows(t):
     out = windows.sessions(_events(t), "2 hours", ["user_id"], "value")
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
@@ -82,7 +123,7 @@ def stream_stability(t):
     at = shared_folder(t.spark, "frames")
     frames.write.parquet(f"{at}/in")
     stream = t.spark.readStream.schema(frames.schema).parquet(f"{at}/in")
-    out = windows.run_to_end(stateful.stable(stream), "stable_" + at.rsplit("-", 1)[1], f"{at}/state")
+    out = _to_end(stateful.stable(stream), "stable")
     return out.select("stream_id", "label", "frame_seq", "streak", F.round("cam_x", 6).alias("cam_x"))
 
 
@@ -127,6 +168,22 @@ def pose_transform(t):
     return spatial.to_map(rows).select("id", "px", "py")
 
 
-@query("""SELECT event_id, paired FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS paired FROM events) WHERE event_type = 'click'""")
+@query("""SELECT event_id, paired FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS paired FROM events) WHERE event_type = 'click'""")
 def latest_pair(t):
-    return spatial.latest_pair(t.events, "user_id", "ts", "event_type", "click", "view", "value").select("event_id", "paired")
+    return spatial.latest_pair(t.events, "user_id", "ts", "event_type", "click", "view", "value", "event_id").select("event_id", "paired")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'landmark' WHEN c_custkey % 3 = 0 THEN 'object' END AS source, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey::DOUBLE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS x FROM customer""")
+def places_by_name(t):
+    c = t.customer
+    landmarks = c.where("c_custkey % 2 = 0").select(F.upper("c_name").alias("name"), F.col("c_nationkey").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    stored = c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("px"), F.lit(0.0).alias("py"))
+    asked = c.select(F.concat(F.lit(" "), F.lower("c_name")).alias("name"))
+    number = F.regexp_extract("name", r"(\d+)$", 1).cast("long")
+    return spatial.resolve_names(asked, landmarks, stored).select(number.alias("id"), "source", "x")
+
+
+@query("SELECT s_suppkey AS id, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN n_name END, s_name) AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def enriched_labels(t):
+    stored = t.supplier.where("s_suppkey % 2 = 0").join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("name"), F.col("n_name").alias("label"))
+    return spatial.enrich(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), stored).select("id", "label")

@@ -17,17 +17,26 @@ def session(app: str = "larder", **settings: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one the cluster shares; below a temporary one only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_larder_folder", None)
+def _unset(spark: SparkSession) -> str:
+    """A temporary folder, in local mode only: on a cluster other machines would not see it."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    where = getattr(spark, "_larder_folder", None)
     if not where:
         where = spark._larder_folder = "file://" + tempfile.mkdtemp(prefix="larder-shared-")
+    return where
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one the cluster shares; in local mode below a temporary one where none is set."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or _unset(spark)
     return f"{where.rstrip('/')}/larder/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, written to the shared folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The frame, written to the shared folder in spark.checkpoint.dir; in local mode to a temporary one where that is unset."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="larder-checkpoint-"))
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(where or _unset(spark) + "/checkpoints")
     return df.checkpoint()

@@ -13,19 +13,19 @@ def event_time(df: DataFrame, ts: str = "ts", late: str | None = None) -> DataFr
 
 
 def _stats(value: str) -> list[Column]:
-    return [F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total"), F.max(value).alias("peak")]
+    return [F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("peak")]
 
 
 def tumbling(df: DataFrame, size: str, keys: list[str], value: str, ts: str = "ts") -> DataFrame:
-    return df.groupBy(F.window(ts, size), *keys).agg(*_stats(value)).select(F.col("window.start").alias("start"), *keys, "n", "total", "peak")
+    return df.groupBy(F.window(ts, size), *keys).agg(*_stats(value)).select(F.col("window.start").alias("start"), *keys, "n", "total", "mean", "peak")
 
 
 def sliding(df: DataFrame, size: str, step: str, keys: list[str], value: str, ts: str = "ts") -> DataFrame:
-    return df.groupBy(F.window(ts, size, step), *keys).agg(*_stats(value)).select(F.col("window.start").alias("start"), *keys, "n", "total", "peak")
+    return df.groupBy(F.window(ts, size, step), *keys).agg(*_stats(value)).select(F.col("window.start").alias("start"), *keys, "n", "total", "mean", "peak")
 
 
 def sessions(df: DataFrame, gap: str, keys: list[str], value: str, ts: str = "ts") -> DataFrame:
-    return df.groupBy(F.session_window(ts, gap), *keys).agg(*_stats(value)).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n", "total", "peak")
+    return df.groupBy(F.session_window(ts, gap), *keys).agg(*_stats(value)).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n", "total", "mean", "peak")
 
 
 def latest(df: DataFrame, keys: list[str], ts: str, values: list[str]) -> DataFrame:
@@ -38,8 +38,13 @@ def deduplicated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"):
-    """Runs a stream over all that is there into an in-memory table, for small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there; its rows (in `complete` mode those of the last batch) as Parquet beside the checkpoint."""
+    out = f"{checkpoint}-rows"
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", out)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    writer.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)

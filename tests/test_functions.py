@@ -83,7 +83,7 @@ def test_scores(spark):
     l = F.lit  # noqa: E741
     assert one(spark, scores.macro_match((l(50.0), l(30.0), l(20.0)), (l(0.0), l(-1.0), l(0.0))), x="") == 0.0
     assert one(spark, scores.macro_match((l(1.0), l(1.0), l(0.0)), (l(1.0), l(1.0), l(0.0))), x="") == 1.0
-    assert one(spark, scores.within(l(None).cast("double"), l(10.0), 0.5), x="") is True
+    assert one(spark, scores.within(l(None).cast("double"), l(10.0), 0.5), x="") is False
     assert one(spark, scores.within(l(16.0), l(10.0), 0.5), x="") is False
     assert one(spark, scores.dominant(["P", "F"], [l(1.0), l(1.0)], "Other"), x="") == "P"
     assert one(spark, scores.bin_right_closed(l(100.0), [0.0, 100.0, 200.0], ["a", "b"]), x="") == "a"

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larder.functions import scores
 from larder.operators import evaluate, graph, kb, models, recommend, retrieval, spatial
 from larder.sources import readers, remote, sinks
 from larder.streaming import stateful, windows
@@ -127,11 +128,139 @@ def test_vector_topk_ties_and_modes(spark):
 
 
 def test_relaxation(spark):
-    data = frame(spark, "qid string, recipe_id long, tier int", ("a", 1, 1), ("a", 2, 3), ("a", 3, None), ("b", 4, None))
-    assert rows(recommend.relax(data).select("qid", "recipe_id")) == [("a", 1)]
+    """Two safe rows without overlap both come, in range or not; where every row has something disliked, all come."""
+    data = frame(spark, "qid string, recipe_id long, tier int", ("a", 1, 1), ("a", 2, 3), ("a", 3, 4), ("b", 4, 4), ("b", 5, 4), ("c", 6, 3), ("c", 7, 3), ("c", 8, 4))
+    assert rows(recommend.relax(data).select("qid", "recipe_id"), "qid", "recipe_id") == [("a", 1), ("b", 4), ("b", 5), ("c", 6), ("c", 7)]
     t = lambda safe, macros, overlap, least: recommend.relaxation_tier(F.lit(safe), F.lit(macros), F.lit(overlap), least)
-    got = spark.range(1).select(*(t(*x) for x in ((True, True, 2, 2), (True, False, 2, 2), (True, True, 1, 2), (True, True, 0, 2), (True, False, 0, 2), (False, True, 2, 2)))).first()
-    assert tuple(got) == (0, 1, 2, 3, 4, None)
+    cases = [((True, True, 2, 2), 0), ((True, False, 2, 2), 1), ((True, True, 1, 2), 2), ((True, True, 0, 2), 3), ((True, False, 0, 2), 3), ((False, True, 2, 2), 4), ((True, False, 0, 0), 1), ((True, True, 0, 1), 3)]
+    assert tuple(spark.range(1).select(*(t(*x) for x, _ in cases)).first()) == tuple(n for _, n in cases)
+
+
+def test_macro_window(spark):
+    values = frame(spark, "v double, t double", (None, 10.0), (None, 0.0), (float("nan"), 10.0), (5.0, 10.0), (4.9, 10.0), (15.0, 10.0), (15.1, 10.0), (3.0, None))
+    got = [r[0] for r in values.select(scores.within(F.col("v"), F.col("t"), 0.5)).collect()]
+    assert got == [False, True, True, True, False, True, False, True]
+
+
+def test_soft_penalty_counts_every_violation(spark):
+    """Three wanted ingredients are missing, two unwanted ones are there and one of two ranges does not hold."""
+    questions = spark.createDataFrame([("q", ["A", "b", "c", "Egg"], ["salt", "OIL", "tea"], [("fat", [1.0, 2.0]), ("protein", [0.0, 5.0]), ("zinc", [1.0, 2.0]), ("fat", [1.0])])], "qid string, positive array<string>, negative array<string>, ranges array<struct<nutrition:string,range:array<double>>>")
+    recipes = frame(spark, "recipe_id long, ingredients array<string>, calories double, protein double, carbohydrates double, saturated_fat double, monounsaturated_fat double, polyunsaturated_fat double", (1, ["egg", "Salt", "oil"], 1.0, 3.0, None, 2.0, None, 1.0), (2, ["a", "b", "c", "egg"], 1.0, 3.0, None, 2.0, None, None))
+    pool = frame(spark, "qid string, recipe_id long", ("q", 1), ("q", 2))
+    assert rows(recommend.retrieve_recipes(questions, recipes, pool, hard=False).select("recipe_id", "penalty"), "recipe_id") == [(1, 3.0), (2, 0.0)]
+    assert rows(recommend.retrieve_recipes(questions, recipes, pool).select("recipe_id")) == [(2,)]
+
+
+def test_patients(spark):
+    """Sugar is to be avoided, but only allergens make a meal unsafe; without a target any amount is right."""
+    patients = frame(spark, "patient long, disease string, allergies string, restrictions string, carb_target double", (1, "Diabetes", "None", "Low_Sugar", 40.0), (2, "Other", "Gluten", "None", 40.0), (3, "None", "Peanuts", "Low_Sodium", None), (4, "Obesity", "None", "None", 40.0))
+    meals = frame(spark, "patient long, meal string, ingredients array<string>, carb double", (1, "m", ["Brown Sugar"], 20.0), (2, "m", ["rye bread"], 40.0), (3, "m", ["sea salt"], 999.0), (4, "m", ["rice"], None))
+    got = recommend.patient_meals(patients, meals)
+    assert rows(got.select("patient", "diet", "safe", "adheres"), "patient") == [(1, "Low-Carb", True, True), (2, "Balanced", False, False), (3, "Balanced", True, True), (4, "Balanced", True, False)]
+    assert got.where("patient = 3").first()["avoided"] == ["peanut", "peanuts", "salt", "soy sauce", "bacon", "sausage", "bouillon"]
+    options = frame(spark, "qid long, name string, rank int", (1, "Carrot Cake", 1), (1, "Soup", 2), (2, "Sorbet", 1), (2, "Candy", 2))
+    assert rows(recommend.without_desserts(options).select("qid", "name"), "qid") == [(1, "Soup"), (2, "Sorbet")]
+
+
+def test_recommend_meals_by_hand(spark):
+    """Of one request's two recipes the one with more overlap wins; a request with an unknown tag sees all of them."""
+    recipes = frame(
+        spark, "recipe_id long, ingredients array<string>, ingredient_ids array<long>, text_vec array<double>, graph_vec array<double>, calories double, protein double, carbohydrates double, fat_total double",
+        (1, ["rice"], [1, 2], [1.0, 0.0], [1.0, 0.0], 500.0, 20.0, 50.0, 10.0), (2, ["egg"], [3], [1.0, 0.0], [0.0, 1.0], 500.0, 20.0, 50.0, 10.0), (3, ["nut"], [1, 2], [0.0, 1.0], [0.0, 1.0], None, None, None, None),
+    )
+    requests = frame(
+        spark, "qid string, q_text array<double>, q_graph array<double>, wanted array<long>, available array<long>, terms array<string>, protein_g double, carb_g double, fat_g double, energy_kcal double",
+        ("a", [1.0, 0.0], [0.0, 1.0], [1, 2], [1], [], 20.0, 50.0, 10.0, 500.0), ("b", [0.0, 1.0], None, [9], None, ["nut"], 0.0, 0.0, 0.0, 0.0), ("c", [0.0, 1.0], None, [9], None, ["rice", "nut", "egg"], 0.0, 0.0, 0.0, 0.0),
+    )
+    got = recommend.recommend_meals(requests, recipes, frame(spark, "qid string, recipe_id long", ("a", 1), ("a", 2)), weight=1.0)
+    have = {}
+    for r in got.collect():
+        have.setdefault(r["qid"], {})[r["recipe_id"]] = (r["tier"], r["final"], r["rank"])
+    assert have["a"] == {1: (0, pytest.approx(0.5 + 0.5 - 0.3 + 1.0), 1)}
+    assert set(have["b"]) == {1, 2} and have["b"][1][0] == 3 and set(have["c"]) == {1, 2, 3} and have["c"][3][0] == 4
+
+
+def test_ranking_of_empty_sides(spark):
+    """Nothing to find and nothing found is right; nothing to find but something found is wrong."""
+    ranked = frame(spark, "qid long, item long, rank int", (1, 5, 1), (1, 6, 2), (3, 5, 1))
+    truth = frame(spark, "qid long, item long", (1, 6), (2, 7))
+    got = evaluate.ranking_metrics(ranked, truth, frame(spark, "qid long", (1,), (2,), (3,), (4,)))
+    assert rows(got.select("qid", "ap", "ar"), "qid") == [(1, 0.5, 1.0), (2, 0.0, 0.0), (3, 0.0, 0.0), (4, 1.0, 1.0)]
+
+
+def test_writers(spark, tmp_path):
+    foods = frame(spark, "fdc_id long, description string", (2, "b"), (1, "a"))
+    sinks.write_tables({"foods": foods}, str(tmp_path / "t"))
+    sinks.write_tables({"foods": foods.where("fdc_id = 1")}, str(tmp_path / "t"))
+    assert rows(spark.read.parquet(str(tmp_path / "t/foods"))) == [(1, "a")]
+    sinks.write_summary(foods, str(tmp_path / "s"), ["description"])
+    assert rows(spark.read.json(str(tmp_path / "s")), "description") == [("a",), ("b",)]
+    vectors = frame(spark, "id int, vec array<double>, more string", (1, [0.5, 1.0], "x"))
+    sinks.write_vectors(vectors, str(tmp_path / "v"))
+    back = spark.read.parquet(str(tmp_path / "v"))
+    assert rows(back) == [(1, [0.5, 1.0])] and back.dtypes == [("id", "bigint"), ("vec", "array<float>")]
+    none = frame(spark, "fdc_id long, nutrient_id long, amount double")
+    exported = sinks.export_nested(foods, none, frame(spark, "nutrient_id long, nutrient_name string, unit_name string"))
+    sinks.write_json_lines(exported, str(tmp_path / "j"))
+    lines = [json.loads(r[0]) for r in rows(spark.read.text(str(tmp_path / "j")))]
+    assert lines == [{"fdc_id": 1, "description": "a", "nutrients": {}}, {"fdc_id": 2, "description": "b", "nutrients": {}}]
+    assert rows(sinks.latex_rows(foods), "line") == [("1 & a \\\\",), ("2 & b \\\\",)]
+
+
+def test_quality_report_and_geometry(spark):
+    links = frame(spark, "recipe_id long, similarity_score double", (1, 0.8), (1, 0.6), (2, 0.1))
+    report = kb.quality_report({"links": links}, links, frame(spark, "recipe_id long", (1,), (2,), (3,)))
+    assert dict(rows(report)) == {"rows:links": 3.0, "match:high": 1.0, "match:medium": 1.0, "match:low": 1.0, "recipes without foods": 1.0, "ingredients per recipe": 1.5}
+    p = spark.range(1).select(scores.back_project(F.lit(420.0), F.lit(140.0), F.lit(2000.0), 500.0, 400.0, 320.0, 240.0).alias("p")).first()["p"]
+    assert tuple(p) == (0.4, -0.5, 2.0)
+    stored = frame(spark, "name string, label string", ("detected_coffee_cup_0", "coffee cup"), ("detected_coffee_cup_1", "coffee_cup"), ("Door", "door"))
+    assert spatial.objects_named(stored, "coffee cup").count() == 2
+    assert [rows(spatial.object_named(stored, n).select("name")) for n in ("Door", "coffee cup", "none")] == [[("Door",)], [("detected_coffee_cup_0",)], []]
+    z = frame(spark, "x double", (1.5,))
+    assert rows(models.destandardise(z, "x", F.lit(10.0), F.lit(2.0))) == [(13.0,)]
+
+
+def test_attention_encoder_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = {i: rng.normal(size=3) for i in range(6)}
+    edges = [(0, 1, 0.5), (2, 1, 1.5), (3, 4, 0.0), (0, 4, 1.0), (1, 0, 2.0), (4, 0, 0.1)]
+    m = lambda *shape: rng.normal(size=shape)
+
+    def block(width, out, heads):
+        return {"heads": [{"w_src": m(out, width), "w_dst": m(out, width), "a": m(out), "w_edge": m(out)} for _ in range(heads)], "bias": m(out * heads), "residual": m(out * heads, width), "scale": m(out * heads), "shift": m(out * heads)}
+
+    blocks = [block(3, 2, 4), block(8, 3, 1)]
+
+    def plain(x, b):
+        out = {}
+        for i in x:
+            parts = []
+            for h in b["heads"]:
+                own = [(s, t) for s, d, t in edges if d == i]
+                e = [h["a"] @ (lambda v: np.where(v > 0, v, 0.2 * v))(h["w_src"] @ x[s] + h["w_dst"] @ x[i] + h["w_edge"] * t) for s, t in own]
+                w = np.exp(e) / np.exp(e).sum() if own else []
+                parts.append(sum((k * (h["w_src"] @ x[s]) for k, (s, _) in zip(w, own, strict=True)), np.zeros(len(h["a"]))))
+            v = np.concatenate(parts) + b["bias"]
+            v = np.where(v > 0, v, np.exp(np.minimum(v, 0)) - 1) + b["residual"] @ x[i]
+            out[i] = (v - v.mean()) / np.sqrt(v.var() + 1e-5) * b["scale"] + b["shift"]
+        return out
+
+    lists = [{k: [{a: c.tolist() for a, c in h.items()} for h in v] if k == "heads" else v.tolist() for k, v in b.items()} for b in blocks]
+    nodes = frame(spark, "id long, vec array<double>", *[(i, v.tolist()) for i, v in x.items()])
+    got = dict(rows(graph.attention_encoder(nodes, frame(spark, "src long, dst long, attr double", *edges), lists)))
+    want = plain(plain(x, blocks[0]), blocks[1])
+    assert all(got[i] == pytest.approx(want[i].tolist()) for i in x)
+
+
+def test_many_query_blocks(spark, monkeypatch):
+    """Queries of several blocks, passes written one by one, give what one block gives; and ids may be names."""
+    rng = np.random.default_rng(6)
+    items = frame(spark, "id long, vec array<double>, g string", *[(i, rng.normal(size=4).tolist(), "ab"[i % 2]) for i in range(60)])
+    asked = items.select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("qid"), F.col("vec").alias("v"), F.col("g").alias("h"))
+    want = sorted(rows(retrieval.vector_topk(items, asked, 3, query_vec="v", unlike=("g", "h"))))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", 500)
+    assert sorted(rows(retrieval.vector_topk(items, asked, 3, query_vec="v", unlike=("g", "h")))) == want and len(want) == 180
+    assert all((int(q[1:]) + i) % 2 for q, i, *_ in want)
 
 
 def test_preferences(spark):
