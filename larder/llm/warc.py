@@ -9,7 +9,9 @@ files are sequences of gzip members, one per record.
 
 Defined results: a null page is an empty payload; a null URL leaves the target
 header out; rows that repeat a page give equal records; malformed records raise
-ValueError; an empty table makes no file.  Other input columns are not read.
+ValueError; very long pages and pages of tags that are never closed take time in
+proportion to their length; an empty table makes no file.  Other input columns
+are not read.
 """
 
 from __future__ import annotations
@@ -32,12 +34,15 @@ from larder.llm.staging import Stage
 VERSION = b"WARC/1.1"
 _SPACE = uuid.UUID("6f2c3f0e-8f3b-5d0a-9b43-5a6c2f3f7d11")
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<head\b[^>]*>.*?</head\s*>", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_SKIPPED = re.compile(r"<(?:(!--)|(script|style|noscript|template|head)\b)", re.I)
+_CLOSERS = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "head", "title")} | {"!--": re.compile("-->")}
+_TITLE = re.compile(r"<title\b", re.I)
+_HTML, _ANCHOR = re.compile(r"<html\b[^>]*>", re.I), re.compile(r"<a\b[^>]*>", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|table|tr|article|section|header|footer|nav|main|aside|blockquote|pre|form|dl|dt|dd|figure|body|html)|br|hr)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?A-Za-z][^>]*>")
+_ZEROS, _HUGE = re.compile(r"&#(x?)0+(?=[0-9A-Fa-f])", re.I), re.compile(r"&#(?:[0-9]{8,}|x[0-9A-Fa-f]{7,});?", re.I)
 
 
 def digest(raw: bytes) -> str:
@@ -70,14 +75,83 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:n]
 
 
+def visible(page: str) -> str:
+    """The page without comments, scripts, styles, templates and head.  What is never closed is no such element.
+
+    One pass: an opener without a closer after it shows that later ones of its kind have none either.
+    """
+    kept, at, no_more = [], 0, len(page)
+    open_ended: set[str] = set()
+    opener = _SKIPPED.search(page)
+    while opener is not None:
+        name = opener[1] or opener[2].lower()
+        to = None
+        if name not in open_ended:
+            body = opener.end() if opener[1] else page.find(">", opener.end(), no_more) + 1
+            if body == 0:  # no tag ends from here on
+                no_more = opener.end()
+            closer = _CLOSERS[name].search(page, body) if body else None
+            if closer is None:
+                open_ended.add(name)
+            else:
+                to = closer.end()
+        if to is None:
+            opener = _SKIPPED.search(page, opener.end())
+            continue
+        kept += [page[at : opener.start()], " "]
+        at = to
+        opener = _SKIPPED.search(page, at)
+    return "".join([*kept, page[at:]])
+
+
+def _decoded(text: str) -> str:
+    """Character references resolved; numbers beyond all characters are U+FFFD however long they are."""
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub(r"&#\1", text))
+    return entities.unescape(text)
+
+
+def _without_tags(text: str) -> str:
+    end = text.rfind(">") + 1  # what starts after it is never closed and no tag
+    return _TAG.sub("", text[:end]) + text[end:]
+
+
 def to_text(page: str) -> str:
-    """Visible text: a line per block element, entities decoded, spaces collapsed."""
-    page = _DROP.sub(" ", page).replace("\n", " ")
-    page = entities.unescape(_TAG.sub("", _BREAK.sub("\n", page)))
+    """Visible text: a line per block element, entities decoded, spaces collapsed.  Linear in the page's length."""
+    return _lines(visible(page))
+
+
+def _lines(page: str) -> str:
+    page = page.replace("\n", " ")
+    end = page.rfind(">") + 1
+    page = _decoded(_without_tags(_BREAK.sub("\n", page[:end]) + page[end:]))
     lines = (" ".join(line.split()) for line in page.split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def title_of(page: str) -> str:
+    """The text of the first title element that is closed, else nothing."""
+    opener = _TITLE.search(page)
+    start = page.find(">", opener.end()) + 1 if opener else 0
+    closer = _CLOSERS["title"].search(page, start) if start else None
+    return " ".join(_decoded(_without_tags(page[start : closer.start()])).split()) if closer else ""
+
+
+def language_of(page: str) -> str:
+    end = page.rfind(">") + 1
+    return next((m[1] for tag in _HTML.finditer(page[:end]) if (m := _LANG.search(tag[0]))), "")
+
+
+def links_of(page: str) -> list[str]:
+    """Targets of the links in what is visible, in their order."""
+    return _targets(visible(page))
+
+
+def _targets(page: str) -> list[str]:
+    found = (_HREF.search(tag[0]) for tag in _ANCHOR.finditer(page[: page.rfind(">") + 1]))
+    return [_decoded(next((x for x in m.groups() if x), "")) for m in found if m]
+
+
 def response(key: object, url: str | None, page: str | None, date: str) -> bytes:
     payload = (page or "").encode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
@@ -92,15 +166,14 @@ def derive(raw: bytes) -> tuple[bytes, bytes]:
         raise ValueError("not a response record")
     head, _, payload = block.partition(b"\r\n\r\n")
     page = payload.decode("utf-8", "replace")
-    text = to_text(page)
+    seen = visible(page)
+    text = _lines(seen)
     me = source["warc-record-id"]
     kept = [(name, source[name.lower()]) for name in ("WARC-Target-URI", "WARC-Date") if name.lower() in source]
     meta_id, text_id = record_id("metadata", me), record_id("conversion", me)
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    links = [entities.unescape(next(x for x in m if x) if any(m) else "") for m in _LINK.findall(page)]
     body = text.encode()
-    fields = [("title", " ".join(entities.unescape(_TAG.sub("", title[1])).split()) if title else ""), ("language", lang[1] if lang else ""), ("text-length", str(len(text))), ("conversion-record", text_id)]
-    fields += [("outlink", x) for x in links] + [(f"source-{k}", v) for k, v in source.items()] + [("source-http", x) for x in head.decode("latin-1").split("\r\n")]
+    fields = [("title", title_of(page)), ("language", language_of(page)), ("text-length", str(len(text))), ("conversion-record", text_id)]
+    fields += [("outlink", x) for x in _targets(seen)] + [(f"source-{k}", v) for k, v in source.items()] + [("source-http", x) for x in head.decode("latin-1").split("\r\n")]
     meta = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields).encode()
     common = [*kept, ("WARC-Source-Payload-Digest", source.get("warc-payload-digest", ""))]
     return (

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from html.parser import HTMLParser
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -94,3 +95,43 @@ def jump(key, n):
         key = (key * 2862933555777941757 + 1) & ((1 << 64) - 1)
         j = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
     return b
+
+
+class Page(HTMLParser):
+    """Visible text, title, language and links of well-formed pages, by the parser of the standard library."""
+
+    BLOCKS = set("p div h1 h2 h3 h4 h5 h6 li ul ol table tr article section header footer nav main aside blockquote pre form dl dt dd figure body html br hr".split())
+    HIDDEN = {"script", "style", "noscript", "template", "head"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden, self.title, self.in_title, self.language, self.links = [], 0, "", False, "", []
+        self.feed(page)
+        self.close()
+        lines = (" ".join(x.split()) for x in "".join(self.out).split("\0"))
+        self.text = "\n".join(x for x in lines if x)
+
+    def handle_starttag(self, tag, attrs):
+        values = dict(attrs)
+        self.hidden += tag in self.HIDDEN
+        self.in_title = tag == "title"
+        if tag == "html":
+            self.language = values.get("lang") or ""
+        if tag == "a" and "href" in values and not self.hidden:
+            self.links.append(values["href"])
+        if tag in self.BLOCKS:
+            self.out.append("\0")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in self.HIDDEN
+        self.in_title = False
+        if tag in self.HIDDEN:
+            self.out.append(" ")
+        if tag in self.BLOCKS:
+            self.out.append("\0")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title = " ".join((self.title + data).split())
+        if not self.hidden:
+            self.out.append(data)

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import jump, union_find
+from brute import Page, jump, union_find
 from pyspark.sql import functions as F
 
 from larder.llm import chat_format, embedding_dedup, hnsw, packing, quality_crf, sharding, sstable, tokens, warc
@@ -209,6 +209,39 @@ def test_warc(spark, tmp_path):
     assert warc.write_derivatives(warc.response_records(df.limit(0)), f"file://{tmp_path}/e") == []
 
 
+def random_page(rng):
+    word = lambda: rng.choice(["alpha", "beta &amp; gamma", "x &lt; y", "caf&eacute;", "&#233;t&#xe9;", "&nbsp;", "a  b", "\n", "1 < 2", "naïve"])
+    inline = lambda: rng.choice([word, lambda: f"<b>{word()}</b>", lambda: f"<a class=x href='/p?a=1&amp;b={rng.randrange(9)}'>{word()}</a>", lambda: f'<A HREF="http://h/{rng.randrange(9)}">{word()}</A>', lambda: "<!-- <p>hidden</p> -->", lambda: "<script>if (a > b) { '<p>' }</script>", lambda: "<br>"])()
+    block = lambda: f"<{(t := rng.choice(['p', 'div', 'li', 'h2', 'section']))} class='c'>{' '.join(inline() for _ in range(rng.randrange(1, 5)))}</{t}>"
+    head = "<head><title>T &amp; " + word().replace("<", "&lt;") + "</title><style>p > a {}</style></head>"
+    return f"<!DOCTYPE html><html lang={rng.choice(['en', 'fr'])}>{head}<body>{''.join(block() for _ in range(rng.randrange(1, 8)))}<noscript>no <a href=/x>y</a></noscript></body></html>"
+
+
+def test_warc_text_equals_a_parser():
+    rng = random.Random(11)
+    for _ in range(400):
+        page = random_page(rng)
+        want = Page(page)
+        assert (warc.to_text(page), warc.title_of(page), warc.language_of(page), warc.links_of(page)) == (want.text, want.title, want.language, want.links), page
+
+
+@pytest.mark.parametrize("bit", ["<!--", "<script>", "<script", "<title>", "<a ", "<a href=", "<a href='", "<head>", "</script ", "<p", "<", "&#", "<html ", "<!-- x -->", "<script>x</script>", "&#9", "<style></script>"])
+def test_warc_is_linear(bit):
+    """A megabyte of anything takes about a second, closed at the end or not."""
+    import time
+
+    for page in (bit * (1_000_000 // len(bit)), bit * (1_000_000 // len(bit)) + ">", "&#" + "9" * 1_000_000 + ";", "&#" + "0" * 1_000_000 + "65;"):
+        began = time.process_time()
+        warc.to_text(page), warc.title_of(page), warc.language_of(page), warc.links_of(page)
+        assert time.process_time() - began < 4
+
+
+def test_warc_of_what_is_not_closed():
+    assert warc.to_text("a<script>b<p>c<!-- d") == "ab\nc<!-- d"
+    assert warc.to_text("a<script>b</script>c<script>d") == "a cd" and warc.to_text("x <b y") == "x <b y"
+    assert warc.to_text("&#99999999999999; &#0000065;") == "\ufffd A" and warc.title_of("<title>x") == ""
+
+
 MESSAGES = "tree string, node long, parent long, role string, text string, score double, rank int"
 
 
@@ -233,6 +266,21 @@ def test_chat_branches(spark):
     assert chat_format.format_reply_trees(df.limit(0), Stage(spark, "t")).count() == 0
 
 
+def test_chat_very_long_chain(spark):
+    n = 100_000
+    node = F.col("id")
+    df = spark.range(n).select(F.lit("t").alias("tree"), node.alias("node"), F.when(node > 0, node - 1).alias("parent"), F.when(node % 2 == 1, "assistant").otherwise("user").alias("role"), node.cast("string").alias("text"), F.lit(0.5).alias("score"))
+    r = chat_format.format_reply_trees(df, Stage(spark, "t")).select("leaf", "score", chat_format.read_turns(F.col("formatted")).alias("turns")).collect()
+    assert len(r) == 1 and r[0]["leaf"] == n - 1 and r[0]["score"] == n / 2 and [x["text"] for x in r[0]["turns"]] == [str(i) for i in range(n)]
+
+
+def test_chat_wide_tree(spark):
+    """One message with most of the replies; the best branch of it and of others."""
+    data = [("t", 0, None, "user", "root", 0.0, 0)] + [("t", i, 0, "assistant", f"r{i}", float(i % 977), 0) for i in range(1, 5000)] + [(f"u{i}", 1, None, "user", "x", 0.0, 0) for i in range(50)]
+    out = chat_format.format_reply_trees(spark.createDataFrame(data, MESSAGES), Stage(spark, "t")).collect()
+    assert len(out) == 51 and {r["leaf"]: r["score"] for r in out if r["tree"] == "t"} == {976: 976.0}
+
+
 def test_chat_long_chain(spark):
     n = 300
     df = spark.createDataFrame([("t", i, i - 1 if i else None, "assistant" if i % 2 else "user", f"text {i}", 0.0, 0) for i in range(n)], MESSAGES)
