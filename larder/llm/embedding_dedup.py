@@ -33,7 +33,7 @@ from larder.llm.components import components
 from larder.llm.hnsw import Hnsw, pack, unpack
 from larder.llm.kernels import U64, mix
 from larder.llm.sstable import filesystem
-from larder.llm.staging import Stage, deal_keys
+from larder.llm.staging import Stage
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -55,9 +55,8 @@ def build_shards(vectors: DataFrame, root: str, shards: dict[int, int], width: i
     """vectors: id, dim, shard, vector.  A file per shard with its ids, vectors and graph; returns dim, shard, path, count."""
     spark = vectors.sparkSession
     places = {(d, s): i for i, (d, s) in enumerate((d, s) for d in sorted(shards) for s in range(shards[d]))}
-    keys = deal_keys(spark, len(places))
-    table = spark.createDataFrame([(d, s, keys[i]) for (d, s), i in places.items()], "dim int, shard int, key int")
-    dealt = vectors.join(F.broadcast(table), ["dim", "shard"]).repartition(len(places), "key").select("id", "dim", "shard", "vector")
+    table = spark.createDataFrame([(d, s, i) for (d, s), i in places.items()], "dim int, shard int, part int")
+    dealt = vectors.join(F.broadcast(table), ["dim", "shard"]).repartitionById(len(places), "part").select("id", "dim", "shard", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts, where = [], [], None

@@ -1,4 +1,4 @@
-"""Tables written in the folder that the cluster shares, and key tables for even deals."""
+"""Tables written in the folder that the cluster shares, and numbers of partitions."""
 
 from __future__ import annotations
 
@@ -55,17 +55,6 @@ class Stage:
         _delete(self.spark, self.path(name))
 
 
-def deal_keys(spark: SparkSession, n: int) -> list[int]:
-    """For each partition p of repartition(n, key): an integer key that lands in p."""
-    keys: dict[int, int] = {}
-    size = 8 * n + 64
-    while len(keys) < n:
-        rows = spark.range(0, size, 1, 1).select("id", F.expr(f"pmod(hash(cast(id as int)), {n})").alias("p"))
-        keys = {r["p"]: r["k"] for r in rows.groupBy("p").agg(F.min("id").alias("k")).collect()}
-        size *= 2
-    return [keys[p] for p in range(n)]
-
-
 def spread(df: DataFrame) -> DataFrame:
     """The rows, dealt anew where the input has fewer splits than the cluster has cores (small or single-block files)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

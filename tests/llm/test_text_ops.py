@@ -7,12 +7,12 @@ import pytest
 from brute import ALNUM, SPACES, contamination, kept_digest, near_duplicates, removed, union_find
 from pyspark.sql import functions as F
 
-from larder.llm import bloom, kernels
+from larder.llm import bloom, kernels, substring_dedup
 from larder.llm.components import components
 from larder.llm.decontaminate import decontaminate
 from larder.llm.near_dup import _sieve, heads_for, least_shared
 from larder.llm.near_dup import near_duplicates as near
-from larder.llm.staging import Stage, deal_keys
+from larder.llm.staging import Stage
 from larder.llm.substring_dedup import dedup_substrings
 
 DOCS = "doc_id long, text string"
@@ -106,11 +106,13 @@ def test_near_duplicates_of_a_chain(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == near_duplicates(docs, 85)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_substrings(spark, seed):
+@pytest.mark.parametrize("seed, bits, buffer", [(1, 64, 16 << 20), (2, 64, 2000), (3, 3, 16 << 20), (4, 64, 1)])
+def test_substrings(spark, seed, bits, buffer, monkeypatch):
+    """Against brute force; with hashes that deceive, and with buffers so small that all is left to the blocks."""
+    monkeypatch.setattr(substring_dedup, "BUFFER_BYTES", buffer)
     docs = corpus(seed, 70)
     df = spark.createDataFrame([(i, t, "f", 2.0) for i, t in docs], f"{DOCS}, factors string, key double").repartition(4)
-    got = dedup_substrings(df, Stage(spark, "t")).collect()
+    got = dedup_substrings(df, Stage(spark, "t"), hash_bits=bits).collect()
     want = sorted((i is None, i or 0, len(w), sum(g), kept_digest(w, g)) for i, w, g in removed(docs))
     assert want == sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"], hashlib.sha256(" ".join(SPACES.findall(r["text"] or "")).encode()).hexdigest()) for r in got)
     assert any(r["n_removed"] for r in got) and all(f["words"] >= 50 and f["source"] < r["doc_id"] for r in got for f in r["factors"])
@@ -124,6 +126,62 @@ def test_substrings(spark, seed):
     assert dedup_substrings(spark.createDataFrame([], DOCS), Stage(spark, "t")).count() == 0
 
 
+def plain_factors(runs, docs):
+    """For each run the greedy parse with longest matches in runs of smaller documents: (run, place, windows)."""
+    out = []
+    for r, run in enumerate(runs):
+        at = 0
+        while at < len(run):
+            best = 0
+            for o, other in enumerate(runs):
+                for q in range(len(other)) if docs[o] < docs[r] else ():
+                    n = 0
+                    while at + n < len(run) and q + n < len(other) and run[at + n] == other[q + n]:
+                        n += 1
+                    best = max(best, n)
+            if best:
+                out.append((r, at, best))
+            at += max(best, 1)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_greedy_parse_by_suffix_array(seed):
+    rng = random.Random(seed)
+    runs = [[rng.randrange(1 + seed % 4 * 2) for _ in range(rng.randrange(1, 30))] for _ in range(25)]
+    docs = [rng.randrange(8) for _ in runs]
+    size = np.array([len(r) for r in runs])
+    stop = np.cumsum(size)
+    group, run = np.array([x for r in runs for x in r]), np.repeat(np.arange(len(runs)), size)
+    length, source = substring_dedup.longest_matches(group, stop[run] - np.arange(len(run)), np.array(docs)[run])
+    here = substring_dedup.greedy_factors(length, stop - size, stop)
+    assert sorted(zip(run[here].tolist(), (here - (stop - size)[run[here]]).tolist(), length[here].tolist(), strict=True)) == plain_factors(runs, docs)
+    for a in here.tolist():
+        b, n = source[a], length[a]
+        assert docs[run[b]] < docs[run[a]] and (group[a : a + n] == group[b : b + n]).all()
+
+
+def test_factors_that_continue_each_other_are_joined():
+    f = np.array([[1, 0, 5, 9, 100], [1, 5, 3, 9, 105], [1, 2, 2, 9, 102], [1, 20, 4, 9, 120], [1, 0, 5, 8, 100], [2, 0, 5, 9, 100], [1, 0, 5, 9, 100]]).T
+    assert sorted(map(tuple, substring_dedup._joined(f).T.tolist())) == [(1, 0, 5, 8, 100), (1, 0, 8, 9, 100), (1, 20, 4, 9, 120), (2, 0, 5, 9, 100)]
+    assert substring_dedup._joined(np.zeros((5, 0), np.int64)).shape == (5, 0)
+
+
+def test_a_passage_in_every_document(spark):
+    """Very common anchors: the passage and its surroundings, with very long texts among the documents."""
+    rng = random.Random(12)
+    passage = words(rng, 120, 5000)
+    docs = [(i, " ".join(words(rng, rng.randrange(0, 40), 5000) + passage + words(rng, rng.randrange(0, 40), 5000))) for i in range(400)]
+    long = words(rng, 260_000, 5000)
+    docs += [(1000, " ".join(long)), (1001, " ".join(long[1000:200_000] + ["x"] + passage[3:90] + long[:500]))]
+    df = spark.createDataFrame(docs, DOCS).repartition(6)
+    got = {r["doc_id"]: r for r in dedup_substrings(df, Stage(spark, "t")).collect()}
+    for i, w, gone in removed(docs):
+        assert (got[i]["n_words"], got[i]["n_removed"]) == (len(w), sum(gone)), i
+        assert SPACES.findall(got[i]["text"]) == [x for x, g in zip(w, gone, strict=True) if not g]
+    assert len(docs[-1][1]) > 1 << 20  # more than a chunk
+
+
 def test_substrings_keep_line_ends(spark):
     w = [f"q{i}" for i in range(60)]
     docs = [(1, " ".join(w)), (2, "head line\n" + " ".join(w) + "\ntail\nline")]
@@ -171,6 +229,5 @@ def test_bloom_and_deal(spark):
     own = np.array([k[0] for k in keys], dtype=np.int64)
     assert f.count > 1 and f.has(own).all() and f.has(own + 1).mean() < 0.05
     assert not bloom.build(df.limit(0), "k", 0).has(own[:3]).any()
-    n = 7
-    dealt = spark.createDataFrame([(k, i) for i, k in enumerate(deal_keys(spark, n))], "k int, i int").repartition(n, "k").select("i", F.spark_partition_id().alias("p"))
+    dealt = spark.range(7).withColumn("i", F.col("id").cast("int")).repartitionById(7, "i").select("i", F.spark_partition_id().alias("p"))
     assert all(r["i"] == r["p"] for r in dealt.collect())
