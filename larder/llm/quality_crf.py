@@ -7,16 +7,25 @@ transitions labels the lines of a document together.  Forward-backward gives
 each line's marginal; their length-weighted mean is the document's quality,
 which a fitted logistic curve turns into a probability.
 
-Lines take their document's label while fitting.  The model is fitted on the
-driver from at most `sample` labelled documents (those whose ids hash lowest),
-each of at most `sample_lines` lines; that bounds what is gathered.  Scoring is
-one narrow pass over whole texts.
+Only documents have labels; those of lines are latent.  Fitting climbs the
+likelihood of the documents' labels through forward-backward: the gradient of a
+weighted sum of marginals is the change of all expectations as the weights are
+added to the lines' scores.  So a line that stands in good documents as well
+stays good, whatever the document it is in.  It starts from lines labelled as
+their documents are, apart and by their own features.
+
+The model is fitted on the driver from at most `sample` labelled documents
+(those whose ids hash lowest), each of at most `sample_lines` lines and all of
+at most `sample_total` lines (the first in that order); that bounds what is
+gathered.  Scoring is one narrow pass over whole texts.
 
 Defined results: a null, empty or blank text has no lines and the score of
 quality 0; null labels and labels without a document are ignored, contradicting
-labels of one id count as bad; repeated rows score alike; with no labels at all
-the score is a fixed, unfitted one.  Extra columns pass through; the operator's
-own column names replace columns of the same name.
+labels of one id count as bad; of texts that share an id one is fitted on;
+repeated rows score alike; a very long text is scored whole; with no labels at
+all the score is a fixed, unfitted one; an empty table gives an empty table.
+Extra columns pass through; the operator's own column names replace columns of
+the same name.
 """
 
 from __future__ import annotations
@@ -29,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.kernels import _BYTES, _LETTER, U64, chunks, mix, string_views
+from larder.llm.staging import Stage, spread
 
 N_OWN = 20
 N_FEATURES = 3 * N_OWN + 3
@@ -157,11 +167,24 @@ def with_neighbours(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+SOFT = 1e-3  # keeps the log-odds of a quality finite
+
+
+def _adam(theta: np.ndarray, gradient, rounds: int, rate: float) -> np.ndarray:
+    """Climbs by gradients (a function of theta), with Adam's steps."""
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for r in range(1, rounds + 1):
+        g = gradient(theta)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta + rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
+    return theta
+
+
 class LineCrf:
-    """weights: of state good against bad; move: transition scores; curve: quality to probability."""
+    """weights: of state good against bad; move: transition scores; curve: quality to probability; cut: P(good) below which a line is bad."""
 
     def __init__(self) -> None:
-        self.weights, self.move, self.curve = np.zeros(N_FEATURES), np.eye(2) * 0.5, np.array([0.0, 1.0])
+        self.weights, self.move, self.curve, self.cut = np.zeros(N_FEATURES), np.eye(2) * 0.5, np.array([0.0, 1.0]), 0.5
 
     def _emit(self, f: np.ndarray) -> np.ndarray:
         half = (f @ self.weights.astype(np.float32)).astype(np.float64) / 2
@@ -174,35 +197,72 @@ class LineCrf:
 
     @staticmethod
     def _logit(q: np.ndarray) -> np.ndarray:
-        q = np.clip(q, 1e-4, 1 - 1e-4)
+        q = SOFT + (1 - 2 * SOFT) * q
         return np.log(q / (1 - q))
 
-    def fit(self, x: np.ndarray, doc: np.ndarray, size: np.ndarray, good: np.ndarray, rounds: int = 250, l2: float = 1e-3) -> LineCrf:
+    def likelihood(self, f: np.ndarray, chains: Chains, doc: np.ndarray, size: np.ndarray, good: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean log-likelihood of the documents' labels, and its gradient by weights and transitions (in a row)."""
+        docs, emit = len(good), self._emit(f)
+        weight = size / np.maximum(np.bincount(doc, size, docs), 1)[doc]
+        q = np.bincount(doc, chains.marginals(emit, self.move)[0][:, 1] * weight, docs)
+        z = self.curve[0] + self.curve[1] * self._logit(q)
+        value = -np.logaddexp(0, np.where(good == 1, -z, z)).mean()
+        soft = SOFT + (1 - 2 * SOFT) * q
+        by_quality = (good - 1 / (1 + np.exp(-z))) * self.curve[1] * (1 - 2 * SOFT) / (soft * (1 - soft)) / docs
+        pull = by_quality[doc] * weight  # of each line's marginal
+        step = 1e-3 / max(np.abs(pull).max(), 1e-300)
+        sides = []
+        for sign in (1, -1):
+            moved = emit.copy()
+            moved[:, 1] += sign * step * pull
+            p, pairs, _ = chains.marginals(moved, self.move)
+            sides.append((p[:, 1], pairs))
+        by_line, by_move = ((a - b) / (2 * step) for a, b in zip(*sides, strict=True))
+        return float(value), np.concatenate([f.T @ by_line, by_move.ravel()])
+
+    def _fit_curve(self, q: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """Newton steps of a logistic fit."""
+        z, c = np.stack([np.ones(len(q)), self._logit(q)], axis=1), np.array([0.0, 0.5])
+        for _ in range(50):
+            s = 1 / (1 + np.exp(-z @ c))
+            h = (z * (s * (1 - s))[:, None]).T @ z + 1e-2 * np.eye(2)
+            c = c + np.linalg.solve(h, z.T @ (good - s) - 1e-2 * c)
+        return c
+
+    def fit(self, x: np.ndarray, doc: np.ndarray, size: np.ndarray, good: np.ndarray, first: int = 80, rounds: int = 20, turns: int = 4, l2: float = 1e-3, around: float = 30.0) -> LineCrf:
         """doc: document of each line, 0 on; good: label of each document."""
         docs = len(good)
-        if docs and good.min() != good.max() and len(x):
-            f, y = with_neighbours(x, doc), good[doc].astype(np.float64)
-            chains = Chains(doc, docs)
-            inside = np.bincount(good, weights=np.maximum(chains.counts - 1, 0), minlength=2)
-            m = np.zeros(N_FEATURES + 4)
-            v, theta = np.zeros_like(m), np.concatenate([self.weights, self.move.ravel()])
-            for r in range(1, rounds + 1):  # Adam on the mean log-likelihood of a line
-                self.weights, self.move = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
-                p, pairs, _ = chains.marginals(self._emit(f), self.move)
-                g = np.concatenate([f.T @ (y - p[:, 1]), (np.diag(inside) - pairs).ravel()]) / len(x) - l2 * theta
-                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                theta = theta + 0.05 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
+        if not docs or good.min() == good.max() or not len(x):
+            return self
+        f, y = with_neighbours(x, doc), good[doc].astype(np.float64)
+        own = np.zeros(N_FEATURES)
+        own[:N_OWN] = own[-1] = 1  # neighbours come in with the chain
+
+        def apart(w: np.ndarray) -> np.ndarray:
+            p = 1 / (1 + np.exp(-(f @ w.astype(np.float32)).astype(np.float64)))
+            return (f.T @ (y - p) / len(x) - l2 * w) * own
+
+        self.weights = _adam(self.weights, apart, first, 0.1)
+        chains, start = Chains(doc, docs), self.move.copy()
+        pulled = l2 * np.concatenate([np.where(own, 1, around), np.ones(4)])
+
+        def through(theta: np.ndarray) -> np.ndarray:
+            self.weights, self.move = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
+            away = np.concatenate([self.weights, (self.move - start).ravel()])
+            return self.likelihood(f, chains, doc, size, good)[1] - pulled * away
+
+        for _ in range(turns):
+            self._calibrate(chains.marginals(self._emit(f), self.move)[0][:, 1], doc, size, good)
+            theta = _adam(np.concatenate([self.weights, self.move.ravel()]), through, rounds, 0.03)
             self.weights, self.move = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
-            p = chains.marginals(self._emit(f), self.move)[0]
-            z = np.stack([np.ones(docs), self._logit(self._quality(p[:, 1], doc, size, docs))], axis=1)
-            c = np.array([0.0, 0.5])
-            for _ in range(50):  # Newton steps of a logistic fit
-                q = 1 / (1 + np.exp(-z @ c))
-                h = (z * (q * (1 - q))[:, None]).T @ z + 1e-2 * np.eye(2)
-                c = c + np.linalg.solve(h, z.T @ (good - q) - 1e-2 * c)
-            self.curve = c
+        self._calibrate(chains.marginals(self._emit(f), self.move)[0][:, 1], doc, size, good)
         return self
 
+    def _calibrate(self, p: np.ndarray, doc: np.ndarray, size: np.ndarray, good: np.ndarray, rare: float = 0.002) -> None:
+        """The curve from quality to probability, and the marginal below which a line is bad: `rare` among lines of good documents."""
+        self.curve = self._fit_curve(self._quality(p, doc, size, len(good)), good)
+        self.cut = float(np.clip(np.quantile(p[good[doc] == 1], rare), 0.05, 0.95))
+
     def score(self, x: np.ndarray, doc: np.ndarray, size: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
         """Score of each document and P(good) of each line."""
         p = Chains(doc, docs).marginals(self._emit(with_neighbours(x, doc)), self.move)[0][:, 1] if len(x) else np.zeros(0)
@@ -214,11 +274,13 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 6000, sample_lines: int = 2000) -> LineCrf:
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 6000, sample_lines: int = 2000, sample_total: int = 200_000,
+) -> LineCrf:
     """Fits on labelled documents that are not held out."""
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("good")).where("doc_id IS NOT NULL AND good IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("good").alias("good"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` pairs of numbers
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` pairs of numbers, in this order
     good = {r[0]: int(r[1] > 0) for r in chosen.collect()}
     if not good:
         return LineCrf()
@@ -234,13 +296,31 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
                 first = np.searchsorted(doc, np.arange(hi - lo + 1))
                 own = [i for i in range(hi - lo) if 0 < first[i + 1] - first[i] <= sample_lines]
                 ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], pa.int64()), pa.array([x[first[i] : first[i + 1]].tobytes() for i in own], pa.binary()), pa.array([size[first[i] : first[i + 1]].astype(np.int64).tobytes() for i in own], pa.binary())], names=["doc_id", "x", "size"])
-
-    got = sorted(rows.mapInArrow(run, "doc_id long, x binary, size binary").collect(), key=lambda r: (r[0], bytes(r[1])))[: 2 * sample]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids[i] for i in own], pa.int64()), pa.array([int(first[i + 1] - first[i]) for i in own], pa.int64()),
+                        pa.array([x[first[i] : first[i + 1]].tobytes() for i in own], pa.binary()), pa.array([size[first[i] : first[i + 1]].astype(np.int64).tobytes() for i in own], pa.binary()),
+                    ],
+                    names=["doc_id", "lines", "x", "size"],
+                )
+
+    found = rows.mapInArrow(run, "doc_id long, lines long, x binary, size binary")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("lines", "x", "size")).alias("f")).select("doc_id", "f.*")  # rows may repeat an id
+    stage = Stage(spark, "quality")
+    one = stage.table(one, "sample")
+    lines = {r[0]: r[1] for r in one.select("doc_id", "lines").collect()}  # at most `sample` pairs
+    total, ids = 0, []
+    for i in good:
+        total += lines.get(i, 0)
+        if i in lines and total <= sample_total:
+            ids.append(i)
+    got = {r["doc_id"]: r for r in one.where(F.col("doc_id").isin(ids)).collect()} if ids else {}
+    stage.drop("sample")
     if not got:
         return LineCrf()
-    xs = [np.frombuffer(r[1], np.float32).reshape(-1, N_OWN) for r in got]
-    return LineCrf().fit(np.concatenate(xs), np.repeat(np.arange(len(xs)), [len(a) for a in xs]), np.concatenate([np.frombuffer(r[2], np.int64) for r in got]).astype(np.float64), np.array([good[r[0]] for r in got]))
+    xs = [np.frombuffer(got[i]["x"], np.float32).reshape(-1, N_OWN) for i in ids]
+    sizes = np.concatenate([np.frombuffer(got[i]["size"], np.int64) for i in ids]).astype(np.float64)
+    return LineCrf().fit(np.concatenate(xs), np.repeat(np.arange(len(xs)), [len(a) for a in xs]), sizes, np.array([good[i] for i in ids]))
 
 
 def score_quality(docs: DataFrame, model: LineCrf, text: str = "text") -> DataFrame:
@@ -257,7 +337,7 @@ def score_quality(docs: DataFrame, model: LineCrf, text: str = "text") -> DataFr
             for lo, hi in chunks(offsets):
                 x, doc, number, size = line_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 score, p = shared.value.score(x, doc, size, hi - lo)
-                bad = p < 0.5
+                bad = p < shared.value.cut
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[bad], minlength=hi - lo))]).astype(np.int32)
                 bad_lines = pa.ListArray.from_arrays(pa.array(cuts), pa.array(number[bad].astype(np.int32)))
                 part = batch.slice(lo, hi - lo)
@@ -267,6 +347,6 @@ def score_quality(docs: DataFrame, model: LineCrf, text: str = "text") -> DataFr
 
 
 def op3_quality_crf(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines", F.size("bad_lines").alias("n_bad_lines"))
