@@ -33,6 +33,15 @@ def repair_list(reply: Column) -> Column:
     return F.coalesce(parsed(F.trim(reply)), F.when(inner != "", parsed(inner)), quoted)
 
 
+def json_objects(reply: Column, kind: str) -> Column:
+    """A list of objects (`kind`, a struct): a JSON array without its fences, else every line that is an object."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(reply, r"```json\s*", ""), r"```\s*", ""))
+    whole = F.when(F.try_parse_json(plain).isNotNull() & plain.startswith("["), F.from_json(plain, f"array<{kind}>"))
+    lines = F.transform(F.split(plain, "\n"), lambda x: F.rtrim(F.trim(x), F.lit(",")))
+    good = F.filter(lines, lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull())
+    return F.coalesce(whole, F.transform(good, lambda x: F.from_json(x, kind)))
+
+
 def targets(reply_json: Column) -> Column:
     """Struct of the four targets; what is missing or no number gets its default."""
     v = F.try_parse_json(reply_json)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import word_set
+from larder.operators.kb import dense_ids
 
 
 def set_metrics(truth: Column, predicted: Column) -> Column:
@@ -69,6 +70,21 @@ def regression(rows: DataFrame, predicted: str, truth: str, threshold: float) ->
     return rows.where(e.isNotNull()).agg(F.avg((e < threshold).cast("double")).alias("acc"), F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count("*").alias("n"))
 
 
+def paired(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Rows of two runs side by side by their place in the order of a distinct key (columns of b get `_b`); none if the runs differ in length."""
+    if a.count() != b.count():
+        return a.join(b.select(*(F.col(c).alias(f"{c}_b") for c in b.columns)), F.lit(False))
+    place = lambda df: df.join(dense_ids(df, key, "place"), key)
+    other = place(b).select("place", *(F.col(c).alias(f"{c}_b") for c in b.columns))
+    return place(a).join(other, "place").drop("place")
+
+
+def sweep(runs: DataFrame, row: str, column: str, score: str, columns: list) -> DataFrame:
+    """A table of the best score by row and column of a sweep, with the best of each row."""
+    wide = runs.groupBy(row).pivot(column, columns).agg(F.max(score))
+    return wide.join(runs.groupBy(row).agg(F.max(score).alias("best")), row)
+
+
 def compare_errors(a: DataFrame, b: DataFrame, band: float = 0.5) -> DataFrame:
     """Samples of two runs (doc_id, mae) side by side: delta and better, same or worse."""
     both = a.select("doc_id", F.col("mae").alias("mae_a")).join(b.select("doc_id", F.col("mae").alias("mae_b")), "doc_id")
@@ -155,6 +171,11 @@ def query_costs(results: DataFrame) -> DataFrame:
     return results.select("query_id", add(lambda t: t["input_tokens"]).alias("input_tokens"), add(lambda t: t["output_tokens"]).alias("output_tokens"), add(lambda t: t["inference_time_s"], "double").alias("llm_s"), add(lambda t: tools(t, lambda c: c["execution_time_s"]), "double").alias("tool_s"), add(lambda t: F.size(t["tool_calls"])).alias("calls"))
 
 
+def overall_costs(per_query: DataFrame) -> DataFrame:
+    """Mean of every measure over the queries that have it."""
+    return per_query.agg(*(F.avg(c).alias(c) for c in per_query.columns if c != "query_id"), F.count("*").alias("queries"))
+
+
 def tool_costs(results: DataFrame) -> DataFrame:
     calls = results.select(F.explode("llm_turns").alias("t")).select(F.inline("t.tool_calls"))
     return calls.groupBy("tool_name").agg(F.count("*").alias("calls"), F.avg("args_tokens").alias("args_tokens"), F.avg("result_tokens").alias("result_tokens"), F.avg("execution_time_s").alias("seconds"))

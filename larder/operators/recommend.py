@@ -94,9 +94,13 @@ def free_of_terms(ingredients: Column, terms: Column) -> Column:
     return ~F.exists(ingredients, lambda i: F.exists(heads, lambda t: F.contains(F.lower(i), t)))
 
 
-def recipe_context(recipes: DataFrame, uses: DataFrame, tags: DataFrame | None = None) -> DataFrame:
-    """Recipes with their distinct ingredient names and tags, sorted."""
-    ing = uses.groupBy("recipe_id").agg(F.sort_array(F.collect_set("ingredient_name")).alias("ingredients"))
+def recipe_context(recipes: DataFrame, uses: DataFrame, tags: DataFrame | None = None, place: str | None = None) -> DataFrame:
+    """Recipes with their distinct ingredient names and tags, sorted; ingredients as first seen if `place` says where each stands."""
+    if place is None:
+        ing = uses.groupBy("recipe_id").agg(F.sort_array(F.collect_set("ingredient_name")).alias("ingredients"))
+    else:
+        first = uses.groupBy("recipe_id", "ingredient_name").agg(F.min(place).alias("at"))
+        ing = first.groupBy("recipe_id").agg(F.sort_array(F.collect_list(F.struct("at", "ingredient_name")))["ingredient_name"].alias("ingredients"))
     out = recipes.join(ing, "recipe_id", "left")
     if tags is not None:
         out = out.join(tags.groupBy("recipe_id").agg(F.sort_array(F.collect_set("tag_name")).alias("tags")), "recipe_id", "left")

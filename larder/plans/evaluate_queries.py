@@ -112,6 +112,19 @@ def seed_leaderboard(t):
     return ev.leaderboard(runs, "score", "seed").select("seed", "score", "best_so_far", "place")
 
 
+@query("""SELECT l_shipmode, a, n, r, best FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, max(l_quantity) FILTER (WHERE l_linenumber = 1) AS a, max(l_quantity) FILTER (WHERE l_linenumber = 2) AS n, max(l_quantity) FILTER (WHERE l_linenumber = 3) AS r, max(l_quantity) AS best FROM lineitem GROUP BY 1)""")
+def model_sweep(t):
+    runs = t.lineitem.select(F.concat("l_returnflag", "l_linestatus").alias("l_shipmode"), "l_linenumber", "l_quantity")
+    return ev.sweep(runs, "l_shipmode", "l_linenumber", "l_quantity", [1, 2, 3]).select("l_shipmode", F.col("1").alias("a"), F.col("2").alias("n"), F.col("3").alias("r"), "best")
+
+
+@query("""SELECT s_suppkey AS key, c_custkey AS key_b, s_acctbal AS value, c_acctbal AS value_b FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier) JOIN (SELECT *, row_number() OVER (ORDER BY c_custkey) AS m FROM customer WHERE c_custkey < (SELECT count(*) FROM supplier)) ON n = m""")
+def paired_by_place(t):
+    a = t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("value"))
+    b = t.customer.where(F.col("c_custkey") < a.count()).select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    return ev.paired(a, b, "key")
+
+
 @query("SELECT round(avg(l_discount / nullif(l_tax, 0)), 6) AS ratio FROM lineitem")
 def mean_ratio(t):
     return ev.mean_of_ratios(t.lineitem, "l_discount", "l_tax").select(F.round("ratio", 6).alias("ratio"))
@@ -169,6 +182,12 @@ def token_cost_rollup(t):
     return ev.query_costs(_turns(t))
 
 
+@query("""SELECT round(avg(i), 6) AS input_tokens, round(avg(3 * n), 6) AS output_tokens, round(avg(n), 6) AS calls, count(*) AS queries FROM (SELECT sum(greatest(1, length(text) // 4)) AS i, count(*) AS n FROM conversations GROUP BY conv_id)""")
+def overall_costs(t):
+    out = ev.overall_costs(ev.query_costs(_turns(t)))
+    return out.select(*(F.round(c, 6).alias(c) for c in ("input_tokens", "output_tokens", "calls")), "queries")
+
+
 @query("SELECT role AS tool_name, count(*) AS calls, 2.0::DOUBLE AS args_tokens, round(avg(length(text)), 6) AS result_tokens, round(avg(turn * 0.5::DOUBLE), 6) AS seconds FROM conversations GROUP BY 1")
 def per_tool_avg(t):
     return ev.tool_costs(_turns(t)).select("tool_name", "calls", "args_tokens", F.round("result_tokens", 6).alias("result_tokens"), F.round("seconds", 6).alias("seconds"))

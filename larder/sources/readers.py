@@ -8,17 +8,38 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions.jsonfix import first_name, lenient_double
+from larder.sources.files import Matrix
 
 SR_OFFSET = 1_000_000  # legacy food numbers are moved by this, so they cannot meet others
 
 
+def csv_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """A CSV file with a header, all columns as strings."""
+    return spark.read.csv(path, sep=sep, header=True, inferSchema=False, escape='"')
+
+
+def substitution_pairs(spark: SparkSession, path: str, food: str = "Food id", substitute: str = "Substitution id") -> DataFrame:
+    """Pairs of food URIs (food, substitute) from a file separated by semicolons; rows without both are left out."""
+    return csv_table(spark, path, ";").select(F.col(f"`{food}`").alias("food"), F.col(f"`{substitute}`").alias("substitute")).dropna()
+
+
+def patients(spark: SparkSession, path: str) -> DataFrame:
+    """Patients: id, illness, allergies, restrictions, severity, age, gender, body mass index and energy eaten a day (0 if unknown)."""
+    rows = csv_table(spark, path)
+    number = lambda c: F.col(c).try_cast("double")
+    return rows.select(
+        F.col("Patient_ID").alias("patient"), F.col("Disease_Type").alias("disease"), F.col("Allergies").alias("allergies"), F.col("Dietary_Restrictions").alias("restrictions"), F.col("Severity").alias("severity"),
+        F.col("Gender").alias("gender"), number("Age").alias("age"), number("BMI").alias("bmi"), F.coalesce(number("Daily_Caloric_Intake"), F.lit(0.0)).alias("energy_kcal"),
+    )
+
+
 def csv_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Every CSV file below a folder as a frame of strings, by file name without its ending."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path")
     paths = sorted(r["path"] for r in files.collect())  # names only; a catalogue of files is small
     if not paths:
         raise FileNotFoundError(f"no CSV files below {root}")
-    return {p.rsplit("/", 1)[1].rsplit(".", 1)[0]: spark.read.csv(p, header=True, inferSchema=False, escape='"') for p in paths}
+    return {p.rsplit("/", 1)[1].rsplit(".", 1)[0]: csv_table(spark, p) for p in paths}
 
 
 def column_sets(tables: dict[str, DataFrame]) -> dict[str, set[str]]:
@@ -99,11 +120,21 @@ def eval_samples(spark: SparkSession, path: str) -> DataFrame:
 METRICS = ["task_success", "task_progress", "reward", "num_steps", "planner_steps", "planner_output_error", "num_invalid_actions", "num_invalid_action_ratio", "empty_plan", "episode_elapsed_seconds"]
 
 
+def _episode_files(spark: SparkSession, root: str) -> DataFrame:
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "episode_*_final_res.json").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    return raw.withColumns({"subset": F.regexp_extract("path", r"([^/]+)/(?:results/)?episode_[^/]*$", 1), "file": F.regexp_extract("path", r"([^/]+)$", 1)})
+
+
+def unreadable_episodes(spark: SparkSession, root: str) -> DataFrame:
+    """The episode files that `episodes` leaves out, so that they can be reported: subset, file."""
+    return _episode_files(spark, root).where(F.try_parse_json("value").isNull()).select("subset", "file")
+
+
 def episodes(spark: SparkSession, root: str) -> DataFrame:
     """One row per readable episode file below root/<subset>/; files that are no JSON objects are left out."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "episode_*_final_res.json").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    raw = _episode_files(spark, root)
     v = F.try_parse_json("value")
-    rows = raw.where(v.isNotNull()).select(F.regexp_extract("path", r"([^/]+)/(?:results/)?episode_[^/]*$", 1).alias("subset"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), *(F.try_variant_get(v, f"$.{m}", "double").alias(m) for m in METRICS), F.try_variant_get(v, "$.instruction", "string").alias("instruction"))
+    rows = raw.where(v.isNotNull()).select("subset", "file", *(F.try_variant_get(v, f"$.{m}", "double").alias(m) for m in METRICS), F.try_variant_get(v, "$.instruction", "string").alias("instruction"))
     return rows
 
 
@@ -124,8 +155,8 @@ def tool_log(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(shape)).select(F.regexp_extract("value", shape, 1).cast("int").alias("step"), F.regexp_extract("value", shape, 2).alias("tool"), F.regexp_extract("value", shape, 3).alias("args"))
 
 
-def settings(spark: SparkSession, text: str, schema: str) -> DataFrame:
-    """A small YAML or JSON list or map of records (with the key as `name`); YAML where the parser is installed."""
+def settings(spark: SparkSession, text: str, schema: str, level: str | None = None) -> DataFrame:
+    """A small YAML or JSON list or map of records (with the key as `name`), those of one `level` if given; YAML where the parser is installed."""
     try:
         data = json.loads(text)
     except ValueError:
@@ -135,22 +166,37 @@ def settings(spark: SparkSession, text: str, schema: str) -> DataFrame:
             raise ValueError("this text is no JSON, and no YAML parser is installed") from e
         data = yaml.safe_load(text)
     rows = [{"name": k} | v for k, v in data.items()] if isinstance(data, dict) else data
-    return spark.read.schema(schema).json(spark.sparkContext.parallelize([json.dumps(r, default=str) for r in rows], 1))
+    rows = [r for r in rows if level is None or r.get("level") == level]
+    lines = spark.createDataFrame([(json.dumps(r, default=str),) for r in rows], "value string")
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
-def vector_file(spark: SparkSession, path: str, ids: str | None = None) -> DataFrame:
-    """A .npy matrix as id and vec, by row number or by the ids of a second file; rows are read where they lie."""
-    import numpy as np
+def hosted_samples(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """A copy of a hosted question set: doc_id, meal_description, carb, protein, fat and energy (numbers, null if they are none)."""
+    rows = spark.read.format(kind).load(path)
+    have = {c.lower(): c for c in rows.columns}
+    number = lambda c: (F.col(f"`{have[c]}`").try_cast("double") if c in have else F.lit(None).cast("double")).alias(c)
+    key = F.col(f"`{have['doc_id']}`").cast("long") if "doc_id" in have else F.xxhash64(f"`{have['meal_description']}`")
+    return rows.select(key.alias("doc_id"), F.col(f"`{have['meal_description']}`").alias("meal_description"), *map(number, ("carb", "protein", "fat", "energy")))
+
 
+def vector_file(spark: SparkSession, path: str, ids: str | None = None, rows: int = 4096) -> DataFrame:
+    """A .npy matrix as id and vec, by row number or by the ids of a second file.  Tasks read their own rows, from any file system."""
+    import numpy as np
     import pyarrow as pa
 
-    n = int(np.load(path, mmap_mode="r", allow_pickle=False).shape[0])
+    x = Matrix(path)
+    n = len(x)
+    x.close()
 
     def run(batches):
-        x = np.load(path, mmap_mode="r", allow_pickle=False)
-        keys = np.load(ids, mmap_mode="r", allow_pickle=False) if ids else None
+        x, keys = Matrix(path), Matrix(ids) if ids else None
         for b in batches:
-            at = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(keys[at]) if keys is not None else at, pa.int64()), pa.array(list(np.asarray(x[at], dtype=np.float32)), pa.list_(pa.float32()))], names=["id", "vec"])
-
-    return spark.range(n).mapInArrow(run, "id long, vec array<float>")
+            for start in b.column(0).to_pylist():
+                stop = min(start + rows, n)
+                own = keys.rows(start, stop) if keys else np.arange(start, stop)
+                part = x.rows(start, stop).astype(np.float32)
+                cuts = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(part.ravel()))], names=["id", "vec"])
+
+    return spark.range(0, n, rows).mapInArrow(run, "id long, vec array<float>")

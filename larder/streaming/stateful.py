@@ -81,23 +81,35 @@ def registry(requests: DataFrame, radius: float = 0.5) -> DataFrame:
     return requests.groupBy("map_id").applyInPandasWithState(step, OBJECT, "names array<string>, labels array<string>, xs array<double>, ys array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def watchdog(track: DataFrame, near: float = 0.5, step_m: float = 0.05, patience_s: float = 15.0, limit_s: float = 120.0) -> DataFrame:
-    """track: goal_id, t (seconds), distance.  Emits once how each drive ended: success, failed or timeout."""
+def watchdog(track: DataFrame, near: float = 0.5, step_m: float = 0.05, patience_s: float = 15.0, limit_s: float = 120.0, timer: bool = False) -> DataFrame:
+    """track: goal_id, t (seconds), distance.  Emits once how each drive ended: success, failed or timeout.
+
+    With `timer`, for live streams, a drive that says nothing for `patience_s` of the clock has failed as well.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, best, last, done = state.get if state.exists else (None, None, None, False)
         out = []
-        for t, d in pd.concat(list(batches)).sort_values("t")[["t", "distance"]].itertuples(index=False):
-            if done:
-                break
-            start = t if start is None else start
-            if best is None or d <= best - step_m:
-                best, last = d, t
-            end = "success" if d <= near else "failed" if t - last >= patience_s else "timeout" if t - start >= limit_s else None
-            if end:
-                out.append((key[0], end, float(t)))
-                done = True
-        state.update((start, best, last, done))
+        if state.hasTimedOut:
+            if not done:
+                out.append((key[0], "failed", float(last) if last is not None else None))
+            state.update((start, best, last, True))
+        else:
+            for t, d in pd.concat(list(batches)).sort_values("t")[["t", "distance"]].itertuples(index=False):
+                if done:
+                    break
+                start = t if start is None else start
+                if best is None or d <= best - step_m:
+                    best, last = d, t
+                end = "success" if d <= near else "failed" if t - last >= patience_s else "timeout" if t - start >= limit_s else None
+                if end:
+                    out.append((key[0], end, float(t)))
+                    done = True
+            state.update((start, best, last, done))
+            if timer and not done:
+                state.setTimeoutDuration(int(1000 * patience_s))
         yield pd.DataFrame(out, columns=["goal_id", "state", "t"])
 
-    return track.groupBy("goal_id").applyInPandasWithState(step, "goal_id string, state string, t double", "start double, best double, last double, done boolean", "append", GroupStateTimeout.NoTimeout)
+    kept = "start double, best double, last double, done boolean"
+    wait = GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout
+    return track.groupBy("goal_id").applyInPandasWithState(step, "goal_id string, state string, t double", kept, "append", wait)

@@ -298,6 +298,66 @@ def test_quality_accuracy(spark):
     assert np.mean([r[0] == r[1] for r in rows]) >= 0.95 and all(r[1] for r in rows if r[0])
 
 
+def spoiled(rng, line):
+    w = line.split()
+    return rng.choice([" | ".join(w), " ".join(x.upper() + "!!" for x in w), " ".join(x + rng.choice(["***", "$$$", "%%%"]) for x in w)])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_lines_are_labelled_one_by_one(spark):
+    """Bad lines planted in the middle of good documents are found, and the lines around them are left alone."""
+    rng = random.Random(3)
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality_crf.fit_quality(docs, labels)
+    good = docs.join(labels.where("quality = 1"), "doc_id").where(quality_crf.held_out(F.col("doc_id"))).collect()
+    made = {}
+    for r in good:
+        lines = r["text"].split("\n")
+        if len(lines) >= 5 and all(len(x.split()) > 7 for x in lines):
+            at = len(lines) // 2
+            made[r["doc_id"]] = (at, len(lines), "\n".join([*lines[:at], spoiled(rng, lines[at]), *lines[at + 1 :]]))
+    got = quality_crf.score_quality(spark.createDataFrame([(i, t) for i, (*_, t) in made.items()], "doc_id long, text string"), model).collect()
+    assert len(made) >= 10
+    found = sum(made[r["doc_id"]][0] in r["bad_lines"] for r in got)
+    wrong = sum(len(set(r["bad_lines"]) - {made[r["doc_id"]][0]}) for r in got)
+    assert found >= 0.9 * len(made) and wrong <= 0.05 * sum(n - 1 for _, n, _ in made.values())
+    clean = quality_crf.score_quality(docs.join(labels.where("quality = 1"), "doc_id"), model).agg(F.sum(F.size("bad_lines")), F.sum("n_lines")).first()
+    assert clean[0] <= 0.01 * clean[1]
+
+
+def test_gradient_through_marginals():
+    rng = np.random.default_rng(4)
+    doc = np.repeat(np.arange(6), [3, 1, 4, 2, 5, 3])
+    x, size, good = rng.normal(size=(len(doc), quality_crf.N_OWN)).astype(np.float32), rng.integers(1, 50, len(doc)).astype(float), np.array([0, 1, 0, 1, 1, 0])
+    f, chains, m = quality_crf.with_neighbours(x, doc), quality_crf.Chains(doc, 6), quality_crf.LineCrf()
+    m.weights, m.move, m.curve = rng.normal(size=quality_crf.N_FEATURES) * 0.3, rng.normal(size=(2, 2)), np.array([0.2, 1.3])
+    f = f.astype(np.float64)
+    m._emit = lambda f: np.stack([-(f @ m.weights) / 2, (f @ m.weights) / 2], axis=1)
+    value, gradient = m.likelihood(f, chains, doc, size, good)
+    theta = np.concatenate([m.weights, m.move.ravel()])
+    for i in [0, 7, 25, 44, 62, *range(len(theta) - 4, len(theta))]:
+        sides = []
+        for h in (1e-5, -1e-5):
+            t = theta.copy()
+            t[i] += h
+            m.weights, m.move = t[: quality_crf.N_FEATURES], t[quality_crf.N_FEATURES :].reshape(2, 2)
+            sides.append(m.likelihood(f, chains, doc, size, good)[0])
+        assert np.isclose((sides[0] - sides[1]) / 2e-5, gradient[i], rtol=1e-3, atol=1e-6)
+
+
+def test_quality_sample_is_bounded(spark):
+    """Repeated ids are fitted on once, and no more lines than asked for are gathered."""
+    text = "Plain words stand here.\nMore plain words stand there."
+    docs = [(1, text)] * 500 + [(i, text if i % 2 else "A!! B!!\nC!! D!!") for i in range(2, 40)] + [(40, "x\n" * 5000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id long, quality int")
+    for total in (10, 200_000):
+        model = quality_crf.fit_quality(df, labels, sample_total=total)
+        assert 0 < model.cut < 1
+    out = {r["doc_id"]: r["score"] for r in quality_crf.score_quality(df, model).collect()}
+    assert out[1] > 0.5 > out[2] and out[3] > 0.5 and quality_crf.fit_quality(df, labels, sample_total=1).curve[1] == 1
+
+
 def test_quality_edges(spark):
     docs = [(1, "Plain words here.\nMore plain words."), (2, None), (3, ""), (4, "\n\n"), (5, "AAA!! BBB!!\n" * 3), (6, "one"), (None, "x"), (1, "Plain words here.\nMore plain words.")]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in docs], "doc_id long, text string, score double")

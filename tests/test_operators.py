@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import scores
+from larder.functions.jsonfix import json_objects
 from larder.operators import evaluate, graph, kb, models, recommend, retrieval, spatial
 from larder.sources import readers, remote, sinks
 from larder.streaming import stateful, windows
@@ -63,6 +64,16 @@ def test_episodes_and_files(spark, tmp_path):
     (d / "episode_2_final_res.json").write_text("broken")
     assert rows(readers.episodes(spark, str(tmp_path)).select("subset", "file", "task_success")) == [("base", "episode_1_final_res.json", 1.0)]
     assert readers.latest_file(spark, str(tmp_path), "*.json").first()[0].endswith("episode_2_final_res.json")
+    assert rows(readers.unreadable_episodes(spark, str(tmp_path))) == [("base", "episode_2_final_res.json")]
+    np.save(tmp_path / "many.npy", np.arange(30_000, dtype=np.float64).reshape(10_000, 3))
+    np.save(tmp_path / "ids.npy", np.arange(10_000, dtype=np.int32) * 7)
+    many = readers.vector_file(spark, f"file://{tmp_path}/many.npy", str(tmp_path / "ids.npy"), rows=300)
+    assert many.count() == 10_000 and all(r["vec"][0] * 7 == 3 * r["id"] for r in many.collect())
+    np.save(tmp_path / "odd.npy", np.array(["a", {}], dtype=object))
+    with pytest.raises(ValueError):
+        readers.vector_file(spark, str(tmp_path / "odd.npy"))
+    tasks = '[{"id": "a", "level": "easy"}, {"id": "b", "level": "hard"}]'
+    assert rows(readers.settings(spark, tasks, "id string, level string", level="hard")) == [("b", "hard")]
     np.save(tmp_path / "v.npy", np.eye(3, dtype=np.float32))
     assert rows(readers.vector_file(spark, str(tmp_path / "v.npy")), "id")[2] == (2, [0.0, 0.0, 1.0])
     assert rows(readers.settings(spark, '{"Door": {"x": 1, "y": 2}}', "name string, x double, y double")) == [("Door", 1.0, 2.0)]
@@ -70,6 +81,42 @@ def test_episodes_and_files(spark, tmp_path):
     assert rows(log) == [(1, "Go", "kitchen")]
 
 
+def test_small_files(spark, tmp_path):
+    (tmp_path / "subs.csv").write_text("Food id;Substitution id;x\nu#1;u#2;a,b\nu#3;;\n")
+    assert rows(readers.substitution_pairs(spark, str(tmp_path / "subs.csv"))) == [("u#1", "u#2")]
+    (tmp_path / "patients.csv").write_text("Patient_ID,Age,Gender,Disease_Type,Severity,BMI,Daily_Caloric_Intake,Dietary_Restrictions,Allergies\nP1,50,Male,Diabetes,Mild,x,2000,Low_Sugar,Peanuts\nP2,,,,,,,,\n")
+    got = rows(readers.patients(spark, str(tmp_path / "patients.csv")).select("patient", "disease", "allergies", "restrictions", "bmi", "energy_kcal"), "patient")
+    assert got == [("P1", "Diabetes", "Peanuts", "Low_Sugar", None, 2000.0), ("P2", None, None, None, None, 0.0)]
+    (tmp_path / "h.json").write_text('{"meal_description": "egg", "carb": "1.5", "Protein": 3, "doc_id": 4}\n')
+    assert rows(readers.hosted_samples(spark, str(tmp_path / "h.json"), "json")) == [(4, "egg", 1.5, 3.0, None, None)]
+
+
+def test_first_seen_pairs_and_objects(spark):
+    uses = frame(spark, "recipe_id long, ingredient_name string, pos int", (1, "rice", 0), (1, "egg", 1), (1, "rice", 2))
+    assert rows(recommend.recipe_context(frame(spark, "recipe_id long", (1,), (2,)), uses, place="pos"), "recipe_id") == [(1, ["rice", "egg"]), (2, [])]
+    a, b = frame(spark, "k long, v double", (5, 1.0), (3, 2.0)), frame(spark, "k long, v double", (9, 3.0), (8, 4.0))
+    assert rows(evaluate.paired(a, b, "k").select("k", "k_b"), "k") == [(3, 8), (5, 9)]
+    assert evaluate.paired(a, b.limit(1), "k").count() == 0
+    texts = frame(spark, "x string", ('```json\n[{"a": 1}, {"a": 2}]\n```',), ('note\n{"a": 3},\n{bad}\n {"a": 4}',), ("none",), (None,))
+    got = [r[0] and [x["a"] for x in r[0]] for r in texts.select(json_objects(F.col("x"), "struct<a:bigint>")).collect()]
+    assert got[:3] == [[1, 2], [3, 4], []] and not got[3]
+
+
+def test_watchdog_timer(spark, tmp_path):
+    """A drive that falls silent fails by the clock."""
+    import time
+
+    src = tmp_path / "t"
+    frame(spark, "goal_id string, t double, distance double", ("a", 0.0, 3.0), ("b", 0.0, 0.1)).coalesce(1).write.parquet(str(src))
+    stream = spark.readStream.schema("goal_id string, t double, distance double").parquet(str(src))
+    q = stateful.watchdog(stream, patience_s=1.0, timer=True).writeStream.format("memory").queryName("silence").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="300 milliseconds").start()
+    end = time.time() + 60
+    while time.time() < end and spark.table("silence").count() < 2:
+        time.sleep(0.5)
+    q.stop()
+    assert dict(rows(spark.table("silence").select("goal_id", "state"))) == {"a": "failed", "b": "success"}
+
+
 def test_remote(spark, tmp_path):
     remote.register(spark)
     (tmp_path / "o.json").write_text('{"cup": {"px": 1, "py": "x"}, "bad": 3}')
