@@ -1,22 +1,24 @@
 """Near-duplicate embeddings through navigable small-world graphs per shard.
 
-Vectors are dealt to shards by a hash of their id; every shard has a graph, and
-every vector queries every shard (packed: one task per pair of shards and slice
-of queries, so a task holds two shards at most).  A query whose beam is full of
-links, or not filled, is asked again with twice the beam until the beam reaches
-beyond them or holds the whole shard.  Each task audits a sample of its queries
-against brute force and doubles all beams until the mean recall of the audited
-queries that have links (to other ids) reaches `recall`.  Where the samples of
-all tasks hold few such queries, they are made larger; and where their pooled
-recall at the first beams is too low, all tasks start with wider ones.  Cosines
-are verified in double precision.  A task returns link counts and the edges of a
-spanning forest, never all its pairs; components unite the forests.
+Equal vectors (by 128 bits of hash) are one node that counts for all their ids,
+so a group of copies is one point of one graph.  Nodes are dealt to shards by a
+hash of their id; every shard has a graph, and every node queries every shard: a
+task holds one shard and reads slices of another's vectors.  All queries start
+on the graph.  A query whose beam is full of links, or not filled, is asked again
+with twice the beam until the beam reaches beyond them or holds the whole shard.
+Each task audits a sample of its queries against brute force and doubles all
+beams until the mean recall of the audited queries that have links (to other ids)
+reaches `recall`.  Where the samples of all tasks hold few such queries, they are
+made larger; and where their pooled recall at the first beams is too low, all
+tasks start with wider ones.  Cosines are verified in double precision.  A task
+returns link counts and the edges of a spanning forest, never all its pairs;
+components unite the forests.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and are kept; vectors of different lengths do not
 link; repeated rows are one vector, and different vectors under one id never
 link with each other; a null id is kept, unlinked, without a component; an
-empty table gives an empty table.
+empty table gives an empty table.  Other input columns are not read.
 """
 
 from __future__ import annotations
@@ -52,41 +54,55 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def build_shards(vectors: DataFrame, root: str, shards: dict[int, int], width: int, ef: int) -> list[dict]:
-    """vectors: id, dim, shard, vector.  A file per shard with its ids, vectors and graph; returns dim, shard, path, count."""
+    """vectors: id, dim, shard, vector, weight.  Two files per shard: its graph with ids, weights and vectors, and these alone for queries."""
     spark = vectors.sparkSession
     places = {(d, s): i for i, (d, s) in enumerate((d, s) for d in sorted(shards) for s in range(shards[d]))}
     table = spark.createDataFrame([(d, s, i) for (d, s), i in places.items()], "dim int, shard int, part int")
-    dealt = vectors.join(F.broadcast(table), ["dim", "shard"]).repartitionById(len(places), "part").select("id", "dim", "shard", "vector")
+    dealt = vectors.join(F.broadcast(table), ["dim", "shard"]).repartitionById(len(places), "part").select("id", "dim", "shard", "vector", "weight")  # a row per shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts, where = [], [], None
+        ids, weights, parts, where = [], [], [], None
         for batch in batches:
             if batch.num_rows:
                 where = (batch.column(1)[0].as_py(), batch.column(2)[0].as_py())
                 ids.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                weights.append(batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64))
                 parts.append(_matrix(batch.column(3), where[0]))
         if not ids:
             return
-        i, x = np.concatenate(ids), np.concatenate(parts)
+        i, w, x = np.concatenate(ids), np.concatenate(weights), np.concatenate(parts)
         order = np.lexsort((*x.T[:1], i))
-        i, x = i[order], x[order]
+        i, w, x = i[order], w[order], x[order]
         index = Hnsw.build(_unit(x), mix(i.view(U64) ^ (np.arange(len(i), dtype=U64) << U64(40))), width, ef)
         system, folder = filesystem(root)
         system.create_dir(folder, recursive=True)
-        name = f"{where[0]}-{where[1]}-{uuid.uuid4().hex}.npz"
-        with system.open_output_stream(f"{folder}/{name}", compression=None) as f:
-            f.write(pack({"ids": i, "vectors": x} | index.to_arrays()))
-        yield pa.RecordBatch.from_pydict({"dim": pa.array([where[0]], pa.int32()), "shard": pa.array([where[1]], pa.int32()), "path": [f"{root}/{name}"], "count": pa.array([len(i)], pa.int64())})
+        name = f"{where[0]}-{where[1]}-{uuid.uuid4().hex}"
+        with system.open_output_stream(f"{folder}/{name}.npz", compression=None) as f:
+            f.write(pack({"ids": i, "weights": w, "vectors": x} | index.to_arrays()))
+        with system.open_output_stream(f"{folder}/{name}.raw", compression=None) as f:
+            f.write(i.astype("<i8").tobytes())
+            f.write(x.astype("<f8").tobytes())
+        yield pa.RecordBatch.from_pydict({"dim": pa.array([where[0]], pa.int32()), "path": [f"{root}/{name}"], "count": pa.array([len(i)], pa.int64())})
 
-    return [r.asDict() for r in dealt.mapInArrow(run, "dim int, shard int, path string, count long").collect()]  # a row per shard
+    return [r.asDict() for r in dealt.mapInArrow(run, "dim int, path string, count long").collect()]  # a row per shard
+
+
+def _slice(path: str, count: int, dim: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors lo to hi of a shard; nothing else is read."""
+    system, place = filesystem(f"{path}.raw")
+    with system.open_input_file(place) as f:
+        f.seek(8 * lo)
+        ids = np.frombuffer(f.read(8 * (hi - lo)), "<i8")
+        f.seek(8 * (count + lo * dim))
+        return ids, np.frombuffer(f.read(8 * dim * (hi - lo)), "<f8").reshape(-1, dim)
 
 
 class _Shard:
     def __init__(self, path: str):
-        system, place = filesystem(path)
+        system, place = filesystem(f"{path}.npz")
         with system.open_input_file(place) as f:
             a = unpack(f.read())
-        self.ids, self.x = a.pop("ids"), a.pop("vectors")
+        self.ids, self.weights, self.x = a.pop("ids"), a.pop("weights"), a.pop("vectors")
         self.unit = _unit(self.x)
         self.index = Hnsw.from_arrays(self.unit, a)
 
@@ -158,43 +174,50 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 FOUND = "id long, other long, links long, asked long, audited long, first double, recall double"
 
 
-def similar_vectors(spark, index: list[dict], least: float, ef: int, recall: float, slice_rows: int, audit: int) -> DataFrame:
-    """Rows (id, null, links): links of a vector into one shard; rows (id, other, null): forest edges; rows of audits."""
+def similar_vectors(spark, index: list[dict], least: float, ef: int, recall: float, slice_rows: int, audit: int, slices: int = 8) -> DataFrame:
+    """Rows (id, null, links): links of a node into one shard; rows (id, other, null): forest edges; rows of audits.
+
+    A task has one shard to ask and up to `slices` slices of another's vectors, read one after the other.
+    """
     shards = spark.createDataFrame([(m["dim"], m["path"], m["count"]) for m in index], "dim int, path string, count long")
-    asking = shards.select("dim", F.col("path").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(slice_rows).cast("long"))).alias("at"))
-    tasks = asking.join(shards.select("dim", F.col("path").alias("target")), "dim").select("queries", "at", "target")  # names of files only
+    step = slices * slice_rows
+    from_to = F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(step).cast("long"))
+    asking = shards.select("dim", F.col("path").alias("queries"), "count", F.explode(from_to).alias("at"))
+    tasks = asking.join(shards.select("dim", F.col("path").alias("target")), "dim").select("queries", "count", "dim", "at", "target")  # names of files only
     of_dim: dict[int, int] = {}
     for m in index:
         of_dim[m["dim"]] = of_dim.get(m["dim"], 0) + 1
-    n_tasks = sum(-(-m["count"] // slice_rows) * of_dim[m["dim"]] for m in index)
+    n_tasks = sum(-(-m["count"] // step) * of_dim[m["dim"]] for m in index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for queries, at, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, to = _Shard(queries), _Shard(target)
-                rows = slice(at, at + slice_rows)
-                ids = own.ids[rows]
-                a, b, audited, first, measured = to.links(own.x[rows], own.unit[rows], ids, least, ef, recall, audit)
-                u, v = ids[a], to.ids[b]
-                u, v = u[u != v], v[u != v]
-                who, links = np.unique(u, return_counts=True)
-                x, y = _forest(u, v) if len(u) else (u, v)
-                k, e = len(who), len(x)
-                empty = lambda n, kind=pa.int64(): pa.nulls(n, kind)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([pa.array(who, pa.int64()), pa.array(x, pa.int64()), empty(1)]), pa.concat_arrays([empty(k), pa.array(y, pa.int64()), empty(1)]),
-                        pa.concat_arrays([pa.array(links, pa.int64()), empty(e), empty(1)]),
-                        *(pa.concat_arrays([empty(k + e), pa.array([c], pa.int64())]) for c in (min(audit, len(ids)), audited)),
-                        *(pa.concat_arrays([empty(k + e, pa.float64()), pa.array([c], pa.float64())]) for c in (first, measured)),
-                    ],
-                    names=["id", "other", "links", "asked", "audited", "first", "recall"],
-                )
+            for queries, count, dim, at, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                to = _Shard(target)
+                for lo in range(at, min(at + step, count), slice_rows):
+                    ids, x = _slice(queries, count, dim, lo, min(lo + slice_rows, count))
+                    a, b, audited, first, measured = to.links(x, _unit(x), ids, least, ef, recall, audit)
+                    u, v, w = ids[a], to.ids[b], to.weights[b]
+                    other = u != v
+                    u, v, w = u[other], v[other], w[other]
+                    who, back = np.unique(u, return_inverse=True)
+                    links = np.bincount(back, w, len(who)).astype(np.int64)
+                    yield _found(who, links, *(_forest(u, v) if len(u) else (u, v)), min(audit, len(ids)), audited, first, measured)
 
     return tasks.repartition(max(1, min(n_tasks, 65_536))).mapInArrow(run, FOUND)
 
 
-def _audited(spark, index: list[dict], stage: Stage, least: float, ef: int, recall: float, slice_rows: int, audit: int, enough: int = 64, most: int = 1_000_000) -> DataFrame:
+def _found(who: np.ndarray, links: np.ndarray, x: np.ndarray, y: np.ndarray, asked: int, audited: int, first: float, measured: float) -> pa.RecordBatch:
+    """Rows of counts, of edges, and one of the audit."""
+    k, e = len(who), len(x)
+    long, double, empty = pa.int64(), pa.float64(), pa.nulls
+    columns = [
+        [pa.array(who, long), pa.array(x, long), empty(1, long)], [empty(k, long), pa.array(y, long), empty(1, long)], [pa.array(links, long), empty(e + 1, long)],
+        *([empty(k + e, long), pa.array([c], long)] for c in (asked, audited)), *([empty(k + e, double), pa.array([c], double)] for c in (first, measured)),
+    ]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["id", "other", "links", "asked", "audited", "first", "recall"])
+
+
+def _audited(spark, index: list[dict], stage: Stage, least: float, ef: int, recall: float, slice_rows: int, audit: int, report: dict, enough: int = 64, most: int = 1_000_000) -> DataFrame:
     """The links, once the audits of all tasks together say that beams of `ef` reach `recall`.
 
     A task whose sample has no link learns nothing from it, so it relies on the recall of the others' first beams.
@@ -203,39 +226,71 @@ def _audited(spark, index: list[dict], stage: Stage, least: float, ef: int, reca
     while True:
         name = f"found-{ef}-{audit}"
         found = stage.table(similar_vectors(spark, index, least, ef, recall, slice_rows, audit), name)
-        r = found.where("recall IS NOT NULL").agg(F.sum("asked").alias("asked"), F.sum("audited").alias("audited"), F.sum(F.col("audited") * F.col("first")).alias("first")).first()
+        pooled = lambda c: F.coalesce(F.try_divide(F.sum(F.col("audited") * F.col(c)), F.sum("audited")), F.lit(1.0))
+        r = found.where("recall IS NOT NULL").agg(F.sum("asked").alias("asked"), F.sum("audited").alias("audited"), pooled("first").alias("first"), pooled("recall").alias("recall")).first()
         few = r["audited"] < enough and r["asked"] < most and audit < min(slice_rows, largest)
-        if ef >= largest or not few and r["first"] >= recall * r["audited"]:
+        if ef >= largest or not few and r["first"] >= recall:
+            report |= r.asDict() | {"ef": ef}
             return found
         stage.drop(name)
         ef, audit = (ef, 4 * audit) if few else (2 * ef, audit)
 
 
-def near_vectors(vectors: DataFrame, stage: Stage, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, shards: int = 8, shard_rows: int = 65_536, width: int = 16, ef_build: int = 48, ef: int = 64, recall: float = 0.99, slice_rows: int = 2048, audit: int = 64) -> DataFrame:
-    """A row per vector: vec_id, n_links, component_id, kept.  At least `shards` shards (fewer of tiny tables), each of about `shard_rows`."""
+HOT = 4096  # fewer groups than this are spread over several tasks when nodes are joined back to ids
+SALTS = 64
+
+
+def near_vectors(
+    vectors: DataFrame, stage: Stage, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, shards: int = 8, shard_rows: int = 65_536, width: int = 16, ef_build: int = 48, ef: int = 64, recall: float = 0.99,
+    slice_rows: int = 2048, audit: int = 64, report: dict | None = None,
+) -> DataFrame:
+    """A row per vector: vec_id, n_links, component_id, kept.  At least `shards` shards (fewer of tables with under 1,024 vectors a shard), each of about `shard_rows`.
+
+    `report` is given what the audits measured: how many queries were asked and had links, their recall and the beam.
+    """
     spark = vectors.sparkSession
     x = F.col(embedding).cast("array<double>")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), x.alias("vector"))
-    fine = F.coalesce(
-        F.size("vector").between(1, 1 << 30) & F.forall("vector", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists("vector", lambda e: e != 0), F.lit(False)
-    )
-    good = rows.where(fine & F.col("id").isNotNull()).dropDuplicates(["id", "vector"]).withColumn("dim", F.size("vector"))
-    good = stage.table(good, "vectors")
-    counts = {r["dim"]: r["count"] for r in good.groupBy("dim").count().collect()}  # a row per length of vectors
-    parts = {d: max(1, min(shards, n // 64), -(-n // shard_rows)) for d, n in counts.items()}
-    ids = rows.select("id")
-    if counts:
-        several = F.element_at(F.create_map(*(F.lit(v) for d, n in parts.items() for v in (d, n))), F.col("dim"))
-        dealt = good.withColumn("shard", F.pmod(F.xxhash64("id"), several).cast("int"))
-        index = build_shards(dealt, stage.path("index"), parts, width, ef_build)
-        found = _audited(spark, index, stage, least, ef, recall, slice_rows, audit)
-        links = found.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
-        joined = components(found.where("other IS NOT NULL").select(F.col("id").alias("u"), F.col("other").alias("v")), stage)
-        ids = ids.join(links, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    else:
-        ids = ids.withColumns({"links": F.lit(0), "component": F.lit(None)})
-    component = F.coalesce(F.col("component").cast("long"), F.col("id"))
-    return ids.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    prints = {"p": F.xxhash64("vector"), "q": F.xxhash64(F.lit(1), "vector")}
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), x.alias("vector")).withColumns(prints)
+    finite = F.forall("vector", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
+    fine = F.size("vector").between(1, 1 << 30) & finite & F.exists("vector", lambda e: e != 0) & F.col("id").isNotNull()
+    rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
+    ids = stage.table(rows.select("id", "p", "q", "fine"), "ids")
+    good = stage.table(rows.where("fine").select("id", "p", "q", "vector").dropDuplicates(["id", "p", "q"]), "vectors")
+    several = stage.table(good.groupBy("id").count().where("count > 1").select("id"), "several")  # ids of different vectors are nodes by themselves
+    groups = good.join(several, "id", "left_anti").groupBy("p", "q").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
+    groups = stage.table(groups, "groups")
+    own = good.join(several, "id", "left_semi").select("id", "vector", F.lit(1).cast("long").alias("weight"))
+    nodes = stage.table(groups.select("id", "vector", "weight").unionByName(own).withColumn("dim", F.size("vector")), "nodes")
+    counts = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}  # a row per length of vectors
+    if not counts:
+        return _result(ids.withColumns({"links": F.lit(0), "component": F.lit(None).cast("long")}))
+    parts = {d: max(1, min(shards, n // 1024), -(-n // shard_rows)) for d, n in counts.items()}
+    shard = F.pmod(F.xxhash64("id"), F.element_at(F.create_map(*(F.lit(v) for d, n in parts.items() for v in (d, n))), F.col("dim"))).cast("int")
+    index = build_shards(nodes.withColumn("shard", shard), stage.path("index"), parts, width, ef_build)
+    found = _audited(spark, index, stage, least, ef, recall, slice_rows, audit, {} if report is None else report)
+    links = found.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
+    joined = components(found.where("other IS NOT NULL").select(F.col("id").alias("u"), F.col("other").alias("v")), stage).withColumnRenamed("node", "id")
+
+    def known(df: DataFrame) -> DataFrame:
+        """Links and component of the nodes in `df`."""
+        return df.join(links, "id", "left").join(joined, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+
+    large = max(1024, ids.count() // HOT)
+    hot = groups.where(F.col("weight") > large).select("p", "q", F.lit(SALTS).alias("salts"))  # of all ids, so fewer than HOT
+    of_group = known(groups.select("p", "q", "id", "weight")).select("p", "q", (F.col("links") + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
+    spread = of_group.join(F.broadcast(hot), ["p", "q"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    salted = ids.where("fine").join(several, "id", "left_anti").join(F.broadcast(hot), ["p", "q"], "left")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    grouped = salted.join(spread, ["p", "q", "salt"]).select("id", "links", "component")
+    alone = known(ids.where("fine").join(several, "id", "left_semi").select("id")).select("id", "links", "component")
+    rest = ids.where("NOT fine").select("id", F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("component"))
+    return _result(grouped.unionByName(alone).unionByName(rest))
+
+
+def _result(ids: DataFrame) -> DataFrame:
+    component = F.coalesce("component", "id")
+    return ids.select(F.col("id").alias("vec_id"), F.col("links").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def op8_embedding_dedup(spark, sf_dir):

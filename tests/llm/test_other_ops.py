@@ -444,7 +444,9 @@ def test_near_vectors_through_graphs(spark):
     for k, (lo, hi) in {5: (1300, 1800), 2: (1800, 2400)}.items():
         x[lo:hi] = np.repeat(x[lo:hi:k], k, axis=0) + 0.05 * rng.normal(size=(hi - lo, 32))
     df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: r for r in near_vectors(df, Stage(spark, "t"), shards=3).collect()}
+    report = {}
+    got = {r["vec_id"]: r for r in near_vectors(df, Stage(spark, "t"), shards=3, report=report).collect()}
+    assert report["recall"] >= 0.99 and report["audited"] >= 64 and report["ef"] >= 64
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.9
     comp = union_find(set(range(len(x))), list(zip(*(v.tolist() for v in np.nonzero(np.triu(near, 1))), strict=True)))
@@ -454,6 +456,22 @@ def test_near_vectors_through_graphs(spark):
     assert np.mean([got[i]["component_id"] == comp[i] for i in range(len(x))]) >= 0.999
 
 
+def test_equal_vectors_are_one_node(spark):
+    """A group of thousands of copies is one node; ids of several vectors, and copies of theirs, count as they would one by one."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 8))
+    rows = [(i, x[0].tolist()) for i in range(3000)] + [(5000 + i, x[i].tolist()) for i in range(1, 40)] + [(6000, (x[0] + 1e-3).tolist())]
+    rows += [(7000, x[0].tolist()), (7000, x[1].tolist()), (7000, (2 * x[0]).tolist()), (7001, x[1].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in near_vectors(df, Stage(spark, "t")).collect():
+        got.setdefault(r["vec_id"], set()).add((r["n_links"], r["component_id"]))
+    assert len(near_vectors(df, Stage(spark, "t")).collect()) == len(rows)
+    # copies link with each other, the near one and both vectors of 7000 that point their way
+    assert all(got[i] == {(2999 + 1 + 2, 0)} for i in range(3000)) and got[6000] == {(3000 + 2, 0)}
+    assert got[7000] == {(2 * 3001 + 2, 0)} and got[5001] == got[7001] == {(2, 0)}
+
+
 @pytest.mark.parametrize("n", [100, 128, 1000])
 def test_every_query_starts_on_the_graph(n):
     rng = np.random.default_rng(n)
