@@ -8,11 +8,13 @@ test.  A candidate is compared word hash by word hash and then byte by byte.
 The search runs in many lanes of a chunk at once; lanes jump independently.
 
 The benchmark is cut into blocks of at most `block_windows` windows; each block
-is a broadcast of bounded size and one narrow pass over the documents, so any
-benchmark size works.  Documents are not shuffled.
+is a broadcast of bounded size and one narrow pass over the documents.  Of more
+than one block the driver holds one at a time: every pass is written to the
+shared folder and its block released before the next is made.  Tables are made
+once for each Python worker.  Documents are not shuffled.
 
 Defined results: null and word-less texts have no words and no hits; null or
-word-less items match nothing; an item with a null id is dropped, or with
+word-less items match nothing; very long texts are searched whole; an item with a null id is dropped, or with
 `unnamed` counts like any other and is a null among the items (as in SQL: one
 of `n_items`, nothing in the joined names); repeated items and rows are harmless; an empty benchmark leaves all
 documents clean.  Extra document columns pass through; the operator's own
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.kernels import ALNUM_WORD, U64, Words, chunks, mix, string_views
+from larder.llm.staging import Stage, spread
 
 _A = U64(0x9FB21C651E98DF25)
 
@@ -129,7 +132,22 @@ def pattern_blocks(items: Iterator[tuple[object, str | None]], window: int, bloc
         yield done()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_windows: int = 500_000, unnamed: bool = False) -> DataFrame:
+class Block:
+    """Windows of one block by length; their tables are made where they are first asked for and stay there."""
+
+    def __init__(self, windows: dict):
+        self.windows, self.made = windows, None
+
+    def __getstate__(self) -> dict:
+        return {"windows": self.windows, "made": None}
+
+    def tables(self) -> list[Patterns]:
+        if self.made is None:
+            self.made = [Patterns(*x) for _, x in sorted(self.windows.items())]
+        return self.made
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_windows: int = 250_000, unnamed: bool = False) -> DataFrame:
     """The documents with n_words, hit_spans (array of first and last hit word), n_hit and items (sorted as strings)."""
     spark = docs.sparkSession
     own = ["n_words", "n_hit", "hit_spans", "items"]
@@ -139,12 +157,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_t
     spans = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, n_hit long, hit_spans array<struct<first: bigint, last: bigint>>, items array<string>"
 
-    def one_pass(df: DataFrame, block: dict | None) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block or {})
+    def one_pass(df: DataFrame, shared) -> DataFrame:
         first = len(df.columns) == len(names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = [Patterns(*x) for _, x in sorted(shared.value.items())]
+            tables = shared.value.tables()
             for whole in batches:
                 _, cuts, _ = string_views(whole.column(at))
                 for lo, hi in chunks(cuts):
@@ -180,14 +197,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_t
         return df.mapInArrow(run, schema)
 
     rows = benchmark.select(F.col(item_id), F.col(item_text).cast("string")).distinct().toLocalIterator()  # a partition at a time
-    out, any_block = docs, False
-    for block in pattern_blocks(((r[0], r[1]) for r in rows), window, block_windows, unnamed):
-        out, any_block = one_pass(out, block), True
-    return out if any_block else one_pass(docs, None)
+    blocks = pattern_blocks(((r[0], r[1]) for r in rows), window, block_windows, unnamed)
+    send = lambda block: spark.sparkContext.broadcast(Block(block))
+    now, ahead = next(blocks, {}), next(blocks, None)
+    if ahead is None:
+        return one_pass(docs, send(now))
+    stage, out, n = Stage(spark, "decontaminate"), docs, 0
+    while now is not None:
+        shared = send(now)
+        out = stage.table(one_pass(out, shared), f"pass-{n}")
+        shared.destroy()
+        if n:
+            stage.drop(f"pass-{n - 1}")
+        now, ahead, n = ahead, next(blocks, None) if ahead is not None else None, n + 1
+    return out
 
 
 def op4_decontaminate(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
