@@ -24,9 +24,9 @@ Nothing is capped: a long list costs more tiles, not fewer comparisons.
 
 Defined results: a null, empty or word-less text has an empty set, links with
 nothing and is its own component; rows that repeat an id are one node (their
-links unite); a null
-id is kept, has no component and is not linked; an empty table gives an empty
-table.
+links unite); a null id is kept, has no component and is not linked; a very long
+text has its whole set; an empty table gives an empty table.  Other input columns
+are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from larder.llm import bloom
 from larder.llm.components import components
 from larder.llm.kernels import SPACE_WORD, U64, Words, chunks, grams, mix, string_views, trim
-from larder.llm.staging import Stage
+from larder.llm.staging import Stage, spread
 
 PAD = np.uint32(0xFFFFFFFF)
 
@@ -285,7 +285,7 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, k: int = 64, heads: int | None = None, tile: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, k: int = 64, heads: int | None = None, tile: int = 512) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Links: 100 * |intersection| >= percent * |union| of the shingle sets of lower-cased (A-Z) texts.
@@ -339,4 +339,5 @@ def near_duplicates(docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text:
 
 
 def op1_near_dup(spark, sf_dir):
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Stage(spark, "op1"), percent=85)
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(docs, Stage(spark, "op1"), percent=85)

@@ -6,8 +6,9 @@ shard, come from counts of small cells (shard, bucket), not from a sort of a
 whole shard: cells are dealt by row, so no key, shard or source makes one large.
 
 Defined results: a null key has a shard like any other; a null text has no
-bytes (size 8, checksum 0); repeated rows each have a slot; an empty table
-gives an empty table.  Other input columns are not read.
+bytes (size 8, checksum 0); repeated rows each have a slot; a very long text is
+one row like any other; an empty table gives an empty table.  Other input columns
+are not read.
 """
 
 from __future__ import annotations

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from brute import contamination, near_duplicates, removed
@@ -45,6 +46,51 @@ def test_stages(spark, tmp_path):
     assert pipeline.run(spark, DATA).count() == after.count()
 
 
+ODD = "doc_id long, text string, score string, n_lines double, bad_lines string, n_words array<int>, n_hit string, items string, hit_spans int, n_removed string, factors string, uid string, `key` int, row string, part int, kind string, `a col-umn` string, lang string"
+
+
+def test_odd_columns_rows_and_texts(spark, tmp_path):
+    """Columns named as the operators' own pass unchanged; nulls, empty and very long texts, repeated rows and an empty table."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    text = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    long = text(190_000)
+    texts = [(1, text(80)), (2, None), (3, ""), (4, long), (5, text(40) + "\n" + " ".join(long.split()[500:700])), (None, text(30)), (7, " \n ")]
+    texts += [texts[0], texts[0], (8, texts[0][1]), texts[5], (1, text(50))]
+    rows = [(i, t, f"s{n}", 0.5, "b", [n], "h", "i", n, "r", "f", "u", n, "w", n, "k", "odd", "en") for n, (i, t) in enumerate(texts)]
+    df = spark.createDataFrame(rows, ODD)
+    spark.createDataFrame([(1, 1), (9, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, texts[5][1]), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = {r["doc_id"]: r for r in df.collect()}
+    kept = {}
+    for name, f in pipeline.STAGES[:-1]:
+        out = f(spark, df, str(tmp_path))
+        assert out.columns == df.columns and [t for _, t in out.dtypes] == [t for _, t in df.dtypes]
+        kept[name] = out.collect()
+        for r in kept[name]:
+            assert any(r[c] == given[r["doc_id"]][c] for c in ("score", "n_lines")) and r["lang"] == "en" and r["bad_lines"] == "b" and r["factors"] == "f"
+        assert f(spark, df.limit(0), str(tmp_path)).collect() == []
+    assert len(long) > 1 << 20 and {r["doc_id"] for r in kept["near_dup"]} == {None, 1, 2, 3, 4, 5, 7} and len(kept["near_dup"]) == len(texts) - 4
+    assert [len(r["text"].split()) for r in kept["substring_dedup"] if r["doc_id"] == 5] == [40]
+    assert sorted(r["doc_id"] or 0 for r in kept["decontamination"]) == [1, 1, 1, 1, 2, 3, 4, 5, 7, 8]
+    assert all(r["score"] is not None for r in kept["quality"])
+    packed = pipeline.packing(spark, df, str(tmp_path))
+    assert packed.select("doc_id", "doc_tokens", "start").where("start = 0").count() == len(texts) and pipeline.packing(spark, df.limit(0), "").count() == 0
+
+
+def test_work_tables_are_released(spark):
+    import urllib.parse
+
+    from larder.llm.staging import Stage, released
+
+    with released():
+        s = Stage(spark, "t")
+        s.table(spark.range(3), "x")
+        folder = urllib.parse.urlparse(s.root).path
+        assert os.path.isdir(folder)
+    assert not os.path.isdir(folder)
+
+
 def test_guard():
     import __spark_entry__ as entry
 

@@ -231,3 +231,42 @@ def test_bloom_and_deal(spark):
     assert not bloom.build(df.limit(0), "k", 0).has(own[:3]).any()
     dealt = spark.range(7).withColumn("i", F.col("id").cast("int")).repartitionById(7, "i").select("i", F.spark_partition_id().alias("p"))
     assert all(r["i"] == r["p"] for r in dealt.collect())
+
+
+def test_very_long_texts(spark):
+    """Texts of more than a chunk of a batch, among short ones, in every text operator."""
+    import zlib
+
+    from larder.llm import quality_crf, sharding
+
+    rng = random.Random(8)
+    long = words(rng, 230_000, 9000)
+    near_copy = list(long)
+    for i in range(0, len(near_copy), 100):
+        near_copy[i] = "edit"
+    item = " ".join(long[150_000:150_015])
+    docs = [(1, "\n".join(" ".join(long[i : i + 12]) for i in range(0, len(long), 12))), (2, " ".join(near_copy)), (3, "short one"), (4, " ".join(long[:30])), (5, "x" * 2_000_000), (6, "A!! " * 400_000)]
+    assert all(len(t) > 1 << 20 for i, t in docs if i not in (3, 4))
+    df = spark.createDataFrame(docs, DOCS).coalesce(2)
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in near(df, Stage(spark, "t"), percent=85).collect()}
+    want = near_duplicates(docs, 85)
+    assert {i: c for i, (c, _) in got.items()} == want and want[2] == 1 and got[1][1] == len({tuple(long[i : i + 5]) for i in range(len(long) - 4)})
+    hits = decontaminate(df, spark.createDataFrame([(1, item)], "item_id long, text string")).select("doc_id", "n_words", "n_hit").collect()
+    assert sorted(map(tuple, hits)) == sorted((i, n, h) for i, n, h, *_ in contamination(docs, [(1, item)])) and dict((r[0], r[2]) for r in hits)[1] >= 15
+    lines = {r["doc_id"]: r["n_lines"] for r in quality_crf.score_quality(df, quality_crf.LineCrf()).collect()}
+    assert lines == {i: len([x for x in t.split("\n") if x]) for i, t in docs}
+    placed = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in sharding.shard(df, Stage(spark, "t")).collect()}
+    assert placed == {i: (len(t) + 8, zlib.crc32(t.encode())) for i, t in docs}
+
+
+def test_recall_at_the_threshold():
+    """Of pairs that link at exactly 85 % no more are missed by lists and filter together than two in a million."""
+    rng = np.random.default_rng(1)
+    union, shared, k, heads = 2000, 1700, 64, heads_for(0.85)
+    least = least_shared(k, 0.85)
+    missed = n = 0
+    for _ in range(20):
+        first = rng.hypergeometric(shared, union - shared, k, size=100_000)  # shared ones among the union's k smallest
+        missed += int((first < least[k]).sum()) + int((rng.hypergeometric(shared, union - shared, heads, size=100_000) == 0).sum())
+        n += 100_000
+    assert missed <= 2e-6 * n + 4
