@@ -3,50 +3,77 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one
 before kept; its result is written as Parquet and read again.  All stages but
 the last return the columns of documents.
+
+Defined results: columns besides doc_id and text pass through unchanged, whatever
+their names (n_chars, where there is one, follows the text).  A null or empty
+text has the quality of no lines, is no duplicate, and is packed as its end id.
+Every row counts by itself, so rows that repeat an id stay unless their texts
+are near-duplicates; of those the row with the smallest id stays, then the one
+whose text hashes lowest.  Null ids come last; their rows lose no passages.  Very
+long texts go through whole.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.decontaminate import decontaminate
 from larder.llm.near_dup import near_duplicates
 from larder.llm.packing import pack
 from larder.llm.quality_crf import fit_quality, score_quality
-from larder.llm.staging import Stage
+from larder.llm.staging import Stage, released
 from larder.llm.substring_dedup import dedup_substrings
 
 QUALITY = 0.3  # documents with a lower score go
 SIMILARITY = 80  # percent of shared five-word shingles from which documents are near-duplicates
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """The documents with id, text and all other columns (as a struct) under names that no operator uses for its own."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *others).alias("other_columns"))
+
+
+def _own(docs: DataFrame, name: str) -> Column:
+    """A column of the documents, of what `_apart` made of them."""
+    return F.col(name) if name in ("doc_id", "text") else F.col(f"other_columns.c{docs.columns.index(name)}")
+
+
+def _back(out: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of the documents again."""
+    return out.select(*((changed[c] if c in changed else _own(docs, c)).alias(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF accepts."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).where(F.col("score") >= QUALITY).select(*docs.columns)
+    return _back(score_quality(_apart(docs), model).where(F.col("score") >= QUALITY), docs)
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row of each group of near-duplicates: that with the smallest id (null ids come last).  Every row counts by itself, whatever its id."""
     stage = Stage(spark, "pipeline-near")
-    rows = stage.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so the numbers hold
+    rows = stage.table(_apart(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so the numbers hold
     found = near_duplicates(rows, stage, doc_id="_row", percent=SIMILARITY).select(F.col("doc_id").alias("_row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
     stays = rows.select("_row", order.alias("o")).join(found, "_row").groupBy("component_id").agg(F.min("o")["_row"].alias("_row"))
-    return rows.join(stays.select("_row"), "_row", "left_semi").select(*docs.columns)
+    return _back(rows.join(stays.select("_row"), "_row", "left_semi"), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-word windows that a document with a smaller id has as well."""
-    out = dedup_substrings(docs, Stage(spark, "pipeline-substring"))
-    changed = F.col("n_removed") > 0
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = dedup_substrings(_apart(docs), Stage(spark, "pipeline-substring"))
+    if "n_chars" not in docs.columns:
+        return _back(out, docs)
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(_own(docs, "n_chars"))
+    return _back(out, docs, n_chars=chars)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True).where("n_hit = 0").select(*docs.columns)
+    out = decontaminate(_apart(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
+    return _back(out.where("n_hit = 0"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +88,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage, docs = Stage(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stage, docs, before = Stage(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, f in STAGES[:-1]:
-        docs = stage.table(f(spark, docs, sf_dir), name)
+        with released():  # a stage's own tables, once its result is written
+            docs = stage.table(f(spark, docs, sf_dir), name)
+        if before:
+            stage.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

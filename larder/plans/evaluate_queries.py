@@ -351,7 +351,21 @@ def bench_prompts(t):
     return assistant.prompt_blocks(refs, kb.nutrient_profiles(edges, carb), "items")
 
 
-@query()
+# Names of foods are two words, so the stand-in's cosine is half the number of words they share.
+_OFFERS = """WITH f AS (SELECT p_name AS d, min(p_partkey) AS id FROM part GROUP BY 1), q AS (SELECT c_custkey AS qid, CASE c_nationkey % 2 WHEN 0 THEN 'blue bolt' ELSE 'hot gear' END AS other FROM customer),
+eaten AS (SELECT qid, id FROM q JOIN f ON d = 'red ring' OR d = other),
+rich AS (SELECT l_partkey AS id, l_quantity AS amount FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_name = 'Supplier#000000002' AND l_quantity >= 5 AND l_partkey IN (SELECT id FROM f)),
+seeds AS (SELECT * FROM (SELECT q.qid, r.id, row_number() OVER (PARTITION BY q.qid ORDER BY amount DESC, r.id) AS seed FROM q, rich r WHERE NOT EXISTS (SELECT 1 FROM eaten e WHERE e.qid = q.qid AND e.id = r.id)) WHERE seed <= 5),
+pairs AS (SELECT a.id AS p, b.id, (CAST(split_part(a.d, ' ', 1) = split_part(b.d, ' ', 1) AS INT) + CAST(split_part(a.d, ' ', 2) = split_part(b.d, ' ', 2) AS INT)) / 2.0 AS score FROM f a, f b WHERE a.id <> b.id),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY score DESC, id) AS rank FROM pairs) WHERE rank <= 5),
+every AS (SELECT qid, id, seed, 0 AS rank, 1.0 AS score FROM seeds UNION ALL SELECT qid, near.id, seed, near.rank, near.score FROM seeds JOIN near ON p = seeds.id),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY seed, rank) AS n FROM every) WHERE n = 1),
+liked AS (SELECT user_id, food_fdc_id, coalesce(sum(CAST(chosen AS INT)) / nullif(sum(CAST(offered AS INT)), 0), 0.5) AS liking FROM (LOG) GROUP BY 1, 2),
+placed AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank = 0 THEN 0 ELSE 1 END, CASE WHEN rank = 0 THEN coalesce(liking, 0.5) ELSE score END DESC, seed, rank) AS place FROM once LEFT JOIN liked ON user_id = qid AND food_fdc_id = id)
+SELECT qid, id AS food_fdc_id, d AS food_desc FROM placed JOIN f USING (id) WHERE place <= 10"""
+
+
+@query(_OFFERS.replace("LOG", "SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS food_fdc_id, event_type <> 'error' AS offered, event_type = 'purchase' AS chosen FROM events"))
 def assistant_offers(t):
     from larder.plans import assistant, recommend_queries
 
