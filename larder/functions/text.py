@@ -81,7 +81,13 @@ def quantity(text: Column) -> Column:
     third = got(fraction, 3)
     out = (
         F.when(text.rlike(amount), row(got(amount, 1), _unit(got(amount, 2)), _without(text, amount)))
-        .when(text.rlike(fraction), row(F.try_divide(got(fraction, 1).try_cast("double"), got(fraction, 2).try_cast("double")), F.when(third != "", F.regexp_replace(F.lower(third), "s+$", "")), _without(text, fraction)))
+        .when(
+            text.rlike(fraction),
+            row(
+                F.try_divide(got(fraction, 1).try_cast("double"), got(fraction, 2).try_cast("double")),
+                F.when(third != "", F.regexp_replace(F.lower(third), "s+$", "")), _without(text, fraction)
+            )
+        )
         .when(text.rlike(article), row(F.lit(1.0), _unit(got(article, 1)), _without(text, article)))
     )
     for word, number in NUMBER_WORDS.items():
@@ -108,7 +114,10 @@ def parse_meal(text: Column) -> Column:
 def distinct_first(values: Column, key) -> Column:
     """Values whose key has not come before, in order."""
     empty = F.array().cast("array<string>")
-    kept = F.aggregate(values, F.struct(empty.alias("keys"), empty.alias("out")), lambda acc, v: F.when(F.array_contains(acc["keys"], key(v)), acc).otherwise(F.struct(F.array_append(acc["keys"], key(v)).alias("keys"), F.array_append(acc["out"], v).alias("out"))))
+    kept = F.aggregate(
+        values, F.struct(empty.alias("keys"), empty.alias("out")), lambda acc,
+        v: F.when(F.array_contains(acc["keys"], key(v)), acc).otherwise(F.struct(F.array_append(acc["keys"], key(v)).alias("keys"), F.array_append(acc["out"], v).alias("out")))
+    )
     return kept["out"]
 
 
@@ -172,7 +181,13 @@ def boxes(reply: Column, width: float, height: float) -> Column:
     pattern = r"<ref>(.*?)</ref><box>\((\d+),(\d+),(\d+),(\d+)\)</box>"
     found = F.array_distinct(F.regexp_extract_all(reply, F.lit(pattern), 0))
     n = lambda m, i: F.regexp_extract(m, pattern, i).cast("double") / 1000.0
-    return F.transform(found, lambda m: F.struct(F.trim(F.regexp_extract(m, pattern, 1)).alias("label"), (n(m, 2) * width).alias("x1"), (n(m, 3) * height).alias("y1"), (n(m, 4) * width).alias("x2"), (n(m, 5) * height).alias("y2")))
+    return F.transform(
+        found,
+        lambda m: F.struct(
+            F.trim(F.regexp_extract(m, pattern, 1)).alias("label"), (n(m, 2) * width).alias("x1"), (n(m, 3) * height).alias("y1"),
+            (n(m, 4) * width).alias("x2"), (n(m, 5) * height).alias("y2")
+        )
+    )
 
 
 def token_estimate(text: Column) -> Column:
@@ -192,7 +207,10 @@ def item_references(prompt: Column) -> Column:
     return F.transform(
         kept,
         lambda x: F.when(x.rlike(hit), F.struct(F.regexp_extract(x, hit, 1).alias("food_term"), F.lit(True).alias("matched"), F.regexp_extract(x, hit, 2).alias("description"), F.regexp_extract(x, hit, 3).alias("nutrients"))).otherwise(
-            F.struct(F.regexp_extract(x, miss, 1).alias("food_term"), F.lit(False).alias("matched"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("nutrients"))
+            F.struct(
+                F.regexp_extract(x, miss, 1).alias("food_term"), F.lit(False).alias("matched"), F.lit(None).cast("string").alias("description"),
+                F.lit(None).cast("string").alias("nutrients")
+            )
         ),
     )
 
@@ -200,7 +218,13 @@ def item_references(prompt: Column) -> Column:
 def coordinates(text: Column) -> Column:
     """Lines key:px,py to an array of name, px, py; bad lines are left out."""
     shape = r"^([^:]+):([^,]+),([^,]+)$"
-    rows = F.transform(F.split(text, "\n"), lambda x: F.struct(F.trim(F.regexp_extract(x, shape, 1)).alias("name"), F.trim(F.regexp_extract(x, shape, 2)).try_cast("double").alias("px"), F.trim(F.regexp_extract(x, shape, 3)).try_cast("double").alias("py")))
+    rows = F.transform(
+        F.split(text, "\n"),
+        lambda x: F.struct(
+            F.trim(F.regexp_extract(x, shape, 1)).alias("name"), F.trim(F.regexp_extract(x, shape, 2)).try_cast("double").alias("px"),
+            F.trim(F.regexp_extract(x, shape, 3)).try_cast("double").alias("py")
+        )
+    )
     return F.filter(rows, lambda r: (r["name"] != "") & r["px"].isNotNull() & r["py"].isNotNull())
 
 

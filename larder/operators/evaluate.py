@@ -30,7 +30,10 @@ def ranking_metrics(ranked: DataFrame, truth: DataFrame, queries: DataFrame | No
     rows = ranked.join(relevant.withColumn("rel", F.lit(1)), ["qid", "item"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     so_far = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("hits", F.sum("rel").over(so_far)).withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
-    sums = rows.groupBy("qid").agg(F.sum(F.col("rel") * F.col("hits") / F.col("k")).alias("p"), F.sum(F.col("rel") * F.col("hits")).cast("double").alias("r"), F.count("*").alias("n_pred"))
+    sums = rows.groupBy("qid").agg(
+        F.sum(F.col("rel") * F.col("hits") / F.col("k")).alias("p"), F.sum(F.col("rel") * F.col("hits")).cast("double").alias("r"),
+        F.count("*").alias("n_pred")
+    )
     both = size.join(sums, "qid", "full_outer")
     if queries is not None:
         both = queries.select("qid").distinct().join(both, "qid", "left")
@@ -168,7 +171,11 @@ def query_costs(results: DataFrame) -> DataFrame:
     turns = F.coalesce("llm_turns", F.array().cast(results.schema["llm_turns"].dataType))
     add = lambda f, kind="long": F.aggregate(turns, F.lit(0).cast(kind), lambda s, t: s + F.coalesce(f(t).cast(kind), F.lit(0).cast(kind)))
     tools = lambda t, f: F.aggregate(F.coalesce(t["tool_calls"], F.array().cast("array<struct<tool_name:string,args_tokens:bigint,result_tokens:bigint,execution_time_s:double>>")), F.lit(0.0), lambda s, c: s + F.coalesce(f(c).cast("double"), F.lit(0.0)))
-    return results.select("query_id", add(lambda t: t["input_tokens"]).alias("input_tokens"), add(lambda t: t["output_tokens"]).alias("output_tokens"), add(lambda t: t["inference_time_s"], "double").alias("llm_s"), add(lambda t: tools(t, lambda c: c["execution_time_s"]), "double").alias("tool_s"), add(lambda t: F.size(t["tool_calls"])).alias("calls"))
+    return results.select(
+        "query_id", add(lambda t: t["input_tokens"]).alias("input_tokens"), add(lambda t: t["output_tokens"]).alias("output_tokens"),
+        add(lambda t: t["inference_time_s"], "double").alias("llm_s"),
+        add(lambda t: tools(t, lambda c: c["execution_time_s"]), "double").alias("tool_s"), add(lambda t: F.size(t["tool_calls"])).alias("calls")
+    )
 
 
 def overall_costs(per_query: DataFrame) -> DataFrame:
@@ -178,7 +185,10 @@ def overall_costs(per_query: DataFrame) -> DataFrame:
 
 def tool_costs(results: DataFrame) -> DataFrame:
     calls = results.select(F.explode("llm_turns").alias("t")).select(F.inline("t.tool_calls"))
-    return calls.groupBy("tool_name").agg(F.count("*").alias("calls"), F.avg("args_tokens").alias("args_tokens"), F.avg("result_tokens").alias("result_tokens"), F.avg("execution_time_s").alias("seconds"))
+    return calls.groupBy("tool_name").agg(
+        F.count("*").alias("calls"), F.avg("args_tokens").alias("args_tokens"), F.avg("result_tokens").alias("result_tokens"),
+        F.avg("execution_time_s").alias("seconds")
+    )
 
 
 def mean_of_ratios(rows: DataFrame, over: str, under: str) -> DataFrame:

@@ -20,7 +20,9 @@ def number_nodes(parts: list[tuple[str, DataFrame, str]]) -> DataFrame:
         before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
         sizes = rows.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
         own = F.row_number().over(Window.partitionBy("p").orderBy("node_id"))
-        part = rows.withColumn("i", own).join(F.broadcast(sizes), "p").select(F.lit(kind).alias("type"), "node_id", (F.col("base") + F.col("i") - 1 + base).cast("long").alias("index"))
+        part = rows.withColumn("i", own).join(F.broadcast(sizes), "p").select(
+            F.lit(kind).alias("type"), "node_id", (F.col("base") + F.col("i") - 1 + base).cast("long").alias("index")
+        )
         out = part if out is None else out.unionByName(part)
         base += n
     return out
@@ -30,7 +32,9 @@ def edge_table(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, str], keys:
     """Both directions of one edge type between numbered nodes: src, dst, attr, etype.  Edges without both ends go."""
     ends = [nodes.where(F.col("type") == k).select(F.col("node_id").alias(c), F.col("index").alias(i)) for k, c, i in zip(kinds, ("a", "b"), ("src", "dst"), strict=True)]
     attr = F.lit(1.0) if weight is None else weight
-    one = edges.select(F.col(keys[0]).cast("long").alias("a"), F.col(keys[1]).cast("long").alias("b"), attr.cast("double").alias("attr")).join(ends[0], "a").join(ends[1], "b").select("src", "dst", "attr")
+    one = edges.select(
+        F.col(keys[0]).cast("long").alias("a"), F.col(keys[1]).cast("long").alias("b"), attr.cast("double").alias("attr")
+    ).join(ends[0], "a").join(ends[1], "b").select("src", "dst", "attr")
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "attr")).withColumn("etype", F.lit(name))
 
 
@@ -44,7 +48,10 @@ def adjacency(edges: DataFrame, key: str, other: str) -> DataFrame:
 
 def substitution_edges(pairs: DataFrame, foods: DataFrame, offset: int = 1_000_000) -> DataFrame:
     """Pairs uri#number to food ids; both ends must exist."""
-    ids = pairs.select((F.split_part("food", F.lit("#"), F.lit(2)).try_cast("long") + offset).alias("a"), (F.split_part("substitute", F.lit("#"), F.lit(2)).try_cast("long") + offset).alias("b"))
+    ids = pairs.select(
+        (F.split_part("food", F.lit("#"), F.lit(2)).try_cast("long") + offset).alias("a"),
+        (F.split_part("substitute", F.lit("#"), F.lit(2)).try_cast("long") + offset).alias("b")
+    )
     known = foods.select(F.col("fdc_id").alias("a")).distinct()
     return ids.join(known, "a", "left_semi").join(known.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
 
@@ -94,7 +101,10 @@ def _product(matrix: list[list[float]], vec: Column) -> Column:
     return F.array(*map(row, matrix))
 
 
-def attention_layer(nodes: DataFrame, edges: DataFrame, w_src: list[list[float]], w_dst: list[list[float]], a: list[float], slope: float = 0.2, w_edge: list[float] | None = None) -> DataFrame:
+def attention_layer(
+    nodes: DataFrame, edges: DataFrame, w_src: list[list[float]], w_dst: list[list[float]], a: list[float], slope: float = 0.2,
+    w_edge: list[float] | None = None
+) -> DataFrame:
     """One head of graph attention by joins: sum over neighbours of softmax(a . leaky(Ws x_src + Wd x_dst + We attr)) Ws x_src.
 
     nodes: id, vec.  edges: src, dst (and attr).  The weights are small literals; each node is transformed once, before the joins.

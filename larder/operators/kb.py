@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from larder.session import checkpointed
 
 # Descriptions that start so are laboratory records, not foods.
-JUNK_PREFIXES = ["Amino Acids", "Minerals", "Fatty Acids", "Proximates", "Starch", "Sugars,", "TDF", "Thiamin", "Vitamin", "Riboflavin", "Selenium", "Pantothenic", "Choline", "Niacin", "Fat,", "Carotenoids", "Folate", "Cholesterol"]
+JUNK_PREFIXES = [
+    "Amino Acids", "Minerals", "Fatty Acids", "Proximates", "Starch", "Sugars,", "TDF", "Thiamin", "Vitamin", "Riboflavin", "Selenium", "Pantothenic",
+    "Choline", "Niacin", "Fat,", "Carotenoids", "Folate", "Cholesterol"
+]
 JUNK_PARTS = ["- NFY", "- CY"]
 # Words that tell a table of nutrients, and points for its columns.
 NUTRIENT_WORDS = ["protein", "fat", "carbo", "fiber", "energy", "calcium", "iron", "vitamin"]
@@ -93,7 +96,10 @@ def representatives(foods: DataFrame, edges: DataFrame, key: str = "fdc_id", nam
     return ranked.groupBy(name).agg(F.min("o").alias("o")).select(F.col("o.k").alias(key), name, (-F.col("o.e")).cast("long").alias("edges"))
 
 
-def merge_edges(foods: DataFrame, edges: DataFrame, repr_: DataFrame, key: str = "fdc_id", name: str = "description", nutrient: str = "nutrient_id", amount: str = "amount") -> DataFrame:
+def merge_edges(
+    foods: DataFrame, edges: DataFrame, repr_: DataFrame, key: str = "fdc_id", name: str = "description", nutrient: str = "nutrient_id",
+    amount: str = "amount"
+) -> DataFrame:
     """Edges of all foods of one description, averaged on their representative; null amounts do not count."""
     named = edges.join(foods.select(key, name), key)
     by_name = named.groupBy(name, nutrient).agg(F.sum(amount).alias("s"), F.count(amount).alias("c"))  # summed before the join back
@@ -138,12 +144,21 @@ def dense_ids(df: DataFrame, key: str, out: str) -> DataFrame:
 def build_kb(tables: dict[str, DataFrame], legacy: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Node, edge and index tables from a catalogue of CSV tables, with the legacy release appended after cleaning."""
     raw = tables[choose_nutrient_table(tables)]
-    nutrients = raw.select(F.col("id").try_cast("long").alias("nutrient_id"), F.trim("name").alias("nutrient_name"), F.trim(optional(raw, "unit_name", "string")).alias("unit_name")).where("nutrient_id IS NOT NULL")
+    nutrients = raw.select(
+        F.col("id").try_cast("long").alias("nutrient_id"), F.trim("name").alias("nutrient_name"),
+        F.trim(optional(raw, "unit_name", "string")).alias("unit_name")
+    ).where("nutrient_id IS NOT NULL")
     raw = tables[choose_food_table(tables)]
-    foods = raw.select(F.col("fdc_id").try_cast("long").alias("fdc_id"), "description", optional(raw, "data_type", "string"), optional(raw, "food_category_id", "long"), optional(raw, "publication_date", "string")).where("fdc_id IS NOT NULL")
+    foods = raw.select(
+        F.col("fdc_id").try_cast("long").alias("fdc_id"), "description", optional(raw, "data_type", "string"),
+        optional(raw, "food_category_id", "long"), optional(raw, "publication_date", "string")
+    ).where("fdc_id IS NOT NULL")
     raw = tables[choose_link_table(tables, foods, nutrients)]
     amount = "amount" if "amount" in raw.columns else "value"
-    edges = raw.select(F.col("fdc_id").try_cast("long").alias("fdc_id"), F.col("nutrient_id").try_cast("long").alias("nutrient_id"), F.col(amount).try_cast("double").alias("amount")).where("fdc_id IS NOT NULL AND nutrient_id IS NOT NULL")
+    edges = raw.select(
+        F.col("fdc_id").try_cast("long").alias("fdc_id"), F.col("nutrient_id").try_cast("long").alias("nutrient_id"),
+        F.col(amount).try_cast("double").alias("amount")
+    ).where("fdc_id IS NOT NULL AND nutrient_id IS NOT NULL")
     foods = clean_foods(foods, edges)
     if legacy:
         foods, edges, nutrients = append_padded(foods, legacy["food"]), append_padded(edges, legacy["edges"]), append_new(nutrients, legacy["nutrients"], "nutrient_id")

@@ -210,7 +210,10 @@ def recent(log: DataFrame, n: int, by: str = "user_id") -> DataFrame:
     return log.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def recommend_foods(requests: DataFrame, edges_by_name: DataFrame, vectors: DataFrame, least: float = 5.0, seeds: int = 5, neighbours: int = 5, available: DataFrame | None = None, eaten: DataFrame | None = None) -> DataFrame:
+def recommend_foods(
+    requests: DataFrame, edges_by_name: DataFrame, vectors: DataFrame, least: float = 5.0, seeds: int = 5, neighbours: int = 5,
+    available: DataFrame | None = None, eaten: DataFrame | None = None
+) -> DataFrame:
     """Seeds rich in each request's largest macro, then their graph neighbours; first come, no repeats.
 
     requests: qid, protein_g, fat_g, carb_g.  edges_by_name: fdc_id, macro (protein, fat or carb), amount.
@@ -225,14 +228,19 @@ def recommend_foods(requests: DataFrame, edges_by_name: DataFrame, vectors: Data
     order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("amount"), "fdc_id"))
     chosen = rows.withColumn("seed", order).where(F.col("seed") <= seeds).select("qid", "seed", "fdc_id")
     some = chosen.select(F.col("fdc_id").alias("p")).distinct().join(vectors.select(F.col("id").alias("p"), F.col("vec").alias("v")), "p")
-    near = retrieval.vector_topk(vectors, some, neighbours, query_id="p", query_vec="v", include_self=False).select(F.col("qid").alias("fdc_id"), F.col("id").alias("other"), "rank", "score")
+    near = retrieval.vector_topk(
+        vectors, some, neighbours, query_id="p", query_vec="v", include_self=False
+    ).select(F.col("qid").alias("fdc_id"), F.col("id").alias("other"), "rank", "score")
     found = chosen.join(near, "fdc_id").select("qid", "seed", "rank", F.col("other").alias("fdc_id"), "score")
     both = chosen.select("qid", "seed", F.lit(0).alias("rank"), "fdc_id", F.lit(1.0).alias("score")).unionByName(found)
     first = F.row_number().over(Window.partitionBy("qid", "fdc_id").orderBy("seed", "rank"))
     return both.withColumn("n", first).where("n = 1").drop("n")
 
 
-def recommend_foods_hybrid(requests: DataFrame, foods: DataFrame, q_text: DataFrame, q_graph: DataFrame, allowed: list[int], k: int = 10, weight: float = 0.5, alpha: float = 0.5) -> DataFrame:
+def recommend_foods_hybrid(
+    requests: DataFrame, foods: DataFrame, q_text: DataFrame, q_graph: DataFrame, allowed: list[int], k: int = 10, weight: float = 0.5,
+    alpha: float = 0.5
+) -> DataFrame:
     """Hybrid search from target vectors among foods of the allowed categories (or of none), with the macro fit as a score.
 
     foods: id, text_vec, graph_vec, food_category_id, protein, fat, carb.  requests: qid, protein_g, fat_g, carb_g.
@@ -248,7 +256,9 @@ def recommend_foods_hybrid(requests: DataFrame, foods: DataFrame, q_text: DataFr
 
 def rank_by_preference(options: DataFrame, preferences: DataFrame) -> DataFrame:
     """Seeds first, by preference; then neighbours by similarity; the order they came in breaks ties."""
-    rows = options.join(preferences.select("user_id", F.col("food_fdc_id").alias("fdc_id"), F.col("score").alias("preference")), ["user_id", "fdc_id"], "left").withColumn("preference", F.coalesce("preference", F.lit(0.5)))
+    rows = options.join(
+        preferences.select("user_id", F.col("food_fdc_id").alias("fdc_id"), F.col("score").alias("preference")), ["user_id", "fdc_id"], "left"
+    ).withColumn("preference", F.coalesce("preference", F.lit(0.5)))
     seed = F.col("rank") == 0
     order = [F.desc(seed), F.desc(F.when(seed, F.col("preference")).otherwise(F.col("score"))), "seed", "rank"]
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))

@@ -50,7 +50,9 @@ def vector_topk(
     def columns(df: DataFrame, key: str, vec: str, side: int) -> DataFrame:
         group = F.xxhash64(unlike[side]) if unlike else F.lit(0).cast("long")
         values = F.col(extra[side]).cast("array<double>") if extra else F.array(F.lit(0.0))
-        return df.select(F.col(key).cast(kind if side else "long").alias("id"), F.col(vec).cast("array<double>").alias("vec"), group.alias("g"), values.alias("x")).where("vec IS NOT NULL")
+        return df.select(
+            F.col(key).cast(kind if side else "long").alias("id"), F.col(vec).cast("array<double>").alias("vec"), group.alias("g"), values.alias("x")
+        ).where("vec IS NOT NULL")
 
     rows = columns(items, item_id, item_vec, 0)
 
@@ -168,7 +170,10 @@ def _blocked(c: DataFrame, q: DataFrame, alpha: float, k: int, weight: float = 0
     one = F.array(F.lit(1.0))
     t, g = F.col("text_vec").isNotNull(), F.col("graph_vec").isNotNull()
     some = lambda x: F.max(F.when(x, 1))
-    kinds = c.agg(F.max(F.when(t & g, F.size("graph_vec"))).alias("gd"), F.max(F.when(t & g, F.size("text_vec"))).alias("td"), some(t & ~g).alias("text_vec"), some(g & ~t).alias("graph_vec")).first()
+    kinds = c.agg(
+        F.max(F.when(t & g, F.size("graph_vec"))).alias("gd"), F.max(F.when(t & g, F.size("text_vec"))).alias("td"), some(t & ~g).alias("text_vec"),
+        some(g & ~t).alias("graph_vec")
+    ).first()
     item_side, query_side = ([pairwise[0]], [pairwise[1]]) if pairwise else ([], [])
     extra = (pairwise[0], pairwise[1], lambda a, b: weight * pairwise[2](a, b)) if pairwise else None
     out = []
@@ -209,7 +214,9 @@ def hybrid_neighbours(items: DataFrame, seeds: DataFrame, k: int = 5, alpha: flo
 
     A seed that lacks a vector or has a graph vector of zeros has no neighbours.  `available` (id) restricts what is found.
     """
-    own = items.where(F.col("text_vec").isNotNull() & (norm(F.col("graph_vec")) > 0)).select(F.col("id").alias("qid"), F.col("text_vec").alias("q_text"), F.col("graph_vec").alias("q_graph"))
+    own = items.where(F.col("text_vec").isNotNull() & (norm(F.col("graph_vec")) > 0)).select(
+        F.col("id").alias("qid"), F.col("text_vec").alias("q_text"), F.col("graph_vec").alias("q_graph")
+    )
     asked = seeds.select("qid").distinct().join(own, "qid")
     pool = items if available is None else items.join(available.select("id").distinct(), "id", "left_semi")
     found = hybrid_rank(pool, asked, alpha, k + 1).where("qid <> id").drop("rank")  # of k + 1 at most one is the seed
@@ -260,7 +267,10 @@ def search_pool(items: DataFrame, queries: DataFrame, pool: DataFrame, mode: str
     elif mode == "hybrid":
         q = pool_anchor(items, queries, pool)
     elif mode == "centroid":
-        q = queries.select("qid", "q_text").join(mean_vector(pool.join(items.select("id", "graph_vec"), "id"), ["qid"], "graph_vec").withColumnRenamed("graph_vec", "q_graph"), "qid", "left")
+        q = queries.select("qid", "q_text").join(
+            mean_vector(pool.join(items.select("id", "graph_vec"), "id"), ["qid"], "graph_vec").withColumnRenamed("graph_vec", "q_graph"), "qid",
+            "left"
+        )
     else:
         raise ValueError(f"unknown mode {mode!r}")
     if lam <= 0:
@@ -311,7 +321,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, least: float | None = None, doc_id: str = "id", text: str = "text", query_id: str = "qid", query_text: str = "text", stem: Callable[[Column], Column] | None = None) -> DataFrame:
+def bm25(
+    docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, least: float | None = None, doc_id: str = "id", text: str = "text",
+    query_id: str = "qid", query_text: str = "text", stem: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """Okapi BM25 of each (query, document) that share a term: qid, id, score.
 
     Postings are filtered by the queries' terms before anything is joined, so only matching documents move; they are

@@ -69,7 +69,10 @@ def sector_distances(points: DataFrame, nearest: float = 0.15, farthest: float =
 def scan_summary(distances: DataFrame, safe: float = 1.0, by: str = "scan_id") -> DataFrame:
     """Nearest distance and sector, and the sectors at least `safe` away."""
     least = F.min(F.struct("distance", "sector"))
-    return distances.groupBy(by).agg(least["distance"].alias("min_dist"), least["sector"].alias("min_sector"), F.sort_array(F.collect_list(F.when(F.col("distance") >= safe, F.col("sector")))).alias("safe"))
+    return distances.groupBy(by).agg(
+        least["distance"].alias("min_dist"), least["sector"].alias("min_sector"),
+        F.sort_array(F.collect_list(F.when(F.col("distance") >= safe, F.col("sector")))).alias("safe")
+    )
 
 
 def stable_labels(detections: DataFrame, frames: DataFrame, n: int = 8) -> DataFrame:
@@ -84,8 +87,13 @@ def stable_labels(detections: DataFrame, frames: DataFrame, n: int = 8) -> DataF
     rows = per.join(numbered, ["stream_id", "frame_seq"]).withColumn("island", F.col("pos") - F.row_number().over(order))
     so_far = Window.partitionBy("stream_id", "label", "island").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"streak": F.sum("k").over(so_far), **{f"s_{c}": F.sum(c).over(so_far) for c in ("cam_x", "cam_y", "cam_z")}})
-    reached = rows.where(F.col("streak") >= n).groupBy("stream_id", "label", "island").agg(F.min_by(F.struct("frame_seq", "streak", "s_cam_x", "s_cam_y", "s_cam_z"), "pos").alias("r"))
-    return reached.select("stream_id", "label", "r.frame_seq", F.col("r.streak").cast("long").alias("streak"), *((F.col(f"r.s_{c}") / F.col("r.streak")).alias(c) for c in ("cam_x", "cam_y", "cam_z")))
+    reached = rows.where(F.col("streak") >= n).groupBy("stream_id", "label", "island").agg(
+        F.min_by(F.struct("frame_seq", "streak", "s_cam_x", "s_cam_y", "s_cam_z"), "pos").alias("r")
+    )
+    return reached.select(
+        "stream_id", "label", "r.frame_seq", F.col("r.streak").cast("long").alias("streak"),
+        *((F.col(f"r.s_{c}") / F.col("r.streak")).alias(c) for c in ("cam_x", "cam_y", "cam_z"))
+    )
 
 
 def latest_pair(events: DataFrame, by: str, ts: str, kind: str, left: str, right: str, value: str, tie: str) -> DataFrame:
@@ -120,7 +128,10 @@ def resolve_names(asked: DataFrame, landmarks: DataFrame, stored: DataFrame) ->
     b = stored.select(F.lower("name").alias("k"), F.struct(F.col("px").alias("x"), F.col("py").alias("y")).alias("object"))
     rows = asked.withColumn("k", F.lower(F.trim("name"))).join(a, "k", "left").join(b, "k", "left")
     place = F.coalesce("landmark", "object")
-    return rows.select("name", place["x"].alias("x"), place["y"].alias("y"), F.when(F.col("landmark").isNotNull(), "landmark").when(F.col("object").isNotNull(), "object").alias("source"))
+    return rows.select(
+        "name", place["x"].alias("x"), place["y"].alias("y"),
+        F.when(F.col("landmark").isNotNull(), "landmark").when(F.col("object").isNotNull(), "object").alias("source")
+    )
 
 
 def enrich(live: DataFrame, stored: DataFrame) -> DataFrame:

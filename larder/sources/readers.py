@@ -59,8 +59,13 @@ def sr_legacy(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     names = sr_table(spark, f"{folder}/NUTR_DEF.txt", ["nutrient", "unit", "tag", "name"])
     return {
         "food": food.select((F.col("ndb").try_cast("long") + SR_OFFSET).alias("fdc_id"), "description").where("fdc_id IS NOT NULL"),
-        "edges": data.select((F.col("ndb").try_cast("long") + SR_OFFSET).alias("fdc_id"), F.col("nutrient").try_cast("long").alias("nutrient_id"), F.col("amount").try_cast("double").alias("amount")).where("fdc_id IS NOT NULL AND nutrient_id IS NOT NULL AND amount IS NOT NULL"),
-        "nutrients": names.select(F.col("nutrient").try_cast("long").alias("nutrient_id"), F.trim("name").alias("nutrient_name"), F.trim("unit").alias("unit_name")).where("nutrient_id IS NOT NULL"),
+        "edges": data.select(
+            (F.col("ndb").try_cast("long") + SR_OFFSET).alias("fdc_id"), F.col("nutrient").try_cast("long").alias("nutrient_id"),
+            F.col("amount").try_cast("double").alias("amount")
+        ).where("fdc_id IS NOT NULL AND nutrient_id IS NOT NULL AND amount IS NOT NULL"),
+        "nutrients": names.select(
+            F.col("nutrient").try_cast("long").alias("nutrient_id"), F.trim("name").alias("nutrient_name"), F.trim("unit").alias("unit_name")
+        ).where("nutrient_id IS NOT NULL"),
     }
 
 
@@ -73,8 +78,15 @@ def recipe_graph(lines: DataFrame) -> dict[str, DataFrame]:
     Keys are data, so each level is a map.  Of a recipe under several tags the first in the file gives the values.
     """
     at = F.struct(F.monotonically_increasing_id().alias("line"), F.lit(0).alias("pos"))
-    tags = lines.where(F.trim("value") != "").select(at.alias("at"), F.explode(F.from_json("value", "map<string,struct<name:string,neighbors:struct<tagged_dishes:array<map<string,struct<name:string,neighbors:string>>>>>>")).alias("tag_uri", "tag"))
-    dishes = tags.select("at", "tag_uri", F.posexplode("tag.neighbors.tagged_dishes").alias("dish_pos", "dish")).select("at", "tag_uri", "dish_pos", F.explode("dish").alias("recipe_uri", "recipe"))
+    tags = lines.where(F.trim("value") != "").select(
+        at.alias("at"),
+        F.explode(
+            F.from_json("value", "map<string,struct<name:string,neighbors:struct<tagged_dishes:array<map<string,struct<name:string,neighbors:string>>>>>>")
+        ).alias("tag_uri", "tag")
+    )
+    dishes = tags.select(
+        "at", "tag_uri", F.posexplode("tag.neighbors.tagged_dishes").alias("dish_pos", "dish")
+    ).select("at", "tag_uri", "dish_pos", F.explode("dish").alias("recipe_uri", "recipe"))
     one = Window.partitionBy("recipe_uri").orderBy("at", "dish_pos", "tag_uri")
     body = F.from_json(F.col("recipe.neighbors"), "map<string,string>")
     amount = lambda k: lenient_double(F.try_element_at(body, F.lit(k)))
@@ -84,7 +96,9 @@ def recipe_graph(lines: DataFrame) -> dict[str, DataFrame]:
         amount("saturated fat").alias("saturated_fat"), amount("monounsaturated fat").alias("monounsaturated_fat"), amount("polyunsaturated fat").alias("polyunsaturated_fat"),
     )
     parts = F.from_json(F.try_element_at(body, F.lit("contains_ingredients")), "array<map<string,struct<name:string>>>")
-    ingredients = first.select("recipe_uri", F.posexplode(parts).alias("pos", "part")).select("recipe_uri", "pos", F.explode("part").alias("ingredient_uri", "x")).select("recipe_uri", "pos", first_name(F.col("x.name")).alias("ingredient_name"))
+    ingredients = first.select("recipe_uri", F.posexplode(parts).alias("pos", "part")).select("recipe_uri", "pos", F.explode("part").alias("ingredient_uri", "x")).select(
+        "recipe_uri", "pos", first_name(F.col("x.name")).alias("ingredient_name")
+    )
     uses = ingredients.groupBy("recipe_uri", "ingredient_name").agg(F.min("pos").alias("pos"))
     return {
         "tags": tags.groupBy("tag_uri").agg(F.min_by(first_name(F.col("tag.name")), "at").alias("tag_name")),
@@ -103,7 +117,10 @@ def examples(spark: SparkSession, path: str) -> DataFrame:
         F.col("qId").alias("qid"), F.coalesce("qText", F.lit("")).alias("question"), F.get(F.coalesce("topicKey", none), F.lit(0)).alias("tag"),
         F.coalesce(F.try_element_at(F.col("persona.constrained_entities"), F.lit("1")), F.col("persona.ingredient_likes"), none).alias("positive"),
         F.coalesce(F.try_element_at(F.col("persona.constrained_entities"), F.lit("2")), F.col("persona.ingredient_dislikes"), none).alias("negative"),
-        F.filter(F.coalesce("explicit_nutrition", F.array().cast("array<struct<nutrition:string,level:string,range:array<double>>>")), lambda x: F.size(x["range"]) == 2).alias("ranges"),
+        F.filter(
+            F.coalesce("explicit_nutrition", F.array().cast("array<struct<nutrition:string,level:string,range:array<double>>>")),
+            lambda x: F.size(x["range"]) == 2
+        ).alias("ranges"),
         F.coalesce("answers", none).alias("answers"),
     )
 
@@ -114,10 +131,16 @@ def eval_samples(spark: SparkSession, path: str) -> DataFrame:
     chat = F.from_json(F.get(F.get(F.get("arguments", F.lit(0)), F.lit(0)), F.lit(0)), "array<struct<role:string,content:string>>")
     user = F.get(F.filter(chat, lambda m: m["role"] == "user"), F.lit(0))["content"]
     reply = F.get("filtered_resps", F.lit(0))
-    return s.select("doc_id", F.try_element_at("doc", F.lit("meal_description")).alias("meal"), F.coalesce(user, F.lit("")).alias("prompt"), first_name(reply).alias("reply"), "acc", "mae")
+    return s.select(
+        "doc_id", F.try_element_at("doc", F.lit("meal_description")).alias("meal"), F.coalesce(user, F.lit("")).alias("prompt"),
+        first_name(reply).alias("reply"), "acc", "mae"
+    )
 
 
-METRICS = ["task_success", "task_progress", "reward", "num_steps", "planner_steps", "planner_output_error", "num_invalid_actions", "num_invalid_action_ratio", "empty_plan", "episode_elapsed_seconds"]
+METRICS = [
+    "task_success", "task_progress", "reward", "num_steps", "planner_steps", "planner_output_error", "num_invalid_actions",
+    "num_invalid_action_ratio", "empty_plan", "episode_elapsed_seconds"
+]
 
 
 def _episode_files(spark: SparkSession, root: str) -> DataFrame:
@@ -134,7 +157,10 @@ def episodes(spark: SparkSession, root: str) -> DataFrame:
     """One row per readable episode file below root/<subset>/; files that are no JSON objects are left out."""
     raw = _episode_files(spark, root)
     v = F.try_parse_json("value")
-    rows = raw.where(v.isNotNull()).select("subset", "file", *(F.try_variant_get(v, f"$.{m}", "double").alias(m) for m in METRICS), F.try_variant_get(v, "$.instruction", "string").alias("instruction"))
+    rows = raw.where(v.isNotNull()).select(
+        "subset", "file", *(F.try_variant_get(v, f"$.{m}", "double").alias(m) for m in METRICS),
+        F.try_variant_get(v, "$.instruction", "string").alias("instruction")
+    )
     return rows
 
 
@@ -152,7 +178,10 @@ def object_map(text: Column) -> Column:
 def tool_log(lines: DataFrame) -> DataFrame:
     """Log lines `n. Tool(args)` to step, tool and args."""
     shape = r"^\s*(\d+)\.\s*(\w+)\((.*)\)\s*$"
-    return lines.where(F.col("value").rlike(shape)).select(F.regexp_extract("value", shape, 1).cast("int").alias("step"), F.regexp_extract("value", shape, 2).alias("tool"), F.regexp_extract("value", shape, 3).alias("args"))
+    return lines.where(F.col("value").rlike(shape)).select(
+        F.regexp_extract("value", shape, 1).cast("int").alias("step"), F.regexp_extract("value", shape, 2).alias("tool"),
+        F.regexp_extract("value", shape, 3).alias("args")
+    )
 
 
 def settings(spark: SparkSession, text: str, schema: str, level: str | None = None) -> DataFrame:

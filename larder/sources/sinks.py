@@ -40,7 +40,10 @@ def write_vectors(df: DataFrame, path: str) -> None:
 def log_offers(offers: DataFrame, chosen: DataFrame, path: str) -> None:
     """Appends a row per offered food; `chosen` says whether it was taken."""
     taken = chosen.select("user_id", "food_fdc_id").distinct().withColumn("taken", F.lit(True))
-    rows = offers.join(taken, ["user_id", "food_fdc_id"], "left").select(F.expr("uuid()").alias("id"), F.current_timestamp().alias("timestamp"), "user_id", "meal_type", "food_fdc_id", "food_desc", F.lit(True).alias("offered"), F.coalesce("taken", F.lit(False)).alias("chosen"))
+    rows = offers.join(taken, ["user_id", "food_fdc_id"], "left").select(
+        F.expr("uuid()").alias("id"), F.current_timestamp().alias("timestamp"), "user_id", "meal_type", "food_fdc_id", "food_desc",
+        F.lit(True).alias("offered"), F.coalesce("taken", F.lit(False)).alias("chosen")
+    )
     rows.write.mode("append").parquet(path)
 
 
@@ -49,7 +52,9 @@ def merge_objects(stored: DataFrame, changes: DataFrame) -> DataFrame:
     cleared = changes.where("op = 'clear'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("cleared"))
     old = stored.select("name", "px", "py", "label", F.lit("put").alias("op"), F.lit(-1).cast("long").alias("seq"))
     new = changes.where("op <> 'clear'").select("name", "px", "py", "label", "op", F.col("seq").cast("long").alias("seq"))
-    last = old.unionByName(new).crossJoin(F.broadcast(cleared)).where("seq > cleared OR (cleared = -1 AND seq = -1)").groupBy("name").agg(F.max_by(F.struct("px", "py", "label", "op"), "seq").alias("x"))
+    last = old.unionByName(new).crossJoin(F.broadcast(cleared)).where("seq > cleared OR (cleared = -1 AND seq = -1)").groupBy("name").agg(
+        F.max_by(F.struct("px", "py", "label", "op"), "seq").alias("x")
+    )
     return last.where("x.op = 'put'").select("name", "x.px", "x.py", "x.label")
 
 

@@ -78,7 +78,9 @@ def registry(requests: DataFrame, radius: float = 0.5) -> DataFrame:
         state.update(tuple(list(c) for c in zip(*stored, strict=True)) if stored else ([], [], [], []))
         yield pd.DataFrame(out, columns=["map_id", "name", "label", "px", "py"])
 
-    return requests.groupBy("map_id").applyInPandasWithState(step, OBJECT, "names array<string>, labels array<string>, xs array<double>, ys array<double>", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("map_id").applyInPandasWithState(
+        step, OBJECT, "names array<string>, labels array<string>, xs array<double>, ys array<double>", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def watchdog(track: DataFrame, near: float = 0.5, step_m: float = 0.05, patience_s: float = 15.0, limit_s: float = 120.0, timer: bool = False) -> DataFrame:

@@ -25,7 +25,9 @@ def sliding(df: DataFrame, size: str, step: str, keys: list[str], value: str, ts
 
 
 def sessions(df: DataFrame, gap: str, keys: list[str], value: str, ts: str = "ts") -> DataFrame:
-    return df.groupBy(F.session_window(ts, gap), *keys).agg(*_stats(value)).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n", "total", "mean", "peak")
+    return df.groupBy(F.session_window(ts, gap), *keys).agg(*_stats(value)).select(
+        F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n", "total", "mean", "peak"
+    )
 
 
 def latest(df: DataFrame, keys: list[str], ts: str, values: list[str]) -> DataFrame:
