@@ -70,7 +70,15 @@ def build(keys: DataFrame, column: str, count: int, most_bytes: int = 64 << 20)
     # keys of a slice meet in one partition, so each slice is made once
     dealt = keys.select(F.col(column).cast("long").alias("k"))
     if slices > 1:
-        tagged = dealt.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b.column(0), pa.array(slice_of(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64), slices), pa.int32())], names=["k", "slice"]) for b in it), "k long, slice int")
+        tagged = dealt.mapInArrow(
+            lambda it: (
+                pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(slice_of(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64), slices), pa.int32())],
+                    names=["k", "slice"]
+                ) for b in it
+            ),
+            "k long, slice int"
+        )
         made = tagged.repartition(slices, "slice").select("k").mapInArrow(part, "slice int, bits binary").collect()
     else:
         made = dealt.coalesce(1).mapInArrow(part, "slice int, bits binary").collect()

@@ -105,7 +105,10 @@ def format_reply_trees(messages: DataFrame, stage: Stage, best: int | None = 1,
     size = F.length("head") + F.length("body") + len(END)
     before = F.sum(size).over(Window.partitionBy("tree", "leaf").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("start", F.coalesce(before, F.lit(0)) + F.length("head"))
-    turn = F.struct("pos", F.concat("head", "body", F.lit(END)).alias("piece"), F.when(F.col("trained"), F.struct(F.col("start").cast("long").alias("start"), F.length("body").cast("long").alias("length"))).alias("span"))
+    turn = F.struct(
+        "pos", F.concat("head", "body", F.lit(END)).alias("piece"),
+        F.when(F.col("trained"), F.struct(F.col("start").cast("long").alias("start"), F.length("body").cast("long").alias("length"))).alias("span")
+    )
     made = rows.groupBy("tree", "leaf").agg(F.first("rank").alias("rank"), F.first("branch_score").alias("score"), F.sort_array(F.collect_list(turn)).alias("turns"))
     return made.select("tree", "leaf", "rank", "score", F.array_join(F.col("turns.piece"), "").alias("formatted"), F.array_compact(F.col("turns.span")).alias("loss_spans"))
 
@@ -132,10 +135,15 @@ def op2_chat_format(spark, sf_dir):
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -1L AS conv_id, stack(2, 0L, 'user', '</s>[INST] ok [/INST]', 1L, 'assistant', '</s>[INST] ok [/INST]') AS (turn, role, text)")
     node = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    messages = said.unionByName(extra).select(F.col("conv_id").alias("tree"), node.alias("node"), F.when(node > 1, node - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    messages = said.unionByName(extra).select(
+        F.col("conv_id").alias("tree"), node.alias("node"), F.when(node > 1, node - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")
+    )
     out = format_reply_trees(messages, Stage(spark, "op2"))
     turns = read_turns(F.col("formatted"))
-    out = out.select(F.col("tree").alias("conv_id"), turns.alias("turns"), masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    out = out.select(
+        F.col("tree").alias("conv_id"), turns.alias("turns"), masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars")
+    )
     said_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_text.cast("binary"), 256).alias("turns_sha256"),

@@ -95,7 +95,10 @@ class Patterns:
         if not got_end:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         ends, pattern = np.concatenate(got_end), np.concatenate(got_pattern)
-        sure = np.fromiter((b" ".join(words.text(i) for i in range(e - m + 1, e + 1)) == self.texts[p] for e, p in zip(ends.tolist(), pattern.tolist(), strict=True)), dtype=bool, count=len(ends))
+        sure = np.fromiter(
+            (b" ".join(words.text(i) for i in range(e - m + 1, e + 1)) == self.texts[p] for e, p in zip(ends.tolist(), pattern.tolist(), strict=True)),
+            dtype=bool, count=len(ends)
+        )
         return ends[sure], pattern[sure]
 
 
@@ -103,7 +106,9 @@ def _in_order(items: Iterable[str | None]) -> list[str | None]:
     return sorted(items, key=lambda x: (x is not None, x or ""))
 
 
-def pattern_blocks(items: Iterator[tuple[object, str | None]], window: int, block_windows: int, unnamed: bool = False) -> Iterator[dict[int, tuple[np.ndarray, list[bytes], list[list[str | None]]]]]:
+def pattern_blocks(
+    items: Iterator[tuple[object, str | None]], window: int, block_windows: int, unnamed: bool = False
+) -> Iterator[dict[int, tuple[np.ndarray, list[bytes], list[list[str | None]]]]]:
     """Windows of the items by length, in blocks of about `block_windows` windows."""
     held: dict[int, dict[bytes, tuple[np.ndarray, set[str | None]]]] = defaultdict(dict)
     count = 0
@@ -147,7 +152,10 @@ class Block:
         return self.made
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_windows: int = 250_000, unnamed: bool = False) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    block_windows: int = 250_000, unnamed: bool = False
+) -> DataFrame:
     """The documents with n_words, hit_spans (array of first and last hit word), n_hit and items (sorted as strings)."""
     spark = docs.sparkSession
     own = ["n_words", "n_hit", "hit_spans", "items"]
@@ -155,7 +163,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_t
     names = docs.columns
     at = names.index(doc_text)
     spans = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, n_hit long, hit_spans array<struct<first: bigint, last: bigint>>, items array<string>"
+    schema = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema
+    ) + ", n_words long, n_hit long, hit_spans array<struct<first: bigint, last: bigint>>, items array<string>"
 
     def one_pass(df: DataFrame, shared) -> DataFrame:
         first = len(df.columns) == len(names)
@@ -190,7 +200,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_t
                         d = np.diff(np.concatenate([[0], own_hits, [0]]))
                         places[i] = [{"first": a, "last": b - 1} for a, b in zip(np.flatnonzero(d == 1).tolist(), np.flatnonzero(d == -1).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [*batch.columns[: len(names)], pa.array(w.n, pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]], pa.int64()), pa.array(places, spans), pa.array([_in_order(items.get(i, ())) for i in range(len(nulls))], pa.list_(pa.string()))],
+                        [
+                            *batch.columns[: len(names)], pa.array(w.n, pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]], pa.int64()),
+                            pa.array(places, spans), pa.array([_in_order(items.get(i, ())) for i in range(len(nulls))], pa.list_(pa.string()))
+                        ],
                         names=[*names, *own],
                     )
 

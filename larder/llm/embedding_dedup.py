@@ -217,7 +217,10 @@ def _found(who: np.ndarray, links: np.ndarray, x: np.ndarray, y: np.ndarray, ask
     return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["id", "other", "links", "asked", "audited", "first", "recall"])
 
 
-def _audited(spark, index: list[dict], stage: Stage, least: float, ef: int, recall: float, slice_rows: int, audit: int, report: dict, enough: int = 64, most: int = 1_000_000) -> DataFrame:
+def _audited(
+    spark, index: list[dict], stage: Stage, least: float, ef: int, recall: float, slice_rows: int, audit: int, report: dict, enough: int = 64,
+    most: int = 1_000_000
+) -> DataFrame:
     """The links, once the audits of all tasks together say that beams of `ef` reach `recall`.
 
     A task whose sample has no link learns nothing from it, so it relies on the recall of the others' first beams.
@@ -227,7 +230,9 @@ def _audited(spark, index: list[dict], stage: Stage, least: float, ef: int, reca
         name = f"found-{ef}-{audit}"
         found = stage.table(similar_vectors(spark, index, least, ef, recall, slice_rows, audit), name)
         pooled = lambda c: F.coalesce(F.try_divide(F.sum(F.col("audited") * F.col(c)), F.sum("audited")), F.lit(1.0))
-        r = found.where("recall IS NOT NULL").agg(F.sum("asked").alias("asked"), F.sum("audited").alias("audited"), pooled("first").alias("first"), pooled("recall").alias("recall")).first()
+        r = found.where("recall IS NOT NULL").agg(
+            F.sum("asked").alias("asked"), F.sum("audited").alias("audited"), pooled("first").alias("first"), pooled("recall").alias("recall")
+        ).first()
         few = r["audited"] < enough and r["asked"] < most and audit < min(slice_rows, largest)
         if ef >= largest or not few and r["first"] >= recall:
             report |= r.asDict() | {"ef": ef}
@@ -278,7 +283,9 @@ def near_vectors(
 
     large = max(1024, ids.count() // HOT)
     hot = groups.where(F.col("weight") > large).select("p", "q", F.lit(SALTS).alias("salts"))  # of all ids, so fewer than HOT
-    of_group = known(groups.select("p", "q", "id", "weight")).select("p", "q", (F.col("links") + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
+    of_group = known(groups.select("p", "q", "id", "weight")).select(
+        "p", "q", (F.col("links") + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("component")
+    )
     spread = of_group.join(F.broadcast(hot), ["p", "q"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     salted = ids.where("fine").join(several, "id", "left_anti").join(F.broadcast(hot), ["p", "q"], "left")
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
@@ -290,7 +297,10 @@ def near_vectors(
 
 def _result(ids: DataFrame) -> DataFrame:
     component = F.coalesce("component", "id")
-    return ids.select(F.col("id").alias("vec_id"), F.col("links").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return ids.select(
+        F.col("id").alias("vec_id"), F.col("links").cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
+    )
 
 
 def op8_embedding_dedup(spark, sf_dir):

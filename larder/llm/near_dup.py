@@ -82,7 +82,13 @@ def signatures(docs: DataFrame, shingle: int = 5, k: int = 64, heads: int = 8, l
                     f2.append(int(m.sum(dtype=U64).view(np.int64)))
                     first.append(s[:heads].view(np.int64))
                     sketch.append((s[:k] >> U64(32)).astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n", "f1", "f2", "heads", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
+                        pa.array(first, pa.list_(pa.int64())), pa.array(sketch, pa.binary())
+                    ],
+                    names=["doc_id", "n", "f1", "f2", "heads", "sketch"]
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
@@ -102,7 +108,10 @@ def _tiles(entries: DataFrame, sizes: DataFrame, threshold: float, tile: int) ->
     def pairs(k: F.Column) -> F.Column:
         """Tiles of this entry and of each part of class k, smaller code first."""
         count = part(k)
-        return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda p: F.struct(F.least(me, code(k, p)).alias("a"), F.greatest(me, code(k, p)).alias("b")))).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
+        return F.when(
+            count > 0,
+            F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda p: F.struct(F.least(me, code(k, p)).alias("a"), F.greatest(me, code(k, p)).alias("b")))
+        ).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
 
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
     split = F.concat(pairs(F.col("class")), pairs(F.col("class") - 1), pairs(F.col("class") + 1))
@@ -285,7 +294,10 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, k: int = 64, heads: int | None = None, tile: int = 512) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, k: int = 64,
+    heads: int | None = None, tile: int = 512
+) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Links: 100 * |intersection| >= percent * |union| of the shingle sets of lower-cased (A-Z) texts.
@@ -296,7 +308,10 @@ def near_duplicates(docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = stage.table(signatures(docs, shingle, k, heads), "signatures")
-    groups = stage.table(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("heads").alias("heads"), F.first("sketch").alias("sketch")), "groups")
+    groups = stage.table(
+        signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("heads").alias("heads"), F.first("sketch").alias("sketch")),
+        "groups"
+    )
 
     entries = groups.select("rep", "n", F.explode("heads").alias("v"))
     size_class = F.floor(F.log("n") / -math.log(threshold)).cast("int")
@@ -319,7 +334,10 @@ def near_duplicates(docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in chunks(offsets):
                 w = Words(data, offsets, lo, hi, SPACE_WORD, True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array([s.astype("<u8").tobytes() for _, s in shingle_sets(w, shingle)], pa.binary())], names=["rep", "set"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[lo:hi]), pa.array([s.astype("<u8").tobytes() for _, s in shingle_sets(w, shingle)], pa.binary())],
+                    names=["rep", "set"]
+                )
 
     sets = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(full_sets, "rep long, set binary")
     joined = active.join(sets, "rep").select("tile", "rep", "set")

@@ -155,7 +155,10 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
             c = list(zip(*held, strict=True))
             long = pa.int64()
             out = pa.RecordBatch.from_arrays(
-                [pa.array(c[0], long), pa.array(c[1], long), pa.array([len(x) // 4 for x in c[2]], long), pa.array(c[2], pa.binary()), pa.array(c[3], long), pa.array([base + x for x in c[4]], long), pa.array(c[5], long), pa.array(c[6], long)],
+                [
+                    pa.array(c[0], long), pa.array(c[1], long), pa.array([len(x) // 4 for x in c[2]], long), pa.array(c[2], pa.binary()),
+                    pa.array(c[3], long), pa.array([base + x for x in c[4]], long), pa.array(c[5], long), pa.array(c[6], long)
+                ],
                 names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_length"],
             )
             held, size = [], 0

@@ -229,7 +229,10 @@ class LineCrf:
             c = c + np.linalg.solve(h, z.T @ (good - s) - 1e-2 * c)
         return c
 
-    def fit(self, x: np.ndarray, doc: np.ndarray, size: np.ndarray, good: np.ndarray, first: int = 80, rounds: int = 20, turns: int = 4, l2: float = 1e-3, around: float = 30.0) -> LineCrf:
+    def fit(
+        self, x: np.ndarray, doc: np.ndarray, size: np.ndarray, good: np.ndarray, first: int = 80, rounds: int = 20, turns: int = 4, l2: float = 1e-3,
+        around: float = 30.0
+    ) -> LineCrf:
         """doc: document of each line, 0 on; good: label of each document."""
         docs = len(good)
         if not docs or good.min() == good.max() or not len(x):
@@ -299,7 +302,9 @@ def fit_quality(
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[i] for i in own], pa.int64()), pa.array([int(first[i + 1] - first[i]) for i in own], pa.int64()),
-                        pa.array([x[first[i] : first[i + 1]].tobytes() for i in own], pa.binary()), pa.array([size[first[i] : first[i + 1]].astype(np.int64).tobytes() for i in own], pa.binary()),
+                        pa.array([x[first[i] : first[i + 1]].tobytes() for i in own], pa.binary()), pa.array(
+                            [size[first[i] : first[i + 1]].astype(np.int64).tobytes() for i in own], pa.binary()
+                        ),
                     ],
                     names=["doc_id", "lines", "x", "size"],
                 )
@@ -349,4 +354,7 @@ def score_quality(docs: DataFrame, model: LineCrf, text: str = "text") -> DataFr
 def op3_quality_crf(spark, sf_dir):
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines", F.size("bad_lines").alias("n_bad_lines"))
+    return score_quality(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines",
+        F.size("bad_lines").alias("n_bad_lines")
+    )

@@ -206,7 +206,9 @@ def write_shards(docs: DataFrame, root: str, doc_id: str = "doc_id", text: str =
         if out is not None:
             out.finish()
             out.sink.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{root}/{name.rsplit('/', 1)[1]}"], "n_docs": [out.entries], "n_tokens": [out.tokens]})
+            yield pa.RecordBatch.from_pydict(
+                {"shard": pa.array([shard], pa.int32()), "path": [f"{root}/{name.rsplit('/', 1)[1]}"], "n_docs": [out.entries], "n_tokens": [out.tokens]}
+            )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.repartitionByRange(shards or partitions_for(rows), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -245,7 +247,10 @@ def read_shards(spark, manifest: list[dict]) -> DataFrame:
 
 def _batch(held: list[tuple]) -> pa.RecordBatch:
     c = list(zip(*held, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())],
+        names=["doc_id", "start", "n_tokens", "ids"]
+    )
 
 
 def op6_token_sstable(spark, sf_dir):

@@ -420,7 +420,10 @@ def _parse(blocks: DataFrame, window: int, parts: int, bits: int) -> DataFrame:
 
 def _cut(docs: DataFrame, found: DataFrame, names: list[str], schema: str, text: str, window: int, parts: int) -> DataFrame:
     """Joins factors and documents: both are dealt alike, and a partition's factors come first."""
-    row = docs.select(F.pmod("uid", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "uid", F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.lit(None).cast("binary").alias("found"))
+    row = docs.select(
+        F.pmod("uid", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "uid",
+        F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.lit(None).cast("binary").alias("found")
+    )
     kind = dict(row.dtypes)["row"]
     facts = found.select("part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("uid"), F.lit(None).cast(kind).alias("row"), "found")
     both = facts.unionByName(row).repartitionById(parts, "part").sortWithinPartitions("kind").select("kind", "uid", "row", "found")

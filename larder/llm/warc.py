@@ -156,7 +156,13 @@ def response(key: object, url: str | None, page: str | None, date: str) -> bytes
     payload = (page or "").encode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     target = [("WARC-Target-URI", url)] if url is not None else []
-    return serialise([("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url, date)), *target, ("WARC-Date", date), ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(http)), ("Content-Type", "application/http; msgtype=response")], http)
+    return serialise(
+        [
+            ("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url, date)), *target, ("WARC-Date", date),
+            ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(http)), ("Content-Type", "application/http; msgtype=response")
+        ],
+        http
+    )
 
 
 def derive(raw: bytes) -> tuple[bytes, bytes]:
@@ -177,8 +183,20 @@ def derive(raw: bytes) -> tuple[bytes, bytes]:
     meta = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields).encode()
     common = [*kept, ("WARC-Source-Payload-Digest", source.get("warc-payload-digest", ""))]
     return (
-        serialise([("WARC-Type", "metadata"), ("WARC-Record-ID", meta_id), ("WARC-Refers-To", me), *common, ("WARC-Block-Digest", digest(meta)), ("Content-Type", "application/warc-fields")], meta),
-        serialise([("WARC-Type", "conversion"), ("WARC-Record-ID", text_id), ("WARC-Refers-To", me), *common, ("WARC-Block-Digest", digest(body)), ("Content-Type", "text/plain; charset=utf-8")], body),
+        serialise(
+            [
+                ("WARC-Type", "metadata"), ("WARC-Record-ID", meta_id), ("WARC-Refers-To", me), *common, ("WARC-Block-Digest", digest(meta)),
+                ("Content-Type", "application/warc-fields")
+            ],
+            meta
+        ),
+        serialise(
+            [
+                ("WARC-Type", "conversion"), ("WARC-Record-ID", text_id), ("WARC-Refers-To", me), *common, ("WARC-Block-Digest", digest(body)),
+                ("Content-Type", "text/plain; charset=utf-8")
+            ],
+            body
+        ),
     )
 
 
@@ -191,7 +209,9 @@ def response_records(pages: DataFrame, key: str = "page_id", url: str = "url", p
                 k, u, h = (c.to_pylist() for c in batch.slice(at, 512).columns)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([response(*x, date) for x in zip(k, u, h, strict=True)], pa.binary())], names=["key", "record"])
 
-    return pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("page")).mapInArrow(run, "key long, record binary")
+    return pages.select(
+        F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("page")
+    ).mapInArrow(run, "key long, record binary")
 
 
 FILES = "path string, records long"
