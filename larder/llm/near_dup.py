@@ -296,7 +296,7 @@ def _verify(percent: int):
 
 def near_duplicates(
     docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, k: int = 64,
-    heads: int | None = None, tile: int = 512
+    heads: int | None = None, tile: int = 1024
 ) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
