@@ -3,7 +3,8 @@
 A shard file holds, in key order, prefix-compressed entries in compressed
 blocks, then a sparse index (first key, place and size of each block), a Bloom
 filter of the keys and a fixed footer.  `Table.get` asks the Bloom filter,
-finds the block by binary search in the index and searches it.
+finds the block by binary search in the index and searches it; `lookup` does so
+for a table of keys, whose shards follow from the manifest.
 
 Keys are document ids, big-endian with the sign bit turned, so bytes sort as
 integers do; a null id is the empty-most key.  Values are the ids, 16 bits each
@@ -24,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,9 +76,11 @@ class Writer:
         self.at = self.entries = self.tokens = 0
         self.index: list[tuple[bytes, int, int]] = []
         self.hashes: list[int] = []
-        self.block, self.first, self.last = bytearray(), b"", b""
+        self.block, self.first, self.last, self.least = bytearray(), b"", b"", b""
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
+        if not self.entries:
+            self.least = key
         if not self.block:
             self.first, self.last = key, b""
         shared = 0
@@ -181,7 +185,7 @@ class Table:
         return None
 
 
-MANIFEST = "shard int, path string, n_docs long, n_tokens long"
+MANIFEST = "shard int, path string, n_docs long, n_tokens long, first long, last long"
 
 
 def write_shards(docs: DataFrame, root: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 0, shards: int | None = None) -> list[dict]:
@@ -206,8 +210,10 @@ def write_shards(docs: DataFrame, root: str, doc_id: str = "doc_id", text: str =
         if out is not None:
             out.finish()
             out.sink.close()
-            yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array([shard], pa.int32()), "path": [f"{root}/{name.rsplit('/', 1)[1]}"], "n_docs": [out.entries], "n_tokens": [out.tokens]}
+            numbers = [shard, out.entries, out.tokens, id_of(out.least), id_of(out.last)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([numbers[0]], pa.int32()), pa.array([f"{root}/{name.rsplit('/', 1)[1]}"]), *(pa.array([n], pa.int64()) for n in numbers[1:])],
+                names=["shard", "path", "n_docs", "n_tokens", "first", "last"],
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -245,6 +251,44 @@ def read_shards(spark, manifest: list[dict]) -> DataFrame:
     return files.repartition(max(1, len(starts))).mapInArrow(read, READ)
 
 
+def lookup(spark, manifest: list[dict], keys: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The first entry of each key asked for that is there: doc_id, n_tokens, ids.
+
+    A key's shard follows from the manifest's last keys by binary search; keys meet by shard, and each shard's file is
+    opened once for its keys, of which the Bloom filter and the sparse index read one block at most.
+    """
+    lasts = np.array([m["last"] if m["last"] is not None else -(1 << 63) for m in manifest], dtype=np.int64)
+    paths = [m["path"] for m in manifest]
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(lasts, ids.to_numpy(dtype=np.int64), "left").astype(np.int32))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, table, file = -1, None, None
+        for batch in batches:
+            held = []
+            for key, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at:
+                    if file is not None:
+                        file.close()
+                    system, place = filesystem(paths[shard])
+                    at, file = shard, system.open_input_file(place)
+                    table = Table(file)
+                ids = table.get(key)
+                if ids is not None:
+                    held.append((key, len(ids), ids.astype("<u4").tobytes()))
+            if held:
+                c = list(zip(*held, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        if file is not None:
+            file.close()
+
+    asked = keys.select(F.col(doc_id).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    asked = asked.withColumn("shard", shard_of("doc_id")).where(F.col("shard") < len(paths))
+    return asked.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(find, "doc_id long, n_tokens long, ids binary")
+
+
 def _batch(held: list[tuple]) -> pa.RecordBatch:
     c = list(zip(*held, strict=True))
     return pa.RecordBatch.from_arrays(

@@ -137,6 +137,13 @@ def test_sstable(spark, encode, tmp_path):
                     assert x.tolist() in [[*encode(b), 0] for a, b in docs if a == i]
             assert table.get(999_999) is None
     assert found == {i for i, _ in docs}
+    asked = spark.createDataFrame([(i,) for i, _ in docs] + [(999_999,), (-(1 << 62),), (-20,)], "doc_id long").repartition(3)
+    have = {r["doc_id"]: tokens.ids_of(r["ids"]).tolist() for r in sstable.lookup(spark, manifest, asked).collect()}
+    first = {}
+    for i, t in want:
+        first.setdefault(i, [*encode(t), 0])
+    assert have == {i: ids for i, ids in first.items() if i is not None}
+    assert sstable.lookup(spark, [], asked).count() == 0
     assert sstable.write_shards(spark.createDataFrame([], "doc_id long, text string"), root) == []
 
 
