@@ -8,9 +8,17 @@ fingerprint) go through the rest as one.
    sets that link, each of its smallest values is shared with at least the
    threshold's probability; `heads` is the least number with a chance below
    1e-6 of sharing none (8 at 85%, 9 at 80%).
-2. Long lists are cut into tiles: by size class (sets that link have sizes
-   within the threshold of each other) and by hash within a class.  A tile is
-   a bounded block; every pair of a list that could link meets in one tile.
+2. Long lists are first thinned: all members are compared, exactly, with one
+   member of the list's largest component and one from outside it; those that
+   link join, and the rest goes on to the next round, until comparing what is
+   left outside with all others costs little more than the list itself or a round
+   unites less than a quarter of it.  Within a
+   component nothing is compared any more, so a cloud of near copies costs a few
+   comparisons a document, not all its pairs.
+   What is left of long lists is cut into tiles: by size class (sets that link
+   have sizes within the threshold of each other) and by hash within a class.  A
+   tile is a bounded block; every pair of a list that could link and is not in
+   one component already meets in one tile.
 3. Within a tile, retained values in common bound the overlap, and the sketch
    of the union estimates the similarity; pairs go whose estimate has a chance
    below 1e-6 at the threshold (binomial tail; of 64 values, 39 shared pass at
@@ -20,7 +28,8 @@ fingerprint) go through the rest as one.
    tile returns the edges of a spanning forest only, never all its pairs.
 5. Components unite the tiles' forests.
 
-Nothing is capped: a long list costs more tiles, not fewer comparisons.
+Nothing is capped: rounds end when they no longer pay, and the tiles decide
+whatever is left.
 
 Defined results: a null, empty or word-less text has an empty set, links with
 nothing and is its own component; rows that repeat an id are one node (their
@@ -41,8 +50,8 @@ from pyspark.sql import functions as F
 
 from larder.llm import bloom
 from larder.llm.components import components
-from larder.llm.kernels import SPACE_WORD, U64, Words, chunks, grams, mix, string_views, trim
-from larder.llm.staging import Stage, spread
+from larder.llm.kernels import SPACE_WORD, U64, Words, chunks, fresh, grams, mix, string_views, trim
+from larder.llm.staging import Stage, send, spread
 
 PAD = np.uint32(0xFFFFFFFF)
 
@@ -70,6 +79,7 @@ def signatures(docs: DataFrame, shingle: int = 5, k: int = 64, heads: int = 8, l
     """docs: doc_id, text.  A row per document: size and fingerprint of its set, first retained values, and the high halves of all k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in batches:
             data, offsets, _ = string_views(batch.column(1))
             for lo, hi in chunks(offsets):
@@ -93,29 +103,109 @@ def signatures(docs: DataFrame, shingle: int = 5, k: int = 64, heads: int = 8, l
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
 
-def _tiles(entries: DataFrame, sizes: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """entries: v, rep, n.  sizes: v, class, m (members).  Deals entries to tiles (v, a, b) of at most about 2 x `tile` members."""
-    c = F.col("class")
-    near = sizes.select("v", c, F.ceil(F.col("m") / tile).cast("int").alias("parts"), "list")
-    lists = near.groupBy("v").agg(F.max("list").alias("list"), F.map_from_entries(F.collect_list(F.struct("class", "parts"))).alias("parts"))  # a few classes per list
-    e = entries.withColumn("class", F.floor(F.log("n") / -math.log(threshold)).cast("int")).join(lists, "v")
-    part = lambda k: F.coalesce(F.try_element_at(F.col("parts"), k), F.lit(0))
-    own = F.pmod(F.xxhash64("rep"), part(F.col("class"))).cast("int")
-    e = e.withColumn("own", F.when(F.col("list") > tile, own).otherwise(0))
+def _class(threshold: float) -> F.Column:
+    """Sets that link are of one size class or of neighbouring ones."""
+    return F.floor(F.log("n") / -math.log(threshold)).cast("int")
+
+
+def _tiles(entries: DataFrame, lists: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """entries: v, rep, n, g (component so far).  lists: v, list (members).  Deals entries to tiles of at most about 2 x `tile` members.
+
+    Of a long list the members of its largest component meet the others, not each other.
+    """
+    e = entries.withColumn("class", _class(threshold)).join(lists, "v")
+    whole = e.where(F.col("list") <= tile).select(F.xxhash64("v", F.lit(0), F.lit(0)).alias("tile"), "v", "rep", "n", "g")
+    long = e.where(F.col("list") > tile)
+    main = long.groupBy("v", "g").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "g"))["g"].alias("main"))
+    long = long.join(main, "v").withColumn("inside", (F.col("g") == F.col("main")).cast("int"))
+    size = long.groupBy("v", "class", "inside").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    key = (2 * F.col("class") + F.col("inside")).cast("int")
+    parts = size.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), "parts"))).alias("parts"))  # a few classes per list
+    long = long.join(parts, "v")
+    count = lambda k: F.coalesce(F.try_element_at(F.col("parts"), k.cast("int")), F.lit(0))
     code = lambda k, p: k.cast("long") * (1 << 24) + p.cast("long")
-    me = code(F.col("class"), F.col("own"))
+    me = code(key, F.pmod(F.xxhash64("rep"), count(key)))
+    none = F.array().cast("array<struct<a: bigint, b: bigint>>")
 
-    def pairs(k: F.Column) -> F.Column:
-        """Tiles of this entry and of each part of class k, smaller code first."""
-        count = part(k)
-        return F.when(
-            count > 0,
-            F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda p: F.struct(F.least(me, code(k, p)).alias("a"), F.greatest(me, code(k, p)).alias("b")))
-        ).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
+    def meets(step: int, inside: int) -> F.Column:
+        """Tiles of this entry and of each part of the class `step` away, inside the component or outside; smaller code first."""
+        k = 2 * (F.col("class") + step) + inside
+        pair = lambda p: F.struct(F.least(me, code(k, p)).alias("a"), F.greatest(me, code(k, p)).alias("b"))
+        several = F.transform(F.sequence(F.lit(0), F.greatest(count(k) - 1, F.lit(0))), pair)
+        return F.when((count(k) > 0) & ((F.col("inside") == 0) | F.lit(inside == 0)), several).otherwise(none)
 
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
-    split = F.concat(pairs(F.col("class")), pairs(F.col("class") - 1), pairs(F.col("class") + 1))
-    return e.withColumn("t", F.explode(F.when(F.col("list") > tile, split).otherwise(whole))).select(F.xxhash64("v", "t.a", "t.b").alias("tile"), "v", "rep", "n")
+    split = F.concat(*(meets(step, inside) for step in (0, -1, 1) for inside in (0, 1)))
+    dealt = long.withColumn("t", F.explode(split)).select(F.xxhash64("v", "t.a", "t.b").alias("tile"), "v", "rep", "n", "g")
+    return whole.unionByName(dealt)
+
+
+def _star(percent: int):
+    """From rows (tile, lead, rep, set), leaders first in their tile: the links of leaders with the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches):
+            tiles, lead, reps = (table.column(i).to_numpy() for i in range(3))
+            sets = [np.frombuffer(x, "<u8") for x in table.column(3).to_pylist()]
+            us, vs = [], []
+            edge = np.flatnonzero(np.diff(tiles, prepend=tiles[0] - 1, append=tiles[-1] + 1))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                first = a + int(lead[a:b].sum())
+                own = [i for i in range(first, b) if len(sets[i])]
+                if not own:
+                    continue
+                size = np.array([len(sets[i]) for i in own])
+                values, start = np.concatenate([sets[i] for i in own]), np.cumsum(size) - size
+                for i in range(a, first):
+                    if not len(sets[i]):
+                        continue
+                    at = np.minimum(np.searchsorted(sets[i], values), len(sets[i]) - 1)
+                    both = np.add.reduceat((sets[i][at] == values).astype(np.int64), start)
+                    linked = np.flatnonzero(100 * both >= percent * (size + len(sets[i]) - both))
+                    us.append(reps[own][linked])
+                    vs.append(np.full(len(linked), reps[i]))
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
+        trim()
+
+    return run
+
+
+def _thinned(entries: DataFrame, lists: DataFrame, sets_of, stage: Stage, percent: int, tile: int, parts: int, pays: int = 4, most: int = 30) -> tuple[DataFrame, DataFrame] | None:
+    """Unites what few comparisons can within long lists: (u, v) links, and (rep, g) components.  None without long lists.
+
+    sets_of: from a table of `rep` to their full sets (rep, set).
+    """
+    long = lists.where(F.col("list") > tile)
+    if not long.limit(1).count():
+        return None
+    own = entries.join(long, "v").groupBy("rep").agg(F.max(F.struct("list", "v"))["v"].alias("v"))  # of each document its longest list
+    own = stage.table(own, "long")
+    sets = stage.table(own.select("rep").join(sets_of(own.select("rep")), "rep"), "long-sets")
+    labels, links, left = own.select("rep", F.col("rep").alias("g")), None, None
+    for turn in range(most):
+        now = stage.table(own.join(labels, "rep"), f"turn-{turn}")
+        main = now.groupBy("v", "g").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "g")).alias("m"), F.sum("c").alias("all"))
+        main = stage.table(main.select("v", F.col("m.g").alias("main"), (F.col("all") - F.col("m.c")).alias("out"), "all"), f"main-{turn}")
+        cost = main.agg(F.sum(F.col("out") * F.col("all") / tile).alias("rows"), F.sum("all").alias("all"), F.sum("out").alias("out")).first()
+        if cost["rows"] <= pays * cost["all"] or left is not None and cost["out"] > 0.75 * left:  # cheap enough, or the rounds unite too little
+            break
+        left = cost["out"]
+        marked = now.join(main, "v").withColumn("inside", F.col("g") == F.col("main"))
+        drawn = F.struct(F.xxhash64("rep", F.lit(turn)), "rep")
+        drawn = marked.groupBy("v").agg(F.min(F.when(F.col("inside"), drawn))["rep"].alias("a"), F.min(F.when(~F.col("inside"), drawn))["rep"].alias("b"))
+        chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("out") / tile)).cast("int")
+        pairs = marked.where(~F.col("inside")).join(drawn, "v").select("v", "rep", chunk.alias("chunk"), F.explode(F.array_compact(F.array("a", "b"))).alias("leader")).where("rep <> leader")
+        dealt = pairs.select(F.xxhash64("v", "leader", "chunk").alias("tile"), "rep", "leader")
+        rows = dealt.select("tile", F.lit(0).alias("lead"), "rep").unionByName(dealt.select("tile", F.lit(1).alias("lead"), F.col("leader").alias("rep")).distinct())
+        rows = rows.join(sets, "rep").select("tile", "lead", "rep", "set").repartition(parts, "tile").sortWithinPartitions("tile", F.desc("lead"))
+        found = stage.table(rows.mapInArrow(_star(percent), "u long, v long"), f"star-{turn}")
+        links = found if links is None else links.unionByName(found)
+        known = stage.table(components(links, stage), f"known-{turn}")
+        labels = own.select("rep").join(known, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("g"))
+        for name in (f"main-{turn}", f"turn-{turn}", *([f"known-{turn - 1}"] if turn else [])):
+            stage.drop(name)
+    stage.drop("long-sets")
+    return (links, labels) if links is not None else None
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -192,7 +282,7 @@ def _sieve(k: int, heads: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches):
             tiles, lists, reps, sizes = (table.column(i).to_numpy() for i in range(4))
-            raw = table.column(4).to_pylist()
+            raw, joined = table.column(4).to_pylist(), table.column(5).to_numpy()
             s = np.full((len(raw), k), PAD, dtype=np.uint32)
             for i, x in enumerate(raw):
                 s[i, : len(x) // 4] = np.frombuffer(x, "<u4")
@@ -203,7 +293,8 @@ def _sieve(k: int, heads: int, threshold: float):
             def test(i: np.ndarray, j: np.ndarray) -> None:
                 """Marks both of each pair that may link and has this list as its first in common."""
                 close = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
-                i, j = i[close & (reps[i] != reps[j])], j[close & (reps[i] != reps[j])]
+                close &= (reps[i] != reps[j]) & (joined[i] != joined[j])  # what is in one component is not asked again
+                i, j = i[close], j[close]
                 for at in range(0, len(i), 8192):
                     a, b = i[at : at + 8192], j[at : at + 8192]
                     shared, union, in_common = union_estimate(s[a], s[b], k)
@@ -314,34 +405,40 @@ def near_duplicates(
     )
 
     entries = groups.select("rep", "n", F.explode("heads").alias("v"))
-    size_class = F.floor(F.log("n") / -math.log(threshold)).cast("int")
-    counted = entries.groupBy("v", size_class.alias("class")).agg(F.count("*").alias("m"))
-    shared = stage.table(counted.groupBy("v").agg(F.sum("m").alias("list"), F.collect_list(F.struct("class", "m")).alias("classes")).where("list > 1"), "lists")
-    sizes = shared.select("v", "list", F.inline("classes"))
-    tiles = stage.table(_tiles(entries, sizes, threshold, tile), "tiles")
-    packed = tiles.join(groups.select("rep", "sketch"), "rep").select("tile", "v", "rep", "n", "sketch")
+    lists = stage.table(entries.groupBy("v").agg(F.count("*").alias("list")).where("list > 1"), "lists")
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        """Full sets of the documents in `reps`, made again from their texts (and of a few others)."""
+        likely = send(spark, bloom.build(reps, "rep", reps.count()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fresh()
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(likely.value.has(ids.astype(np.int64))))
+                data, offsets, _ = string_views(batch.column(1))
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                for lo, hi in chunks(offsets):
+                    w = Words(data, offsets, lo, hi, SPACE_WORD, True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[lo:hi]), pa.array([s.astype("<u8").tobytes() for _, s in shingle_sets(w, shingle)], pa.binary())],
+                        names=["rep", "set"]
+                    )
+
+        return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "rep long, set binary")
+
+    thinned = _thinned(entries, lists, sets_of, stage, percent, tile, parts)
+    component = F.col("rep") if thinned is None else F.coalesce("g", "rep")
+    known = entries if thinned is None else entries.join(thinned[1], "rep", "left")
+    tiles = stage.table(_tiles(known.select("v", "rep", "n", component.alias("g")), lists, threshold, tile), "tiles")
+    packed = tiles.join(groups.select("rep", "sketch"), "rep").select("tile", "v", "rep", "n", "sketch", "g")
     active = packed.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_sieve(k, heads, threshold), "tile long, rep long")
     active = stage.table(active.distinct(), "active")
-
     wanted = stage.table(active.select("rep").distinct(), "wanted")
-    likely = spark.sparkContext.broadcast(bloom.build(wanted, "rep", wanted.count()))
-
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(likely.value.has(ids.astype(np.int64))))
-            data, offsets, _ = string_views(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in chunks(offsets):
-                w = Words(data, offsets, lo, hi, SPACE_WORD, True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi]), pa.array([s.astype("<u8").tobytes() for _, s in shingle_sets(w, shingle)], pa.binary())],
-                    names=["rep", "set"]
-                )
-
-    sets = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(full_sets, "rep long, set binary")
-    joined = active.join(sets, "rep").select("tile", "rep", "set")
+    joined = active.join(sets_of(wanted), "rep").select("tile", "rep", "set")
     edges = joined.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_verify(percent), "u long, v long")
+    if thinned is not None:
+        edges = edges.unionByName(thinned[0])
     # rows of one id with different sets are one node: it links the representatives of its sets
     several = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(*(f(c).alias(f"{k}_{c}") for c in ("n", "f1", "f2") for k, f in (("a", F.min), ("b", F.max))))
     several = stage.table(several.where("a_n <> b_n OR a_f1 <> b_f1 OR a_f2 <> b_f2").select("doc_id"), "several")

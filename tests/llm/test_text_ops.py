@@ -7,7 +7,7 @@ import pytest
 from brute import ALNUM, SPACES, contamination, kept_digest, near_duplicates, removed, union_find
 from pyspark.sql import functions as F
 
-from larder.llm import bloom, kernels, substring_dedup
+from larder.llm import bloom, kernels, near_dup, substring_dedup
 from larder.llm.components import components
 from larder.llm.decontaminate import decontaminate
 from larder.llm.near_dup import _sieve, heads_for, least_shared
@@ -89,11 +89,48 @@ def test_sieve_passes_pairs_by_binomial_tail():
             for both, passes in ((shared, True), (shared - 1, False)):
                 own = [np.r_[0:both, 2000 : 2064 - both], np.r_[0:both, 1000 : 1064 - both]]  # the second's own values fill the union's sketch
                 own += [np.r_[0, 10_000 * i : 10_000 * i + 63] for i in range(1, m - 1)]
-                batch = pa.RecordBatch.from_arrays([pa.array([1] * m), pa.array([0] * m), pa.array(range(m)), pa.array([200] * m), pa.array([np.sort(x).astype("<u4").tobytes() for x in own])], names=["tile", "v", "rep", "n", "sketch"])
+                batch = pa.RecordBatch.from_arrays([pa.array([1] * m), pa.array([0] * m), pa.array(range(m)), pa.array([200] * m), pa.array([np.sort(x).astype("<u4").tobytes() for x in own]), pa.array(range(m))], names=["tile", "v", "rep", "n", "sketch", "g"])
                 got = [r for out in _sieve(64, heads, threshold)(iter([batch])) for r in out.column(1).to_pylist()]
                 assert got == ([0, 1] if passes else [])
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_clouds_of_near_copies(spark, seed, monkeypatch):
+    """Two large clouds, whose members link with some of their kind only, and others that share much with them: as brute force, with few comparisons."""
+    rng = random.Random(seed)
+    base, other = words(rng, 120), words(rng, 120)
+    docs = []
+    for i in range(500):
+        w = list(base if i % 3 else other)
+        for _ in range(rng.randrange(0, 4) if i % 10 else 9):
+            w[rng.randrange(110)] = f"e{rng.randrange(99)}"
+        docs.append((i * 7 % 1000, " ".join(w)))
+    docs += [(2000 + i, " ".join(base[: 40 + i] + words(rng, 60))) for i in range(20)]
+    asked = []
+    sieve = near_dup._sieve
+    monkeypatch.setattr(near_dup, "_sieve", lambda *a: asked.append(a) or sieve(*a))
+    stage = Stage(spark, "t")
+    got = near(spark.createDataFrame(docs, DOCS).repartition(4), stage, percent=80, tile=16)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == near_duplicates(docs, 80) and asked
+
+
+def test_thinning_saves_tiles(spark):
+    """A cloud of near copies that are all alike: hardly any of its pairs is left for the tiles."""
+    rng = random.Random(4)
+    base = words(rng, 200, 9000)
+    docs = []
+    for i in range(1200):
+        w = list(base)
+        w[i % 200] = f"x{i}"
+        docs.append((i, " ".join(w)))
+    df, stage = spark.createDataFrame(docs, DOCS), Stage(spark, "t")
+    rows = []
+    drop = stage.drop
+    stage.drop = lambda name: rows.append(spark.read.parquet(stage.path(name)).count()) if name == "tiles" else drop(name)
+    assert {r["component_id"] for r in near(df, stage, percent=85, tile=64).collect()} == {0}
+    assert rows[0] <= 16 * len(docs)  # all pairs would take 19 tiles for each of a document's eight entries
+
+
 def test_near_duplicates_of_a_chain(spark):
     """Neighbours of a chain link, its ends do not; all is one component."""
     rng = random.Random(5)
