@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.kernels import ALNUM_WORD, U64, Words, chunks, mix, string_views
-from larder.llm.staging import Stage, spread
+from larder.llm.kernels import ALNUM_WORD, U64, Words, chunks, fresh, mix, string_views
+from larder.llm.staging import Stage, send, spread
 
 _A = U64(0x9FB21C651E98DF25)
 
@@ -171,6 +171,7 @@ def decontaminate(
         first = len(df.columns) == len(names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fresh()
             tables = shared.value.tables()
             for whole in batches:
                 _, cuts, _ = string_views(whole.column(at))
@@ -211,13 +212,12 @@ def decontaminate(
 
     rows = benchmark.select(F.col(item_id), F.col(item_text).cast("string")).distinct().toLocalIterator()  # a partition at a time
     blocks = pattern_blocks(((r[0], r[1]) for r in rows), window, block_windows, unnamed)
-    send = lambda block: spark.sparkContext.broadcast(Block(block))
     now, ahead = next(blocks, {}), next(blocks, None)
     if ahead is None:
-        return one_pass(docs, send(now))
+        return one_pass(docs, send(spark, Block(now)))
     stage, out, n = Stage(spark, "decontaminate"), docs, 0
     while now is not None:
-        shared = send(now)
+        shared = send(spark, Block(now))
         out = stage.table(one_pass(out, shared), f"pass-{n}")
         shared.destroy()
         if n:

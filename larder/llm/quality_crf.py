@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.kernels import _BYTES, _LETTER, U64, chunks, mix, string_views
-from larder.llm.staging import Stage, spread
+from larder.llm.kernels import _BYTES, _LETTER, U64, chunks, fresh, mix, string_views
+from larder.llm.staging import Stage, send, spread
 
 N_OWN = 20
 N_FEATURES = 3 * N_OWN + 3
@@ -333,10 +333,11 @@ def score_quality(docs: DataFrame, model: LineCrf, text: str = "text") -> DataFr
     docs = docs.drop(*OWN)
     names = docs.columns
     at = names.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = send(docs.sparkSession, model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in batches:
             data, offsets, _ = string_views(batch.column(at))
             for lo, hi in chunks(offsets):

@@ -11,8 +11,8 @@ import urllib.parse
 import uuid
 from collections.abc import Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -38,19 +38,51 @@ def _delete(spark: SparkSession, path: str) -> None:
         shutil.rmtree(urllib.parse.urlparse(path).path, ignore_errors=True)
 
 
-_open: list[Stage] = []
+class Scope:
+    """Owns the stages and broadcasts that are made while it is active; `close` deletes them, once their results are written."""
+
+    now: Scope | None = None
+
+    def __init__(self) -> None:
+        self.stages: list[Stage] = []
+        self.broadcasts: list[Broadcast] = []
+
+    @contextlib.contextmanager
+    def active(self) -> Iterator[None]:
+        before, Scope.now = Scope.now, self
+        try:
+            yield
+        finally:
+            Scope.now = before
+
+    def close(self) -> None:
+        for s in self.stages:
+            _delete(s.spark, s.root)
+        for b in self.broadcasts:
+            with contextlib.suppress(Exception):  # the session has ended
+                b.destroy()
+        self.stages, self.broadcasts = [], []
+
+
+def send(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of something of bounded size."""
+    b = spark.sparkContext.broadcast(value)
+    if Scope.now is not None:
+        Scope.now.broadcasts.append(b)
+    return b
 
 
 class Stage:
     """A folder of one query's intermediate tables.  Lost executors reread them; nothing is recomputed.
 
-    Folders go when the program ends, or with `released` as soon as what was made from them is written.
+    Folders go when the program ends, or with the scope that owns them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/larder/{name}-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.root)
-        _open.append(self)
+        if Scope.now is not None:
+            Scope.now.stages.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -62,23 +94,6 @@ class Stage:
     def drop(self, name: str) -> None:
         _delete(self.spark, self.path(name))
 
-    def close(self) -> None:
-        """Deletes all tables."""
-        _delete(self.spark, self.root)
-        atexit.unregister(_delete)
-        _open[:] = [s for s in _open if s is not self]
-        for s in _open:
-            atexit.register(_delete, s.spark, s.root)
-
-
-@contextlib.contextmanager
-def released() -> Iterator[None]:
-    """Closes at its end the stages that were opened within: for work whose result is written by then."""
-    before = list(_open)
-    yield
-    for s in [s for s in _open if not any(s is b for b in before)]:
-        s.close()
-
 
 def spread(df: DataFrame) -> DataFrame:
     """The rows, dealt anew where the input has fewer splits than the cluster has cores (small or single-block files)."""

@@ -42,8 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm import bloom
-from larder.llm.kernels import SPACE_WORD, U64, Words, chunks, grams, mix, sliding_min, string_views, trim
-from larder.llm.staging import Stage, partitions_for, spread
+from larder.llm.kernels import SPACE_WORD, U64, Words, chunks, fresh, grams, mix, sliding_min, string_views, trim
+from larder.llm.staging import Stage, partitions_for, send, spread
 
 GRAM = 10
 BUFFER_BYTES = 16 << 20  # text of runs that a task holds before it compares and sends them
@@ -80,6 +80,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
     """anchor, doc: the distinct anchors of each document (once per chunk of texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in batches:
             ids = _numbers(batch, 0)
             for lo, hi, w in _texts(batch, 1):
@@ -106,7 +107,7 @@ def _repeated_windows(docs: DataFrame, window: int, hot, parts: int) -> DataFram
     A task sends each window with its least and greatest document only, packed by the window's partition.
     """
 
-    def send(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if not found:
             return
         windows, least, most = _ends(*(np.concatenate(c) for c in zip(*found, strict=True)))
@@ -127,9 +128,9 @@ def _repeated_windows(docs: DataFrame, window: int, hot, parts: int) -> DataFram
                     held.append((grams(w, window)[0][starts], ids[lo:hi][w.doc[starts]]))
                     size += len(starts)
                 if size > 1 << 20:
-                    yield from send(held)
+                    yield from packed(held)
                     held, size = [], 0
-        yield from send(held)
+        yield from packed(held)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(np.frombuffer(w, U64), np.frombuffer(d, "<i8")) for batch in batches for w, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
@@ -496,17 +497,16 @@ def dedup_substrings(docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text
     uid = F.xxhash64(F.col(f"`{doc_id}`").cast("long"), t).bitwiseAND(F.lit((1 << 63) - 1))
     refs = docs.select(uid.alias("uid"), F.col(f"`{doc_id}`").cast("long").alias("id"), t.alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     parts = partitions_for(docs.select(F.col(f"`{text}`")))
-    send = spark.sparkContext.broadcast
 
     found = _anchors(refs, window).groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor", "n")
     found = stage.table(found, "anchors")
     total = found.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     often = max(64, total["n"] // (8 * parts))  # so there are fewer than 8 `parts` of these
-    hot = send(np.array([r["anchor"] for r in found.where(F.col("n") > often).select("anchor").collect()], dtype=np.int64).view(U64))
-    shared, repeated = send(bloom.build(found, "anchor", total["k"])), None
+    hot = send(spark, np.array([r["anchor"] for r in found.where(F.col("n") > often).select("anchor").collect()], dtype=np.int64).view(U64))
+    shared, repeated = send(spark, bloom.build(found, "anchor", total["k"])), None
     if len(hot.value):
         own = stage.table(_repeated_windows(refs, window, hot, parts), "windows")
-        repeated = send(bloom.build(own, "window", own.count()))
+        repeated = send(spark, bloom.build(own, "window", own.count()))
     blocks = _runs(refs, window, shared, hot, repeated, parts)
     rows = docs.select(uid.alias("uid"), *(F.col(f"`{c}`") for c in names))
     return _cut(rows, _parse(blocks, window, parts, hash_bits), names, schema, text, window, parts)

@@ -12,8 +12,8 @@ So a text may be cut there and its pieces encoded apart; the ids, joined, are
 those of the whole text.  Every id comes from the `tokenizers` library.  A table
 keyed by the pieces' own bytes (up to 23 of them and their number, compared in
 full) avoids encoding a piece twice; a chunk's pieces are looked up together.
-The table outlives tasks; its size is bounded, and when it is full it keeps the
-pieces met again since they came.
+The table outlives tasks of one kind; its size is bounded (some 50 MB), and when
+it is full it keeps the pieces met again since they came.
 
 As in the plain library call, strings of the tokenizer's added tokens inside a
 text become those tokens; with `specials=False` they are ordinary text.  A
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from larder.llm.kernels import CHUNK_BYTES, U64, chunks, mix, string_views
+from larder.llm.kernels import CHUNK_BYTES, U64, caches, chunks, mix, string_views
 
 LONGEST = 23  # bytes of a piece that the table holds
 _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=U64)
@@ -144,7 +144,7 @@ class Table:
 
     def _grow(self, more: int, ids: int) -> None:
         if self.n + more > len(self.place):
-            size = max(self.n + more, 2 * len(self.place))
+            size = max(self.n + more, len(self.place) * 5 // 4)
             old = self.n
             for name in ("place", "count", "again"):
                 a = np.zeros(size, dtype=getattr(self, name).dtype)
@@ -152,7 +152,7 @@ class Table:
                 setattr(self, name, a)
             self.keys = [np.concatenate([k[:old], np.zeros(size - old, dtype=U64)]) for k in self.keys]
         if self.used + ids > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(ids, self.used), dtype=np.uint32)])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(ids, self.used // 4, 4096), dtype=np.uint32)])
 
     def add(self, key: list[np.ndarray], hashes: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
         """New, different keys with their ids, one after the other."""
@@ -203,7 +203,7 @@ def _spread(place: np.ndarray, count: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts to arrays of ids."""
 
-    def __init__(self, path: str, entries: int = 1 << 20, specials: bool = True):
+    def __init__(self, path: str, entries: int = 1 << 19, specials: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -359,6 +359,7 @@ def _segments(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
 
 
 _made: dict[str, Encoder] = {}
+caches.append(_made)
 
 
 def encoder(path: str) -> Encoder:

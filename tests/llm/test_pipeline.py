@@ -78,17 +78,19 @@ def test_odd_columns_rows_and_texts(spark, tmp_path):
     assert packed.select("doc_id", "doc_tokens", "start").where("start = 0").count() == len(texts) and pipeline.packing(spark, df.limit(0), "").count() == 0
 
 
-def test_work_tables_are_released(spark):
+def test_work_tables_go_with_their_scope(spark):
     import urllib.parse
 
-    from larder.llm.staging import Stage, released
+    from larder.llm.staging import Scope, Stage, send
 
-    with released():
-        s = Stage(spark, "t")
+    owner = Scope()
+    with owner.active():
+        s, b = Stage(spark, "t"), send(spark, [1])
         s.table(spark.range(3), "x")
-        folder = urllib.parse.urlparse(s.root).path
-        assert os.path.isdir(folder)
-    assert not os.path.isdir(folder)
+    folder = urllib.parse.urlparse(s.root).path
+    assert os.path.isdir(folder) and b.value == [1] and Stage(spark, "u") not in owner.stages
+    owner.close()
+    assert not os.path.isdir(folder) and not owner.broadcasts
 
 
 def test_guard():
