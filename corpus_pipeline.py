@@ -15,6 +15,8 @@ long texts go through whole.  An empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +24,28 @@ from larder.llm.decontaminate import decontaminate
 from larder.llm.near_dup import near_duplicates
 from larder.llm.packing import pack
 from larder.llm.quality_crf import fit_quality, score_quality
-from larder.llm.staging import Stage, released
+from larder.llm.staging import Scope, Stage
 from larder.llm.substring_dedup import dedup_substrings
 
 QUALITY = 0.3  # documents with a lower score go
 SIMILARITY = 80  # percent of shared five-word shingles from which documents are near-duplicates
 
 
+_owner = Scope()
+
+
+def _stage(f):
+    """A stage; as it begins, the work tables and broadcasts of the one before go, whose result is written by then."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _owner.close()
+        with _owner.active():
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
 def _apart(docs: DataFrame) -> DataFrame:
     """The documents with id, text and all other columns (as a struct) under names that no operator uses for its own."""
     others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
@@ -45,12 +62,14 @@ def _back(out: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
     return out.select(*((changed[c] if c in changed else _own(docs, c)).alias(c) for c in docs.columns))
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF accepts."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _back(score_quality(_apart(docs), model).where(F.col("score") >= QUALITY), docs)
 
 
+@_stage
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row of each group of near-duplicates: that with the smallest id (null ids come last).  Every row counts by itself, whatever its id."""
     stage = Stage(spark, "pipeline-near")
@@ -61,6 +80,7 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(rows.join(stays.select("_row"), "_row", "left_semi"), docs)
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-word windows that a document with a smaller id has as well."""
     out = dedup_substrings(_apart(docs), Stage(spark, "pipeline-substring"))
@@ -70,12 +90,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _back(out, docs, n_chars=chars)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
     out = decontaminate(_apart(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
     return _back(out.where("n_hit = 0"), docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training sequences: a row per piece, with its ids."""
     return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
@@ -90,8 +112,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage, docs, before = Stage(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, f in STAGES[:-1]:
-        with released():  # a stage's own tables, once its result is written
-            docs = stage.table(f(spark, docs, sf_dir), name)
+        docs = stage.table(f(spark, docs, sf_dir), name)
         if before:
             stage.drop(before)
         before = name
