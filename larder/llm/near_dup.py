@@ -103,19 +103,11 @@ def signatures(docs: DataFrame, shingle: int = 5, k: int = 64, heads: int = 8, l
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
 
-def _class(threshold: float) -> F.Column:
-    """Sets that link are of one size class or of neighbouring ones."""
-    return F.floor(F.log("n") / -math.log(threshold)).cast("int")
+def _tiles(long: DataFrame, tile: int) -> DataFrame:
+    """long: v, rep, n, class, g (component so far), of long lists.  Deals them to tiles of at most about 2 x `tile` members.
 
-
-def _tiles(entries: DataFrame, lists: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """entries: v, rep, n, g (component so far).  lists: v, list (members).  Deals entries to tiles of at most about 2 x `tile` members.
-
-    Of a long list the members of its largest component meet the others, not each other.
+    The members of a list's largest component meet the others, not each other.
     """
-    e = entries.withColumn("class", _class(threshold)).join(lists, "v")
-    whole = e.where(F.col("list") <= tile).select(F.xxhash64("v", F.lit(0), F.lit(0)).alias("tile"), "v", "rep", "n", "g")
-    long = e.where(F.col("list") > tile)
     main = long.groupBy("v", "g").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "g"))["g"].alias("main"))
     long = long.join(main, "v").withColumn("inside", (F.col("g") == F.col("main")).cast("int"))
     size = long.groupBy("v", "class", "inside").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
@@ -135,8 +127,7 @@ def _tiles(entries: DataFrame, lists: DataFrame, threshold: float, tile: int) ->
         return F.when((count(k) > 0) & ((F.col("inside") == 0) | F.lit(inside == 0)), several).otherwise(none)
 
     split = F.concat(*(meets(step, inside) for step in (0, -1, 1) for inside in (0, 1)))
-    dealt = long.withColumn("t", F.explode(split)).select(F.xxhash64("v", "t.a", "t.b").alias("tile"), "v", "rep", "n", "g")
-    return whole.unionByName(dealt)
+    return long.withColumn("t", F.explode(split)).select(F.xxhash64("v", "t.a", "t.b").alias("tile"), "v", "rep", "n", "g")
 
 
 def _star(percent: int):
@@ -170,16 +161,13 @@ def _star(percent: int):
     return run
 
 
-def _thinned(entries: DataFrame, lists: DataFrame, sets_of, stage: Stage, percent: int, tile: int, parts: int, pays: int = 4, most: int = 30) -> tuple[DataFrame, DataFrame] | None:
-    """Unites what few comparisons can within long lists: (u, v) links, and (rep, g) components.  None without long lists.
+def _thinned(long: DataFrame, sets_of, stage: Stage, percent: int, tile: int, parts: int, pays: int = 4, most: int = 30) -> tuple[DataFrame | None, DataFrame]:
+    """Unites what few comparisons can within long lists (rows v, rep, list): (u, v) links, if any, and (rep, g) components.
 
     sets_of: from a table of `rep` to their full sets (rep, set).
     """
-    long = lists.where(F.col("list") > tile)
-    if not long.limit(1).count():
-        return None
-    own = entries.join(long, "v").groupBy("rep").agg(F.max(F.struct("list", "v"))["v"].alias("v"))  # of each document its longest list
-    own = stage.table(own, "long")
+    own = long.groupBy("rep").agg(F.max(F.struct("list", "v"))["v"].alias("v"))  # of each document its longest list
+    own = stage.table(own, "longest")
     sets = stage.table(own.select("rep").join(sets_of(own.select("rep")), "rep"), "long-sets")
     labels, links, left = own.select("rep", F.col("rep").alias("g")), None, None
     for turn in range(most):
@@ -205,7 +193,7 @@ def _thinned(entries: DataFrame, lists: DataFrame, sets_of, stage: Stage, percen
         for name in (f"main-{turn}", f"turn-{turn}", *([f"known-{turn - 1}"] if turn else [])):
             stage.drop(name)
     stage.drop("long-sets")
-    return (links, labels) if links is not None else None
+    return links, labels
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -427,18 +415,22 @@ def near_duplicates(
 
         return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "rep long, set binary")
 
-    thinned = _thinned(entries, lists, sets_of, stage, percent, tile, parts)
-    component = F.col("rep") if thinned is None else F.coalesce("g", "rep")
-    known = entries if thinned is None else entries.join(thinned[1], "rep", "left")
-    tiles = stage.table(_tiles(known.select("v", "rep", "n", component.alias("g")), lists, threshold, tile), "tiles")
+    short, links = entries.join(lists.where(F.col("list") <= tile), "v"), None
+    tiles = short.select(F.xxhash64("v").alias("tile"), "v", "rep", "n", F.col("rep").alias("g"))
+    if lists.where(F.col("list") > tile).limit(1).count():
+        size_class = F.floor(F.log("n") / -math.log(threshold)).cast("int")  # sets that link are of one class or of neighbouring ones
+        long = stage.table(entries.join(lists.where(F.col("list") > tile), "v").withColumn("class", size_class), "long")
+        links, labels = _thinned(long, sets_of, stage, percent, tile, parts)
+        tiles = tiles.unionByName(_tiles(long.join(labels, "rep"), tile))
+    tiles = stage.table(tiles, "tiles")
     packed = tiles.join(groups.select("rep", "sketch"), "rep").select("tile", "v", "rep", "n", "sketch", "g")
     active = packed.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_sieve(k, heads, threshold), "tile long, rep long")
     active = stage.table(active.distinct(), "active")
     wanted = stage.table(active.select("rep").distinct(), "wanted")
     joined = active.join(sets_of(wanted), "rep").select("tile", "rep", "set")
     edges = joined.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_verify(percent), "u long, v long")
-    if thinned is not None:
-        edges = edges.unionByName(thinned[0])
+    if links is not None:
+        edges = edges.unionByName(links)
     # rows of one id with different sets are one node: it links the representatives of its sets
     several = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(*(f(c).alias(f"{k}_{c}") for c in ("n", "f1", "f2") for k, f in (("a", F.min), ("b", F.max))))
     several = stage.table(several.where("a_n <> b_n OR a_f1 <> b_f1 OR a_f2 <> b_f2").select("doc_id"), "several")
