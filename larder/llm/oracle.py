@@ -44,3 +44,48 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.y FROM r JOIN l
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1), n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c ON a = vec_id LEFT JOIN n ON x = vec_id
 """
+
+# the table of the cyclic redundancy check, and the check of a string's UTF-8 bytes
+_CRC_TABLE = """tab AS (SELECT list(c ORDER BY i) AS tab FROM
+(SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _crc(s: str) -> str:
+    octets = f"list_transform(range(strlen({s})), lambda i: CAST('0x' || substr(hex({s}), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda x, b: xor(x >> 8, tab[(xor(x, b) & 255) + 1])), 4294967295)"
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+
+
+_OTHER = "CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+_BEFORE = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+
+
+def _tree(up: str, start: str, runs: str) -> str:
+    return f"""
+{up} AS ({start} UNION ALL SELECT level + 1, tree, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM {up} WHERE n > 1 GROUP BY level, tree, n, pos // 8),
+{runs} AS (SELECT level, tree, pos // 8 AS run, string_agg(h, '' ORDER BY pos) AS s FROM {up} WHERE n > 1 GROUP BY ALL)"""
+
+
+def _path(path: str, start: str, runs: str) -> str:
+    left, right = "substr(s, 1, 64 * (pos % 8))", "substr(s, 64 * (pos % 8) + 65)"
+    return f"""
+{path} AS ({start} UNION ALL
+SELECT r, {path}.level + 1, {path}.tree, pos // 8, (n + 7) // 8, proof || {left} || {right}, sha256({left} || h || {right}) FROM {path} JOIN {runs} x ON x.level = {path}.level AND x.tree = {path}.tree AND run = pos // 8 WHERE n > 1)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+c AS (SELECT *, {_crc("CAST(doc_id AS VARCHAR)")} AS crc FROM documents, tab),
+l AS (SELECT doc_id, lang, sha256({_BEFORE} || {_field("text")}) AS leaf, sha256({_BEFORE} || {_field(f"({_OTHER})")}) AS other FROM c),
+d AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM l),
+{_tree("u", "SELECT 0 AS level, tree, pos, n, leaf AS h FROM d", "x1")},
+t AS (SELECT tree, h AS subroot, count(*) OVER () AS trees FROM u WHERE n = 1),
+{_tree("v", "SELECT 0 AS level, 0 AS tree, tree AS pos, trees AS n, subroot AS h FROM t", "x2")},
+{_path("p", "SELECT r, 0 AS level, tree, pos, n, '' AS proof, other AS h FROM d", "x1")},
+{_path("q", "SELECT r, 0 AS level, 0 AS tree, p.tree AS pos, trees AS n, proof, h FROM p JOIN t ON t.tree = p.tree WHERE n = 1", "x2")}
+SELECT doc_id, leaf, subroot, v.h AS root, sha256(proof) AS proof_sha256, q.h AS folded_root, q.h = v.h AS verified
+FROM d JOIN t ON t.tree = d.tree JOIN q ON q.r = d.r AND q.n = 1 JOIN v ON v.n = 1
+"""

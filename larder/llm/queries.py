@@ -5,8 +5,9 @@ from __future__ import annotations
 from larder.llm.chat_format import OP2_SQL, op2_chat_format
 from larder.llm.decontaminate import op4_decontaminate
 from larder.llm.embedding_dedup import op8_embedding_dedup
+from larder.llm.merkle import op11_merkle
 from larder.llm.near_dup import op1_near_dup
-from larder.llm.oracle import DECONTAMINATE, EMBEDDING_DEDUP, NEAR_DUP, SUBSTRING_DEDUP
+from larder.llm.oracle import DECONTAMINATE, EMBEDDING_DEDUP, MERKLE, NEAR_DUP, SUBSTRING_DEDUP
 from larder.llm.packing import op10_pack
 from larder.llm.quality_crf import op3_quality_crf
 from larder.llm.sharding import op9_jump_shards
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_jump_shards": op9_jump_shards,
     "op10_pack": op10_pack,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": DECONTAMINATE,
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op8_embedding_dedup": EMBEDDING_DEDUP,
+    "op11_merkle": MERKLE,
 }
