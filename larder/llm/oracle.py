@@ -89,3 +89,18 @@ t AS (SELECT tree, h AS subroot, count(*) OVER () AS trees FROM u WHERE n = 1),
 SELECT doc_id, leaf, subroot, v.h AS root, sha256(proof) AS proof_sha256, q.h AS folded_root, q.h = v.h AS verified
 FROM d JOIN t ON t.tree = d.tree JOIN q ON q.r = d.r AND q.n = 1 JOIN v ON v.n = 1
 """
+
+SPELLING = f"""
+WITH RECURSIVE {_CRC_TABLE},
+w AS (SELECT CAST(doc_id AS VARCHAR) || ':' || run AS k, run, count(*) AS m FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+h AS (SELECT run, m, {_crc("k")} AS h FROM w, tab),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, m FROM h),
+d AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM v WHERE length(word) >= 6 GROUP BY 1 HAVING sum(m) >= 5),
+g AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM d)),
+s AS (SELECT word AS a, cut AS b FROM g WHERE cut IN (SELECT word FROM d)),
+p AS (SELECT x.word AS a, y.word AS b FROM g x JOIN g y ON x.cut = y.cut AND x.i = y.i AND x.word <> y.word UNION SELECT a, b FROM s UNION SELECT b, a FROM s),
+q AS (SELECT a, count(*) OVER (PARTITION BY a) AS n_near, b, n AS m, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM p JOIN d ON word = b),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN b END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM d LEFT JOIN q ON a = word AND k = 1),
+r AS (SELECT word, word AS at FROM f UNION ALL SELECT r.word, form FROM r JOIN f ON f.word = r.at WHERE form IS NOT NULL)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word JOIN f e ON e.word = r.at AND e.form IS NULL
+"""

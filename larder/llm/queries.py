@@ -7,10 +7,11 @@ from larder.llm.decontaminate import op4_decontaminate
 from larder.llm.embedding_dedup import op8_embedding_dedup
 from larder.llm.merkle import op11_merkle
 from larder.llm.near_dup import op1_near_dup
-from larder.llm.oracle import DECONTAMINATE, EMBEDDING_DEDUP, MERKLE, NEAR_DUP, SUBSTRING_DEDUP
+from larder.llm.oracle import DECONTAMINATE, EMBEDDING_DEDUP, MERKLE, NEAR_DUP, SPELLING, SUBSTRING_DEDUP
 from larder.llm.packing import op10_pack
 from larder.llm.quality_crf import op3_quality_crf
 from larder.llm.sharding import op9_jump_shards
+from larder.llm.spelling import op12_spelling
 from larder.llm.sstable import op6_token_sstable
 from larder.llm.substring_dedup import op5_substring_dedup
 from larder.llm.warc import op7_warc_derivatives
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_jump_shards": op9_jump_shards,
     "op10_pack": op10_pack,
     "op11_merkle": op11_merkle,
+    "op12_spelling": op12_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op8_embedding_dedup": EMBEDDING_DEDUP,
     "op11_merkle": MERKLE,
+    "op12_spelling": SPELLING,
 }
