@@ -5,6 +5,7 @@ from __future__ import annotations
 from larder.llm.chat_format import OP2_SQL, op2_chat_format
 from larder.llm.decontaminate import op4_decontaminate
 from larder.llm.embedding_dedup import op8_embedding_dedup
+from larder.llm.language import op13_language
 from larder.llm.merkle import op11_merkle
 from larder.llm.near_dup import op1_near_dup
 from larder.llm.oracle import DECONTAMINATE, EMBEDDING_DEDUP, MERKLE, NEAR_DUP, SPELLING, SUBSTRING_DEDUP
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_pack": op10_pack,
     "op11_merkle": op11_merkle,
     "op12_spelling": op12_spelling,
+    "op13_language": op13_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
