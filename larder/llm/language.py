@@ -263,7 +263,7 @@ def predict(docs: DataFrame, prototypes: DataFrame, dimensions: int = DIMENSIONS
         value = [r["lang"] for r in some], _centred(vectors, total / n if n > 1 else np.zeros(dimensions))
         out = out.mapInArrow(_scored(send(spark, value), out.columns[:2], dimensions, order), out.schema)
     kept = [F.col(f"others.c{i}").alias(c) for i, c in enumerate(others)]
-    score = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cosine"))), F.lit(0.0)).alias("score")
+    score = F.when(F.col("cosine") > 0, F.least(F.lit(1.0), F.col("cosine"))).otherwise(0.0).alias("score")
     return out.select(*kept, F.col("text").alias(text), F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"), "cosine", score)
 
 
