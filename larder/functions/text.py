@@ -62,10 +62,8 @@ def _unit(raw: Column) -> Column:
 
 
 def _without(text: Column, pattern: str) -> Column:
-    """The text without the first match."""
-    found = F.regexp_extract(text, pattern, 0)
-    at = F.instr(text, found)
-    return F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(found), F.length(text)))
+    """The text without the first match: what comes before it is the shortest prefix that a match follows."""
+    return F.regexp_replace(text, rf"(?s)\A(.*?){pattern}", "$1")
 
 
 def quantity(text: Column) -> Column:

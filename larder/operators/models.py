@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+import math
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.jsonfix import DEFAULT_TARGETS
@@ -94,10 +95,33 @@ def destandardise(df: DataFrame, column: str, mean: Column, deviation: Column) -
     return df.withColumn(column, F.col(column) * deviation + mean)
 
 
-def padded_range(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, pad: float = 0.05, accuracy: int = 1_000_000) -> DataFrame:
-    """Low and high quantile, moved apart by a share of their distance.  Quantiles are values of the column, right to 1 / accuracy in rank, in bounded memory."""
-    q = df.agg(F.percentile_approx(column, low, accuracy).alias("lo"), F.percentile_approx(column, high, accuracy).alias("hi"))
-    return q.select((F.col("lo") - pad * (F.col("hi") - F.col("lo"))).alias("lo"), (F.col("hi") + pad * (F.col("hi") - F.col("lo"))).alias("hi"))
+def order_statistics(df: DataFrame, column: str, shares: Sequence[float], accuracy: int = 100_000) -> DataFrame:
+    """One row with q0, q1, ...: the column's quantiles, exact and interpolated between the two ranks around each; nulls do not count.
+
+    A sketch of bounded size brackets each quantile; only values inside a bracket (a 4 / accuracy share of all) are
+    counted and put in order, and what lies below is a number.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    n = x.count()
+    places = [s * max(n - 1, 0) for s in shares]
+    around = [min(1.0, max(0.0, e / max(n, 1) + d / accuracy)) for p in places for e, d in ((math.floor(p), -2), (math.floor(p) + 2, 2))]
+    ends = x.agg(F.percentile_approx("x", around, accuracy)).first()[0] or [None] * len(around)
+    out = []
+    for i, place in enumerate(places):
+        lo, hi, rank = *ends[2 * i : 2 * i + 2], math.floor(place)
+        below = x.agg(F.coalesce(F.count_if(F.col("x") < F.lit(lo)), F.lit(0)).alias("below"))
+        values = x.where(F.col("x").between(F.lit(lo), F.lit(hi))).groupBy("x").agg(F.count("*").alias("n"))
+        upto = values.withColumn("upto", F.sum("n").over(Window.orderBy("x")))
+        at = lambda r: F.min(F.when(F.col("below") + F.col("upto") > r, F.col("x")))  # noqa: B023, E731
+        two = upto.join(F.broadcast(below)).agg(at(rank).alias("a"), at(min(rank + 1, max(n - 1, 0))).alias("b"))
+        out.append(two.select((F.col("a") + (F.col("b") - F.col("a")) * (place - rank)).alias(f"q{i}")))
+    return reduce(lambda a, b: a.join(F.broadcast(b)), out)  # one row each
+
+
+def padded_range(df: DataFrame, column: str, share: float = 0.995, pad: float = 0.06) -> DataFrame:
+    """lo and hi: the quantiles 1 - share and share, moved apart by `pad` times their distance (and a little, should it be none)."""
+    q, by = order_statistics(df, column, [1 - share, share]), pad * (F.col("q1") - F.col("q0") + 1e-9)
+    return q.select((F.col("q0") - by).alias("lo"), (F.col("q1") + by).alias("hi"))
 
 
 _VOWELS = "aeiouy"
@@ -155,6 +179,10 @@ def _step_1(w: str, r1: int) -> str:
     return stem + "e" if len(stem) == r1 and _ends_short(stem) else stem
 
 
+def stem_word(w: str) -> str:
+    return _stem(w)
+
+
 @lru_cache(maxsize=1 << 16)
 def _stem(w: str) -> str:
     """The Snowball stemmer for English (Porter's second, as of Snowball 2.0): regions, steps 0 to 5 and exceptions."""

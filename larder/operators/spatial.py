@@ -40,11 +40,21 @@ def new_objects(found: DataFrame, stored: DataFrame, radius: float = 0.5) -> Dat
 
 
 def name_objects(found: DataFrame, stored: DataFrame, order: str) -> DataFrame:
-    """Names detected_<label>_<n> with the next free number of each label."""
-    used = stored.groupBy(label_key(F.col("label")).alias("k")).agg(F.max(F.regexp_extract("name", r"_(\d+)$", 1).try_cast("int")).alias("last"))
-    rows = found.withColumn("k", label_key(F.col("label"))).join(used, "k", "left")
-    n = F.row_number().over(Window.partitionBy("k").orderBy(order)) + F.coalesce("last", F.lit(-1))
-    return rows.withColumn("name", F.concat(F.lit("detected_"), "k", F.lit("_"), n.cast("string"))).drop("k", "last")
+    """Names detected_<label>_<n>: new objects of a label take, in order, the numbers that none of the stored names has.
+
+    The j-th number in use, u, has u - j free ones before it; so the i-th new object (from 0) takes i plus the count of
+    those in use with u - j <= i, a running count over both in one order.
+    """
+    name = r"^detected_(.*)_(0|[1-9]\d*)$"
+    used = stored.select(F.regexp_extract("name", name, 1).alias("k"), F.regexp_extract("name", name, 2).try_cast("long").alias("u")).where("u IS NOT NULL").distinct()
+    by = Window.partitionBy("k")
+    taken = used.select("k", (F.col("u") - F.row_number().over(by.orderBy("u")) + 1).alias("at"), F.lit(1).alias("used"))
+    new = found.withColumn("k", label_key(F.col("label"))).withColumn("at", F.row_number().over(by.orderBy(order)) - 1).withColumn("used", F.lit(0))
+    both = new.join(taken.select("k").distinct(), "k", "left_semi").select("k", "at", "used").unionByName(taken)
+    counts = both.withColumn("before", F.sum("used").over(by.orderBy("at", F.desc("used")).rowsBetween(Window.unboundedPreceding, 0))).where("used = 0")
+    rows = new.join(counts.select("k", "at", "before"), ["k", "at"], "left")
+    n = (F.col("at") + F.coalesce("before", F.lit(0))).cast("string")
+    return rows.withColumn("name", F.concat(F.lit("detected_"), "k", F.lit("_"), n)).drop("k", "at", "used", "before")
 
 
 def register(found: DataFrame, stored: DataFrame, order: str, radius: float = 0.5) -> DataFrame:

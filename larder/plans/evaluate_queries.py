@@ -137,7 +137,8 @@ def tag_examples(t):
     return out.withColumn("examples", F.concat(F.lit("["), F.array_join(F.col("examples").cast("array<string>"), ", "), F.lit("]")))
 
 
-@query("""SELECT round(lo - 0.05 * (hi - lo), 6) AS lo, round(hi + 0.05 * (hi - lo), 6) AS hi FROM (SELECT quantile_disc(l_extendedprice, 0.01) AS lo, quantile_disc(l_extendedprice, 0.99) AS hi FROM lineitem)""")
+@query("""SELECT round(lo - 0.06 * (hi - lo + 1e-9), 6) AS lo, round(hi + 0.06 * (hi - lo + 1e-9), 6) AS hi
+FROM (SELECT quantile_cont(l_extendedprice, 0.005) AS lo, quantile_cont(l_extendedprice, 0.995) AS hi FROM lineitem)""")
 def padded_quantiles(t):
     return models.padded_range(t.lineitem, "l_extendedprice").select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
@@ -283,6 +284,20 @@ def json_targets(t):
     return t.part.select(F.col("p_partkey").alias("id"), fixed["protein_g"].alias("protein_g"), fixed["fat_g"].alias("fat_g"), F.size(repair_list(F.concat(F.lit('1. "'), "p_name", F.lit('" and "b"')))).alias("listed"))
 
 
+# number words and digits inside other words come before the quantity itself; units that are none ("glasz") come before it too
+_HARD = ["'tender boneless ' || p_name || ' ten'", "'often ' || p_name || ' one'", "'1' || p_size::VARCHAR || ' glasz 2 g ' || p_name"]
+_HARD_SQL = f"""SELECT p_partkey AS id, k, CASE k WHEN 0 THEN 10.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS qty, CASE k WHEN 2 THEN 'g' END AS unit,
+  CASE k WHEN 0 THEN 'tender boneless ' || p_name WHEN 1 THEN 'often ' || p_name ELSE '1' || p_size::VARCHAR || ' glasz ' || p_name END AS term FROM part, (SELECT unnest([0, 1, 2]) AS k)"""
+
+
+@query(_HARD_SQL)
+def meal_quantity_places(t):
+    """Quantities are cut out where they are found, not where the same letters come first."""
+    texts = F.array(*(F.expr(h.replace("p_size::VARCHAR", "CAST(p_size AS STRING)")) for h in _HARD))
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.posexplode(texts).alias("k", "meal")).select("id", "k", F.explode(parse_meal(F.col("meal"))).alias("x"))
+    return rows.select("id", "k", "x.qty", "x.unit", "x.term")
+
+
 _MEAL = "p_size::VARCHAR || ' grams of boiled ' || p_name || ', a cup of milk and half a ' || p_type"
 
 

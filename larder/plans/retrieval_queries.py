@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators import models, retrieval
+from larder.operators import lexical, models, retrieval
 from larder.plans.registry import Tables, query
 
 _COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -175,21 +175,39 @@ r AS (SELECT qid, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf +
 SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM r) WHERE rank <= 10"""
 
 
+def _asked_texts(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("qid"), "text")
+
+
 @query(_BM25)
 def bm25_search(t):
-    from pyspark.sql import Window
+    index = lexical.build_index(t.documents.withColumnRenamed("doc_id", "id"))
+    return _rounded(lexical.search(index, _asked_texts(t), 10))
+
+
+_STOP = "and das de der die el en et in is la le los of the to und".split()
+_TERMS = "regexp_extract_all(strip_accents(lower({text})), '[a-z]+')"
+_STOPPED = f"list_filter({_TERMS.format(text='text')}, lambda w: w NOT IN ({', '.join(map(repr, _STOP))}))"
+
 
-    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
-    out = retrieval.bm25(docs, t.benchmark.select(F.col("item_id").alias("qid"), "text"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id"))
-    return _rounded(out.withColumn("rank", rank).where("rank <= 10"))
+@query(
+    _BM25.replace("regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents", f"{_STOPPED} AS w FROM documents")
+    .replace("regexp_extract_all(lower(text), '[a-z0-9]+')) AS term", f"{_TERMS.format(text='text')}) AS term").replace(" WHERE len(w) > 0", "")
+)
+def bm25_letters(t):
+    """Letters without accents, stop words left out, as a text index of foods has them."""
+    of_document, of_query = lexical.english(_STOP)
+    index = lexical.build_index(t.documents.withColumnRenamed("doc_id", "id"), of_document)
+    return _rounded(lexical.search(index, _asked_texts(t), 10, of_query))
 
 
 @query()
 def bm25_stemmed(t):
-    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
-    found = retrieval.bm25(docs, t.benchmark.select(F.col("item_id").alias("qid"), "text"), least=1.0, stem=models.stem_words)
-    return retrieval.rank_by_macros(found, t.labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("macro_count")), 3).select("qid", "id", "macro_count", "rank")
+    """English stems; scores from 1 on; those with more macros first."""
+    of_document, of_query = lexical.english(stem=models.stem_word)
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text").join(t.labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("macro_count")), "id", "left")
+    found = lexical.search(lexical.build_index(docs, of_document, tier="macro_count"), _asked_texts(t), 3, of_query, least=1.0)
+    return found.select("qid", "id", F.col("tier").alias("macro_count"), "rank")
 
 
 _LETTERS = "aeiorl"

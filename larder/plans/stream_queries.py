@@ -134,6 +134,20 @@ def spatial_dedup_anti(t):
     return spatial.new_objects(found.where("event_type = 'view'"), found.where("event_type = 'purchase'")).select("event_id")
 
 
+@query(f"""WITH u AS (SELECT DISTINCT 'user_' || user_id AS k, {_K} % 50 AS u FROM events WHERE event_type = 'purchase'),
+n AS (SELECT event_id, 'user_' || user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type = 'view'),
+s AS (SELECT k, unnest(range(m + 50)) AS x FROM (SELECT k, max(i) AS m FROM n GROUP BY 1)),
+f AS (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY x) AS i FROM s WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.k = s.k AND u.u = s.x))
+SELECT event_id, 'detected_' || k || '_' || x AS name FROM n JOIN f USING (k, i)""")
+def object_numbers(t):
+    """New objects take the first numbers that no stored name has, gaps included."""
+    found = _found(t)
+    number = (F.get_json_object("e.props", "$.k").cast("long") % 50).cast("string")
+    bought = t.events.where("event_type = 'purchase'").alias("e")
+    stored = bought.select(F.concat(F.lit("detected_user_"), F.col("e.user_id").cast("string"), F.lit("_"), number).alias("name"))
+    return spatial.name_objects(found.where("event_type = 'view'"), stored, "event_id").select("event_id", "name")
+
+
 @query(f"SELECT 'user ' || user_id AS label, round(avg(value / 20), 6) AS px, round(avg({_K} / 10.0), 6) AS py, count(*) AS hits FROM events GROUP BY 1 HAVING count(*) >= 5")
 def label_mean_positions(t):
     return spatial.label_means(_found(t), 5).select("label", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"), "hits")

@@ -15,7 +15,8 @@ def kind(v):
 
 @pytest.mark.parametrize(
     "raw, want",
-    [("2 Glasses of milk", (2.0, "glasse", "milk")), ("1/2 a banana", (0.5, None, "banana")), ("a cup of oatmeal", (1.0, "cup", "oatmeal")), ("half one apple", (0.5, None, "apple")), ("126 grams of maize flour", (126.0, "g", "maize flour")), ("I had rice for lunch", (None, None, "rice"))],
+    [("2 Glasses of milk", (2.0, "glasse", "milk")), ("1/2 a banana", (0.5, None, "banana")), ("a cup of oatmeal", (1.0, "cup", "oatmeal")), ("half one apple", (0.5, None, "apple")), ("126 grams of maize flour", (126.0, "g", "maize flour")), ("I had rice for lunch", (None, None, "rice")),
+     ("boneless thigh one", (1.0, None, "boneless thigh")), ("tender steak ten", (10.0, None, "tender steak")), ("12 glasz 2 g rice", (2.0, "g", "12 glasz rice")), ("soup\n3 cups x", (3.0, "cup", "soup x"))],
 )
 def test_meal_item(spark, raw, want):
     got = one(spark, text.parse_meal(F.col("t")), t=raw)

@@ -396,7 +396,7 @@ def test_stemmed_search_finds_derived_forms(spark):
 def test_registry_and_names(spark):
     stored = frame(spark, "name string, label string, px double, py double", ("detected_coffee_cup_4", "coffee cup", 0.0, 0.0))
     found = frame(spark, "i long, label string, px double, py double", (1, "coffee_cup", 0.3, 0.3), (2, "coffee cup", 0.5, 0.0), (3, "coffee cup", 0.6, 0.1))
-    assert [r[0] for r in rows(spatial.register(found, stored, "i"), "name")] == ["detected_coffee_cup_4", "detected_coffee_cup_5", "detected_coffee_cup_6"]
+    assert [r[0] for r in rows(spatial.register(found, stored, "i"), "name")] == ["detected_coffee_cup_0", "detected_coffee_cup_1", "detected_coffee_cup_4"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
