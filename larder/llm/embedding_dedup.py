@@ -5,7 +5,8 @@ so a group of copies is one point of one graph.  Nodes are dealt to shards by a
 hash of their id; every shard has a graph, and every node queries every shard: a
 task holds one shard and reads slices of another's vectors.  All queries start
 on the graph.  A query whose beam is full of links, or not filled, is asked again
-with twice the beam until the beam reaches beyond them or holds the whole shard.
+with twice the beam until the beam reaches beyond them or, with the neighbours of
+its nodes, would look at the whole shard, which then is scanned.
 Each task audits a sample of its queries against brute force and doubles all
 beams until the mean recall of the audited queries that have links (to other ids)
 reaches `recall`.  Where the samples of all tasks hold few such queries, they are
@@ -37,6 +38,9 @@ from larder.llm.kernels import U64, mix
 from larder.llm.sstable import filesystem
 from larder.llm.staging import Stage
 
+NEIGHBOURS = 16  # of a node, which a beam looks at for each node in it
+CHUNK = 1 << 21  # numbers in a table that a task works on at a time: pairs x dimensions, queries x nodes, queries x beam
+
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
@@ -107,50 +111,104 @@ class _Shard:
         self.index = Hnsw.from_arrays(self.unit, a)
 
     def links(self, q: np.ndarray, unit: np.ndarray, ids: np.ndarray, least: float, ef: int, recall: float, audit: int) -> tuple[np.ndarray, np.ndarray, int, float, float]:
-        """Pairs (query, node) with cosine >= least; how many audited queries have links here, and their mean recall at `ef` and at the end."""
+        """As `gather`, with all pairs (query, node) at once: for shards and slices of few links."""
+        into, *audited = self.gather(q, unit, ids, least, ef, recall, audit, _Pairs)
+        return *into.all(), *audited
+
+    def gather(self, q: np.ndarray, unit: np.ndarray, ids: np.ndarray, least: float, ef: int, recall: float, audit: int, sink) -> tuple:
+        """Puts pairs (query, node) with cosine >= least into a new sink, chunk by chunk.
+
+        Returns it, and how many audited queries have links here, and their mean recall at `ef` and at the end.
+        """
         n, near, first = len(self.ids), least - 1e-5, None
         sample = np.argsort(mix(ids.view(U64) ^ U64(0x5EED)))[:audit]
         truth = self._exact(q, unit, ids, sample, least)
         linked = sample[truth[sample] > 0]
         while True:
-            found = self._search(unit, near, ef)
-            sure = _cosines(q[found[0]], self.x[found[1]]) >= least if len(found[0]) else np.zeros(0, bool)
-            a, b = found[0][sure], found[1][sure]
-            got = np.bincount(a[ids[a] != self.ids[b]], minlength=len(ids))
+            into, got = sink(), np.zeros(len(ids), dtype=np.int64)
+            for a, b in self._verified(q, self._search(unit, near, ef), least):
+                got += np.bincount(a[ids[a] != self.ids[b]], minlength=len(ids))
+                into.add(a, b)
             measured = float(np.mean(got[linked] / truth[linked])) if len(linked) else 1.0
             first = measured if first is None else first
             if measured >= recall or ef >= n:
-                return a, b, len(linked), first, measured
+                return into, len(linked), first, measured
             ef *= 2
 
+    def _verified(self, q: np.ndarray, candidates: Iterator[tuple[np.ndarray, np.ndarray]], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidate pairs whose cosine is verified, so many at a time that their vectors take a few MB."""
+        step = max(256, CHUNK // q.shape[1])
+        for a, b in candidates:
+            for lo in range(0, len(a), step):
+                x, y = a[lo : lo + step], b[lo : lo + step]
+                sure = _cosines(q[x], self.x[y]) >= least
+                yield x[sure], y[sure]
+
+    def _whole(self, unit: np.ndarray, rows: np.ndarray, near: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates of some queries among all nodes, so many queries at a time that their products take a few MB."""
+        step = max(1, CHUNK // len(self.ids))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            a, b = np.nonzero(unit[part] @ self.unit.T >= near)
+            yield part[a], b
+
     def _exact(self, q: np.ndarray, unit: np.ndarray, ids: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
         """True links of each of `rows` with other ids, as counts over all queries."""
         out = np.zeros(len(ids), dtype=np.int64)
-        for at in range(0, len(rows), 64):
-            part = rows[at : at + 64]
-            a, b = np.nonzero(unit[part] @ self.unit.T >= least - 1e-5)
-            a = part[a]
-            true = (_cosines(q[a], self.x[b]) >= least) & (ids[a] != self.ids[b])
-            out += np.bincount(a[true], minlength=len(ids))
+        for a, b in self._verified(q, self._whole(unit, rows, least - 1e-5), least):
+            out += np.bincount(a[ids[a] != self.ids[b]], minlength=len(ids))
         return out
 
-    def _search(self, unit: np.ndarray, near: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        n, todo, qs, ns, grown = len(self.ids), np.arange(len(unit)), [], [], False
+    def _search(self, unit: np.ndarray, near: float, ef: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidate pairs; beams that are full of links, or not filled, are asked again."""
+        n, todo, grown = len(self.ids), np.arange(len(unit)), False
         while len(todo):
-            if ef >= n or (grown and 2 * ef >= n):  # the beam has grown to (most of) the shard
-                for at in range(0, len(todo), 1024):
-                    part = todo[at : at + 1024]
-                    a, b = np.nonzero(unit[part] @ self.unit.T >= near)
-                    qs.append(part[a])
-                    ns.append(b)
-                break
-            ids, sims = self.index.search(unit[todo], ef)
-            wider = (sims[:, -1] >= near) | (sims[:, -1] == -np.inf)  # full of links, or not filled: parts of the graph are out of reach
-            a, b = np.nonzero((sims >= near) & ~wider[:, None])
-            qs.append(todo[a])
-            ns.append(ids[a, b])
-            todo, ef, grown = todo[wider], 2 * ef, True
-        return (np.concatenate(qs), np.concatenate(ns)) if qs else (np.zeros(0, np.int64),) * 2
+            if ef >= n or (grown and NEIGHBOURS * ef >= n):  # a beam whose nodes' neighbours would be (most of) the shard
+                yield from self._whole(unit, todo, near)
+                return
+            again, step = [], max(16, CHUNK // ef)
+            for at in range(0, len(todo), step):
+                part = todo[at : at + step]
+                ids, sims = self.index.search(unit[part], ef)
+                wider = (sims[:, -1] >= near) | (sims[:, -1] == -np.inf)  # full of links, or not filled: parts of the graph are out of reach
+                a, b = np.nonzero((sims >= near) & ~wider[:, None])
+                yield part[a], ids[a, b]
+                again.append(part[wider])
+            todo, ef, grown = np.concatenate(again), 2 * ef, True
+
+
+class _Pairs:
+    """A sink that keeps all pairs."""
+
+    def __init__(self) -> None:
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.pairs.append((a, b))
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(c) for c in zip(*self.pairs))
+
+
+class _Counts:
+    """A sink that keeps the links of each query and a spanning forest, whatever the number of pairs."""
+
+    def __init__(self, ids: np.ndarray, to: _Shard):
+        self.ids, self.to, self.links = ids, to, np.zeros(len(ids))
+        self.edges = (np.zeros(0, np.int64),) * 2
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        u, v = self.ids[a], self.to.ids[b]
+        other = u != v
+        self.links += np.bincount(a[other], self.to.weights[b[other]], len(self.ids))
+        if other.any():
+            self.edges = _forest(np.concatenate([self.edges[0], u[other]]), np.concatenate([self.edges[1], v[other]]))
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids with links, their number, and the forest's edges."""
+        some = self.links > 0
+        who, back = np.unique(self.ids[some], return_inverse=True)
+        return who, np.bincount(back, self.links[some], len(who)).astype(np.int64), *self.edges
 
 
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,13 +253,8 @@ def similar_vectors(spark, index: list[dict], least: float, ef: int, recall: flo
                 to = _Shard(target)
                 for lo in range(at, min(at + step, count), slice_rows):
                     ids, x = _slice(queries, count, dim, lo, min(lo + slice_rows, count))
-                    a, b, audited, first, measured = to.links(x, _unit(x), ids, least, ef, recall, audit)
-                    u, v, w = ids[a], to.ids[b], to.weights[b]
-                    other = u != v
-                    u, v, w = u[other], v[other], w[other]
-                    who, back = np.unique(u, return_inverse=True)
-                    links = np.bincount(back, w, len(who)).astype(np.int64)
-                    yield _found(who, links, *(_forest(u, v) if len(u) else (u, v)), min(audit, len(ids)), audited, first, measured)
+                    into, audited, first, measured = to.gather(x, _unit(x), ids, least, ef, recall, audit, lambda: _Counts(ids, to))  # noqa: B023
+                    yield _found(*into.result(), min(audit, len(ids)), audited, first, measured)
 
     return tasks.repartition(max(1, min(n_tasks, 65_536))).mapInArrow(run, FOUND)
 
@@ -249,7 +302,7 @@ def near_vectors(
     vectors: DataFrame, stage: Stage, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, shards: int = 8, shard_rows: int = 65_536, width: int = 16, ef_build: int = 48, ef: int = 64, recall: float = 0.99,
     slice_rows: int = 2048, audit: int = 64, report: dict | None = None,
 ) -> DataFrame:
-    """A row per vector: vec_id, n_links, component_id, kept.  At least `shards` shards (fewer of tables with under 1,024 vectors a shard), each of about `shard_rows`.
+    """A row per vector: vec_id, n_links, component_id, kept.  At least `shards` shards (fewer of tables with under 128 vectors a shard), each of about `shard_rows`.
 
     `report` is given what the audits measured: how many queries were asked and had links, their recall and the beam.
     """
@@ -270,7 +323,7 @@ def near_vectors(
     counts = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}  # a row per length of vectors
     if not counts:
         return _result(ids.withColumns({"links": F.lit(0), "component": F.lit(None).cast("long")}))
-    parts = {d: max(1, min(shards, n // 1024), -(-n // shard_rows)) for d, n in counts.items()}
+    parts = {d: max(1, min(shards, n // 128), -(-n // shard_rows)) for d, n in counts.items()}
     shard = F.pmod(F.xxhash64("id"), F.element_at(F.create_map(*(F.lit(v) for d, n in parts.items() for v in (d, n))), F.col("dim"))).cast("int")
     index = build_shards(nodes.withColumn("shard", shard), stage.path("index"), parts, width, ef_build)
     found = _audited(spark, index, stage, least, ef, recall, slice_rows, audit, {} if report is None else report)

@@ -1,6 +1,7 @@
 import io
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -492,6 +493,23 @@ def test_every_query_starts_on_the_graph(n):
     assert asked[0] == n and a.tolist() == b.tolist() and sorted(a) == list(range(n))
 
 
+def test_links_of_a_cloud_take_bounded_memory():
+    """4,096 different vectors in one cloud: 16.8 million links."""
+    rng = np.random.default_rng(11)
+    n = 4096
+    s = _Shard.__new__(_Shard)
+    s.ids, s.weights, s.x = np.arange(n), np.ones(n, dtype=np.int64), rng.normal(size=(1, 64)) + 0.01 * rng.normal(size=(n, 64))
+    s.unit = s.x / np.linalg.norm(s.x, axis=1, keepdims=True)
+    s.index = hnsw.Hnsw.build(s.unit, mix(s.ids.astype(np.uint64)))
+    tracemalloc.start()
+    into, audited, _, measured = s.gather(s.x, s.unit, s.ids, 0.9, 64, 0.99, 64, lambda: embedding_dedup._Counts(s.ids, s))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    who, links, x, y = into.result()
+    assert peak < 500e6 and audited == 64 and measured == 1
+    assert (links == n - 1).all() and len(who) == n and len(x) == n - 1 and set(y) == {0}
+
+
 class Lossy:
     """An index that finds a large group at once, but other links only in beams of 512; or one whose beams are not filled."""
 
