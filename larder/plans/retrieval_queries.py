@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators import lexical, models, retrieval
+from larder.operators import lexical, metric, models, retrieval
 from larder.plans.registry import Tables, query
 
 _COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -52,6 +52,19 @@ def similarity_join_argmax(t):
     return found.select("qid", "id", F.round("score", 6).alias("score"))
 
 
+@query(_topk(_FULL, 10))
+def metric_topk(t):
+    """Through the pruned index."""
+    return _rounded(metric.metric_topk(metric.build_index(items(t)), asked(t), 10, query_vec="q_vec"))
+
+
+@query(_topk(_FULL, 1, cond="q.vec_id <> i.vec_id").replace("q.vec_id % 100 = 0 AND ", ""))
+def metric_nearest(t):
+    """The nearest other vector of every vector."""
+    queries = items(t).select(F.col("id").alias("qid"), "vec")
+    return _rounded(metric.metric_topk(metric.build_index(items(t)), queries, 1, include_self=False))
+
+
 _HYBRID = f"0.5 * {_GRAPH} + 0.5 * {_TEXT}"
 
 
