@@ -230,29 +230,31 @@ class LineCrf:
         return c
 
     def fit(
-        self, x: np.ndarray, doc: np.ndarray, size: np.ndarray, good: np.ndarray, first: int = 80, rounds: int = 20, turns: int = 4, l2: float = 1e-3,
-        around: float = 30.0
+        self, x: np.ndarray, doc: np.ndarray, size: np.ndarray, good: np.ndarray, first: int = 80, rounds: int = 20, turns: int = 4, l2: float = 1e-3, around: float = 2.0
     ) -> LineCrf:
-        """doc: document of each line, 0 on; good: label of each document."""
+        """doc: document of each line, 0 on; good: label of each document.
+
+        Labels are those of whole documents, so what a line has its neighbours seem to have too: `around` times the
+        penalty on their weights keeps a bad line from spoiling those beside it.
+        """
         docs = len(good)
         if not docs or good.min() == good.max() or not len(x):
             return self
         f, y = with_neighbours(x, doc), good[doc].astype(np.float64)
-        own = np.zeros(N_FEATURES)
-        own[:N_OWN] = own[-1] = 1  # neighbours come in with the chain
+        penalty = np.full(N_FEATURES, l2)
+        penalty[N_OWN : 3 * N_OWN] *= around
 
         def apart(w: np.ndarray) -> np.ndarray:
             p = 1 / (1 + np.exp(-(f @ w.astype(np.float32)).astype(np.float64)))
-            return (f.T @ (y - p) / len(x) - l2 * w) * own
+            return f.T @ (y - p) / len(x) - penalty * w
 
         self.weights = _adam(self.weights, apart, first, 0.1)
         chains, start = Chains(doc, docs), self.move.copy()
-        pulled = l2 * np.concatenate([np.where(own, 1, around), np.ones(4)])
 
         def through(theta: np.ndarray) -> np.ndarray:
             self.weights, self.move = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
-            away = np.concatenate([self.weights, (self.move - start).ravel()])
-            return self.likelihood(f, chains, doc, size, good)[1] - pulled * away
+            away = np.concatenate([penalty * self.weights, l2 * (self.move - start).ravel()])
+            return self.likelihood(f, chains, doc, size, good)[1] - away
 
         for _ in range(turns):
             self._calibrate(chains.marginals(self._emit(f), self.move)[0][:, 1], doc, size, good)
@@ -262,9 +264,13 @@ class LineCrf:
         return self
 
     def _calibrate(self, p: np.ndarray, doc: np.ndarray, size: np.ndarray, good: np.ndarray, rare: float = 0.002) -> None:
-        """The curve from quality to probability, and the marginal below which a line is bad: `rare` among lines of good documents."""
+        """The curve from quality to probability, and the marginal below which a line is bad.
+
+        That is halfway, in log-odds, between the `rare` least of good documents' lines and the upper quartile of bad ones'.
+        """
         self.curve = self._fit_curve(self._quality(p, doc, size, len(good)), good)
-        self.cut = float(np.clip(np.quantile(p[good[doc] == 1], rare), 0.05, 0.95))
+        low, high = (self._logit(np.quantile(p[good[doc] == y], at)) if (good[doc] == y).any() else 0.0 for y, at in ((0, 0.75), (1, rare)))
+        self.cut = float(np.clip(1 / (1 + np.exp(-(min(low, high) + high) / 2)), 0.05, 0.95))
 
     def score(self, x: np.ndarray, doc: np.ndarray, size: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
         """Score of each document and P(good) of each line."""

@@ -1,4 +1,5 @@
 import io
+import itertools
 import os
 import random
 import tracemalloc
@@ -333,6 +334,49 @@ def test_lines_are_labelled_one_by_one(spark):
     assert clean[0] <= 0.01 * clean[1]
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_neighbouring_lines_tell(spark):
+    """A line that says nothing by itself is judged by the lines around it, through their features alone (no transitions)."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    m = quality_crf.fit_quality(docs, labels)
+    own, around = np.abs(m.weights[: quality_crf.N_OWN]), np.abs(m.weights[quality_crf.N_OWN : 3 * quality_crf.N_OWN])
+    assert around.mean() > 0.1 * own.mean() and around.max() > 0.2 * own.max()  # of the same order
+    neutral, clean, junk = "Then there were more of these.", "The cat sat there for a long while and slept.", "BUY!! NOW!! | CHEAP!! | WIN!! | ***"
+    texts = [f"{x}\n{neutral}\n{x}" for x in (clean, junk)]
+    data, edge = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    x, doc, number, size = quality_crf.line_features(data, edge)
+    m.move = np.zeros((2, 2))
+    told = m.score(x, doc, size.astype(float), 2)[1][number == 1]
+    m.weights[quality_crf.N_OWN : 3 * quality_crf.N_OWN] = 0
+    untold = m.score(x, doc, size.astype(float), 2)[1][number == 1]
+    assert told[0] - told[1] > 0.05 and abs(untold[0] - untold[1]) < 1e-6
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_score_by_enumeration(spark):
+    """Scores of small documents against the sum over all labellings of their lines."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    m = quality_crf.fit_quality(docs, labels)
+    some = [r[0] for r in docs.where("length(text) - length(replace(text, '\n', '')) BETWEEN 1 AND 8").select("text").limit(40).collect()] + ["One.", "A!!\n\nB | C\nPlain words are here."]
+    got = {r[0]: r[1] for r in quality_crf.score_quality(spark.createDataFrame([(t,) for t in some], "text string"), m).select("text", "score").collect()}
+    n = quality_crf.N_OWN
+    for text in some:
+        data = np.frombuffer(text.encode(), np.uint8)
+        x, _, _, size = quality_crf.line_features(data, np.array([0, len(data)]))
+        k, total, good = len(x), 0.0, np.zeros(len(x))
+        emit = []
+        for i in range(k):
+            w = m.weights
+            s = x[i] @ w[:n] + (x[i - 1] @ w[n : 2 * n] if i else w[-3]) + (x[i + 1] @ w[2 * n : 3 * n] if i + 1 < k else w[-2]) + w[-1]
+            emit.append((-s / 2, s / 2))
+        for states in itertools.product((0, 1), repeat=k):
+            p = np.exp(sum(emit[i][s] for i, s in enumerate(states)) + sum(m.move[a, b] for a, b in itertools.pairwise(states)))
+            total += p
+            good += p * np.array(states)
+        q = quality_crf.SOFT + (1 - 2 * quality_crf.SOFT) * float(good / total @ size / size.sum())
+        assert np.isclose(got[text], 1 / (1 + np.exp(-(m.curve[0] + m.curve[1] * np.log(q / (1 - q))))), atol=1e-4), text
+
+
 def test_gradient_through_marginals():
     rng = np.random.default_rng(4)
     doc = np.repeat(np.arange(6), [3, 1, 4, 2, 5, 3])
