@@ -8,9 +8,10 @@ outside of the ring's range.
 
 A search first asks each query's most promising leaves, which hold k vectors at
 least; the k-th best of these bounds the answer, and only leaves that can be
-nearer are asked as well.  Leaves meet their queries by a join on the leaf, in
-groups of bounded size on both sides.  Queries are rows like any other: nothing
-is read again for more of them, and leaves that no query needs are not multiplied.
+nearer are asked as well.  Leaves lie together in tiles; a query goes once to
+each tile that has leaves for it, with their numbers, and groups of bounded size
+meet there on both sides.  Queries are rows like any other: nothing is read again for
+more of them, and leaves that no query needs are not multiplied.
 """
 
 from __future__ import annotations
@@ -30,14 +31,15 @@ from larder.session import checkpointed, shared_folder
 CENTRES_BYTES = 16 << 20  # of the centres that are broadcast, at most
 LEAVES = 200_000  # ranges of rings that are broadcast, at most (besides one for each centre)
 SLACK = 1e-6  # of angles, for rounding
-CELLS = 1 << 21  # queries x leaves worked on at a time
+CELLS = 1 << 20  # queries x leaves, queries x vectors and the like worked on at a time
+TILE_BYTES = 8 << 20  # of the vectors of a tile, about
 
 
 @dataclass
 class Index:
-    table: DataFrame  # leaf, id, vec (of unit length or zero)
+    table: DataFrame  # tile, leaf, id, vec (of unit length or zero)
     centres: np.ndarray
-    leaves: np.ndarray  # leaf, centre, least angle, largest angle, vectors; a row each
+    leaves: np.ndarray  # leaf (0 on), centre, least angle, largest angle, vectors, tile; a row each
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -53,7 +55,7 @@ def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ centres.T, -1, 1))
 
 
-def build_index(items: DataFrame, item_id: str = "id", item_vec: str = "vec", leaf_rows: int = 4096, centres: int | None = None, path: str | None = None) -> Index:
+def build_index(items: DataFrame, item_id: str = "id", item_vec: str = "vec", leaf_rows: int = 1024, centres: int | None = None, path: str | None = None) -> Index:
     """The index of all vectors that are not null, of one length, written below the shared folder or at `path`.
 
     `centres` defaults to the square root of the number of vectors; they are a sample by hash of the id.
@@ -62,9 +64,9 @@ def build_index(items: DataFrame, item_id: str = "id", item_vec: str = "vec", le
     rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_vec).cast("array<double>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
     n, dim = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not n:
-        return Index(spark.createDataFrame([], "leaf long, id long, vec array<double>"), np.zeros((0, 1)), np.zeros((0, 5)))
-    many = max(1, min(centres or math.isqrt(n), CENTRES_BYTES // (8 * dim)))
-    chosen = rows.where(F.exists("vec", lambda v: v != 0)).orderBy(F.xxhash64("id"), "id").limit(many).collect()  # of bounded size
+        return Index(spark.createDataFrame([], "tile long, leaf long, id long, vec array<double>"), np.zeros((0, 1)), np.zeros((0, 6)))
+    wanted = max(1, min(centres or math.isqrt(n), CENTRES_BYTES // (8 * dim)))
+    chosen = rows.where(F.exists("vec", lambda v: v != 0)).orderBy(F.xxhash64("id"), "id").limit(wanted).collect()  # of bounded size
     at = _units(np.array([r["vec"] for r in chosen])) if chosen else np.zeros((1, dim))
     at = np.unique(at, axis=0)
     shared = spark.sparkContext.broadcast(at)
@@ -88,14 +90,18 @@ def build_index(items: DataFrame, item_id: str = "id", item_vec: str = "vec", le
     dealt = assigned.join(F.broadcast(spans.drop("n")), "centre").withColumn("ring", ring).drop("lo", "hi", "rings")  # a row for each centre
     rings = dealt.groupBy("centre", "ring").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
     rings = checkpointed(rings.withColumn("splits", F.ceil(F.col("n") / (2 * leaf_rows))).withColumn("first", F.sum("splits").over(Window.orderBy("centre", "ring")) - F.col("splits")))
-    known = F.broadcast(rings.select("centre", "ring", "splits", "first"))  # LEAVES and centres at most
     leaf = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("splits"))).alias("leaf")
-    dealt.join(known, ["centre", "ring"]).select(leaf, "id", "vec").repartitionByRange("leaf").sortWithinPartitions("leaf").write.parquet(f"{folder}/leaves")
+    # about n / splits of a ring's vectors in each of its leaves, so tiles are of about the same size
+    many = max(1, TILE_BYTES // (8 * dim))
+    rows_before = F.sum("n").over(Window.orderBy("centre", "ring")) - F.col("n")
+    placed = checkpointed(rings.withColumn("tile", F.floor((rows_before + F.col("n") / 2) / many)))
+    known = F.broadcast(placed.select("centre", "ring", "splits", "first", "tile"))  # LEAVES and centres at most
+    dealt.join(known, ["centre", "ring"]).select("tile", leaf, "id", "vec").repartitionByRange("tile", "leaf").sortWithinPartitions("tile").write.parquet(f"{folder}/leaves")
     table = spark.read.parquet(f"{folder}/leaves")
     sizes = table.groupBy("leaf").count()
-    of = rings.select("centre", "lo", "hi", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("splits") - 1)).alias("leaf")).join(sizes, "leaf")
-    found = of.select("leaf", "centre", "lo", "hi", "count").orderBy("leaf").collect()  # a bounded number of ranges
-    return Index(table, at, np.array([tuple(map(float, r)) for r in found]).reshape(-1, 5))
+    of = placed.select("centre", "lo", "hi", "tile", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("splits") - 1)).alias("leaf")).join(sizes, "leaf", "left")
+    found = of.select("leaf", "centre", "lo", "hi", F.coalesce("count", F.lit(0)).alias("count"), "tile").orderBy("leaf").collect()  # a bounded number of ranges
+    return Index(table, at, np.array([tuple(map(float, r)) for r in found]).reshape(-1, 6))
 
 
 def _reach(x: np.ndarray, centres: np.ndarray, leaves: np.ndarray) -> np.ndarray:
@@ -109,14 +115,17 @@ def _reach(x: np.ndarray, centres: np.ndarray, leaves: np.ndarray) -> np.ndarray
     return reach
 
 
+ASKED = "tile long, qid {kind}, vec array<double>, leaves array<long>"
+
+
 def _asked(shared, k: int, more: bool):
-    """Rows (leaf, qid, vec): leaves to ask.  At first the nearest that hold k + 1 vectors; then the others within `bound`."""
+    """Rows (tile, qid, vec, leaves): leaves to ask.  At first the nearest that hold k + 1 vectors; then the others within `bound`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, leaves = shared.value
-        step = max(1, CELLS // max(len(leaves), 1))
+        tiles = leaves[:, 5].astype(np.int64)
         for whole in batches:
-            for lo in range(0, whole.num_rows, step):
+            for lo in range(0, whole.num_rows, step := max(1, CELLS // (len(leaves) + 8 * len(centres[0])))):
                 b = whole.slice(lo, step)
                 x = _units(_matrix(b.column(1), b.num_rows))
                 reach = _reach(x, centres, leaves)
@@ -128,42 +137,74 @@ def _asked(shared, k: int, more: bool):
                     bound = b.column(2).to_numpy(zero_copy_only=False).astype(float)
                     first = ~first & (reach <= bound[:, None] + SLACK)
                 q, at = np.nonzero(first)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves[at, 0].astype(np.int64)), b.column(0).take(pa.array(q)), b.column(1).take(pa.array(q))], names=["leaf", "qid", "vec"])
+                starts = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (tiles[at[1:]] != tiles[at[:-1]]))) if len(q) else np.zeros(0, np.int64)
+                rows = max(1, CELLS // max(1, len(centres[0])))
+                for i in range(0, len(starts), rows):
+                    some, upto = starts[i : i + rows], starts[i + rows] if i + rows < len(starts) else len(q)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(some, upto).astype(np.int32) - int(some[0])), pa.array(at[some[0] : upto]))
+                    own = pa.array(q[some])
+                    yield pa.RecordBatch.from_arrays([pa.array(tiles[at[some]]), b.column(0).take(own), b.column(1).take(own), lists], names=["tile", "qid", "vec", "leaves"])
 
     return run
 
 
 def _multiplied(kind: str, k: int, include_self: bool):
+    """Each leaf of a tile with the queries that ask it; the best k of each query in the tile."""
+
     def work(key: tuple, queries: pa.Table, items: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        qs, ids, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(queries) and len(items):
-            qid, ids = queries["qid"].to_numpy(), items["id"].to_numpy()
+            items = items.sort_by("leaf")
+            leaf, every = items["leaf"].to_numpy(), items["id"].to_numpy()
             q, x = (_units(_matrix(t["vec"].combine_chunks(), len(t))) for t in (queries, items))
-            for lo in range(0, len(qid), 256):
-                s = np.round(q[lo : lo + 256] @ x.T, 12)
-                if not include_self and kind == "long":
-                    s = np.where(qid[lo : lo + 256, None] == ids, -np.inf, s)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                best = np.take_along_axis(s, order, 1)
-                a, c = np.nonzero(best > -np.inf)
-                for column, some in zip(out, (qid[lo + a], ids[order[a, c]], best[a, c])):
-                    column.append(some)
-        arrays = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (object if kind == "string" else np.int64, np.int64, float))]
-        return pa.table([pa.array(arrays[0], pa.string() if kind == "string" else pa.int64()), pa.array(arrays[1]), pa.array(arrays[2])], names=["qid", "id", "score"])
+            asked = queries["leaves"].combine_chunks()
+            row = np.repeat(np.arange(len(q)), np.diff(asked.offsets.to_numpy()))
+            wanted = asked.flatten().to_numpy()
+            order = np.argsort(wanted, kind="stable")
+            row, wanted = row[order], wanted[order]
+            own = queries["qid"].to_numpy() if kind == "long" else None
+            for l in np.unique(wanted):
+                a, b = np.searchsorted(leaf, [l, l + 1])
+                who = row[np.searchsorted(wanted, l) : np.searchsorted(wanted, l + 1)]
+                if a == b:
+                    continue
+                for lo in range(0, len(who), step := max(1, CELLS // (b - a))):
+                    some = who[lo : lo + step]
+                    s = np.round(q[some] @ x[a:b].T, 12)
+                    if not include_self and own is not None:
+                        s = np.where(own[some, None] == every[a:b], -np.inf, s)
+                    best = np.lexsort((np.broadcast_to(every[a:b], s.shape), -s), axis=1)[:, :k]
+                    s = np.take_along_axis(s, best, 1)
+                    i, c = np.nonzero(s > -np.inf)
+                    qs.append(some[i])
+                    ids.append(every[a:b][best[i, c]])
+                    scores.append(s[i, c])
+                if sum(map(len, qs)) > CELLS:
+                    qs, ids, scores = ([z] for z in _first(k, *map(np.concatenate, (qs, ids, scores))))
+        at, i, s = _first(k, *map(np.concatenate, (qs, ids, scores)))
+        return pa.table([queries["qid"].take(pa.array(at)), pa.array(i), pa.array(s)], names=["qid", "id", "score"])
 
     return work
 
 
-GROUP = 4096  # queries that a leaf is asked at a time
+def _first(k: int, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of each query."""
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[rank < k], ids[rank < k], scores[rank < k]
+
+
+GROUP = 4096  # queries that a tile is asked at a time
 
 
 def _met(index: Index, asked: DataFrame, kind: str, k: int, include_self: bool) -> DataFrame:
-    """The best k of every leaf for every query that asks it."""
-    counts = asked.groupBy("leaf").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    """The best k of every tile for every query that asks it."""
+    counts = asked.groupBy("tile").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     group = F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int").alias("part")
-    left = asked.join(counts, "leaf").select("leaf", group, "qid", "vec")
-    right = index.table.join(counts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "id", "vec")
-    both = left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part"))
+    left = asked.join(F.broadcast(counts), "tile").select("tile", group, "qid", "vec", "leaves")  # a row for each tile
+    right = index.table.join(F.broadcast(counts), "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "leaf", "id", "vec")
+    both = left.groupBy("tile", "part").cogroup(right.groupBy("tile", "part"))
     return both.applyInArrow(_multiplied(kind, k, include_self), f"qid {kind}, id long, score double")
 
 
@@ -185,17 +226,17 @@ def metric_topk(index: Index, queries: DataFrame, k: int, query_id: str = "qid",
         return spark.createDataFrame([], f"qid {kind}, id long, score double, rank int")
     q = checkpointed(q)
     shared = spark.sparkContext.broadcast((index.centres, index.leaves))
-    asked = checkpointed(q.mapInArrow(_asked(shared, k, False), f"leaf long, qid {kind}, vec array<double>"))
+    asked = q.mapInArrow(_asked(shared, k, False), ASKED.format(kind=kind))
     first = checkpointed(_best(_met(index, asked, kind, k, include_self), k).drop("rank"))
     last = first.groupBy("qid").agg(F.min("score").alias("last"), F.count("*").alias("n"))
     bound = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(F.col("n") >= k, F.col("last")).otherwise(-1.0))))
     if least is not None:
         bound = F.least(bound, F.lit(math.acos(max(-1.0, min(1.0, least)))))
     bounded = q.join(last, "qid", "left").select("qid", "vec", F.coalesce(bound, F.lit(math.pi)).alias("bound"))
-    others = checkpointed(bounded.mapInArrow(_asked(shared, k, True), f"leaf long, qid {kind}, vec array<double>"))
+    others = bounded.mapInArrow(_asked(shared, k, True), ASKED.format(kind=kind))
     if report is not None:
         sizes = spark.createDataFrame([(int(r[0]), int(r[4])) for r in index.leaves], "leaf long, n long")
-        done = asked.unionByName(others).groupBy("leaf").count().join(sizes, "leaf").agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+        done = asked.unionByName(others).select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().join(sizes, "leaf").agg(F.sum(F.col("count") * F.col("n"))).first()[0]
         report |= {"pairs": q.count() * int(index.leaves[:, 4].sum()), "multiplied": done or 0}
     found = first.unionByName(_met(index, others, kind, k, include_self))
     return _best(found if least is None else found.where(F.col("score") >= least - 1e-12), k)

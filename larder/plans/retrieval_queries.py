@@ -58,11 +58,10 @@ def metric_topk(t):
     return _rounded(metric.metric_topk(metric.build_index(items(t)), asked(t), 10, query_vec="q_vec"))
 
 
-@query(_topk(_FULL, 1, cond="q.vec_id <> i.vec_id").replace("q.vec_id % 100 = 0 AND ", ""))
+@query(_topk(_FULL, 1, cond="q.vec_id <> i.vec_id"))
 def metric_nearest(t):
-    """The nearest other vector of every vector."""
-    queries = items(t).select(F.col("id").alias("qid"), "vec")
-    return _rounded(metric.metric_topk(metric.build_index(items(t)), queries, 1, include_self=False))
+    """The nearest other vector of each one asked for."""
+    return _rounded(metric.metric_topk(metric.build_index(items(t)), asked(t), 1, query_vec="q_vec", include_self=False))
 
 
 _HYBRID = f"0.5 * {_GRAPH} + 0.5 * {_TEXT}"
