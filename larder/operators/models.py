@@ -10,7 +10,6 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -73,11 +72,6 @@ def chat_with(df: DataFrame, prompt: str, out: str, make: Callable[[], Chat]) ->
     return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` string")
 
 
-def clusters(df: DataFrame, vec: str = "vec", k: int = 12, seed: int = 42) -> DataFrame:
-    x = df.withColumn("features", array_to_vector(F.col(vec)))
-    return KMeans(k=k, seed=seed, maxIter=10).fit(x).transform(x).withColumnRenamed("prediction", "cluster").drop("features")
-
-
 def project(df: DataFrame, vec: str = "vec", k: int = 2) -> DataFrame:
     """The first principal components: a linear stand-in for a map of the vectors."""
     x = df.withColumn("features", array_to_vector(F.col(vec)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions.jsonfix import repair_json, repair_list, targets
 from larder.functions.text import answer, food_terms, parse_meal, strip_thoughts, token_estimate, tool_calls
 from larder.operators import evaluate as ev
-from larder.operators import graph, models
+from larder.operators import clusters, graph, layout, models
 from larder.plans.registry import query
 
 
@@ -317,7 +317,14 @@ def food_term_extract(t):
 
 @query()
 def kmeans_clusters(t):
-    return models.clusters(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))).groupBy("cluster").agg(F.count("*").alias("n"))
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return clusters.assign(rows, clusters.fit(rows)).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query()
+def vector_map(t):
+    """Every vector's place in a plane that keeps neighbourhoods."""
+    return layout.layout(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
 
 
 @query()
