@@ -9,7 +9,7 @@ from larder.operators import recommend, spatial
 from larder.plans import recommend_queries
 from larder.plans.registry import Tables, query
 from larder.session import shared_folder
-from larder.streaming import stateful, windows
+from larder.streaming import keyed, stateful, windows
 
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
 
@@ -201,3 +201,25 @@ def places_by_name(t):
 def enriched_labels(t):
     stored = t.supplier.where("s_suppkey % 2 = 0").join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("name"), F.col("n_name").alias("label"))
     return spatial.enrich(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), stored).select("id", "label")
+
+
+@query("""SELECT event_id, paired FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS paired FROM events) WHERE event_type = 'click'""")
+def stream_latest_pair(t):
+    """The last view before each click, as a stream with a value in state."""
+    with keyed.with_rocksdb(t.spark):
+        out = _to_end(keyed.latest_pair(_event_stream(t), "user_id", ["ts", "event_id"], "event_type", "click", "view", "value", "event_id"), "pairs")
+    return out.select(F.col("id").alias("event_id"), "paired")
+
+
+@query("""WITH p AS (SELECT CAST(user_id AS VARCHAR) AS stream_id, event_type AS label, CAST(date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)) AS BIGINT) AS d, value FROM events),
+f AS (SELECT stream_id, d, (row_number() OVER (PARTITION BY stream_id ORDER BY d) - 1) // 5 AS win, count(*) OVER (PARTITION BY stream_id) AS n FROM (SELECT DISTINCT stream_id, d FROM p))
+SELECT p.stream_id, win AS "window", label, count(*) AS hits, round(avg(value), 6) AS cam_x FROM p JOIN f ON p.stream_id = f.stream_id AND p.d = f.d WHERE (win + 1) * 5 <= n GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
+def stream_count_windows(t):
+    """Every five frames (days with events) of a stream, what was seen three times or more."""
+    seen = F.struct(F.col("event_type").alias("label"), F.col("value").alias("cam_x"), F.lit(0.0).alias("cam_y"), F.lit(0.0).alias("cam_z"))
+    frames = t.events.groupBy(F.col("user_id").cast("string").alias("stream_id"), F.datediff("ts", F.lit("2024-01-01")).cast("long").alias("frame_seq")).agg(F.collect_list(seen).alias("detections"))
+    at = shared_folder(t.spark, "frames")
+    frames.write.parquet(f"{at}/in")
+    with keyed.with_rocksdb(t.spark):
+        out = _to_end(keyed.count_windows(t.spark.readStream.schema(frames.schema).parquet(f"{at}/in"), 5, 3), "windows")
+    return out.select("stream_id", "window", "label", "hits", F.round("cam_x", 6).alias("cam_x"))

@@ -40,10 +40,10 @@ def deduplicated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def run_to_end(stream: DataFrame, name: str | None, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there; its rows (in `complete` mode those of the last batch) as Parquet beside the checkpoint."""
     out = f"{checkpoint}-rows"
-    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer = (stream.writeStream.queryName(name) if name else stream.writeStream).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", out)
     else:
