@@ -70,6 +70,46 @@ def negative_edges(edges: DataFrame, left: DataFrame, right: DataFrame, n: int,
     return pairs.join(edges.select("a", "b"), ["a", "b"], "left_anti").orderBy(F.md5(F.concat_ws("-", "a", "b")), "a", "b").limit(n)
 
 
+def _running_total(rows: DataFrame, number: str, value: str, block: int = 65_536) -> DataFrame:
+    """Adds `before`, the sum of `value` over smaller numbers (dense, from 0): within blocks, and over the blocks' sums."""
+    rows = rows.withColumn("_block", F.floor(F.col(number) / block))
+    sums = rows.groupBy("_block").agg(F.sum(value).alias("_s"))
+    sums = sums.select("_block", (F.sum("_s").over(Window.orderBy("_block")) - F.col("_s")).alias("_start"))  # a row for each block
+    own = F.sum(value).over(Window.partitionBy("_block").orderBy(number)) - F.col(value)
+    return rows.withColumn("_own", own).join(F.broadcast(sums), "_block").withColumn("before", F.col("_own") + F.col("_start")).drop("_block", "_own", "_start")
+
+
+def exact_negative_edges(edges: DataFrame, left: DataFrame, right: DataFrame, n: int, seed: int = 82) -> DataFrame:
+    """Exactly n different pairs (a, b) that are no edges, or all there are if they are fewer.
+
+    left, right: numbered nodes (i from 0 on, id).  The pairs that are no edges, in order of both numbers, are cut into n
+    stretches of nearly equal length and one is drawn from each.  Where a place falls is found by selection: a node on
+    the left owns as many places as it has no edges, by running totals, and within its places the r-th free node on
+    the right is r plus the count of its neighbours that come before it.  No product of the sides is made.
+    """
+    na, nb = left.count(), right.count()
+    numbered = edges.select("a", "b").distinct().join(left.select(F.col("id").alias("a"), F.col("i").cast("long").alias("ia")), "a").join(right.select(F.col("id").alias("b"), F.col("i").cast("long").alias("ib")), "b").select("ia", "ib")
+    degrees = numbered.groupBy("ia").agg(F.count("*").alias("d"))
+    free = left.select(F.col("i").cast("long").alias("ia")).join(degrees, "ia", "left").select("ia", (F.lit(nb) - F.coalesce("d", F.lit(0))).alias("free"))
+    total = free.agg(F.sum("free")).first()[0] or 0
+    n = min(n, total)
+    if not n:
+        return left.select(F.col("id").alias("a")).join(right.select(F.col("id").alias("b"))).limit(0)
+    q, r = divmod(total, n)
+    start = lambda x: F.expr(f"{x} * {q}L + {x} * {r}L div {n}L")
+    draw = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit("n"), F.lit(seed), "id")), 1, 8), 16, 10).cast("long")
+    places = left.sparkSession.range(n).select((start("id") + F.pmod(draw, start("(id + 1)") - start("id"))).alias("place"))
+    width = -(-total // na)  # of the cells by which places meet the nodes that own them
+    owners = _running_total(free.where("free > 0"), "ia", "free").withColumn("cell", F.explode(F.sequence(F.floor(F.col("before") / width), F.floor((F.col("before") + F.col("free") - 1) / width))))
+    drawn = places.withColumn("cell", F.floor(F.col("place") / width)).join(owners, "cell").where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("free")))
+    drawn = drawn.select("ia", (F.col("place") - F.col("before")).alias("at"), F.lit(0).alias("taken"))
+    by = Window.partitionBy("ia")
+    met = numbered.join(drawn.select("ia").distinct(), "ia", "left_semi").select("ia", (F.col("ib") - F.row_number().over(by.orderBy("ib")) + 1).alias("at"), F.lit(1).alias("taken"))
+    both = drawn.unionByName(met).withColumn("ib", F.col("at") + F.sum("taken").over(by.orderBy("at", F.desc("taken")).rowsBetween(Window.unboundedPreceding, 0))).where("taken = 0")
+    named = both.join(left.select(F.col("i").cast("long").alias("ia"), F.col("id").alias("a")), "ia").join(right.select(F.col("i").cast("long").alias("ib"), F.col("id").alias("b")), "ib")
+    return named.select("a", "b")
+
+
 def hash_share(*keys: str, seed: int = 82) -> Column:
     """A number in [0, 1) from the keys, the same on every run and engine."""
     return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), *keys)), 1, 8), 16, 10).cast("double") / 4294967296.0

@@ -237,6 +237,30 @@ def negative_edges(t):
     return graph.negative_edges(pairs, left, t.supplier.select(F.col("s_suppkey").alias("i"), F.col("s_suppkey").alias("id")), 500)
 
 
+_FREE = """WITH f AS (SELECT p_partkey AS a, s_suppkey AS b, row_number() OVER (ORDER BY p_partkey, s_suppkey) - 1 AS place FROM part, supplier
+  WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey)), t AS (SELECT count(*) AS t FROM f)"""
+
+
+def _numbered(t):
+    pairs = t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    return pairs, t.part.select(F.col("p_partkey").alias("i"), F.col("p_partkey").alias("id")), t.supplier.select(F.col("s_suppkey").alias("i"), F.col("s_suppkey").alias("id"))
+
+
+@query(f"""{_FREE}, k AS (SELECT k, t, least(5000, t) AS n, t // least(5000, t) AS q, t % least(5000, t) AS r FROM t, (SELECT unnest(range(5000)) AS k) WHERE k < t),
+s AS (SELECT k, k * q + k * r // n AS lo, (k + 1) * q + (k + 1) * r // n AS hi FROM k)
+SELECT a, b FROM s JOIN f ON place = lo + CAST('0x' || substr(md5('n-82-' || k), 1, 8) AS BIGINT) % (hi - lo)""")
+def negative_edges_exact(t):
+    return graph.exact_negative_edges(*_numbered(t), 5000)
+
+
+@query("""SELECT p_partkey AS a, n_nationkey::BIGINT AS b FROM part, nation WHERE (p_partkey, n_nationkey) NOT IN (SELECT (l_partkey, s_nationkey) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)""")
+def negative_edges_all(t):
+    """Of a dense graph, parts and the nations they come from, every pair that is no edge."""
+    edges = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("a"), F.col("s_nationkey").cast("long").alias("b"))
+    parts, nations = (x.select(F.col(c).cast("long").alias("i"), F.col(c).cast("long").alias("id")) for x, c in ((t.part, "p_partkey"), (t.nation, "n_nationkey")))
+    return graph.exact_negative_edges(edges, parts, nations, 1 << 40)
+
+
 @query("""SELECT round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
   SELECT l_quantity AS s, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) AS neg FROM lineitem GROUP BY 1))""")
 def link_auc(t):
