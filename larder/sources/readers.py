@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.jsonfix import first_name, lenient_double
 from larder.sources.files import Matrix
+from larder.sources.tensors import TensorFile
 
 SR_OFFSET = 1_000_000  # legacy food numbers are moved by this, so they cannot meet others
 
@@ -209,17 +210,24 @@ def hosted_samples(spark: SparkSession, path: str, kind: str = "parquet") -> Dat
     return rows.select(key.alias("doc_id"), F.col(f"`{have['meal_description']}`").alias("meal_description"), *map(number, ("carb", "protein", "fat", "energy")))
 
 
-def vector_file(spark: SparkSession, path: str, ids: str | None = None, rows: int = 4096) -> DataFrame:
-    """A .npy matrix as id and vec, by row number or by the ids of a second file.  Tasks read their own rows, from any file system."""
+def _matrix(path: str, key: str | None = None) -> Matrix | TensorFile:
+    return TensorFile(path, key) if path.endswith((".pt", ".pth")) else Matrix(path)
+
+
+def vector_file(spark: SparkSession, path: str, ids: str | None = None, rows: int = 4096, key: str | None = None) -> DataFrame:
+    """A .npy or .pt matrix as id and vec, by row number or by the ids of a second file.  Tasks read their own rows, from any file system.
+
+    `key` names the matrix in a .pt file of several.
+    """
     import numpy as np
     import pyarrow as pa
 
-    x = Matrix(path)
+    x = _matrix(path, key)
     n = len(x)
     x.close()
 
     def run(batches):
-        x, keys = Matrix(path), Matrix(ids) if ids else None
+        x, keys = _matrix(path, key), _matrix(ids) if ids else None
         for b in batches:
             for start in b.column(0).to_pylist():
                 stop = min(start + rows, n)
