@@ -9,6 +9,7 @@ from larder.operators import recommend, spatial
 from larder.plans import recommend_queries
 from larder.plans.registry import Tables, query
 from larder.session import shared_folder
+from larder.sources import store
 from larder.streaming import keyed, stateful, windows
 
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
@@ -223,3 +224,13 @@ def stream_count_windows(t):
     with keyed.with_rocksdb(t.spark):
         out = _to_end(keyed.count_windows(t.spark.readStream.schema(frames.schema).parquet(f"{at}/in"), 5, 3), "windows")
     return out.select("stream_id", "window", "label", "hits", F.round("cam_x", 6).alias("cam_x"))
+
+
+@query("""SELECT 'user ' || user_id AS name, value / 20 AS px FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'purchase'""")
+def object_store(t):
+    """Objects put and forgotten by a stream of changes, through a log of whole batches."""
+    at = shared_folder(t.spark, "objects")
+    op = F.when(F.col("event_type") == "purchase", "forget").otherwise("put")
+    changes = _event_stream(t).select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("name"), F.col("event_type").alias("label"), (F.col("value") / 20).alias("px"), F.lit(0.0).alias("py"), op.alias("op"), F.col("event_id").cast("long").alias("seq"))
+    store.append_stream(changes, f"{at}/log", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return store.objects(t.spark, f"{at}/log").select("name", "px")
