@@ -206,6 +206,15 @@ def holdout_split(t):
     return graph.hold_out(pairs, 50).where("held_out").select("a", "b")
 
 
+@query("""WITH p AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem), s AS (SELECT a FROM p GROUP BY 1 HAVING count(*) >= 2 ORDER BY md5(a::VARCHAR), a LIMIT 50),
+h AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY md5(concat_ws('-', a, b)), b) AS n FROM p WHERE a IN (SELECT a FROM s)) WHERE n = 1)
+SELECT a, b FROM p EXCEPT SELECT a, b FROM h""")
+def training_split(t):
+    """All pairs but those held out."""
+    pairs = t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    return graph.hold_out(pairs, 50).where("NOT held_out").select("a", "b")
+
+
 @query("""SELECT part, count(*) AS n FROM (SELECT CASE WHEN h <= 'd9999999' THEN 'train' WHEN h <= 'eb851eb8' THEN 'valid' ELSE 'test' END AS part FROM (SELECT substr(md5(concat_ws('-', 82, a, b)), 1, 8) AS h FROM (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem))) GROUP BY 1""")
 def edge_split(t):
     pairs = t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
