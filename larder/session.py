@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -27,10 +29,41 @@ def _unset(spark: SparkSession) -> str:
     return where
 
 
+_folders: list[str] = []  # made by this program and not yet deleted
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one the cluster shares; in local mode below a temporary one where none is set."""
+    """A new folder below the one the cluster shares; in local mode below a temporary one where none is set.
+
+    It goes when the program ends, or with `release`.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or _unset(spark)
-    return f"{where.rstrip('/')}/larder/{name}-{uuid.uuid4().hex}"
+    path = f"{where.rstrip('/')}/larder/{name}-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(release)
+    _folders.append(path)
+    return path
+
+
+def release(since: int = 0) -> None:
+    """Deletes the intermediate folders made since there were `since` of them (`len(_folders)`); nothing may read them any more."""
+    from larder.sources.files import filesystem
+
+    while len(_folders) > since:
+        with contextlib.suppress(Exception):  # nothing was written, or it has gone with the folder above
+            system, place = filesystem(_folders[-1])
+            system.delete_dir(place)
+        _folders.pop()
+
+
+@contextlib.contextmanager
+def intermediates():
+    """What is made inside goes at the end: for programs that run many queries and have written their results."""
+    since = len(_folders)
+    try:
+        yield
+    finally:
+        release(since)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

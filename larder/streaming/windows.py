@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.sources.files import filesystem
+
 
 def event_time(df: DataFrame, ts: str = "ts", late: str | None = None) -> DataFrame:
     """The time column as a timestamp with a zone, with a watermark if `late` is given."""
@@ -46,7 +49,11 @@ def run_to_end(stream: DataFrame, name: str | None, checkpoint: str, mode: str =
     writer = (stream.writeStream.queryName(name) if name else stream.writeStream).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", out)
-    else:
-        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    else:  # a folder for each batch, so a reader of the one before is not disturbed
+        writer = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/{number:019d}"))
     writer.start().awaitTermination()
+    if mode != "append":
+        system, place = filesystem(out)
+        done = [f.path for f in system.get_file_info(FileSelector(place, allow_not_found=True, recursive=True)) if f.base_name == "_SUCCESS"]
+        out = f"{out}/{max(done).rsplit('/', 2)[-2]}" if done else out
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
