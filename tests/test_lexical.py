@@ -52,6 +52,8 @@ def test_several_blocks_of_queries(spark, corpus, monkeypatch):
     docs, queries = corpus
     index = lexical.build_index(docs)
     whole = _rows(lexical.search(index, queries, 5), "tier")
+    many = queries.unionByName(spark.createDataFrame([(99, " ".join(f"w{i}" for i in range(2000)))], queries.schema))  # more terms than a filter lists
+    assert [r for r in _rows(lexical.search(index, many, 5), "tier") if r[0] != 99] == whole
     monkeypatch.setattr(lexical, "QUERIES", 7)
     assert _rows(lexical.search(index, queries, 5), "tier") == whole
 
@@ -71,15 +73,15 @@ def test_skipping_is_exact_and_large_on_skewed_lists():
             at = rng.choice(n, df, replace=False)
             impacts = np.sort(np.round(rng.uniform(0.3, 2.2, df), 2))[::-1]
             weight = float(np.log((n - df + 0.5) / (df + 0.5) + 1))
-            lists.append(lexical._List(weight, at, impacts))
+            lists.append(lexical._List(weight, lexical._Postings(at, impacts)))
             np.add.at(full, at, weight * impacts)
         found, score, opened = lexical.best_of(lists, n, 10)
         best = np.lexsort((np.arange(n), -np.round(full, 9)))[:10]
         mine = found[np.lexsort((found, -np.round(score, 9)))[:10]]
         assert (mine == best).all() and np.allclose(np.sort(score)[-10:], np.sort(full)[-10:])
         assert opened <= sum(len(x.at) for x in lists)
-    rare = lexical._List(7.0, np.arange(40), np.linspace(2.2, 1.0, 40))
-    common = lexical._List(0.3, np.arange(n), np.linspace(2.0, 0.5, n))
+    rare = lexical._List(7.0, lexical._Postings(np.arange(40), np.linspace(2.2, 1.0, 40)))
+    common = lexical._List(0.3, lexical._Postings(np.arange(n), np.linspace(2.0, 0.5, n)))
     _, _, opened = lexical.best_of([common, rare], n, 10)
     assert opened == 40  # the common term is only looked up
 
