@@ -123,11 +123,43 @@ def stream_stability(t):
     frames = t.events.groupBy(F.col("user_id").cast("string").alias("stream_id"), F.datediff("ts", F.lit("2024-01-01")).cast("long").alias("frame_seq")).agg(F.collect_list(seen).alias("detections"))
     at = shared_folder(t.spark, "frames")
     frames.write.parquet(f"{at}/in")
-    stream = t.spark.readStream.schema(frames.schema).parquet(f"{at}/in")
-    out = _to_end(stateful.stable(stream), "stable")
+    with keyed.with_rocksdb(t.spark):
+        out = _to_end(stateful.stable(t.spark.readStream.schema(frames.schema).parquet(f"{at}/in")), "stable")
     return out.select("stream_id", "label", "frame_seq", "streak", F.round("cam_x", 6).alias("cam_x"))
 
 
+@query(f"""WITH RECURSIVE r AS (SELECT user_id AS m, date_trunc('day', ts) AS d, event_type AS label, value / 20 AS x, {_K} / 10.0 AS y, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts), event_id) AS n FROM events),
+s AS (SELECT DISTINCT m, 0::BIGINT AS n, CAST([] AS STRUCT(label VARCHAR, i BIGINT, x DOUBLE, y DOUBLE, d TIMESTAMP)[]) AS stored, CAST(NULL AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS label, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y FROM r
+UNION ALL SELECT m, n, CASE WHEN label = 'signup' THEN stored[1:0] WHEN label = 'error' THEN list_filter(stored, lambda o: o.label <> 'view') WHEN near THEN stored ELSE list_append(stored, struct_pack(label := label, i := free, x := x, y := y, d := d)) END,
+  CASE WHEN label NOT IN ('signup', 'error') AND NOT near THEN free END, label, x, y
+FROM (SELECT r.*, s.stored, len(list_filter(s.stored, lambda o: o.label = r.label AND o.d <> r.d AND sqrt((o.x - r.x) ** 2 + (o.y - r.y) ** 2) < 1)) > 0 AS near,
+  list_min(list_filter(range(len(s.stored) + 1), lambda k: NOT list_contains(list_transform(list_filter(s.stored, lambda o: o.label = r.label), lambda o: o.i), k))) AS free FROM s JOIN r ON r.m = s.m AND r.n = s.n + 1))
+SELECT CAST(m AS VARCHAR) AS map_id, 'detected_' || label || '_' || i AS name, label, round(x, 6) AS px, round(y, 6) AS py FROM s WHERE i IS NOT NULL""")
+def stream_registry(t):
+    """Objects as a stream of daily requests registers them: an error forgets the views, a sign-up clears the map."""
+    op = F.when(F.col("event_type") == "signup", "clear").when(F.col("event_type") == "error", "forget").otherwise("put")
+    requests = _event_stream(t).select(
+        F.col("user_id").cast("string").alias("map_id"), F.datediff("ts", F.lit("2024-01-01")).cast("long").alias("request_id"), F.when(op == "forget", "view").otherwise(F.col("event_type")).alias("label"),
+        (F.col("value") / 20).alias("px"), (F.get_json_object("props", "$.k").cast("double") / 10).alias("py"), op.alias("op"), "event_id",
+    )
+    with keyed.with_rocksdb(t.spark):
+        out = _to_end(stateful.registry(requests, 1.0, ["event_id"]), "registry")
+    return out.select("map_id", "name", "label", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id AS g, epoch(ts) / 3600 AS t, value / 20 AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS n FROM events),
+s AS (SELECT g, n, t AS start, t, d AS best, t AS last, CASE WHEN d <= 0.02 THEN 'success' END AS state FROM r WHERE n = 1
+UNION ALL SELECT g, n, start, t, best, last, CASE WHEN d <= 0.02 THEN 'success' WHEN t - last >= 300 THEN 'failed' WHEN t - start >= 400 THEN 'timeout' END
+FROM (SELECT r.g, r.n, s.start, r.t, r.d, CASE WHEN r.d <= s.best - 0.05 THEN r.d ELSE s.best END AS best, CASE WHEN r.d <= s.best - 0.05 THEN r.t ELSE s.last END AS last FROM s JOIN r ON r.g = s.g AND r.n = s.n + 1 WHERE s.state IS NULL))
+SELECT CAST(g AS VARCHAR) AS goal_id, state, round(t, 6) AS t FROM s WHERE state IS NOT NULL""")
+def stream_watchdog(t):
+    """How each user's approach ended (hours stand for seconds, values for distances)."""
+    track = _event_stream(t).select(F.col("user_id").cast("string").alias("goal_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("t"), (F.col("value") / 20).alias("distance"))
+    with keyed.with_rocksdb(t.spark):
+        out = _to_end(stateful.watchdog(track, near=0.02, patience_s=300, limit_s=400), "watchdog")
+    return out.select("goal_id", "state", F.round("t", 6).alias("t"))
+
+
 @query(f"""SELECT event_id FROM events a WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id
   AND sqrt((a.value / 20 - b.value / 20) ** 2 + ({_K.replace("props", "a.props")} / 10.0 - {_K.replace("props", "b.props")} / 10.0) ** 2) < 0.5)""")
 def spatial_dedup_anti(t):

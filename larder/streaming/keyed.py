@@ -27,7 +27,7 @@ def with_rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+def in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(order, kind="stable")
 
 
@@ -43,7 +43,7 @@ class _LastOfTwo(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         value = self.last.get()[0] if self.last.exists() else None
         new, out = False, []
-        for kind, v, i in _in_order(rows, self.order)[[self.kind, self.value, self.id]].itertuples(index=False):
+        for kind, v, i in in_order(rows, self.order)[[self.kind, self.value, self.id]].itertuples(index=False):
             if kind == self.right and not pd.isna(v):
                 value, new = v, True
             elif kind == self.left:
@@ -76,7 +76,7 @@ class _CountWindow(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         number, frames = self.place.get() if self.place.exists() else (0, 0)
         known, changed, emptied, out = {}, set(), False, []
-        for found in _in_order(rows, [self.order])["detections"]:
+        for found in in_order(rows, [self.order])["detections"]:
             for d in found if found is not None else []:
                 label, p = d["label"], (d["cam_x"], d["cam_y"], d["cam_z"])
                 if label is None or any(v is None or v != v for v in p):
