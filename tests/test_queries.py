@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from larder.plans import evaluate_queries, kb_queries, recommend_queries, registry, retrieval_queries, stream_queries  # noqa: F401
+from larder.plans import evaluate_queries, kb_queries, prompt_queries, recommend_queries, registry, retrieval_queries, stream_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
