@@ -130,7 +130,8 @@ def stream_samples(t):
     """The last value of every user, sampled each six hours from their logs: mean and peak by day."""
     at = shared_folder(t.spark, "meters")
     rows = t.events.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("meter"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "event_id", "value")
-    logs = rows.repartition("meter").sortWithinPartitions("meter", "t", "event_id")
+    # a number given, so that partitions of few bytes but many files are not put together
+    logs = rows.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "meter").sortWithinPartitions("meter", "t", "event_id")
     logs.select("meter", "t", "value").write.partitionBy("meter").json(f"{at}/logs")
     ends = rows.agg(F.min("t"), F.max("t")).first()
     system, place = filesystem(at)
