@@ -106,10 +106,11 @@ def signatures(docs: DataFrame, shingle: int = 5, k: int = 64, heads: int = 8, l
 def _tiles(long: DataFrame, tile: int) -> DataFrame:
     """long: v, rep, n, class, g (component so far), of long lists.  Deals them to tiles of at most about 2 x `tile` members.
 
-    The members of a list's largest component meet the others, not each other.
+    The members of a list's largest component, if it would fill a good part of a tile, meet the others, not each other.
     """
-    main = long.groupBy("v", "g").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "g"))["g"].alias("main"))
-    long = long.join(main, "v").withColumn("inside", (F.col("g") == F.col("main")).cast("int"))
+    main = long.groupBy("v", "g").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "g")).alias("m"))
+    main = main.select("v", F.when(F.col("m.c") >= tile / 4, F.col("m.g")).alias("main"))
+    long = long.join(main, "v").withColumn("inside", F.coalesce(F.col("g") == F.col("main"), F.lit(False)).cast("int"))
     size = long.groupBy("v", "class", "inside").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     key = (2 * F.col("class") + F.col("inside")).cast("int")
     parts = size.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), "parts"))).alias("parts"))  # a few classes per list
@@ -124,7 +125,11 @@ def _tiles(long: DataFrame, tile: int) -> DataFrame:
         k = 2 * (F.col("class") + step) + inside
         pair = lambda p: F.struct(F.least(me, code(k, p)).alias("a"), F.greatest(me, code(k, p)).alias("b"))
         several = F.transform(F.sequence(F.lit(0), F.greatest(count(k) - 1, F.lit(0))), pair)
-        return F.when((count(k) > 0) & ((F.col("inside") == 0) | F.lit(inside == 0)), several).otherwise(none)
+        asked = (count(k) > 0) & ((F.col("inside") == 0) | F.lit(inside == 0))
+        if step == 0 and inside == 0:  # a class of one part meets itself in the tile with a neighbouring class
+            beside = (count(2 * (F.col("class") - 1)) > 0) | (count(2 * (F.col("class") + 1)) > 0)
+            asked &= ~((F.col("inside") == 0) & (count(k) == 1) & beside)
+        return F.when(asked, several).otherwise(none)
 
     split = F.concat(*(meets(step, inside) for step in (0, -1, 1) for inside in (0, 1)))
     return long.withColumn("t", F.explode(split)).select(F.xxhash64("v", "t.a", "t.b").alias("tile"), "v", "rep", "n", "g")
