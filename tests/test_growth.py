@@ -19,3 +19,45 @@ def test_tiles_of_a_long_list(spark):
             assert any({c, c + 6, c + step} <= t for t in tiles.values())
     small = _tiles(rows.where("class IN (0, 3)"), 500).collect()  # classes without a neighbour meet themselves
     assert len(small) == 200 and len({r["tile"] for r in small}) == 2
+
+
+def test_scores_at_once(spark):
+    """However many queries a block holds, a task has a bounded table of scores, and finds what all pairs say."""
+    from pyspark.sql import functions as F
+
+    from larder.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(4000, 4)), rng.normal(size=(900, 4))
+    items = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, vec array<double>, g int").coalesce(1)
+    queries = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(q)], "qid long, vec array<double>, g int")
+
+    def none(a, b):
+        if len(a) * len(b) > 1 << 20:
+            raise MemoryError(f"{len(a)} x {len(b)} scores")
+        return np.zeros((len(a), len(b)))
+
+    with_extra = [d.withColumn("x", F.array(F.lit(0.0))) for d in (items, queries)]
+    found = retrieval.vector_topk(*with_extra, 3, extra=("x", "x", none)).collect()
+    cos = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 12)
+    best = lambda s: {(i, int(j), r + 1) for i in range(len(q)) for r, j in enumerate(np.lexsort((np.arange(len(x)), -s[i]))[:3])}
+    assert {(r["qid"], r["id"], r["rank"]) for r in found} == best(cos)
+    own = np.where(np.arange(len(q))[:, None] % 3 == np.arange(len(x))[None, :] % 3, cos, -np.inf)
+    found = retrieval.vector_topk(items, queries, 3, alike=("g", "g")).collect()
+    assert {(r["qid"], r["id"], r["rank"]) for r in found} == best(own)
+
+
+def test_pools_by_group(spark):
+    """Pools that are groups give what the same pools as pairs give."""
+    from pyspark.sql import functions as F
+
+    from larder.operators import retrieval
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3).tolist(), rng.normal(size=3).tolist(), i % 4) for i in range(200)]
+    items = spark.createDataFrame(rows, "id long, text_vec array<double>, graph_vec array<double>, g int")
+    queries = items.where("id < 12").select(F.col("id").alias("qid"), F.col("text_vec").alias("q_text"), F.col("graph_vec").alias("q_graph"), ((F.col("g") + 1) % 4).alias("other"))
+    pairs = queries.join(items, F.col("g") == F.col("other")).select("qid", "id")
+    for mode in ("external", "hybrid", "centroid"):
+        get = lambda pool: {(r["qid"], r["id"], r["rank"], round(r["total"], 9)) for r in retrieval.search_pool(items, queries, pool, mode, 0.6, 5).collect()}  # noqa: B023, E731
+        assert get(("g", "other")) == get(pairs)
