@@ -102,11 +102,13 @@ def food_term(text: Column) -> Column:
 def parse_meal(text: Column) -> Column:
     """Array of raw, term, qty and unit; items without a term are left out."""
 
-    def item(part: Column) -> Column:
-        q = quantity(part)
-        return F.struct(part.alias("raw"), food_term(q["rest"]).alias("term"), q["qty"].alias("qty"), q["unit"].alias("unit"))
+    def item(x: Column) -> Column:
+        q = x["q"]
+        return F.struct(x["raw"].alias("raw"), food_term(q["rest"]).alias("term"), q["qty"].alias("qty"), q["unit"].alias("unit"))
 
-    return F.filter(F.transform(split_meal(text), item), lambda x: x["term"] != "")
+    # in two steps, so that an item's quantity is looked for once and not for each field
+    found = F.transform(split_meal(text), lambda part: F.struct(part.alias("raw"), quantity(part).alias("q")))
+    return F.filter(F.transform(found, item), lambda x: x["term"] != "")
 
 
 def distinct_first(values: Column, key) -> Column:

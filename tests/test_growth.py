@@ -61,3 +61,17 @@ def test_pools_by_group(spark):
     for mode in ("external", "hybrid", "centroid"):
         get = lambda pool: {(r["qid"], r["id"], r["rank"], round(r["total"], 9)) for r in retrieval.search_pool(items, queries, pool, mode, 0.6, 5).collect()}  # noqa: B023, E731
         assert get(("g", "other")) == get(pairs)
+
+
+def test_texts_are_dealt_and_read_once(spark, tmp_path):
+    """A small input goes to all cores, and no filter parses a text before it is parsed."""
+    from larder.plans.registry import QUERIES
+    from larder.session import dealt
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = dealt(spark.read.parquet(str(tmp_path / "one")))
+    assert rows.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and rows.count() == 100
+    for name in ("meal_quantity_places", "meal_parse"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "size(filter" not in plan and "Repartition" in plan
