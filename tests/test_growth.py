@@ -65,6 +65,7 @@ def test_pools_by_group(spark):
 
 def test_texts_are_dealt_and_read_once(spark, tmp_path):
     """A small input goes to all cores, and no filter parses a text before it is parsed."""
+    from larder.plans import evaluate_queries  # noqa: F401
     from larder.plans.registry import QUERIES
     from larder.session import dealt
 
