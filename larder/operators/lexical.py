@@ -1,7 +1,7 @@
 """Ranked text search over an index of impact-ordered postings, with dynamic pruning.
 
-Every task turns its documents into shards of a bounded number of them; nothing
-is shuffled for that.  The index has a row per shard and term: the shard's
+Every task turns its documents into shards of a bounded number of them and of
+their postings; nothing is shuffled for that.  The index has a row per shard and term: the shard's
 documents with that term (by number) and how often each has it, ordered by what
 the term adds to their score (without its weight), largest first.  Cut every
 `BLOCK` postings, the first entry of a block bounds all in it and behind it.  A
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
@@ -34,6 +35,8 @@ from larder.session import shared_folder
 
 BLOCK = 128
 SHARD_DOCS = 8192
+SHARD_POSTINGS = 1 << 21  # of a shard, unless one document has more
+TEXTS = 1 << 20  # bytes of texts that a task counts at a time, about
 QUERIES = 2048  # queries of one pass over the index
 EPS = 1e-9  # scores that differ by less are ties
 
@@ -99,14 +102,23 @@ class Index:
         return tfs * (self.k1 + 1) / (tfs + self.k1 * (1 - self.b + self.b * lengths / (self.mean or 1.0)))
 
 
+def _some(sizes: np.ndarray, most: int, first: int = 0) -> int:
+    """How many of the rows hold no more than `most` together, with `first` before them; one at least where `first` is 0."""
+    return max(int(np.searchsorted(np.cumsum(sizes, dtype=np.int64), most - first, side="right")), 0 if first else 1)
+
+
 def _counted(analyse: Analyse):
-    """Documents as their distinct terms (joined by a zero character), how often each occurs, and the number of words."""
+    """Documents as their distinct terms, how often each occurs, and the number of words; few texts are looked at together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [analyse.count(t or "") for t in b.column(2).to_pylist()]
-            columns = [pa.array(["\0".join(c) for c in found], pa.string()), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), pa.array([sum(c.values()) for c in found], pa.int32())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "tier", "terms", "tfs", "length"])
+            sizes, lo = pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False), 0
+            while lo < b.num_rows:
+                some = b.slice(lo, _some(sizes[lo : lo + SHARD_DOCS], TEXTS))
+                lo += some.num_rows
+                found = [analyse.count(t or "") for t in some.column(2).to_pylist()]
+                lists = pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *lists, pa.array([sum(c.values()) for c in found], pa.int32())], names=["id", "tier", "terms", "tfs", "length"])
 
     return run
 
@@ -114,16 +126,15 @@ def _counted(analyse: Analyse):
 ROW = "shard long, tier long, term string, n int, docs array<int>, tfs array<int>, ids array<long>, lengths array<int>"
 
 
-def _inverted(index: Index, shard_docs: int):
-    """Documents to the rows of shards."""
+def _inverted(index: Index, shard_docs: int, most: int = SHARD_POSTINGS):
+    """Documents to the rows of shards, of `most` postings each."""
 
     def shard(number: int, tier: int, parts: list[pa.Table]) -> pa.RecordBatch:
         t = pa.concat_tables(parts).combine_chunks()
         ids, lengths = t["id"].to_numpy(), t["length"].to_numpy()
         tfs = t["tfs"].combine_chunks()
-        sizes = np.diff(tfs.offsets.to_numpy())
-        of = np.repeat(np.arange(len(ids)), sizes)
-        coded = pa.array("\0".join(x for x in t["terms"].to_pylist() if x).split("\0") if len(of) else [], pa.string()).dictionary_encode()
+        of = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(tfs.offsets.to_numpy()))
+        coded = t["terms"].combine_chunks().flatten().dictionary_encode()
         names, term, tf = coded.dictionary, coded.indices.to_numpy(), tfs.flatten().to_numpy()
         order = np.lexsort((of, -index.impacts(tf, lengths[of]), term))
         n = np.bincount(term, minlength=len(names)).astype(np.int32)
@@ -141,24 +152,33 @@ def _inverted(index: Index, shard_docs: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[pa.Table]] = {}
-        sizes: Counter = Counter()
+        docs, postings = Counter(), Counter()
         number = TaskContext.get().partitionId() << 32
+
+        def full(tier: int) -> pa.RecordBatch:
+            nonlocal number
+            del docs[tier], postings[tier]
+            number += 1
+            return shard(number - 1, tier, held.pop(tier))
+
         for b in batches:
             t = pa.Table.from_batches([b])
             for tier in np.unique(t["tier"].to_numpy()).tolist():
                 own = t.filter(pa.array(t["tier"].to_numpy() == tier))
+                sizes = np.diff(own["tfs"].combine_chunks().offsets.to_numpy())
                 while len(own):
-                    some = own.slice(0, shard_docs - sizes[tier])
-                    held.setdefault(tier, []).append(some)
-                    sizes[tier] += len(some)
-                    own = own.slice(len(some))
-                    if sizes[tier] >= shard_docs:
-                        yield shard(number, tier, held.pop(tier))
-                        del sizes[tier]
-                        number += 1
-        for tier, parts in held.items():
-            yield shard(number, tier, parts)
-            number += 1
+                    n = min(_some(sizes, most, postings[tier]), shard_docs - docs[tier])
+                    if n:
+                        held.setdefault(tier, []).append(own.slice(0, n))
+                        docs[tier] += n
+                        postings[tier] += int(sizes[:n].sum())
+                        own, sizes = own.slice(n), sizes[n:]
+                    if len(own) or docs[tier] >= shard_docs:
+                        yield full(tier)
+                while postings.total() > most and len(held) > 1:  # of all tiers no more than of one
+                    yield full(max(postings, key=postings.get))
+        for tier in list(held):
+            yield full(tier)
 
     return run
 
@@ -174,11 +194,11 @@ def build_index(docs: DataFrame, analyse: Analyse = words, k1: float = 1.2, b: f
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), level.cast("long").alias("tier"), F.col(text).cast("string").alias("text"))
     if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         rows = rows.repartition(spark.sparkContext.defaultParallelism)
-    rows.mapInArrow(_counted(analyse), "id long, tier long, terms string, tfs array<int>, length int").write.parquet(f"{folder}/documents")
+    rows.mapInArrow(_counted(analyse), "id long, tier long, terms array<string>, tfs array<int>, length int").write.parquet(f"{folder}/documents")
     counted = spark.read.parquet(f"{folder}/documents")
     n, mean = counted.agg(F.count("*"), F.avg("length")).first()
     index = Index(counted, n, mean or 0.0, k1, b)
-    lists = counted.mapInArrow(_inverted(Index(None, n, mean or 0.0, k1, b), shard_docs), ROW)
+    lists = counted.mapInArrow(_inverted(Index(None, n, mean or 0.0, k1, b), shard_docs, SHARD_POSTINGS), ROW)
     # a common term's rows go to several files; the salt follows from the shard, so each row has one place
     salted = lists.repartition("term", F.pmod(F.xxhash64("shard"), F.lit(16))).sortWithinPartitions("term")
     salted.write.parquet(f"{folder}/postings")

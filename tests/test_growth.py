@@ -76,3 +76,26 @@ def test_texts_are_dealt_and_read_once(spark, tmp_path):
         df = QUERIES[name](spark, "/root/testdata/sf0.001")
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "size(filter" not in plan and "Repartition" in plan
+
+
+def test_index_holds_few_texts_and_postings(spark, monkeypatch):
+    """A task counts some texts at a time, whatever the size of its batches, and shards are bounded by postings too."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from larder.operators import lexical
+
+    texts = [f"{i} " + "word " * 20_000 for i in range(60)] + [None, "", "one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(63)), pa.array([0] * 63), pa.array(texts, pa.string())], names=["id", "tier", "text"])
+    parts = list(lexical._counted(lexical.words)(iter([batch.slice(1)])))
+    assert max(p.num_rows for p in parts) <= 13 and [i for p in parts for i in p.column(0).to_pylist()] == list(range(1, 63))
+    assert [n for p in parts for n in p.column(4).to_pylist()] == [20_001] * 59 + [0, 0, 1]
+    docs = spark.range(600).select("id", F.concat_ws(" ", *(F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(90)).cast("string") for i in range(25))).alias("text"), (F.col("id") % 3).alias("level")).coalesce(1)
+    queries = docs.where("id % 50 = 0").select(F.col("id").alias("qid"), "text")
+    found = lambda index: sorted((r["qid"], r["rank"], r["id"], round(r["score"], 9)) for r in lexical.search(index, queries, 5).collect())
+    whole = found(lexical.build_index(docs, tier="level"))
+    monkeypatch.setattr(lexical, "SHARD_POSTINGS", 700)
+    index = lexical.build_index(docs, tier="level")
+    held = index.table.where("term IS NOT NULL").groupBy("shard").agg(F.sum("n").alias("n"))
+    assert held.agg(F.max("n")).first()[0] <= 700 and held.count() >= 18
+    assert found(index) == whole
