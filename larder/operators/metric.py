@@ -31,8 +31,10 @@ from larder.session import checkpointed, shared_folder
 CENTRES_BYTES = 16 << 20  # of the centres that are broadcast, at most
 LEAVES = 200_000  # ranges of rings that are broadcast, at most (besides one for each centre)
 SLACK = 1e-6  # of angles, for rounding
+TIES = 1e-11  # of scores, beyond their rounding
 CELLS = 1 << 20  # queries x leaves, queries x vectors and the like worked on at a time
-TILE_BYTES = 8 << 20  # of the vectors of a tile, about
+TILE_BYTES = 8 << 20  # of the vectors of a tile, about; up to four times as much where there would be more than TILES
+TILES = 12
 
 
 @dataclass
@@ -92,7 +94,7 @@ def build_index(items: DataFrame, item_id: str = "id", item_vec: str = "vec", le
     rings = checkpointed(rings.withColumn("splits", F.ceil(F.col("n") / (2 * leaf_rows))).withColumn("first", F.sum("splits").over(Window.orderBy("centre", "ring")) - F.col("splits")))
     leaf = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("splits"))).alias("leaf")
     # about n / splits of a ring's vectors in each of its leaves, so tiles are of about the same size
-    many = max(1, TILE_BYTES // (8 * dim))
+    many = max(1, min(max(TILE_BYTES, 8 * dim * n // TILES), 4 * TILE_BYTES) // (8 * dim))
     rows_before = F.sum("n").over(Window.orderBy("centre", "ring")) - F.col("n")
     placed = checkpointed(rings.withColumn("tile", F.floor((rows_before + F.col("n") / 2) / many)))
     known = F.broadcast(placed.select("centre", "ring", "splits", "first", "tile"))  # LEAVES and centres at most
@@ -115,11 +117,13 @@ def _reach(x: np.ndarray, centres: np.ndarray, leaves: np.ndarray) -> np.ndarray
     return reach
 
 
-ASKED = "tile long, qid {kind}, vec array<double>, leaves array<long>"
+ASKED = "tile long, qid {kind}, vec array<double>, leaves array<long>, low double"
 
 
 def _asked(shared, k: int, more: bool):
-    """Rows (tile, qid, vec, leaves): leaves to ask.  At first the nearest that hold k + 1 vectors; then the others within `bound`."""
+    """Rows (tile, qid, vec, leaves, low): leaves to ask.  At first the nearest that hold k + 1 vectors; then the others within `bound`.
+
+    No score below `low` is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, leaves = shared.value
@@ -143,26 +147,31 @@ def _asked(shared, k: int, more: bool):
                     some, upto = starts[i : i + rows], starts[i + rows] if i + rows < len(starts) else len(q)
                     lists = pa.ListArray.from_arrays(pa.array(np.append(some, upto).astype(np.int32) - int(some[0])), pa.array(at[some[0] : upto]))
                     own = pa.array(q[some])
-                    yield pa.RecordBatch.from_arrays([pa.array(tiles[at[some]]), b.column(0).take(own), b.column(1).take(own), lists], names=["tile", "qid", "vec", "leaves"])
+                    low = b.column(3).take(own) if more else pa.array(np.full(len(own), -2.0))
+                    yield pa.RecordBatch.from_arrays([pa.array(tiles[at[some]]), b.column(0).take(own), b.column(1).take(own), lists, low], names=["tile", "qid", "vec", "leaves", "low"])
 
     return run
 
 
 def _multiplied(kind: str, k: int, include_self: bool):
-    """Each leaf of a tile with the queries that ask it; the best k of each query in the tile."""
+    """Each leaf of a tile with the queries that ask it; the best k of each query in the tile.
+
+    Scores are compared with the least that still counts, and only those that pass are kept and sorted.
+    """
 
     def work(key: tuple, queries: pa.Table, items: pa.Table) -> pa.Table:
-        qs, ids, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        qs, ids, scores, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], 0
         if len(queries) and len(items):
             items = items.sort_by("leaf")
             leaf, every = items["leaf"].to_numpy(), items["id"].to_numpy()
             q, x = (_units(_matrix(t["vec"].combine_chunks(), len(t))) for t in (queries, items))
-            asked = queries["leaves"].combine_chunks()
+            asked, low = queries["leaves"].combine_chunks(), queries["low"].to_numpy().copy()
             row = np.repeat(np.arange(len(q)), np.diff(asked.offsets.to_numpy()))
             wanted = asked.flatten().to_numpy()
             order = np.argsort(wanted, kind="stable")
             row, wanted = row[order], wanted[order]
-            own = queries["qid"].to_numpy() if kind == "long" else None
+            own = queries["qid"].to_numpy() if kind == "long" and not include_self else None
+            most = k if own is None else k + 1  # one of them may be the query itself
             for l in np.unique(wanted):
                 a, b = np.searchsorted(leaf, [l, l + 1])
                 who = row[np.searchsorted(wanted, l) : np.searchsorted(wanted, l + 1)]
@@ -170,17 +179,24 @@ def _multiplied(kind: str, k: int, include_self: bool):
                     continue
                 for lo in range(0, len(who), step := max(1, CELLS // (b - a))):
                     some = who[lo : lo + step]
-                    s = np.round(q[some] @ x[a:b].T, 12)
-                    if not include_self and own is not None:
-                        s = np.where(own[some, None] == every[a:b], -np.inf, s)
-                    best = np.lexsort((np.broadcast_to(every[a:b], s.shape), -s), axis=1)[:, :k]
-                    s = np.take_along_axis(s, best, 1)
-                    i, c = np.nonzero(s > -np.inf)
+                    s = q[some] @ x[a:b].T
+                    near = s >= low[some, None] - TIES
+                    if b - a > most and np.count_nonzero(near) > 4 * most * len(some):
+                        low[some] = np.maximum(low[some], np.partition(s, b - a - most, axis=1)[:, b - a - most])
+                        near = s >= low[some, None] - TIES
+                    i, c = np.nonzero(near)
+                    if own is not None:
+                        other = own[some[i]] != every[a + c]
+                        i, c = i[other], c[other]
                     qs.append(some[i])
-                    ids.append(every[a:b][best[i, c]])
-                    scores.append(s[i, c])
-                if sum(map(len, qs)) > CELLS:
-                    qs, ids, scores = ([z] for z in _first(k, *map(np.concatenate, (qs, ids, scores))))
+                    ids.append(every[a + c])
+                    scores.append(np.round(s[i, c], 12))
+                    held += len(i)
+                    if held > min(CELLS, max(1 << 16, 3 * k * len(q))):
+                        qs, ids, scores = ([z] for z in _first(k, *map(np.concatenate, (qs, ids, scores))))
+                        held, last = len(qs[0]), np.arange(k - 1, len(qs[0]))
+                        last = last[qs[0][last] == qs[0][last - k + 1]]  # the k-th of those that have as many
+                        low[qs[0][last]] = np.maximum(low[qs[0][last]], scores[0][last])
         at, i, s = _first(k, *map(np.concatenate, (qs, ids, scores)))
         return pa.table([queries["qid"].take(pa.array(at)), pa.array(i), pa.array(s)], names=["qid", "id", "score"])
 
@@ -195,14 +211,14 @@ def _first(k: int, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[
     return q[rank < k], ids[rank < k], scores[rank < k]
 
 
-GROUP = 4096  # queries that a tile is asked at a time
+GROUP = 4096  # queries that a tile is asked at a time; of many, up to four times as many
 
 
 def _met(index: Index, asked: DataFrame, kind: str, k: int, include_self: bool) -> DataFrame:
     """The best k of every tile for every query that asks it."""
-    counts = asked.groupBy("tile").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    counts = asked.groupBy("tile").agg(F.ceil(F.count("*") / F.greatest(F.lit(GROUP), F.least(F.lit(4 * GROUP), F.count("*") / 32))).cast("int").alias("groups"))
     group = F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int").alias("part")
-    left = asked.join(F.broadcast(counts), "tile").select("tile", group, "qid", "vec", "leaves")  # a row for each tile
+    left = asked.join(F.broadcast(counts), "tile").select("tile", group, "qid", "vec", "leaves", "low")  # a row for each tile
     right = index.table.join(F.broadcast(counts), "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "leaf", "id", "vec")
     both = left.groupBy("tile", "part").cogroup(right.groupBy("tile", "part"))
     return both.applyInArrow(_multiplied(kind, k, include_self), f"qid {kind}, id long, score double")
@@ -232,7 +248,8 @@ def metric_topk(index: Index, queries: DataFrame, k: int, query_id: str = "qid",
     bound = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(F.col("n") >= k, F.col("last")).otherwise(-1.0))))
     if least is not None:
         bound = F.least(bound, F.lit(math.acos(max(-1.0, min(1.0, least)))))
-    bounded = q.join(last, "qid", "left").select("qid", "vec", F.coalesce(bound, F.lit(math.pi)).alias("bound"))
+    low = F.greatest(F.when(F.col("n") >= k, F.col("last")).otherwise(-2.0), F.lit(-2.0 if least is None else least - 1e-12))
+    bounded = q.join(last, "qid", "left").select("qid", "vec", F.coalesce(bound, F.lit(math.pi)).alias("bound"), low.alias("low"))
     others = bounded.mapInArrow(_asked(shared, k, True), ASKED.format(kind=kind))
     if report is not None:
         sizes = spark.createDataFrame([(int(r[0]), int(r[4])) for r in index.leaves], "leaf long, n long")

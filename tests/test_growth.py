@@ -99,3 +99,27 @@ def test_index_holds_few_texts_and_postings(spark, monkeypatch):
     held = index.table.where("term IS NOT NULL").groupBy("shard").agg(F.sum("n").alias("n"))
     assert held.agg(F.max("n")).first()[0] <= 700 and held.count() >= 18
     assert found(index) == whole
+
+
+def test_scores_that_are_kept(monkeypatch):
+    """A tile keeps and sorts the scores that can still count, not all of them, and finds what all pairs say."""
+    import pyarrow as pa
+
+    from larder.operators import metric
+
+    rng = np.random.default_rng(5)
+    x, k, looked = rng.normal(size=(3000, 8)), 5, []
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[40], ids = x[41], np.arange(3000)
+    s = np.round(x @ x.T, 12)
+    np.fill_diagonal(s, -np.inf)
+    want = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+    items = pa.table({"tile": [0] * 3000, "leaf": ids // 100, "id": ids, "vec": list(x)})
+    sort = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, **a: looked.append(np.size(keys[0])) or sort(keys, **a))
+    for low in (np.full(3000, -2.0), np.take_along_axis(s, want, 1)[:, -1] - 1e-13):  # nothing known; the last that counts
+        looked.clear()
+        queries = pa.table({"qid": ids, "vec": list(x), "leaves": [list(range(30))] * 3000, "low": low})
+        got = metric._multiplied("long", k, False)((0, 0), queries, items)
+        assert (got["qid"].to_numpy() == np.repeat(ids, k)).all() and (got["id"].to_numpy() == want.ravel()).all()
+        assert sum(looked) < 3000 * 3000 / 4
