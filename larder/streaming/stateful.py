@@ -19,14 +19,17 @@ from larder.streaming.keyed import in_order
 
 
 class Entries:
-    """The entries of a map in state: each is read once for a batch, and `flush` writes those that changed."""
+    """The entries of a map in state: each is read once for a batch, and `flush` writes those that changed.
 
-    def __init__(self, state):
-        self.state, self.held, self.changed, self.emptied = state, {}, set(), False
+    Every read and write is a message to the JVM; of keys that begin with one of `absent` the state has none to ask for.
+    """
+
+    def __init__(self, state, absent: set[str] | None = None):
+        self.state, self.held, self.changed, self.emptied, self.absent = state, {}, set(), False, set() if absent is None else absent
 
     def get(self, key: tuple) -> tuple | None:
         if key not in self.held:
-            found = None if self.emptied else self.state.getValue(key)
+            found = None if self.emptied or key[0] in self.absent else self.state.getValue(key)
             self.held[key] = None if found is None else tuple(found)
         return self.held[key]
 
@@ -44,7 +47,7 @@ class Entries:
         for key in self.changed:
             if self.held[key] is not None:
                 self.state.updateValue(key, self.held[key])
-            elif not self.emptied:
+            elif not self.emptied and key[0] not in self.absent:
                 self.state.removeKey(key)
 
 
@@ -121,7 +124,15 @@ class _Registry(StatefulProcessor):
         self.place_state = handle.getMapState("places", "label string, number int", "cx long, cy long")
         self.cell_state = handle.getMapState("cells", "label string, cx long, cy long", "numbers array<int>, xs array<double>, ys array<double>")
 
+    def _count(self, label: str) -> tuple | None:
+        """The label's entry; a label without one has no objects in state."""
+        if (label,) not in self.numbers.held and self.numbers.get((label,)) is None:
+            self.absent.add(label)
+        return self.numbers.get((label,))
+
     def _near(self, label: str, x: float, y: float, cx: int, cy: int, fresh: set[tuple[str, int]]) -> bool:
+        if self._count(label) is None:
+            return False
         for key in ((label, cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
             for number, ox, oy in zip(*(self.cells.get(key) or ((), (), ())), strict=True):
                 if (label, number) not in fresh and math.hypot(ox - x, oy - y) < self.radius:
@@ -129,7 +140,7 @@ class _Registry(StatefulProcessor):
         return False
 
     def _put(self, label: str, x: float, y: float, cx: int, cy: int) -> int:
-        following, freed = self.numbers.get((label,)) or (0, [])
+        following, freed = self._count(label) or (0, [])
         if len(freed):
             number, freed = int(freed[0]), list(freed)[1:]
         else:
@@ -151,7 +162,7 @@ class _Registry(StatefulProcessor):
 
     def _forget(self, said: str, fresh: set[tuple[str, int]]) -> None:
         label = said.replace(" ", "_")
-        following, freed = self.numbers.get((label,)) or (0, [])
+        following, freed = self._count(label) or (0, [])
         for number in set(range(following)) - set(freed):
             self._drop(label, number)
             fresh.discard((label, number))
@@ -166,7 +177,8 @@ class _Registry(StatefulProcessor):
             self.numbers.put((name[1],), (following, freed))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.numbers, self.places, self.cells = (Entries(s) for s in (self.number_state, self.place_state, self.cell_state))
+        self.absent: set[str] = set()
+        self.numbers, self.places, self.cells = (Entries(s, self.absent) for s in (self.number_state, self.place_state, self.cell_state))
         out, request, fresh = [], None, set()
         for r in in_order(rows, self.order).itertuples():
             if r.request_id != request:

@@ -177,3 +177,20 @@ def test_watchdog_state_and_timer():
     ended = [tuple(r) for df in dog.handleExpiredTimer(("k",), Clock(21000), None) for r in df.itertuples(index=False)]
     assert ended == [("k", "failed", 5.0)]
     assert _step(dog, [(6.0, 0.1)], ["t", "distance"], 22000) == []  # it has ended
+
+
+def test_registry_asks_for_known_labels_only():
+    """Of a label that state does not know no cell is read, and what is stored is still found in a later batch."""
+    handle = Handle()
+    store = stateful._Registry(0.5, ["seq"])
+    store.init(handle)
+    reads = []
+    for m in handle.maps.values():
+        m.getValue = lambda key, held=m: reads.append(key) or held.held.get(key)
+    columns = ["request_id", "label", "px", "py", "op", "seq"]
+    rows = [(i // 2, "cup", float(i % 20), 0.0, "put", i) for i in range(60)]
+    assert len(_step(store, rows, columns)) == 20 and reads == [("cup",)]
+    reads.clear()
+    assert _step(store, [(90, "cup", 3.2, 0.0, "put", 0), (91, "tea", 3.2, 0.0, "put", 1), (92, "cup", 0.0, 0.0, "forget", 2), (93, "cup", 3.2, 0.0, "put", 3)], columns) == [("k", "detected_tea_0", "tea", 3.2, 0.0), ("k", "detected_cup_0", "cup", 3.2, 0.0)]
+    assert ("cup", 3, 0) in reads and [r for r in reads if r[0] == "tea"] == [("tea",)]
+    assert len(handle.maps["places"].held) == 2
